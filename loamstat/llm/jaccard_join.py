@@ -257,7 +257,8 @@ def jaccard_components(
     comps = connected_components(edges)
     labelled = sets.select("id", "n", "sig").join(comps.withColumnRenamed("node", "sig"), "sig", "left")
     labelled = labelled.select("id", "n", F.coalesce("comp", "sig").alias("comp"))
-    least = labelled.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least"))
+    # written first, so that the join below is one that Spark can split at a hot component
+    least = materialize(labelled.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least")), "least")
     return labelled.join(least, "comp", "left").select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
