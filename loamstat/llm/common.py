@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; keeps NumPy temporaries small.
@@ -134,6 +134,38 @@ def bloom_has(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ((bloom[p >> 3] >> (p & 7).astype(np.uint8)) & 1).all(axis=0)
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A 64-bit key of a row's id and text; nulls have a value of their own."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
+def split_by_keys(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(surely without, maybe with)`` a key among ``keys`` (one column of longs).
+
+    Two maps over ``df`` by a fixed-size Bloom filter, so that only the second
+    part need be shuffled to an exact join; it has the extra column ``__key``.
+    """
+    bloom = df.sparkSession.sparkContext.broadcast(bloom_build(keys))
+    keyed = df.withColumn("__key", key)
+
+    def sieve(wanted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = bloom_has(bloom.value, b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)) == wanted
+                if keep.any():
+                    yield b.filter(pa.array(keep))
+
+        return run
+
+    return keyed.mapInArrow(sieve(False), keyed.schema).drop("__key"), keyed.mapInArrow(sieve(True), keyed.schema)
+
+
+def drop_keys(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is not among ``keys``."""
+    sure, maybe = split_by_keys(df, key, keys)
+    return sure.unionByName(maybe.join(keys.toDF("__key"), "__key", "left_anti").select(*df.columns))
+
+
 # --- 64-bit mixing ----------------------------------------------------------
 
 

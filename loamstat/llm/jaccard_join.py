@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstat.llm.common import bloom_build, bloom_has, connected_components, materialize, mix64, text_slices
+from loamstat.llm.common import bloom_build, bloom_has, connected_components, materialize, mix64, row_key, split_by_keys, text_slices
 from loamstat.llm.wordhash import SPACED, Words, as_long, ngrams, words
 
 #: Shingles that one group, or one block of queries, holds at most (unless a
@@ -151,7 +151,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, n: int, num: int,
                 ["id", "rowkey", "n", "sig", "coarse"],
             )
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col)).alias("rowkey"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("rowkey"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(scan, "id long, rowkey long, n long, sig long, coarse array<long>")
 
 
@@ -171,7 +171,7 @@ def _fetch_sets(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: Dat
             sets = [s for s in shingle_sets(data, offs, n) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), _ragged(sets)], ["sig", "tokens"])
 
-    found = docs.select(F.xxhash64(F.col(id_col)).alias("rowkey"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, "sig long, tokens array<long>")
+    found = docs.select(row_key(id_col, text_col).alias("rowkey"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, "sig long, tokens array<long>")
     return found.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
 
 
@@ -252,11 +252,7 @@ def jaccard_components(
     ``component_id`` (smallest id reachable by links, itself included).  See
     the module's docstring for the method and the edge cases.
     """
-    sets = materialize(document_sets(docs, id_col, text_col, n, num, den), "sets")
-    edges = similar_edges(docs, sets, n, num, den, id_col, text_col, group_volume)
-    comps = connected_components(edges)
-    labelled = sets.select("id", "n", "sig").join(comps.withColumnRenamed("node", "sig"), "sig", "left")
-    labelled = labelled.select("id", "n", F.coalesce("comp", "sig").alias("comp"))
+    labelled = _labelled(docs, n, num, den, id_col, text_col, group_volume)
     # written first, so that the join below is one that Spark can split at a hot component
     least = materialize(labelled.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least")), "least")
     return labelled.join(least, "comp", "left").select(
@@ -266,6 +262,32 @@ def jaccard_components(
     )
 
 
+def _labelled(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, group_volume: int) -> DataFrame:
+    """``(id, rowkey, n, comp)`` of every row; ``comp`` is null without shingles."""
+    sets = materialize(document_sets(docs, id_col, text_col, n, num, den), "sets")
+    comps = connected_components(similar_edges(docs, sets, n, num, den, id_col, text_col, group_volume))
+    joined = sets.select("id", "rowkey", "n", "sig").join(comps.withColumnRenamed("node", "sig"), "sig", "left")
+    return joined.select("id", "rowkey", "n", F.coalesce("comp", "sig").alias("comp"))
+
+
+def deduplicate(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text", group_volume: int = GROUP_VOLUME) -> DataFrame:
+    """One row of each component stays, with all its columns: the one with the
+    smallest id (null ids last).  Rows without shingles all stay.
+
+    Only rows of components of two rows or more take part in a join.
+    """
+    labelled = materialize(_labelled(docs, n, num, den, id_col, text_col, group_volume), "labelled")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "rowkey")
+    several = labelled.where("comp is not null").groupBy("comp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    several = materialize(several.select("comp", F.col("first.rowkey").alias("kept")), "several")
+    marks = labelled.join(several, "comp").groupBy("rowkey").agg(F.max(F.col("rowkey") == F.col("kept")).alias("__stays")).withColumnRenamed("rowkey", "__key")
+    marks = materialize(marks, "marks")
+    sure, maybe = split_by_keys(docs, row_key(id_col, text_col), marks.select("__key"))
+    told = maybe.join(marks, "__key", "left")
+    once = told.where("__stays").dropDuplicates(["__key"])  # equal rows are one
+    return sure.unionByName(told.where("__stays is null").select(*docs.columns)).unionByName(once.select(*docs.columns))
+
+
 def similar_edges(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, group_volume: int) -> DataFrame:
     """Spanning-forest links ``(a, b)`` between signatures (steps 2-5)."""
     exploded = sets.where("size(coarse) > 0").select("sig", F.explode("coarse").alias("c"))

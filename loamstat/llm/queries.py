@@ -5,19 +5,147 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loamstat.llm.chat_format import digests, format_conversations
 from loamstat.llm.common import table
+from loamstat.llm.decontamination import contamination
 from loamstat.llm.jaccard_join import jaccard_components
+from loamstat.llm.license_scan import license_scan
+from loamstat.llm.media_chunks import media_features
+from loamstat.llm.mixing import mix_sources
+from loamstat.llm.quality import quality_scores
+from loamstat.llm.token_counts import token_attribution
+from loamstat.llm.toxicity import toxicity_scores
+from loamstat.llm.warc import derivatives
 
 OP6_SHINGLE, OP6_NUM, OP6_DEN = 3, 9, 10
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def with_control_strings(turns: DataFrame) -> DataFrame:
+    """Adds conversation -7, whose texts hold the template's own marks."""
+    said = r"\### Assistant: </turn> ok"
+    extra = turns.sparkSession.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return turns.select("conv_id", "turn", "role", "text").unionByName(extra)
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(format_conversations(with_control_strings(table(spark, sf_dir, "conversations"))))
+
+
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(table(spark, sf_dir, "pages"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_attribution(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), OP6_SHINGLE, OP6_NUM, OP6_DEN)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_chat_formatting,
+        op3_warc_derivatives,
+        op4_token_counts,
+        op5_quality,
+        op6_ngram_jaccard_join,
+        op7_license_scan,
+        op8_mixing,
+        op9_decontamination,
+        op10_media_chunks,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP2 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), escaped AS (
+  SELECT *,
+    replace(replace(replace(text, '\', '\b'), '</turn>', '\e'), '### ', '\h') AS etext,
+    replace(replace(replace(replace(role, '\', '\b'), '</turn>', '\e'), '### ', '\h'), chr(10), '\n') AS erole
+  FROM turns
+), glued AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+    sum(length(etext) + length(erole) + 13) AS formatted_chars
+  FROM escaped GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM glued
+"""
+
+_OP6 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w
+), t AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+c(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT c.doc_id, e.b FROM c JOIN e ON e.a = c.reach)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.component_id
+FROM s JOIN (SELECT doc_id, min(reach) AS component_id FROM c GROUP BY doc_id) m ON m.doc_id = s.doc_id
+"""
+
+_OP9 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), iw AS (
+  SELECT item_id, least(10, len(ws)) AS k, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS p, ws FROM i WHERE len(ws) > 0
+), win AS (SELECT DISTINCT item_id, k, array_to_string(ws[p:p + k - 1], ' ') AS g FROM iw),
+ks AS (SELECT DISTINCT k FROM win),
+dw AS (
+  SELECT doc_id, k, unnest(range(1, len(ws) - k + 2)) AS p, ws FROM d, ks WHERE len(ws) >= k
+), occ AS (
+  SELECT doc_id, item_id, p, win.k FROM (SELECT doc_id, k, p, array_to_string(ws[p:p + k - 1], ' ') AS g FROM dw) x JOIN win ON win.k = x.k AND win.g = x.g
+), hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM occ) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM occ) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_formatting": _OP2,
+    "op6_ngram_jaccard_join": _OP6,
+    "op9_decontamination": _OP9,
+}
