@@ -1,4 +1,11 @@
 """Registered queries over the driver's tables and their SQL twins."""
 
+from __future__ import annotations
+
+from loamstat.plans import testing
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in (testing,):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
