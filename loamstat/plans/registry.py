@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from loamstat.plans import testing
+from loamstat.plans import mining, testing
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (testing,):
+for _module in (testing, mining):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
