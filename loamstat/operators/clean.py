@@ -69,10 +69,10 @@ def align_samples(area: DataFrame, gap: DataFrame) -> DataFrame:
     Inputs are ``(position, sample_id)``; raises where the order differs.
     """
     kept = gap.join(area.select("sample_id"), "sample_id", "left_semi")
-    rank = lambda df: df.withColumn("place", F.row_number().over(Window.orderBy("position")))  # noqa: E731  one row per sample
+    rank = lambda df: global_rank(df, [F.col("position")], "place")
     both = rank(kept).alias("g").join(rank(area.join(kept.select("sample_id"), "sample_id", "left_semi")).alias("a"), F.expr("g.sample_id = a.sample_id"))
-    ok = F.when(F.col("g.place") == F.col("a.place"), F.col("g.place")).otherwise(F.raise_error(F.lit("samples are in another order")).cast("int"))
-    return both.select("g.sample_id", "g.position", ok.alias("place"))
+    ok = F.when(F.col("g.place") == F.col("a.place"), F.col("g.place")).otherwise(F.raise_error(F.lit("samples are in another order")).cast("long"))
+    return both.select("g.sample_id", "g.position", ok.cast("int").alias("place"))
 
 
 def masstime(mass: Column, rtime: Column) -> Column:

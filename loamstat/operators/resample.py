@@ -140,21 +140,30 @@ def bootstrap_effect(obs: DataFrame, x: str, y: str, reps: int, seed: int = 1, r
     return vec(x, "a").join(vec(y, "b"), "feature_id").mapInPandas(draw, "feature_id long, rep long, effect double")
 
 
-def group_permutation(obs: DataFrame, contrasts: DataFrame, reps: int, seed: int = 1) -> DataFrame:
+def group_permutation(obs: DataFrame, contrasts: DataFrame, reps: int, seed: int = 1, shifts: DataFrame | None = None) -> DataFrame:
     """Labels of all groups permuted inside each feature; ``(rep, contrast, feature_id, p)`` of every test.
 
     A shuffled order of samples takes the group sizes in turn, keyed by (replicate, sample).
+    ``shifts`` (feature_id, grp, shift) are known effects added after the permutation.
     """
     groups = [r["grp"] for r in obs.select("grp").distinct().orderBy("grp").collect()]  # a handful of groups
     pairs = [(r["contrast"], r["grp_x"], r["grp_y"]) for r in contrasts.collect()]
     per = obs.groupBy("feature_id").agg(F.array_sort(F.collect_list(F.struct("grp", "sample_id", "value"))).alias("s")).select("feature_id", F.col("s.grp").alias("g"), F.col("s.value").alias("v"))
+    if shifts is None:
+        per = per.withColumn("shift", F.lit(None).cast("map<string,double>"))
+    else:
+        known = shifts.groupBy("feature_id").agg(F.map_from_entries(F.collect_list(F.struct("grp", F.col("shift").cast("double")))).alias("shift"))
+        per = per.join(known, "feature_id", "left")
 
     def walk(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rep = np.arange(1, reps + 1)
         for pdf in pdfs:
-            for f, g, v in zip(pdf.feature_id, pdf.g, pdf.v, strict=True):
+            for f, g, v, more in zip(pdf.feature_id, pdf.g, pdf["v"], pdf["shift"], strict=True):
                 v, g = np.asarray(v, float), np.asarray(g)
                 mixed = v[np.argsort(keyed(rep, np.arange(len(v)), seed), axis=1, kind="stable")]
+                if more is not None:
+                    more = dict(more)
+                    mixed = mixed + np.array([more.get(x, 0.0) for x in g])[None, :]
                 part = {}
                 for name in groups:
                     own = mixed[:, g == name]

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstat.operators import bayes, clean, cluster, correlate, factor, joins, multitest, regress, resample, sensitivity, stats, text
+from loamstat.operators import bayes, calibrate, clean, cluster, correlate, factor, joins, multitest, regress, resample, sensitivity, stats, text
 from loamstat.plans.mining import _counts
 from loamstat.plans.tables import event_observations, read
 from loamstat.plans.testing import _P_OF_T
@@ -557,3 +557,117 @@ def cluster_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = text.tfidf(_counts(spark, sf_dir))
     labels = read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("cluster"))
     return text.cluster_topics(weights, labels, 5, 6)
+
+
+@query()
+def null_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R8 with A15's averages."""
+    obs = event_observations(spark, sf_dir).withColumn("sample_id", F.col("value"))
+    results, _ = calibrate.null_calibration(obs, _event_pairs(spark), 10, lambda o: clean.variance_filter(o, 1.0), ("uncorrected", "bonferroni", "fdr_bh"), 30)
+    return stats.experiment_measures(results)
+
+
+@query()
+def spike_in_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the users get a shift in one group."""
+    obs = event_observations(spark, sf_dir).withColumn("sample_id", F.col("value"))
+    shifts = obs.where("feature_id % 5 = 0 and grp = 'click'").select("feature_id", "grp", F.lit(60.0).alias("shift")).distinct()
+    return stats.experiment_measures(calibrate.spike_in_calibration(obs, _event_pairs(spark), shifts, 10, ("bonferroni", "fdr_bh", "bky_2step")))
+
+
+@query("""WITH a AS (SELECT o_orderkey AS position, CAST(o_custkey AS VARCHAR) || '_' || CAST(o_orderkey AS VARCHAR) AS sample_id FROM orders WHERE o_orderstatus = 'F')
+SELECT sample_id, position, CAST(row_number() OVER (ORDER BY position) AS INTEGER) AS place FROM a""")
+def aligned_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """finished orders' columns against all columns."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("position"), F.concat_ws("_", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")).alias("sample_id"), "o_orderstatus")
+    return clean.align_samples(o.where("o_orderstatus = 'F'"), o)
+
+
+@query("""WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, ln(l_extendedprice) AS y, l_quantity AS q FROM lineitem), m AS (SELECT avg(y) AS my, stddev_samp(y) AS sy, avg(q) AS mq, stddev_samp(q) AS sq FROM t)
+SELECT round((y - my) / sy, 6) + 0 AS l_extendedprice, round((q - mq) / sq, 6) + 0 AS l_quantity FROM t, m""")
+def regression_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F22."""
+    out = clean.prepare_regression(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_quantity"), "l_extendedprice", ["l_orderkey"])
+    return out.select(*[(F.round(c, 6) + 0.0).alias(c) for c in ("l_extendedprice", "l_quantity")])
+
+
+@query()
+def randomized_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """how many values changed, per flag."""
+    line = read(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber")).withColumn("was", F.col("l_extendedprice"))
+    out = clean.randomize_column(line, "l_extendedprice", 0.2, "id")
+    return out.groupBy("l_returnflag").agg(F.avg((F.col("was") != F.col("l_extendedprice")).cast("double")).alias("changed"))
+
+
+@query("""WITH o AS (SELECT l_partkey AS feature_id, l_returnflag AS grp, log2(l_extendedprice) AS value, l_orderkey * 10 + l_linenumber AS id FROM lineitem WHERE l_returnflag IN ('A', 'R')),
+h AS (SELECT feature_id FROM o GROUP BY 1 HAVING avg(value) > 15), m AS (SELECT *, avg(value) FILTER (grp = 'A') OVER (PARTITION BY feature_id) AS ma, avg(value) FILTER (grp = 'R') OVER (PARTITION BY feature_id) AS mr FROM o)
+SELECT id, round(CASE WHEN feature_id IN (SELECT feature_id FROM h) THEN value - CASE grp WHEN 'A' THEN ma ELSE mr END + least(CASE grp WHEN 'A' THEN ma ELSE mr END, ma, mr) ELSE value END, 6) AS value FROM m""")
+def pair_effects_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F26."""
+    obs = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("feature_id"), F.col("l_returnflag").alias("grp"), F.log2("l_extendedprice").alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    tests = obs.where("grp in ('A', 'R')").groupBy("feature_id").agg((F.avg("value") > 15).alias("reject"))
+    return clean.remove_pair_effects(obs, tests, "A", "R").select("id", F.round("value", 6).alias("value"))
+
+
+@query("""SELECT l_partkey AS feature_id, round(avg(log2(l_extendedprice)) FILTER (l_returnflag = 'A') - avg(log2(l_extendedprice)) FILTER (l_returnflag = 'R'), 6) + 0 AS effect
+FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_returnflag = 'A') > 0 AND count(*) FILTER (l_returnflag = 'R') > 0""")
+def contrast_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8."""
+    obs = read(spark, sf_dir, "lineitem").where("l_returnflag in ('A', 'R')").select(F.col("l_partkey").alias("feature_id"), F.col("l_returnflag").alias("grp"), F.log2("l_extendedprice").alias("value"))
+    per = stats.describe_groups(obs)
+    both = per.groupBy("feature_id").count().where("count = 2").select("feature_id")
+    weights = spark.createDataFrame([("A-R", "A", 1.0), ("A-R", "R", -1.0)], "contrast string, grp string, weight double")
+    return stats.group_contrasts(clean.get_features(per, both), weights).select("feature_id", (F.round("effect", 6) + 0.0).alias("effect"))
+
+
+@query()
+def games_howell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 over event types, users together."""
+    per = stats.describe_groups(event_observations(spark, sf_dir).withColumn("feature_id", F.lit(0)))
+    groups = per.select("grp").distinct()
+    return stats.games_howell(stats.pairwise_contrasts(per, stats.contrast_table(groups)), 5).select("contrast", "diff", "se", "t", "dof", "p")
+
+
+@query()
+def robust_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4."""
+    beta = factor.irls(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice", 1.0, 5)
+    return spark.createDataFrame([(c, float(b)) for c, b in zip(["l_quantity", "l_discount"], beta, strict=True)], "variable string, beta double")
+
+
+@query()
+def sparse_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3."""
+    b = factor.sparse_pca(vectors(spark, sf_dir), F.col("v"), 2, 0.01, rounds=20)
+    return spark.createDataFrame([(i, float(r[0]), float(r[1])) for i, r in enumerate(b)], "dimension int, c1 double, c2 double")
+
+
+@query()
+def resampled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A28 (the sample's size is the feature)."""
+    line = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_discount") * 20).alias("lw"))
+    return bayes.importance_resample(line, "lw", 500, "id")
+
+
+@query()
+def fixed_factor_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E13 before E10."""
+    cols = ["l_quantity", "l_discount", "l_tax"]
+    a, b = (sensitivity.fix_factor(sensitivity.quantile_sample(_lines(spark, sf_dir), cols, 2000, "random", s), "l_tax", 0.04) for s in (1, 2))
+    return sensitivity.sobol_indices(a, b, cols, lambda x: x[0] + 100 * x[1] * x[2])
+
+
+@query()
+def mean_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A24 by draws."""
+    per = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("grp")).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")).withColumn("feature_id", F.lit(0))
+    pairs = stats.pairwise_contrasts(per, stats.contrast_table(per.select("grp")))
+    return bayes.mean_diff_posterior(pairs, "contrast", draws=4000)
+
+
+@query()
+def text_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best and mean agreement with the language over a grid of settings."""
+    docs = read(spark, sf_dir, "documents").where("lang is not null")
+    grid = [{"sublinear": s, "min_df": d, "n_max": n} for s in (True, False) for d in (5, 20) for n in (1,)]
+    return text.text_grid(docs, grid, "lang", 4, [1])
