@@ -28,6 +28,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+#: Rows of an Arrow batch of texts: Spark's default of 10,000 would hold tens
+#: of megabytes in the JVM and in every Python worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size where it is above BATCH_ROWS."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to a work table in the shared folder and read it back.
 
@@ -35,12 +48,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     read one computation.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{checkpoint_root(spark)}/work/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -91,46 +106,47 @@ BLOOM_BITS = 1 << 23
 _BLOOM_HASHES = 4
 
 
-def _bloom_places(keys: np.ndarray) -> np.ndarray:
+def _bloom_places(keys: np.ndarray, bits: int) -> np.ndarray:
     x = mix64(keys.astype(np.uint64))
     step = (x >> np.uint64(32)) | np.uint64(1)
     base = x & np.uint64(0xFFFFFFFF)
     k = np.arange(_BLOOM_HASHES, dtype=np.uint64)[:, None]
-    return ((base[None, :] + k * step[None, :]) % np.uint64(BLOOM_BITS)).astype(np.int64)
+    return ((base[None, :] + k * step[None, :]) % np.uint64(bits)).astype(np.int64)
 
 
-def bloom_build(keys: DataFrame) -> np.ndarray:
-    """One-column frame of longs -> fixed-size bit filter (BLOOM_BITS / 8 bytes).
+def bloom_build(keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
+    """One-column frame of longs -> fixed-size bit filter (``bits`` / 8 bytes).
 
-    Every task folds its keys into a bit array and emits only the distinct
-    set bits; Spark ORs them, so the driver gets at most the fixed size.
+    Every task folds its keys into a bit array and emits its used pieces;
+    Spark ORs them by piece, so the driver gets at most the fixed size.
     """
-    name = keys.columns[0]
+    piece = min(1 << 17, bits // 8)
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(BLOOM_BITS // 8, np.uint8)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(bits // 8, np.uint8)
         for b in batches:
             k = b.column(0).drop_null().to_numpy(zero_copy_only=False)
             if len(k):
-                p = _bloom_places(k.view(np.uint64) if k.dtype == np.int64 else k).ravel()
+                p = np.unique(_bloom_places(k.view(np.uint64), bits))
                 np.bitwise_or.at(seen, p >> 3, np.uint8(1) << (p & 7).astype(np.uint8))
-        words = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_pydict({"w": pa.array(words, pa.int32()), "b": pa.array(seen[words].astype(np.int32))})
-
-    got = (
-        keys.select(F.col(name).cast("long"))
-        .mapInArrow(bits, "w int, b int")
-        .groupBy("w")
-        .agg(F.bit_or("b").alias("b"))
-        .toPandas()
-    )
-    out = np.zeros(BLOOM_BITS // 8, np.uint8)
-    out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy().astype(np.uint8)
+        parts = seen.reshape(-1, piece)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], ["i", "bits"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(x.as_py(), np.uint8) for x in table.column("bits")]
+        return pa.table({"i": table.column("i").slice(0, 1), "bits": pa.array([np.bitwise_or.reduce(rows).tobytes()], pa.binary())})
+
+    schema = "i int, bits binary"
+    got = keys.select(F.col(keys.columns[0]).cast("long")).mapInArrow(fold, schema).groupBy("i").applyInArrow(merge, schema).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in got:
+        out[r["i"] * piece : (r["i"] + 1) * piece] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
 def bloom_has(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    p = _bloom_places(keys.view(np.uint64) if keys.dtype == np.int64 else keys)
+    p = _bloom_places(keys.view(np.uint64) if keys.dtype == np.int64 else keys, len(bloom) * 8)
     return ((bloom[p >> 3] >> (p & 7).astype(np.uint8)) & 1).all(axis=0)
 
 
@@ -183,6 +199,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 # --- connected components ---------------------------------------------------
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Count and order-free digest of an edge list."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 1_000_003)).first())
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an edge list ``(a long, b long)``: rows ``(node, comp)``.
 
@@ -195,6 +216,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc"
     )
+    mark = _mark(now)
     for _ in range(max_rounds):
         # large star: hang every larger neighbour on the smallest of the neighbourhood
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -211,9 +233,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         new = materialize(small, "cc")
-        changed = new.exceptAll(now).limit(1).count() + now.exceptAll(new).limit(1).count()
+        mark, before = _mark(new), mark
         now = new
-        if not changed:
+        if mark == before:
             break
     else:
         raise RuntimeError("components did not settle")

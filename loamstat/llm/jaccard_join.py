@@ -9,8 +9,8 @@ components.  The steps:
    copies, however many, cost one row each.
 2. *Coarse tokens.*  If two sets of at most U shingles link, they differ in
    at most ``d = floor(2U (den-num) / (den+num))`` shingles.  The hash space
-   is cut into ``d + 1`` parts; a linked pair must agree on all shingles of
-   one part at least.  The digest of a part is a coarse token.  U comes from
+   is cut into more than ``d`` parts; a linked pair must agree on all
+   shingles of one part at least.  The digest of a part is a coarse token.  U comes from
    size bands; a set near its band's upper edge also emits the tokens of the
    next band.  Agreement by chance needs a whole part to be equal, so words,
    lines or passages that many documents share make no hot token.
@@ -18,8 +18,9 @@ components.  The steps:
    signature met there as group label: similar documents fall together.
    A label with much text is dealt into several groups of bounded volume.
 4. *Token-group matrix.*  The union of coarse tokens of every group, one row
-   per (token, group).  A query set meets a foreign group only if their
-   coarse tokens overlap; each unordered pair of groups is met once.
+   per (token, group).  A query set meets a foreign group only if it shares as
+   many coarse tokens with the union as it would with a linked set; each
+   unordered pair of groups is met once.
 5. *Open.*  A task gets a group's members and a block of its queries, builds
    the union of the members' shingles and keeps a query only if its overlap
    with the union reaches ``num / den`` of its size - the most any member
@@ -38,10 +39,12 @@ id never becomes a component id unless its component has no other id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +55,13 @@ from loamstat.llm.wordhash import SPACED, Words, as_long, ngrams, words
 #: single set is larger): bounds a task's memory.
 GROUP_VOLUME = 400_000
 
+#: Bits of the filter of shared coarse tokens (4 MB); beyond its reach more
+#: tokens go to the exact join.
+SHARED_BITS = 1 << 25
+
+#: Shingles per range of the coarse-token count (about half as many tokens).
+RANGE_TOKENS = 2_000_000
+
 _PART = np.uint64(0x8CB92BA72F3D8DD7)
 _SIGN = np.uint64(0x2545F4914F6CDD1D)
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
@@ -95,21 +105,25 @@ def size_bands(num: int, den: int, upto: int) -> list[int]:
     return edges
 
 
-def coarse_tokens(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Digests of the parts of one set, for its band and perhaps the next."""
+def coarse_tokens(tokens: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """48-bit digests of the parts of one set, for its band and perhaps the next, and its need:
+    how many of them a set that links with it shares at least.
+
+    Digests that fall together by chance only make sets meet that then fail the exact comparison.
+    """
     n = len(tokens)
     if n == 0:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), 1
     edges = size_bands(num, den, n)
     band = int(np.searchsorted(edges, n))
     bands = [band] if n * den <= edges[band] * num else [band, band + 1]
-    out = []
+    out, need = [], n
     mixed = mix64(tokens ^ _PART)
     for b in bands:
         differ = 2 * edges[b] * (den - num) // (den + num)
         if differ == 0:
             continue  # such pairs link only when equal, and equal sets are one node
-        parts = differ + 1
+        parts = differ + 1 + differ // 16
         place = (mixed % np.uint64(parts)).astype(np.int64)
         total = np.zeros(parts, np.uint64)
         np.add.at(total, place, mix64(mixed))
@@ -117,14 +131,18 @@ def coarse_tokens(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
         name = mix64(np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b + 1))
         full = mix64(total + name)
         out.append(full[filled])
-        if not filled.all():
-            # an empty part says little: both sides must also agree on a part of a second division
+        most = (n + min(n * den // num, edges[b])) * (den - num) // (den + num)
+        # at most ``most`` of the filled parts can differ from a partner's
+        need = min(need, max(1, int(filled.sum()) - most))
+        if filled.sum() <= most:
+            # all filled parts may differ, so the agreement may be on a part that is empty on both
+            # sides (then both come here); it counts with a part of a second division
             again = mix64(mixed ^ _SECOND)
             second = np.zeros(parts, np.uint64)
             np.add.at(second, (again % np.uint64(parts)).astype(np.int64), mix64(again))
             for p in np.flatnonzero(~filled):
                 out.append(mix64(mix64(second + name) ^ ~full[p]))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+    return (np.unique(np.concatenate(out) >> np.uint64(16)), need) if out else (np.zeros(0, np.uint64), 1)
 
 
 def _ragged(rows: list[np.ndarray]) -> pa.Array:
@@ -134,25 +152,114 @@ def _ragged(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(as_long(flat)))
 
 
-def document_sets(docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> DataFrame:
-    """One row per document: id, row key, set size, signature, coarse tokens."""
+def document_sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """One row per document: ``id, rowkey, n, sig``: set size and signature (null without shingles)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in text_slices(batches, "text"):
             sets = shingle_sets(data, offs, n)
+            size = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), size, pa.array([signature(s) if len(s) else None for s in sets], pa.int64())], ["id", "rowkey", "n", "sig"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("rowkey"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(scan, "id long, rowkey long, n long, sig long")
+
+
+class OneEach(NamedTuple):
+    """Documents with one row standing for all rows of an equal set: those of ``docs`` whose key is
+    not in ``skip``, and the rows of ``rest``.  Both have ``(rowkey, text)``."""
+
+    docs: DataFrame
+    skip: Broadcast
+    rest: DataFrame
+
+    def scan(self, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        skip = self.skip
+
+        def sieved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def kept() -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    keep = ~bloom_has(skip.value, b.column(0).to_numpy(zero_copy_only=False))
+                    if keep.any():
+                        yield b.filter(pa.array(keep))
+
+            return run(kept())
+
+        return self.docs.mapInArrow(sieved, schema).unionByName(self.rest.mapInArrow(run, schema))
+
+
+def one_each(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> OneEach:
+    """Rows that a Bloom filter of the copies' keys holds back go through an exact join, once."""
+    several = sets.where("sig is not null").groupBy("sig").agg(F.min("rowkey").alias("stays"), F.max("rowkey").alias("last")).where("stays < last")
+    copies = materialize(sets.join(several, "sig").where("rowkey <> stays").select("rowkey").distinct(), "copies")
+    keyed = docs.select(row_key(id_col, text_col).alias("rowkey"), F.col(text_col).cast("string").alias("text"))
+    skip = docs.sparkSession.sparkContext.broadcast(bloom_build(copies))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = bloom_has(skip.value, b.column(0).to_numpy(zero_copy_only=False))
+            if keep.any():
+                yield b.filter(pa.array(keep))
+
+    rest = keyed.mapInArrow(held, "rowkey long, text string").join(copies, "rowkey", "left_anti")
+    return OneEach(keyed, skip, materialize(rest, "rest"))
+
+
+def document_coarse(docs: OneEach, n: int, num: int, den: int, bloom: np.ndarray) -> DataFrame:
+    """``(c, sig, need)``: the coarse tokens of every document that may be in a Bloom filter.
+
+    Documents with fewer such tokens than their need link with nothing and are left out.
+    """
+    shared = docs.docs.sparkSession.sparkContext.broadcast(bloom)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = shared.value
+        for _, data, offs in text_slices(batches, "text"):
+            sets = [s for s in shingle_sets(data, offs, n) if len(s)]
+            coarse, need = [], []
+            for s in sets:
+                c, least = coarse_tokens(s, num, den)
+                coarse.append(c)
+                need.append(least)
+            flat = np.concatenate(coarse) if coarse else np.zeros(0, np.uint64)
+            keep = bloom_has(have, flat) if len(flat) else np.zeros(0, bool)
+            cut = np.concatenate([[0], np.cumsum([len(c) for c in coarse])]).astype(np.int64)
+            coarse = [flat[a:b][keep[a:b]] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            used = [i for i, c in enumerate(coarse) if len(c) >= need[i]]
             yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    part.column(1),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([signature(s) if len(s) else None for s in sets], pa.int64()),
-                    _ragged([coarse_tokens(s, num, den) for s in sets]),
-                ],
-                ["id", "rowkey", "n", "sig", "coarse"],
+                [pa.array([signature(sets[i]) for i in used], pa.int64()), pa.array([need[i] for i in used], pa.int64()), _ragged([coarse[i] for i in used])], ["sig", "need", "coarse"]
             )
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("rowkey"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(scan, "id long, rowkey long, n long, sig long, coarse array<long>")
+    return docs.scan(scan, "sig long, need long, coarse array<long>").select(F.explode("coarse").alias("c"), "sig", "need")
+
+
+def shared_coarse(docs: OneEach, n: int, num: int, den: int, ranges: int) -> DataFrame:
+    """``(c)``: coarse tokens met more than once over all documents.
+
+    A scan task deals its tokens, six bytes each, into ``ranges`` equal ranges of the token space
+    (a power of two); one task per range counts them.  Tokens are digests, so ranges are even.
+    """
+    bits = ranges.bit_length() - 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offs in text_slices(batches, "text"):
+            tokens = [coarse_tokens(s, num, den)[0] for s in shingle_sets(data, offs, n)]
+            c = np.sort(np.concatenate(tokens)) if tokens else np.zeros(0, np.uint64)
+            place = (c >> np.uint64(48 - bits)).astype(np.int64)
+            cut = np.searchsorted(place, np.arange(ranges + 1))
+            six = c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            used = np.flatnonzero(np.diff(cut))
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([six[cut[p] : cut[p + 1]].tobytes() for p in used], pa.binary())], ["range", "tokens"])
+
+    def count(table: pa.Table) -> pa.Table:
+        raw = np.frombuffer(b"".join(x.as_py() for x in table.column("tokens")), np.uint8).reshape(-1, 6)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :6] = raw
+        c = np.sort(wide.view("<u8").ravel())
+        again = c[1:][c[1:] == c[:-1]]
+        return pa.table({"c": pa.array(np.unique(again).astype(np.int64))})
+
+    return docs.scan(deal, "range int, tokens binary").groupBy("range").applyInArrow(count, "c long")
 
 
 def _fetch_sets(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFrame) -> DataFrame:
@@ -264,7 +371,7 @@ def jaccard_components(
 
 def _labelled(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, group_volume: int) -> DataFrame:
     """``(id, rowkey, n, comp)`` of every row; ``comp`` is null without shingles."""
-    sets = materialize(document_sets(docs, id_col, text_col, n, num, den), "sets")
+    sets = materialize(document_sets(docs, id_col, text_col, n), "sets")
     comps = connected_components(similar_edges(docs, sets, n, num, den, id_col, text_col, group_volume))
     joined = sets.select("id", "rowkey", "n", "sig").join(comps.withColumnRenamed("node", "sig"), "sig", "left")
     return joined.select("id", "rowkey", "n", F.coalesce("comp", "sig").alias("comp"))
@@ -288,11 +395,23 @@ def deduplicate(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col
     return sure.unionByName(told.where("__stays is null").select(*docs.columns)).unionByName(once.select(*docs.columns))
 
 
+def _needed(tokens: DataFrame) -> DataFrame:
+    """Rows of the sets that still have as many shared tokens as they need."""
+    enough = tokens.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("need").alias("least")).where("k >= least").select("sig")
+    return tokens.join(enough, "sig", "left_semi")
+
+
 def similar_edges(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, group_volume: int) -> DataFrame:
     """Spanning-forest links ``(a, b)`` between signatures (steps 2-5)."""
-    exploded = sets.where("size(coarse) > 0").select("sig", F.explode("coarse").alias("c"))
-    shared = exploded.groupBy("c").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").select("c", "lo")
-    met = materialize(exploded.join(shared, "c").groupBy("c", "sig").agg(F.first("lo").alias("lo")), "met")
+    unique = one_each(docs, sets, id_col, text_col)
+    shingles = sets.agg(F.sum("n")).first()[0] or 0
+    ranges = 1 << max(4, int(shingles // RANGE_TOKENS).bit_length())
+    shared = materialize(shared_coarse(unique, n, num, den, ranges), "shared")
+    # few tokens are shared: a fixed-size filter keeps most others out of the exact join
+    some = document_coarse(unique, n, num, den, bloom_build(shared, SHARED_BITS))
+    pairs = materialize(_needed(some.join(shared, "c").select("c", "sig", "need").distinct()), "pairs")
+    ends = pairs.groupBy("c").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").select("c", "lo")
+    met = materialize(_needed(pairs.join(ends, "c")), "met")
 
     # groups of similar sets, of bounded volume
     sizes = sets.where("sig is not null").groupBy("sig").agg(F.min("n").alias("n"), F.min("rowkey").alias("rowkey"))
@@ -307,14 +426,16 @@ def similar_edges(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int,
     )
 
     # the token-group matrix, and the foreign groups each query meets there
-    placed = met.select("c", "sig").join(grouped.select("sig", "g", "weight"), "sig")
+    placed = met.select("c", "sig", "need").join(grouped.select("sig", "g", "weight"), "sig")
     matrix = placed.groupBy("c", "g").agg(F.max("weight").alias("weight"))
-    query = placed.select("c", F.col("sig"), F.col("g").alias("own"), F.col("weight").alias("own_weight"))
+    query = placed.select("c", "sig", "need", F.col("g").alias("own"), F.col("weight").alias("own_weight"))
     meets = (
         query.join(matrix, "c")
         .where("own <> g and (own_weight < weight or (own_weight = weight and own < g))")
+        .groupBy("sig", "g")
+        .agg(F.count(F.lit(1)).alias("overlap"), F.min("need").alias("need"))
+        .where("overlap >= need")
         .select("sig", "g")
-        .distinct()
         .join(grouped.select("sig", "n"), "sig")
     )
     load = meets.groupBy("g").agg(F.sum("n").alias("load"))
