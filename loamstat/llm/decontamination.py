@@ -208,7 +208,7 @@ def _match(terms: np.ndarray, doc: np.ndarray, shift: int, window: int) -> list[
 
 
 def contamination(
-    docs: DataFrame, items: DataFrame, window: int = 10, rare: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
+    docs: DataFrame, items: DataFrame, window: int = 10, rare: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
 ) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_hit, n_items, items, contaminated``.
 
@@ -229,7 +229,7 @@ def contamination(
 
 
 def drop_contaminated(
-    docs: DataFrame, items: DataFrame, window: int = 10, rare: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
+    docs: DataFrame, items: DataFrame, window: int = 10, rare: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
 ) -> DataFrame:
     """The rows, with all their columns, that hold no window of an item."""
     _, checked = _checked(docs, items, window, rare, id_col, text_col, item_col)
