@@ -107,27 +107,52 @@ def with_contexts(formatted: DataFrame) -> DataFrame:
     )
 
 
+def cuts(formatted: DataFrame) -> DataFrame:
+    """The transcripts cut at the headers of assistant turns: ``conv_id, cut_no, cut_at, rest``.
+
+    Cut 0 is what stands before the first header.  ``cut_at`` is where ``rest`` begins in the
+    transcript, so that of cut n is the length of the n-th example's context.
+    """
+    header = f"{OPEN}assistant\n"
+    pieces = formatted.select("conv_id", F.posexplode(F.split("transcript", header)).alias("cut_no", "rest"))
+    before = Window.partitionBy("conv_id").orderBy("cut_no").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length("rest") + len(header)).over(before), F.lit(0))
+    return pieces.select("conv_id", F.col("cut_no").cast("long").alias("cut_no"), at.cast("long").alias("cut_at"), "rest")
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """What the formatted output holds, read back and digested per conversation."""
-    turns = read_turns(formatted)
+    """What the formatted output holds, read back and digested per conversation.
+
+    The loss is that of the expanded ``examples``: each target is read back from the transcript
+    where its context ends.  A context that does not end there fails the query.
+    """
     whole = F.concat("role", F.lit("\n"), "text", F.lit("\n"))
-    target = F.when(F.col("role") == "assistant", F.struct("turn_no", unescape(F.col("body")).alias("s")))
-    glued = lambda name: F.array_join(F.transform(F.array_sort(name), lambda r: r["s"]), "")
-    return (
-        turns.groupBy("conv_id")
-        .agg(
-            F.count(F.lit(1)).alias("n_turns"),
-            F.collect_list(F.struct("turn_no", whole.alias("s"))).alias("turns"),
-            F.collect_list(target).alias("targets"),
-            F.max("chars").cast("long").alias("formatted_chars"),
-        )
-        .select("conv_id", "n_turns", glued("turns").alias("turns"), glued("targets").alias("loss"), "formatted_chars")
-        .select(
-            "conv_id",
-            "n_turns",
-            F.sha2("turns", 256).alias("turns_sha256"),
-            F.length("loss").cast("long").alias("loss_chars"),
-            F.sha2("loss", 256).alias("loss_sha256"),
-            "formatted_chars",
-        )
+    said = read_turns(formatted).select("conv_id", F.struct("turn_no", whole.alias("s")).alias("turn"))
+    expanded = examples(formatted).select("conv_id", F.struct("turn_no", "context_chars", "target").alias("example"))
+    found = cuts(formatted).select("conv_id", F.struct("cut_no", "cut_at", "rest").alias("cut"))
+    rows = said.unionByName(expanded, allowMissingColumns=True).unionByName(found, allowMissingColumns=True)
+    per = rows.groupBy("conv_id").agg(*[F.array_sort(F.collect_list(c)).alias(f"{c}s") for c in ("turn", "example", "cut")])
+    glued = lambda parts: F.array_join(parts, "")
+    read_back = F.zip_with(
+        "examples",
+        F.slice("cuts", F.lit(2), F.size("cuts")),
+        lambda e, c: F.when(
+            (e["context_chars"] == c["cut_at"]) & F.startswith(c["rest"], F.concat(e["target"], F.lit(CLOSE))),
+            unescape(F.substr(c["rest"], F.lit(1), F.length(e["target"]))),
+        ).otherwise(F.raise_error(F.lit("the context of an example does not end at its target")).cast("string")),
+    )
+    last = F.element_at("cuts", -1)
+    return per.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        glued(F.transform("turns", lambda r: r["s"])).alias("turns"),
+        glued(read_back).alias("loss"),
+        (last["cut_at"] + F.length(last["rest"])).alias("formatted_chars"),
+    ).select(
+        "conv_id",
+        "n_turns",
+        F.sha2("turns", 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
     )

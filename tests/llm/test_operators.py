@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loamstat.llm import chat_format, common, decontamination, jaccard_join, license_scan, media_chunks, mixing, quality, token_counts, toxicity, warc
 from loamstat.llm.wordhash import ALNUM, SPACED, ngrams, words
@@ -283,6 +284,28 @@ def test_chat_round_trip_and_examples(spark):
     assert got[2].loss_chars == 0 and got[2].loss_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_chat_digests_come_from_the_expanded_examples(spark, monkeypatch):
+    """The loss and the length are those of the examples; a context that misses its target fails."""
+    turns = spark.createDataFrame([*TURNS, (None, 0, "assistant", "### assistant\n"), (None, 1, "x", "### assistant\n"), (4, 0, "user", "")], "conv_id long, turn long, role string, text string")
+    formatted = chat_format.format_conversations(turns)
+    got = {r.conv_id: r for r in chat_format.digests(formatted).collect()}
+    whole = {r.conv_id: r.transcript for r in formatted.collect()}
+    assert {c: r.formatted_chars for c, r in got.items()} == {c: len(x) for c, x in whole.items()}
+    targets: dict = {c: "" for c in whole}
+    for r in sorted(chat_format.with_contexts(formatted).collect(), key=lambda r: r.turn_no):
+        assert whole[r.conv_id][: r.context_chars] == r.context
+        targets[r.conv_id] += r.target.replace("\\h", "### ").replace("\\e", "</turn>").replace("\\b", "\\")
+    assert {c: r.loss_sha256 for c, r in got.items()} == {c: hashlib.sha256(x.encode()).hexdigest() for c, x in targets.items()}
+    expand = chat_format.examples
+    for name, wrong in (("context_chars", "context_chars + 1"), ("target", "concat(target, 'x')")):
+        monkeypatch.setattr(chat_format, "examples", lambda f, name=name, wrong=wrong: expand(f).withColumn(name, F.expr(wrong)))
+        with pytest.raises(Exception, match="does not end at its target"):
+            chat_format.digests(formatted).collect()
+    monkeypatch.setattr(chat_format, "examples", lambda f: expand(f).where("turn_no <> 2"))
+    with pytest.raises(Exception, match="does not end at its target"):
+        chat_format.digests(formatted).collect()
+
+
 def test_warc_records_parse_back_and_link(spark):
     page = '<!doctype html><html lang="en"><head><meta charset="utf-8"><title>A &amp; B</title><style>p{}</style></head><body><p>One</p><!-- no --><div>Two &lt;3</div><a href="/x?a=1&amp;b=2">l</a><script>var t="</p>";</script></body></html>'
     rows = warc.derivatives(spark.createDataFrame([(1, "http://e/1", page)], "page_id long, url string, html string"), responses=True).toPandas().set_index("record_type")
