@@ -257,14 +257,22 @@ _PAIRS = r"""pr AS (
 )"""
 
 
-def _sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(pair_id, s, t)``: the whole texts of consecutive turns."""
     c = read(spark, sf_dir, "conversations")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("t"))
-    first = lambda col: F.substring_index(col, ".", 1)
-    raw = c.join(nxt, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), first("text").alias("s"), first("t").alias("t"))
+    return c.join(nxt, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.col("text").alias("s"), "t")
+
+
+def _normalized(raw: DataFrame) -> DataFrame:
     return raw.select("pair_id", pairs.normalize_sentence(F.col("s")).alias("src"), pairs.normalize_sentence(F.col("t")).alias("tgt"))
 
 
+def _sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = lambda col: F.substring_index(col, ".", 1)
+    return _normalized(_turn_pairs(spark, sf_dir).select("pair_id", first("s").alias("s"), first("t").alias("t")))
+
+
 @query(f"WITH {_PAIRS} SELECT * FROM norm")
 def normalized_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First sentences of consecutive turns."""
@@ -304,8 +312,8 @@ def decoded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """N14."""
-    p = _sentence_pairs(spark, sf_dir)
+    """N14 over the whole texts of consecutive turns."""
+    p = _normalized(_turn_pairs(spark, sf_dir))
     both = pairs.encode(p, pairs.build_vocab(p, "src"), "src").withColumnRenamed("ids", "src_ids").join(pairs.encode(p, pairs.build_vocab(p, "tgt"), "tgt").withColumnRenamed("ids", "tgt_ids"), "pair_id")
     return pairs.pad_batches(both)
 

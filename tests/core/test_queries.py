@@ -35,3 +35,12 @@ def test_query_equals_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL) - SLOW))
 def test_query_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).schema
+
+
+def test_padded_batches_hold_whole_turns(spark, db):
+    """Every word of both turns is in its batch, not those of the first sentence only."""
+    word = "len(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(trim(strip_accents({}))), '([.!?])', ' \\1', 'g'), '[^a-zA-Z.!?]+', ' ', 'g')), ' '), lambda w: w <> ''))"
+    sql = f"SELECT a.conv_id * 1000 + a.turn AS pair_id, {word.format('a.text')} AS n, {word.format('b.text')} AS m FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1"
+    got = registry.QUERIES["padded_batches"](spark, SF).toPandas()
+    real = sorted((r.pair_id, sum(i >= 2 for i in r.src_padded), sum(i >= 2 for i in r.tgt_padded)) for r in got.itertuples())
+    assert real == sorted(db.sql(sql).fetchall())
