@@ -110,24 +110,54 @@ def kmeans_repeats(df: DataFrame, k: int, seeds: list[int], truth: str, n_iter:
 
 
 def buckshot_init(df: DataFrame, k: int, seed: int = 1, key: str = "vec_id", sample: int | None = None) -> list[tuple[int, list[float]]]:
-    """sqrt(k N) keyed rows (at most 2000), average-linkage groups of them, one member per group as centre."""
-    n = min(sample or int(np.sqrt(k * df.count())), 2000)
-    rows = first_centres(df, max(n, k), key, seed)
+    """sqrt(k N) keyed rows, average-linkage groups of them, one member per group as centre.
+
+    The groups are made on the driver, by chains of nearest neighbours: time and memory grow with
+    the square of the sample, k N distances of eight bytes.
+    """
+    rows = first_centres(df, max(sample or int(np.sqrt(k * df.count())), k), key, seed)
     x = np.array([c for _, c in rows])
-    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * x @ x.T, 0))
+    groups = average_groups(x, k)
+    return [(i, list(x[np.flatnonzero(groups == g)[0]])) for i, g in enumerate(np.unique(groups))]
+
+
+def average_groups(x: np.ndarray, k: int) -> np.ndarray:
+    """Average-linkage groups of the rows, cut at k; a group is named by its first row."""
+    n = len(x)
+    square = (x * x).sum(1)
+    d = x @ x.T
+    d *= -2
+    d += square[:, None]
+    d += square[None, :]
+    np.sqrt(np.maximum(d, 0, out=d), out=d)
     np.fill_diagonal(d, np.inf)
-    size, owner = np.ones(len(x)), np.arange(len(x))
-    alive = len(x)
-    while alive > k:
-        u, v = sorted(divmod(int(np.argmin(d)), len(x)))
+    size, alive = np.ones(n), np.ones(n, bool)
+    merges: list[tuple[float, int, int]] = []
+    chain: list[int] = []
+    while len(merges) < n - 1:
+        if not chain:
+            chain = [int(np.argmax(alive))]
+        u = chain[-1]
+        v = int(np.argmin(d[u]))
+        if len(chain) > 1 and d[u, chain[-2]] <= d[u, v]:
+            v = chain[-2]
+        if len(chain) < 2 or v != chain[-2]:
+            chain.append(v)
+            continue
+        del chain[-2:]
+        u, v = sorted((u, v))
+        merges.append((float(d[u, v]), u, v))
         merged = (d[u] * size[u] + d[v] * size[v]) / (size[u] + size[v])
         merged[[u, v]] = np.inf
         d[u, :] = d[:, u] = merged
         d[v, :] = d[:, v] = np.inf
         size[u] += size[v]
-        owner[owner == v] = u
-        alive -= 1
-    return [(i, list(x[np.flatnonzero(owner == g)[0]])) for i, g in enumerate(np.unique(owner))]
+        alive[v] = False
+    # heights never fall towards the root, so the lowest merges are those of the cut
+    owner = np.arange(n)
+    for _, u, v in sorted(merges, key=lambda m: m[0])[: max(n - k, 0)]:
+        owner[owner == owner[v]] = owner[u]
+    return owner
 
 
 def noisy_vq(df: DataFrame, k: int, delta: float, repeat: int, key: str = "vec_id", seed: int = 1) -> DataFrame:

@@ -269,3 +269,30 @@ def test_sources_round_trip(spark, tmp_path):
     (tmp_path / "p.txt").write_text("go\tva\nbroken line\nhi\tsalut\n")
     assert [(r.src, r.tgt) for r in tables.read_pairs(spark, str(tmp_path / "p.txt")).collect()] == [("va", "go"), ("salut", "hi")]
     assert tables.read_tagged(spark, [str(tmp_path / "m.csv")], "a string, b string", header=False).select("source").distinct().count() == 1
+
+
+def test_buckshot_takes_the_square_root_sample_at_every_size(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(90, 3))
+    d0 = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    groups = [[i] for i in range(90)]
+    while len(groups) > 7:
+        gaps = {(a, b): d0[np.ix_(groups[a], groups[b])].mean() for a in range(len(groups)) for b in range(a)}
+        a, b = min(gaps, key=gaps.get)
+        groups[b] += groups.pop(a)
+    got = cluster.average_groups(x, 7)
+    assert {frozenset(np.flatnonzero(got == g)) for g in np.unique(got)} == set(map(frozenset, groups))
+    asked = []
+    monkeypatch.setattr(cluster, "first_centres", lambda df, n, key, seed: asked.append(n) or [(i, [float(i)]) for i in range(20)])
+    cluster.buckshot_init(spark.range(600_000), 8)
+    assert asked == [int(np.sqrt(8 * 600_000))]
+
+
+def test_nonnegative_factors_take_every_customer(spark, monkeypatch):
+    from loamstat.plans import models
+
+    seen = []
+    monkeypatch.setattr(models.factor, "nmf", lambda cells, rank, n_iter: (seen.append(cells), None, [0.0]))
+    models.nonnegative_factors(spark, "/root/testdata/sf0.001")
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    assert seen[0].select("i").distinct().count() == orders.select("o_custkey").distinct().count() > 50
