@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loamstat.functions.special import norm_ppf, t_p_col
 from loamstat.functions.work import materialize
+from loamstat.operators.factor import covariance
 
 #: Features of one block: a task multiplies two blocks.
 BLOCK = 1000
@@ -53,9 +54,27 @@ def pearson_edges(packed: DataFrame, min_abs: float = 0.0, key: str = "feature_i
     return placed.groupBy("bi", "bj").applyInPandas(multiply, "i long, j long, r double")
 
 
+def column_correlations(vectors: DataFrame, v: str = "v") -> np.ndarray:
+    """Correlations of the columns of an array column, from cross-products that partitions add up; constant columns have 0."""
+    q = covariance(vectors, F.col(v))[2]
+    sd = np.sqrt(np.clip(np.diag(q), 0, None))
+    unit = np.divide(1.0, sd, out=np.zeros_like(sd), where=sd > 1e-12)
+    return np.clip(q * unit[:, None] * unit[None, :], -1, 1)
+
+
+def column_edges(vectors: DataFrame, v: str = "v") -> DataFrame:
+    """``pearson_edges`` of the columns of an array column, numbered from 0."""
+    r = column_correlations(vectors, v)
+    return vectors.sparkSession.createDataFrame([(int(i), int(j), float(r[i, j])) for i, j in zip(*np.triu_indices(len(r), 1), strict=True)], "i long, j long, r double")
+
+
 def correlation_tests(packed: DataFrame, n: int, key: str = "feature_id") -> DataFrame:
     """Every pair's correlation, t and p (n - 2 degrees of freedom); correct with ``multitest.adjust``."""
-    edges = pearson_edges(packed, key=key)
+    return edge_tests(pearson_edges(packed, key=key), n)
+
+
+def edge_tests(edges: DataFrame, n: int) -> DataFrame:
+    """A9 of edges ``(i, j, r)`` over n samples."""
     t = F.when(F.abs("r") < 1, F.col("r") * F.sqrt((n - 2) / (1 - F.col("r") ** 2)))
     return edges.withColumn("t", t).withColumn("p", F.when(F.abs("r") >= 1, F.lit(0.0)).otherwise(t_p_col(F.col("t"), F.lit(float(n - 2)))))
 
@@ -193,7 +212,12 @@ def n_eff_spectral(packed: DataFrame, method: str = "nyholt", factor: float = 1.
     m = int(got.rows.sum())
     g = np.sum(np.stack(got.g.to_numpy()), axis=0)
     g = g.reshape(int(np.sqrt(len(g))), -1)
-    lam = np.clip(np.linalg.eigvalsh(g), 0, None)
+    return n_eff_of(np.linalg.eigvalsh(g), m, method, factor)
+
+
+def n_eff_of(lam: np.ndarray, m: int, method: str = "nyholt", factor: float = 1.0) -> int:
+    """M7 from the eigenvalues (zeros may be left out) of the correlations of m features."""
+    lam = np.clip(lam, 0, None)
     if method == "nyholt":
         out = 1 + (m - 1) * (1 - ((lam**2).sum() - lam.sum() ** 2 / m) / (m - 1) / m)
     elif method == "cheverud":

@@ -15,8 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamstat.functions.ordered import cumulative_count
+from loamstat.functions.ordered import cumulative_count, global_rank
 from loamstat.functions.special import t_two_sided
+from loamstat.functions.work import materialize
+from loamstat.operators.factor import covariance
 
 MOD = 2_147_483_647
 
@@ -38,10 +40,13 @@ def shuffled_x(reps: np.ndarray, samples: np.ndarray, n_x: int, seed: int) -> np
 
 def block_t(x: np.ndarray, ind: np.ndarray, equal_var: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """t and degrees of freedom for all (replicate, feature) of a block, by matrix products."""
-    n, nx = x.shape[1], ind.sum(axis=1, keepdims=True)
+    return sums_t(ind @ x.T, ind @ (x * x).T, x.sum(1), (x * x).sum(1), x.shape[1], ind.sum(axis=1, keepdims=True), equal_var)
+
+
+def sums_t(sx: np.ndarray, qx: np.ndarray, s: np.ndarray, q: np.ndarray, n: float, nx: np.ndarray | float, equal_var: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """t and degrees of freedom from the sums and squares of group X (replicates x features) and of all samples (features)."""
     ny = n - nx
-    sx, qx = ind @ x.T, ind @ (x * x).T
-    sy, qy = x.sum(1)[None, :] - sx, (x * x).sum(1)[None, :] - qx
+    sy, qy = s[None, :] - sx, q[None, :] - qx
     vx, vy = np.maximum(qx - sx * sx / nx, 0) / (nx - 1), np.maximum(qy - sy * sy / ny, 0) / (ny - 1)
     if equal_var:
         dof = np.broadcast_to(n - 2.0, sx.shape)
@@ -86,21 +91,94 @@ def permutation_extremes(packed: DataFrame, n_x: int, reps: int, seed: int = 1,
     return part.groupBy("rep").agg(F.min("min_p").alias("min_p"), F.max("max_t").alias("max_t"))
 
 
+def _added(df: DataFrame, step, shapes: list[tuple[int, ...]], dtype: type) -> list[np.ndarray]:  # noqa: ANN001
+    """Arrays that ``step(pos, x)`` yields for a batch of rows, added within every partition and then over all."""
+
+    def partial(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in pdfs:
+            for at in range(0, len(pdf), 1000):
+                few = pdf.iloc[at : at + 1000]
+                got = step(few.pos.to_numpy(), np.stack(few.v.to_numpy()).astype(float))
+                total = got if total is None else [a + b for a, b in zip(total, got, strict=True)]
+        if total is not None:
+            yield pd.DataFrame({"part": range(len(total)), "raw": [a.astype(dtype).tobytes() for a in total]})
+
+    out = [np.zeros(shape, dtype) for shape in shapes]
+    for r in df.select("pos", "v").mapInPandas(partial, "part int, raw binary").toLocalIterator():
+        out[r["part"]] += np.frombuffer(bytes(r["raw"]), dtype).reshape(shapes[r["part"]])
+    return out
+
+
+def row_permutation_extremes(vectors: DataFrame, n_x: int, reps: int, seed: int = 1, equal_var: bool = False, independent: bool = False, key: str = "vec_id", rep_block: int = 200) -> DataFrame:
+    """``permutation_extremes`` of the columns of ``(key, v array)``, with rows as samples in the order of ``key``.
+
+    A replicate's keys differ (they are a bijection of the row's rank modulo a prime), so its group
+    X is the rows with keys up to the n_x-th smallest.  That key is found by four rounds of counts,
+    eight bits each, that partitions add up; then the group's sums are added up the same way.  No
+    task holds more than its rows, and the driver sees replicates x columns only.
+    """
+    rows = materialize(global_rank(vectors.select(key, "v"), [F.col(key), F.col("v")], "pos").select((F.col("pos") - 1).alias("pos"), "v"), "rows")
+    n, mean, _ = covariance(rows, F.col("v"))
+    m, rep = len(mean), np.arange(1, reps + 1)
+    seeds = [seed + f * 7919 for f in range(m)] if independent else [seed]
+    blocks = [slice(a, min(a + rep_block, reps)) for a in range(0, reps, rep_block)]
+    edge = np.zeros((len(seeds), reps), np.int64)  # bits found of the n_x-th smallest key
+    left = np.full((len(seeds), reps), n_x)  # its rank among the keys with these bits
+    for shift in (24, 16, 8, 0):
+
+        def count(pos: np.ndarray, _x: np.ndarray, shift: int = shift, edge: np.ndarray = edge) -> list[np.ndarray]:
+            out = np.zeros((len(seeds), reps, 256), np.int64)
+            for i, own in enumerate(seeds):
+                for b in blocks:
+                    k = keyed(rep[b], pos, own)
+                    at, col = np.nonzero(k >> (shift + 8) == edge[i, b][:, None])
+                    slots = at * 256 + ((k[at, col] >> shift) & 255)
+                    out[i, b] = np.bincount(slots, minlength=(b.stop - b.start) * 256).reshape(-1, 256)
+            return [out]
+
+        up = np.cumsum(_added(rows, count, [(len(seeds), reps, 256)], np.int64)[0], axis=2)
+        digit = (up < left[:, :, None]).sum(axis=2)
+        left = left - np.where(digit > 0, np.take_along_axis(up, np.maximum(digit - 1, 0)[:, :, None], 2)[:, :, 0], 0)
+        edge = edge * 256 + digit
+
+    def add(pos: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+        x = x - mean
+        sx, qx = np.zeros((reps, m)), np.zeros((reps, m))
+        for i, own in enumerate(seeds):
+            side = slice(i, i + 1) if independent else slice(None)
+            for b in blocks:
+                ind = (keyed(rep[b], pos, own) <= edge[i, b][:, None]).astype(float)
+                sx[b, side], qx[b, side] = ind @ x[:, side], ind @ (x[:, side] ** 2)
+        return [sx, qx, x.sum(0), (x * x).sum(0)]
+
+    t, dof = sums_t(*_added(rows, add, [(reps, m), (reps, m), (m,), (m,)], np.float64), n, float(n_x), equal_var)
+    low, top = t_two_sided(t, dof).min(axis=1), np.abs(t).max(axis=1)
+    return vectors.sparkSession.createDataFrame([(int(r), float(a), float(b)) for r, a, b in zip(rep, low, top, strict=True)], "rep long, min_p double, max_t double")
+
+
 def mwsl(packed: DataFrame, n_x: int, alpha: float = 0.05, reps: int = 1000, seed: int = 1, independent: bool = False) -> DataFrame:
     """Metabolome-wide significance level: the ``int(alpha * K)``-th (0-based) smallest minimum p,
     its 95 % order-statistic interval, ENT = alpha / level and R = ENT / M."""
-    ext = permutation_extremes(packed, n_x, reps, seed, independent=independent)
+    return level_of(permutation_extremes(packed, n_x, reps, seed, independent=independent), packed.count(), alpha, reps)
+
+
+def level_of(ext: DataFrame, m: int, alpha: float, reps: int) -> DataFrame:
+    """R1, R2 from the extremes of ``reps`` replicates over m features."""
     ranked = ext.withColumn("k", F.row_number().over(Window.orderBy("min_p", "rep")) - 1)  # one row per replicate
     spread = 1.96 * np.sqrt(reps * alpha * (1 - alpha))
     at = [int(alpha * reps), max(0, int(alpha * reps - spread)), min(reps - 1, int(alpha * reps + spread))]
     pick = ranked.agg(*[F.max(F.when(F.col("k") == k, F.col("min_p"))).alias(n) for k, n in zip(at, ("mwsl", "lo", "hi"), strict=True)])
-    m = packed.count()
     return pick.withColumns({"ent": alpha / F.col("mwsl"), "r": alpha / F.col("mwsl") / m})
 
 
 def westfall_young(packed: DataFrame, n_x: int, reps: int, alpha: float = 0.05, seed: int = 1, equal_var: bool = True) -> DataFrame:
     """Thresholds for the minimum p and the maximum |t|: the ``int(alpha * n)``-th of the sorted extremes."""
-    ext = permutation_extremes(packed, n_x, reps, seed, equal_var)
+    return thresholds_of(permutation_extremes(packed, n_x, reps, seed, equal_var), alpha, reps)
+
+
+def thresholds_of(ext: DataFrame, alpha: float, reps: int) -> DataFrame:
+    """R3 from the extremes of ``reps`` replicates."""
     both = ext.withColumns({"kp": F.row_number().over(Window.orderBy("min_p", "rep")) - 1, "kt": F.row_number().over(Window.orderBy(F.col("max_t").desc(), "rep")) - 1})
     k = int(alpha * reps)
     return both.agg(F.max(F.when(F.col("kp") == k, F.col("min_p"))).alias("p_threshold"), F.max(F.when(F.col("kt") == k, F.col("max_t"))).alias("t_threshold"))

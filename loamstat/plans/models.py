@@ -46,9 +46,8 @@ tt AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, CAST(n - 2 AS DOUBLE) AS
 SELECT i, j, round(r, 8) + 0 AS r, round(p, 6) AS p, round(least(1, min(p * m * c / rk) OVER (ORDER BY rk DESC)), 6) AS p_fdr_by FROM k, h""")
 def correlation_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9."""
-    packed = dimensions(spark, sf_dir)
     n = read(spark, sf_dir, "embeddings").count()
-    out = multitest.adjust(correlate.correlation_tests(packed, n), "fdr_by")
+    out = multitest.adjust(correlate.edge_tests(correlate.column_edges(vectors(spark, sf_dir)), n), "fdr_by")
     return out.select("i", "j", (F.round("r", 8) + 0.0).alias("r"), F.round("p", 6).alias("p"), F.round("p_fdr_by", 6).alias("p_fdr_by"))
 
 
@@ -56,7 +55,7 @@ def correlation_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def correlation_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10."""
     n = read(spark, sf_dir, "embeddings").count()
-    out = correlate.correlation_ci(correlate.pearson_edges(dimensions(spark, sf_dir)), n)
+    out = correlate.correlation_ci(correlate.column_edges(vectors(spark, sf_dir)), n)
     return out.select("i", "j", (F.round("lo", 6) + 0.0).alias("lo"), (F.round("hi", 6) + 0.0).alias("hi"))
 
 
@@ -96,9 +95,10 @@ def negative_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def effective_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7, M8: every formula over the 64 dimensions."""
-    packed = dimensions(spark, sf_dir)
-    rows = [(m, correlate.n_eff_spectral(packed, m)) for m in ("nyholt", "cheverud", "bretherton", "galwey", "li_ji")]
-    by_cluster = correlate.n_eff_cluster(correlate.correlation_distance(packed, 0.1), 64, 0.9).first()["m_eff"]
+    v = vectors(spark, sf_dir)
+    lam = np.linalg.eigvalsh(correlate.column_correlations(v))
+    rows = [(m, correlate.n_eff_of(lam, 64, m)) for m in ("nyholt", "cheverud", "bretherton", "galwey", "li_ji")]
+    by_cluster = correlate.n_eff_cluster(correlate.column_edges(v).where("r >= 0.1").select("i", "j", (1 - F.col("r")).alias("distance")), 64, 0.9).first()["m_eff"]
     return spark.createDataFrame([*rows, ("clusters", by_cluster)], "method string, m_eff long")
 
 
@@ -117,7 +117,7 @@ _PERM = f"""{_DIMS}, s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) -
 def permutation_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minimum p and maximum |t| per replicate (the keys are portable, so SQL repeats them)."""
     n = read(spark, sf_dir, "embeddings").count()
-    out = resample.permutation_extremes(dimensions(spark, sf_dir), n // 2, _REPS)
+    out = resample.row_permutation_extremes(vectors(spark, sf_dir), n // 2, _REPS)
     return out.select("rep", F.round("min_p", 6).alias("min_p"), F.round("max_t", 6).alias("max_t"))
 
 
@@ -125,21 +125,21 @@ def permutation_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def significance_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level, order-statistic interval, effective number of tests."""
     n = read(spark, sf_dir, "embeddings").count()
-    return resample.mwsl(dimensions(spark, sf_dir), n // 2, 0.05, 2000)
+    return resample.level_of(resample.row_permutation_extremes(vectors(spark, sf_dir), n // 2, 2000), 64, 0.05, 2000)
 
 
 @query()
 def significance_level_independent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2."""
     n = read(spark, sf_dir, "embeddings").count()
-    return resample.mwsl(dimensions(spark, sf_dir), n // 2, 0.05, 300, independent=True)
+    return resample.level_of(resample.row_permutation_extremes(vectors(spark, sf_dir), n // 2, 300, independent=True), 64, 0.05, 300)
 
 
 @query()
 def westfall_young(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R3 thresholds."""
     n = read(spark, sf_dir, "embeddings").count()
-    return resample.westfall_young(dimensions(spark, sf_dir), n // 2, 1000)
+    return resample.thresholds_of(resample.row_permutation_extremes(vectors(spark, sf_dir), n // 2, 1000, equal_var=True), 0.05, 1000)
 
 
 @query("""WITH s AS (SELECT event_type AS k, abs(value - 50) AS t FROM events), q AS (SELECT user_id AS k, abs(avg(value) - 50) AS t FROM events GROUP BY 1)

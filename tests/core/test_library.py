@@ -296,3 +296,25 @@ def test_nonnegative_factors_take_every_customer(spark, monkeypatch):
     models.nonnegative_factors(spark, "/root/testdata/sf0.001")
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     assert seen[0].select("i").distinct().count() == orders.select("o_custkey").distinct().count() > 50
+
+
+@pytest.mark.parametrize("independent", [False, True])
+def test_row_permutations_equal_packed_ones(spark, independent):
+    """Rows in any order and partitioning give the extremes of the packed columns."""
+    x = np.random.default_rng(22).normal(size=(3, 211)) + 5
+    packed = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "feature_id long, v array<double>")
+    rows = spark.createDataFrame([(i * 3 - 100, c.tolist()) for i, c in enumerate(x.T)], "vec_id long, v array<double>").repartition(7)
+    want = resample.permutation_extremes(packed, 105, 40, independent=independent).toPandas().sort_values("rep")
+    got = resample.row_permutation_extremes(rows, 105, 40, independent=independent, rep_block=9).toPandas().sort_values("rep")
+    assert got.rep.tolist() == want.rep.tolist() and np.allclose(got.min_p, want.min_p) and np.allclose(got.max_t, want.max_t)
+    edges = {(r.i, r.j): r.r for r in correlate.column_edges(rows).collect()}
+    assert all(np.isclose(edges[r.i, r.j], r.r) for r in correlate.pearson_edges(packed).collect()) and len(edges) == 3
+
+
+def test_column_queries_pack_no_samples(spark, monkeypatch):
+    """No query over the dimensions puts all vectors into one row."""
+    from loamstat.plans import models
+
+    monkeypatch.setattr(models, "dimensions", None)
+    for name in ("correlation_tests", "correlation_intervals", "effective_tests", "permutation_extremes", "significance_level", "significance_level_independent", "westfall_young"):
+        assert models.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
