@@ -8,7 +8,9 @@ Every response record yields two derived records that point back to it:
 
 ``WARC-Refers-To`` holds the response's record id, the target URI and date are
 carried over, and source headers and digests are preserved both as fields and
-as a map column.  Record ids are name-based UUIDs of type, id and URI and
+as a map column.  They come from the optional columns of ``SOURCE``; where such a
+column is absent or null, a date, a plain HTTP head, a record id and digests are
+made up from the page (the given pages table has none of them).  Record ids are name-based UUIDs of type, id and URI and
 digest, so a rebuilt derivative has the same ids.  All of it is a map over
 the responses: no shuffle.
 
@@ -83,6 +85,10 @@ def parse(record: bytes) -> tuple[list[tuple[str, str]], bytes]:
     return headers, block
 
 
+#: Optional columns of the source response: its WARC record id and date, its HTTP head as received
+#: (status line and headers) and its digests.
+SOURCE = ("warc_record_id", "warc_date", "http_head", "payload_digest", "block_digest")
+
 _SCHEMA = pa.schema(
     [
         ("page_id", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()),
@@ -100,16 +106,20 @@ def _line(x: str) -> str:
     return x.replace("\r", " ").replace("\n", " ")
 
 
-def response_block(page: str) -> bytes:
+def response_block(page: str, head: str | None = None) -> bytes:
+    """The HTTP response: with the head as received, or one that is made up."""
     body = page.encode()
+    if head is not None:
+        return "\r\n".join(head.strip("\r\n").splitlines()).encode() + b"\r\n\r\n" + body
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
 
 
-def _build(page_id: int | None, url: str | None, page: str, date: str, responses: bool) -> Iterator[dict]:
-    block = response_block(page)
-    payload = sha256_label(block.partition(b"\r\n\r\n")[2])
-    http = [tuple(x.split(": ", 1)) for x in block.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:]]
-    source = record_id("response", str(page_id), url or "", payload)
+def _build(page_id: int | None, url: str | None, page: str, date: str, responses: bool, given: dict) -> Iterator[dict]:
+    block = response_block(page, given.get("http_head"))
+    date = given.get("warc_date") or date
+    payload = given.get("payload_digest") or sha256_label(block.partition(b"\r\n\r\n")[2])
+    http = [(k, v.strip()) for k, _, v in (x.partition(":") for x in block.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:])]
+    source = given.get("warc_record_id") or record_id("response", str(page_id), url or "", payload)
     uri = [("WARC-Target-URI", _line(url))] if url else []
 
     def made(kind: str, content_type: str, data: bytes, refers: str | None, of_payload: str | None) -> dict:
@@ -126,7 +136,7 @@ def _build(page_id: int | None, url: str | None, page: str, date: str, responses
 
     if responses:
         yield made("response", "application/http; msgtype=response", block, None, payload)
-    fields = [*page_fields(page), ("source-record-id", source), ("source-payload-digest", payload), ("source-block-digest", sha256_label(block))]
+    fields = [*page_fields(page), ("source-record-id", source), ("source-payload-digest", payload), ("source-block-digest", given.get("block_digest") or sha256_label(block))]
     fields += [(f"source-header-{k.lower()}", v) for k, v in http]
     yield made("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields).encode(), source, None)
     yield made("conversion", "text/plain; charset=utf-8", plain_text(page).encode(), source, None)
@@ -136,14 +146,16 @@ def derivatives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", responses:
     """Metadata and conversion records (and, if asked for, the responses) of every page.
 
     ``record`` holds the serialised record, ``payload_digest`` the digest of
-    the response's payload, ``source_headers`` its HTTP headers.
+    the response's payload, ``source_headers`` its HTTP headers.  Columns of
+    ``SOURCE`` are carried through; ``date`` and the rest stand in where they are absent.
     """
+    carried = [c for c in SOURCE if c in pages.columns]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 128):
-                rows = [r for x in b.slice(at, 128).to_pylist() for r in _build(x["page_id"], x["url"], x["html"] or "", date, responses)]
+                rows = [r for x in b.slice(at, 128).to_pylist() for r in _build(x["page_id"], x["url"], x["html"] or "", date, responses, {c: x[c] for c in carried})]
                 yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
-    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), *[F.col(c).cast("string").alias(c) for c in carried])
     return source.mapInArrow(build, _DDL)

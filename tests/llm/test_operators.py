@@ -306,6 +306,22 @@ def test_chat_digests_come_from_the_expanded_examples(spark, monkeypatch):
         chat_format.digests(formatted).collect()
 
 
+def test_warc_derivatives_carry_the_source_through(spark):
+    head = "HTTP/1.1 203 Fine\r\nServer: x:1\r\nEtag:none"
+    given = (1, "http://e/1", "<p>One</p>", "<urn:uuid:a>", "2020-02-02T02:02:02Z", head, "sha1:P", "sha1:B")
+    pages = spark.createDataFrame([given, (2, "http://e/2", "", None, None, None, None, None)], "page_id long, url string, html string, " + ", ".join(f"{c} string" for c in warc.SOURCE))
+    out = warc.derivatives(pages, responses=True).toPandas().set_index(["page_id", "record_type"])
+    for kind in ("metadata", "conversion"):
+        by = dict(warc.parse(out.record[1, kind])[0])
+        assert by["WARC-Refers-To"] == "<urn:uuid:a>" and by["WARC-Date"] == "2020-02-02T02:02:02Z"
+        assert out.source_headers[1, kind] == "Server: x:1\nEtag: none" and out.payload_digest[1, kind] == "sha1:P"
+    fields = warc.parse(out.record[1, "metadata"])[1].decode()
+    assert all(f"source-{x}\r\n" in fields for x in ("record-id: <urn:uuid:a>", "payload-digest: sha1:P", "block-digest: sha1:B", "header-server: x:1", "header-etag: none"))
+    assert warc.parse(out.record[1, "response"])[1].decode() == head + "\r\n\r\n<p>One</p>"
+    plain = warc.derivatives(pages.select("page_id", "url", "html"), responses=True).toPandas().set_index(["page_id", "record_type"])
+    assert plain.loc[2].equals(out.loc[2])
+
+
 def test_warc_records_parse_back_and_link(spark):
     page = '<!doctype html><html lang="en"><head><meta charset="utf-8"><title>A &amp; B</title><style>p{}</style></head><body><p>One</p><!-- no --><div>Two &lt;3</div><a href="/x?a=1&amp;b=2">l</a><script>var t="</p>";</script></body></html>'
     rows = warc.derivatives(spark.createDataFrame([(1, "http://e/1", page)], "page_id long, url string, html string"), responses=True).toPandas().set_index("record_type")
