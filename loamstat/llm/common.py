@@ -18,11 +18,13 @@ SLICE_BYTES = 1 << 21
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a temporary
-    folder is made and set.
+    Only where the setting is absent and Spark runs in one process (tests) a
+    temporary folder is made and set; a cluster without it is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-work-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -98,88 +100,151 @@ def text_slices(
             at = to
 
 
+# --- private columns ----------------------------------------------------------
+
+
+def quoted(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` by name, whatever characters the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A name for each of ``names`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 # --- Bloom prefilter -------------------------------------------------------
 
-#: A fixed size: the filter saturates on more keys, which only lets more rows
+#: Bits of a filter for each of its keys (2 % false alarms or fewer with four probes).
+BLOOM_BITS_PER_KEY = 12
+#: The largest filter, 64 MB.  Some 60 million keys and more fill it, which only lets more rows
 #: through to the exact join behind it.
-BLOOM_BITS = 1 << 23
+BLOOM_MOST_BITS = 1 << 29
 _BLOOM_HASHES = 4
 
 
-def _bloom_places(keys: np.ndarray, bits: int) -> np.ndarray:
-    x = mix64(keys.astype(np.uint64))
-    step = (x >> np.uint64(32)) | np.uint64(1)
-    base = x & np.uint64(0xFFFFFFFF)
-    k = np.arange(_BLOOM_HASHES, dtype=np.uint64)[:, None]
-    return ((base[None, :] + k * step[None, :]) % np.uint64(bits)).astype(np.int64)
+def bloom_bits(keys: int, most: int = BLOOM_MOST_BITS) -> int:
+    """The power of two that gives ``keys`` keys their bits, 2^16 at least and ``most`` at most."""
+    return min(most, 1 << max(16, (keys * BLOOM_BITS_PER_KEY - 1).bit_length()))
+
+
+def key_longs(column: pa.Array) -> np.ndarray:
+    """Longs of a column of longs, or the first eight bytes of a column of 16-byte digests; no nulls."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    data, _ = flat_bytes(column)
+    return data.reshape(-1, 16)[:, :8].copy().view("<i8").ravel()
 
 
-def bloom_build(keys: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """One-column frame of longs -> fixed-size bit filter (``bits`` / 8 bytes).
+def bloom_build(keys: DataFrame, most: int = BLOOM_MOST_BITS) -> np.ndarray:
+    """One-column frame of longs or 16-byte digests -> bit filter, sized by the number of keys.
 
-    Every task folds its keys into a bit array and emits its used pieces;
-    Spark ORs them by piece, so the driver gets at most the fixed size.
+    ``keys`` is read twice and should be a work table.  Every task folds its
+    keys into a bit array and emits its used pieces; Spark ORs them by piece,
+    so the driver gets the filter's size at most.
     """
+    bits = bloom_bits(keys.count(), most)
     piece = min(1 << 17, bits // 8)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(bits // 8, np.uint8)
         for b in batches:
-            k = b.column(0).drop_null().to_numpy(zero_copy_only=False)
+            k = key_longs(b.column(0).drop_null())
             if len(k):
-                p = np.unique(_bloom_places(k.view(np.uint64), bits))
-                np.bitwise_or.at(seen, p >> 3, np.uint8(1) << (p & 7).astype(np.uint8))
+                base, step = _bloom_hash(k)
+                for i in range(_BLOOM_HASHES):
+                    p = _bloom_place(base, step, i, bits)
+                    np.bitwise_or.at(seen, p >> 3, np.uint8(1) << (p & 7).astype(np.uint8))
         parts = seen.reshape(-1, piece)
         used = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], ["i", "bits"])
 
     def merge(table: pa.Table) -> pa.Table:
-        rows = [np.frombuffer(x.as_py(), np.uint8) for x in table.column("bits")]
-        return pa.table({"i": table.column("i").slice(0, 1), "bits": pa.array([np.bitwise_or.reduce(rows).tobytes()], pa.binary())})
+        total = np.zeros(piece, np.uint8)
+        for x in table.column("bits"):
+            total |= np.frombuffer(x.as_py(), np.uint8)
+        return pa.table({"i": table.column("i").slice(0, 1), "bits": pa.array([total.tobytes()], pa.binary())})
 
     schema = "i int, bits binary"
-    got = keys.select(F.col(keys.columns[0]).cast("long")).mapInArrow(fold, schema).groupBy("i").applyInArrow(merge, schema).collect()
+    got = keys.mapInArrow(fold, schema).groupBy("i").applyInArrow(merge, schema).collect()
     out = np.zeros(bits // 8, np.uint8)
     for r in got:
         out[r["i"] * piece : (r["i"] + 1) * piece] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
+def _bloom_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = mix64(keys.view(np.uint64) if keys.dtype == np.int64 else keys.astype(np.uint64))
+    return x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
+
+
+def _bloom_place(base: np.ndarray, step: np.ndarray, i: int, bits: int) -> np.ndarray:
+    return ((base + np.uint64(i) * step) & np.uint64(bits - 1)).astype(np.int64)
+
+
 def bloom_has(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    p = _bloom_places(keys.view(np.uint64) if keys.dtype == np.int64 else keys, len(bloom) * 8)
-    return ((bloom[p >> 3] >> (p & 7).astype(np.uint8)) & 1).all(axis=0)
+    """Which keys may be in the filter; later probes look at the survivors of earlier ones only."""
+    base, step = _bloom_hash(keys)
+    left = np.arange(len(keys))
+    for i in range(_BLOOM_HASHES):
+        p = _bloom_place(base[left], step[left], i, len(bloom) * 8)
+        left = left[(bloom[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1]
+    out = np.zeros(len(keys), bool)
+    out[left] = True
+    return out
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A 64-bit key of a row's id and text; nulls have a value of their own."""
-    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    """A 128-bit digest (16 bytes) of a row's id and text; nulls have values of their own."""
+    return digest_of(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
 
-def split_by_keys(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(surely without, maybe with)`` a key among ``keys`` (one column of longs).
+def digest_of(*columns: Column) -> Column:
+    """A 128-bit digest (16 bytes) of a row's values; the last column may hold any text."""
+    *heads, last = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null")) for c in columns]
+    marked = [part for c in heads for part in (F.length(c).cast("string"), c)]
+    return F.unhex(F.md5(F.concat(*marked, last)))
 
-    Two maps over ``df`` by a fixed-size Bloom filter, so that only the second
-    part need be shuffled to an exact join; it has the extra column ``__key``.
-    """
-    bloom = df.sparkSession.sparkContext.broadcast(bloom_build(keys))
-    keyed = df.withColumn("__key", key)
 
-    def sieve(wanted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep = bloom_has(bloom.value, b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)) == wanted
+def sieve(bloom: np.ndarray, spark: SparkSession, place: int, wanted: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over Arrow batches that keeps the rows whose key (column ``place``) may be in the filter, or surely is not."""
+    shared = spark.sparkContext.broadcast(bloom)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                keep = bloom_has(shared.value, key_longs(b.column(place))) == wanted
                 if keep.any():
                     yield b.filter(pa.array(keep))
 
-        return run
+    return run
+
+
+def split_by_keys(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """``(surely without, maybe with)`` a key among ``keys`` (one column), and the key's column in the second.
 
-    return keyed.mapInArrow(sieve(False), keyed.schema).drop("__key"), keyed.mapInArrow(sieve(True), keyed.schema)
+    Two maps over ``df`` by a Bloom filter, so that only the second part need
+    be shuffled to an exact join.
+    """
+    spark = df.sparkSession
+    bloom = bloom_build(keys)
+    (name,) = fresh(df, "row_key")
+    keyed = df.withColumn(name, key)
+    last = len(df.columns)
+    return keyed.mapInArrow(sieve(bloom, spark, last, False), keyed.schema).select(*quoted(df)), keyed.mapInArrow(sieve(bloom, spark, last), keyed.schema), name
 
 
 def drop_keys(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose key is not among ``keys``."""
-    sure, maybe = split_by_keys(df, key, keys)
-    return sure.unionByName(maybe.join(keys.toDF("__key"), "__key", "left_anti").select(*df.columns))
+    """Rows of ``df`` whose key is not among ``keys`` (a work table of one column)."""
+    sure, maybe, name = split_by_keys(df, key, keys)
+    return sure.unionByName(maybe.join(keys.toDF(name), name, "left_anti").select(*quoted(df)))
 
 
 # --- 64-bit mixing ----------------------------------------------------------
@@ -204,20 +269,20 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 1_000_003)).first())
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an edge list ``(a long, b long)``: rows ``(node, comp)``.
 
     ``comp`` is the smallest node reachable.  Alternating large-star and
     small-star rounds (each a grouped minimum over the edges, spread by
-    node), a work table after every round, until no edge changes.  The
-    driver sees one number a round.
+    node), a work table after every round, until no edge changes (some
+    log^2 of the longest path).  The driver sees three numbers a round.
     """
     spark = edges.sparkSession
     now = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc"
     )
     mark = _mark(now)
-    for _ in range(max_rounds):
+    while True:
         # large star: hang every larger neighbour on the smallest of the neighbourhood
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -237,7 +302,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now = new
         if mark == before:
             break
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(roots)

@@ -1,24 +1,26 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-1. *Terms.*  Corpus frequencies of the benchmark's terms are counted in one
-   scan.  For every window of a test item (``window`` consecutive words; a
-   shorter item is one window) its ``rare`` rarest terms are the anchors.
-2. *Index.*  A second scan stores, for every document, its word count and the
+1. *Windows.*  The distinct windows of all test items: ``window`` consecutive
+   words (a shorter item is one window), whatever the number of items that
+   hold them.
+2. *Anchors.*  Corpus frequencies of the items' terms are counted in one scan.
+   A window's two rarest terms, with their distance, are its anchors; windows
+   with the same anchors share them.
+3. *Index.*  A second scan stores, for every document, its word count and the
    postings (term, position) of all anchor terms.  The postings of anchors
    are complete: every document and every place.
-3. *Intersection.*  Postings meet the anchors' item positions on the term.
-   Subtracting the item position from the document position aligns the lists:
-   a phrase keeps one alignment for all its terms.  Starting from a window's
-   rarest anchor, alignments stay only where the other anchors of the same
-   window have a posting too.
-4. *Check.*  Surviving alignments are compared word by word with the texts of
-   those documents only, found by a fixed-size Bloom filter and an exact join.
-
-``proximity`` relaxes step 3 to alignments that differ by at most ``slop``.
-
-Words are compared by 64-bit hashes.  Hot anchors are safe: the item side is
-a few rows per term, the join may split the postings of a hot term anywhere,
-and what it yields is one row per posting and item place.
+4. *Intersection.*  Postings meet the anchors on the term.  Subtracting the
+   anchor's offset aligns both lists on the place of the rarest term; within a
+   document a place stays where both lists have it (a candidate), or counts
+   as a proximity match where they come within ``slop`` words.
+5. *Check.*  Every candidate is a place where a window may begin.  The words
+   that stand there are joined with the windows word by word: on the text
+   of the words, not on hashes.  Items come in last, by the windows found.
+
+Terms are looked up by 64-bit hashes, which only propose candidates; what
+counts as a hit is decided by the words.  No row holds more than the places
+of one document.  Windows that very many documents hold are dealt over
+``SALTS`` copies in the two joins on the words.
 
 Edge cases: null texts have no words; items without words have no windows;
 repeated documents get the same result, repeated items the same windows;
@@ -31,118 +33,106 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamstat.llm.common import bloom_build, bloom_has, drop_keys, materialize, row_key, text_slices
-from loamstat.llm.wordhash import ALNUM, as_long, words
+from loamstat.llm.common import bloom_build, bloom_has, drop_keys, materialize, row_key, sieve, text_slices
+from loamstat.llm.wordhash import ALNUM, as_long, phrases, words
 
-#: Distinct benchmark terms that one task keeps as a lookup (8 bytes each);
-#: more are looked up by a join instead.
-TERM_BOUND = 2_000_000
+#: Copies of a window's row in the joins on its words, so that a passage of very many documents
+#: isn't one task's.
+SALTS = 16
+#: Term counts that a task of the frequency scan holds before it hands them on.
+_HELD_COUNTS = 1 << 19
 
 
-def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``(item, item_id, terms array<long>)``; ``item`` is a key of id and text."""
+def item_windows(items: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """``(phrase, k, item_id)``: the windows of every item, ``k`` lower-cased words joined by a space."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in text_slices(batches, "text"):
             w = words(data, offs, ALNUM)
-            cut = np.searchsorted(w.doc, np.arange(part.num_rows + 1))
-            terms = [as_long(w.hash[cut[r] : cut[r + 1]]) for r in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(terms, pa.list_(pa.int64()))], ["item", "item_id", "terms"])
+            n = np.bincount(w.doc, minlength=part.num_rows) if len(w.doc) else np.zeros(part.num_rows, np.int64)
+            size = np.minimum(n, window)
+            at = np.flatnonzero(np.arange(len(w.doc)) + size[w.doc] <= np.cumsum(n)[w.doc]) if len(w.doc) else np.zeros(0, np.int64)
+            for a in range(0, len(at), 50_000):
+                own = at[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(phrases(data, w, own, size[w.doc[own]]), pa.string()), pa.array(size[w.doc[own]].astype(np.int32)), part.column(0).take(pa.array(w.doc[own]))],
+                    ["phrase", "k", "item_id"],
+                )
 
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    source = items.select(key.alias("item"), F.col(id_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(scan, "item long, item_id string, terms array<long>").where("size(terms) > 0").dropDuplicates(["item"])
+    source = items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(scan, "phrase string, k int, item_id string").distinct()
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
 
 
-def _term_array(terms: DataFrame) -> np.ndarray | None:
-    """Sorted distinct terms if there are at most TERM_BOUND, else None."""
-    few = terms.limit(TERM_BOUND + 1).toPandas()["term"].to_numpy(np.int64)
-    return np.sort(few) if len(few) <= TERM_BOUND else None
+def window_terms(windows: DataFrame) -> DataFrame:
+    """``(word, term)``: the distinct words of the windows and their hashes."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offs in text_slices(batches, "word"):
+            w = words(data, offs, ALNUM)  # one word a row
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(as_long(w.hash))], ["word", "term"])
 
+    return windows.select(F.explode(F.split("phrase", " ")).alias("word")).distinct().mapInArrow(scan, "word string, term long")
 
-def _inside(sorted_terms: np.ndarray, h: np.ndarray) -> np.ndarray:
-    if len(sorted_terms) == 0:
-        return np.zeros(len(h), bool)
-    at = np.minimum(np.searchsorted(sorted_terms, h), len(sorted_terms) - 1)
-    return sorted_terms[at] == h
 
+def term_frequencies(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(word, term, cf)``: corpus frequency of each of ``terms`` (a work table), 0 if absent."""
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_build(terms.select("term")))
 
-def term_frequencies(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(term, cf)``: corpus frequency of each of ``terms``, 0 if absent."""
-    lookup = _term_array(terms)
-    shared = docs.sparkSession.sparkContext.broadcast(lookup)
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        t, inverse = np.unique(np.concatenate([a for a, _ in held]), return_inverse=True)
+        return t, np.bincount(inverse, np.concatenate([b for _, b in held]), len(t)).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = shared.value
-        if have is None:
-            for _, data, offs in text_slices(batches, "text"):
-                t, c = np.unique(as_long(words(data, offs, ALNUM).hash), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(c.astype(np.int64))], ["term", "cf"])
-            return
-        total = np.zeros(len(have), np.int64)
-        buckets = _buckets(have)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for _, data, offs in text_slices(batches, "text"):
-            h = as_long(words(data, offs, ALNUM).hash)
-            h = h[_maybe(buckets, h)]
-            h = h[_inside(have, h)]
-            total += np.bincount(np.searchsorted(have, h), minlength=len(have))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(have[seen]), pa.array(total[seen])], ["term", "cf"])
-
-    counted = _keyed(docs, id_col, text_col).select("text").mapInArrow(count, "term long, cf long").groupBy("term").agg(F.sum("cf").alias("cf"))
-    return terms.join(counted, "term", "left").select("term", F.coalesce("cf", F.lit(0).cast("long")).alias("cf"))
-
-
-_BUCKET_BITS = 20
-
-
-def _buckets(terms: np.ndarray) -> np.ndarray:
-    """A quick sieve: which high-bit prefixes occur among the terms."""
-    out = np.zeros(1 << _BUCKET_BITS, bool)
-    out[(terms.view(np.uint64) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)] = True
-    return out
-
-
-def _maybe(buckets: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return buckets[(h.view(np.uint64) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)]
-
-
-def window_anchors(items: DataFrame, frequencies: DataFrame, window: int, rare: int) -> DataFrame:
-    """``(item, start, rank, term, place)``: the rarest terms of every window.
-
-    ``rank`` 0 is the rarest; of a term's places in a window the first counts.
+            t, c = np.unique(as_long(words(data, offs, ALNUM).hash), return_counts=True)
+            keep = bloom_has(shared.value, t)
+            held.append((t[keep], c[keep]))
+            if sum(len(a) for a, _ in held) > _HELD_COUNTS:
+                held = [merged(held)]
+                if len(held[0][0]) > _HELD_COUNTS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], ["term", "cf"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(held)], ["term", "cf"])
+
+    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "term long, cf long").groupBy("term").agg(F.sum("cf").alias("cf"))
+    return terms.join(counted, "term", "left").select("word", "term", F.coalesce("cf", F.lit(0).cast("long")).alias("cf"))
+
+
+def window_anchors(windows: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """``(phrase, k, t0, t1, gap, place)``: the two rarest terms of every window.
+
+    Ties go by the word.  ``place`` is the first of the rarest term in the
+    window and ``gap`` the way from there to the first of the second; a window
+    of one distinct word has a null ``t1`` and gap 0.
     """
-    places = items.select("item", F.size("terms").alias("n"), F.posexplode("terms").alias("place", "term")).join(frequencies, "term")
-    starts = F.sequence(F.greatest(F.lit(0), F.col("place") - window + 1), F.greatest(F.lit(0), F.least(F.col("place"), F.col("n") - window)))
-    each = places.select("item", "term", "place", "cf", F.explode(starts).alias("start"))
-    one = each.groupBy("item", "start", "term").agg(F.min("place").alias("place"), F.min("cf").alias("cf"))
-    order = Window.partitionBy("item", "start").orderBy("cf", "term")
-    return one.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < rare).select("item", "start", "rank", "term", "place")
+    each = windows.select("phrase", "k", F.posexplode(F.split("phrase", " ")).alias("place", "word")).join(frequencies, "word")
+    ranked = each.groupBy("phrase", "k").agg(F.array_sort(F.collect_list(F.struct("cf", "word", "place", "term"))).alias("terms"))
+    first = F.element_at("terms", 1)
+    second = F.get(F.filter("terms", lambda t: t["word"] != first["word"]), F.lit(0))
+    return ranked.select("phrase", "k", first["term"].alias("t0"), second["term"].alias("t1"), F.coalesce(second["place"] - first["place"], F.lit(0)).alias("gap"), first["place"].alias("place"))
 
 
 def positional_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, doc, n_words, term array, place array)``: postings of ``terms`` in every document."""
-    lookup = _term_array(terms)
-    shared = docs.sparkSession.sparkContext.broadcast(lookup)
+    """``(doc_id, doc, n_words, terms array, places array)``: postings of ``terms`` (a work table) in every document.
+
+    A Bloom filter chooses the postings; its false alarms meet no anchor later.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_build(terms))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = shared.value
-        buckets = None if have is None else _buckets(have)
         for part, data, offs in text_slices(batches, "text"):
             w = words(data, offs, ALNUM)
             h = as_long(w.hash)
             first = np.searchsorted(w.doc, np.arange(part.num_rows + 1))
-            keep = np.arange(len(h))
-            if have is not None:
-                keep = keep[_maybe(buckets, h)]
-                keep = keep[_inside(have, h[keep])]
+            keep = np.flatnonzero(bloom_has(shared.value, h))
             cut = pa.array(np.searchsorted(w.doc[keep], np.arange(part.num_rows + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -155,69 +145,57 @@ def positional_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id",
                 ["doc_id", "doc", "n_words", "terms", "places"],
             )
 
-    return _keyed(docs, id_col, text_col).mapInArrow(scan, "doc_id long, doc long, n_words long, terms array<long>, places array<int>")
+    return _keyed(docs, id_col, text_col).mapInArrow(scan, "doc_id long, doc binary, n_words long, terms array<long>, places array<int>")
 
 
 def postings(index: DataFrame) -> DataFrame:
-    """``(term, doc, pos)`` from the index."""
-    return index.where("size(terms) > 0").select("doc", F.explode(F.arrays_zip("terms", "places")).alias("p")).select(F.col("p.terms").alias("term"), "doc", F.col("p.places").alias("pos"))
+    """``(term, row, pos)`` from the index."""
+    return index.where("size(terms) > 0").select("row", F.explode(F.arrays_zip("terms", "places")).alias("p")).select(F.col("p.terms").alias("term"), "row", F.col("p.places").alias("pos"))
 
 
-def alignments(index: DataFrame, anchors: DataFrame) -> DataFrame:
-    """``(item, doc, shift)`` where all anchors of some window have postings.
-
-    ``shift`` is document position minus item position.
-    """
-    spots = anchors.select("term", "item", "place").distinct()
-    met = postings(index).join(spots, "term").select("item", "doc", (F.col("pos") - F.col("place")).alias("shift"), "place")
-    found = met.groupBy("item", "doc", "shift").agg(F.collect_set("place").alias("found"))
-    # windows of an item with the places of their anchors, one row per item
-    needs = anchors.groupBy("item", "start").agg(F.collect_set("place").alias("places")).groupBy("item").agg(F.collect_set("places").alias("windows"))
-    return (
-        found.join(needs, "item")
-        .where(F.exists("windows", lambda w: F.size(F.array_except(w, F.col("found"))) == 0))
-        .select("item", "doc", "shift")
+def aligned(index: DataFrame, anchors: DataFrame, slop: int) -> DataFrame:
+    """``(t0, t1, gap, row, pos, exact)``: places of rarest terms whose second anchor stands
+    at its distance (``exact``) or up to ``slop`` words off it."""
+    pair = ["t0", "t1", "gap"]
+    pairs = anchors.select(*pair).distinct()
+    spots = pairs.select(F.col("t0").alias("term"), *pair, F.lit(0).alias("lead"), F.lit(0).alias("back")).unionByName(
+        pairs.where("t1 is not null").select(F.col("t1").alias("term"), *pair, F.lit(1).alias("lead"), F.col("gap").alias("back"))
     )
-
-
-def proximity(index: DataFrame, anchors: DataFrame, slop: int) -> DataFrame:
-    """``(item, start, doc, shift)``: windows whose rarest anchor has a posting and
-    every other anchor one whose alignment differs by at most ``slop``."""
-    met = postings(index).join(anchors, "term").select("item", "start", "rank", "doc", (F.col("pos") - F.col("place")).alias("shift"))
-    lead = met.where("rank = 0").drop("rank")
-    rest = met.where("rank > 0").withColumnRenamed("shift", "other")
-    wanted = anchors.groupBy("item", "start").agg((F.count(F.lit(1)) - 1).alias("wanted"))
-    near = (
-        lead.join(rest, ["item", "start", "doc"], "left")
-        .where(F.col("rank").isNull() | (F.abs(F.col("other") - F.col("shift")) <= slop))
-        .groupBy("item", "start", "doc", "shift")
-        .agg(F.count_distinct("rank").alias("got"))
+    met = postings(index).join(spots, "term").select(*pair, "row", (F.col("pos") - F.col("back")).alias("pos"), (F.col("lead") == 0).alias("leads"))
+    by = Window.partitionBy(*pair, "row").orderBy("pos")
+    other = F.when(~F.col("leads"), F.lit(1))
+    near = F.count(other).over(by.rangeBetween(-slop, slop))
+    same = F.count(other).over(by.rangeBetween(0, 0))
+    return (
+        met.withColumn("near", near)
+        .withColumn("same", same)
+        .where(F.col("leads") & (F.col("t1").isNull() | (F.col("near") > 0)))
+        .select(*pair, "row", "pos", (F.col("t1").isNull() | (F.col("same") > 0)).alias("exact"))
     )
-    return near.join(wanted, ["item", "start"]).where("got = wanted").select("item", "start", "doc", "shift")
 
 
-def _match(terms: np.ndarray, doc: np.ndarray, shift: int, window: int) -> list[tuple[int, int]]:
-    """Runs [from, to) of document words inside occurrences of the item's windows on one alignment."""
-    size = min(window, len(terms))
-    lo, hi = max(0, -shift), min(len(terms), len(doc) - shift)
-    if hi - lo < size:
-        return []
-    same = np.concatenate([[False], terms[lo:hi] == doc[lo + shift : hi + shift], [False]])
-    edge = np.flatnonzero(same[1:] != same[:-1])
-    return [(int(a) + lo + shift, int(b) + lo + shift) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= size]
+def _met_pairs(places: DataFrame, anchors: DataFrame) -> Column:
+    return (places["t0"] == anchors["t0"]) & places["t1"].eqNullSafe(anchors["t1"]) & (places["gap"] == anchors["gap"])
 
 
 def contamination(
-    docs: DataFrame, items: DataFrame, window: int = 10, rare: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
+    docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
 ) -> DataFrame:
-    """One row per document: ``doc_id, n_words, n_hit, n_items, items, contaminated``.
+    """One row per document: ``doc_id, n_words, n_hit, n_items, items, contaminated, n_near``.
 
     ``items`` holds the ids (as strings, sorted) of the items with a window in
     the document, ``n_hit`` counts the words inside any such occurrence.
+    ``n_near`` counts proximity matches: distinct windows whose two rarest
+    words stand in the document at their distance, up to ``slop`` words more
+    or less (exact occurrences included).
     """
-    index, checked = _checked(docs, items, window, rare, id_col, text_col, item_col)
+    index, places, anchors, hits, named = _searched(docs, items, window, slop, id_col, text_col, item_col)
+    pair = ["t0", "t1", "gap"]
+    held = anchors.groupBy(*pair).agg(F.count(F.lit(1)).alias("windows"))
+    met = places.select(*pair, "row").distinct()
+    near = met.join(held, _met_pairs(met, held)).groupBy("row").agg(F.sum("windows").alias("n_near"))
     none = F.lit(0).cast("long")
-    out = index.select("doc_id", "doc", "n_words").join(checked, "doc", "left")
+    out = index.select("doc_id", "row", "doc", "n_words").join(near, "row", "left").join(hits, "doc", "left").join(named, "doc", "left")
     return out.select(
         "doc_id",
         "n_words",
@@ -225,55 +203,66 @@ def contamination(
         F.coalesce(F.array_size("items").cast("long"), none).alias("n_items"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         (F.coalesce("n_hit", none) > 0).alias("contaminated"),
+        F.coalesce("n_near", none).alias("n_near"),
     )
 
 
 def drop_contaminated(
-    docs: DataFrame, items: DataFrame, window: int = 10, rare: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
+    docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
 ) -> DataFrame:
     """The rows, with all their columns, that hold no window of an item."""
-    _, checked = _checked(docs, items, window, rare, id_col, text_col, item_col)
-    return drop_keys(docs, row_key(id_col, text_col), materialize(checked.where("n_hit > 0").select("doc"), "contaminated"))
-
-
-def _checked(docs: DataFrame, items: DataFrame, window: int, rare: int, id_col: str, text_col: str, item_col: str) -> tuple[DataFrame, DataFrame]:
-    """The index, and ``(doc, n_hit, items)`` of the documents with checked alignments."""
-    item = materialize(item_words(items, item_col), "items")
-    vocabulary = item.select(F.explode("terms").alias("term")).distinct()
-    frequencies = materialize(term_frequencies(docs, vocabulary, id_col, text_col), "terms")
-    anchors = materialize(window_anchors(item, frequencies, window, rare), "anchors")
-    index = materialize(positional_index(docs, anchors.select("term").distinct(), id_col, text_col), "index")
-    found = materialize(
-        alignments(index, anchors).join(item, "item").groupBy("doc").agg(F.collect_list(F.struct("item_id", "terms", "shift")).alias("places")), "aligned"
-    )
-    bloom = docs.sparkSession.sparkContext.broadcast(bloom_build(found.select("doc")))
-
-    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = bloom_has(bloom.value, b.column(0).to_numpy(zero_copy_only=False))
-            if keep.any():
-                yield b.filter(pa.array(keep))
-
-    texts = _keyed(docs, id_col, text_col).select("doc", "text").mapInArrow(sieve, "doc long, text string").dropDuplicates(["doc"])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hits = _searched(docs, items, window, 0, id_col, text_col, item_col)[3]
+    return drop_keys(docs, row_key(id_col, text_col), materialize(hits.select("doc"), "contaminated"))
+
+
+def _searched(docs: DataFrame, items: DataFrame, window: int, slop: int, id_col: str, text_col: str, item_col: str) -> tuple[DataFrame, ...]:
+    """The index, aligned places, anchors, ``(doc, n_hit)`` and ``(doc, items)`` of the documents with a window."""
+    held = materialize(item_windows(items, window, item_col), "windows")
+    windows = held.select("phrase", "k").distinct()
+    terms = materialize(window_terms(windows), "terms")
+    anchors = materialize(window_anchors(windows, term_frequencies(docs, terms, text_col)), "anchors")
+    wanted = materialize(anchors.select(F.explode(F.array("t0", "t1")).alias("term")).where("term is not null").distinct(), "wanted")
+    index = materialize(positional_index(docs, wanted, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "index")
+    places = materialize(aligned(index, anchors, slop), "aligned")
+
+    # where windows may begin, by document
+    sure = places.where("exact").select("t0", "t1", "gap", "row", "pos")
+    starts = anchors.select("t0", "t1", "gap", "k", "place").distinct()
+    begin = sure.join(starts, _met_pairs(sure, starts)).select("row", (F.col("pos") - F.col("place")).alias("start"), "k").where("start >= 0").distinct()
+    lists = begin.join(index.select("row", "doc", "n_words"), "row").where("start + k <= n_words").groupBy("doc").agg(F.collect_set(F.struct("start", "k")).alias("begins"))
+    found = materialize(lists, "begins")
+
+    texts = _keyed(docs, id_col, text_col).select("doc", "text")
+    texts = texts.mapInArrow(sieve(bloom_build(found.select("doc")), docs.sparkSession, 0), "doc binary, text string").join(found, "doc").dropDuplicates(["doc"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in text_slices(batches, "text"):
             w = words(data, offs, ALNUM)
-            h = as_long(w.hash)
-            cut = np.searchsorted(w.doc, np.arange(part.num_rows + 1))
-            hits, names = [], []
-            for r, places in enumerate(part.column(2)):
-                own = h[cut[r] : cut[r + 1]]
-                flag, got = np.zeros(len(own), bool), set()
-                for p in places.values:
-                    runs = _match(np.asarray(p["terms"].values), own, p["shift"].as_py(), window)
-                    for a, b in runs:
-                        flag[a:b] = True
-                    if runs and p["item_id"].is_valid:
-                        got.add(p["item_id"].as_py())
-                hits.append(int(flag.sum()))
-                names.append(sorted(got, key=str.encode))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hits, pa.int64()), pa.array(names, pa.list_(pa.string()))], ["doc", "n_hit", "items"])
-
-    checked = texts.join(found, "doc").select("doc", "text", "places").mapInArrow(check, "doc long, n_hit long, items array<string>")
-    return index, checked
+            first = np.searchsorted(w.doc, np.arange(part.num_rows))
+            begins = part.column(2)
+            doc = np.repeat(np.arange(part.num_rows), begins.value_lengths().to_numpy(zero_copy_only=False))
+            flat = begins.flatten()
+            start, k = flat.field("start").to_numpy(), flat.field("k").to_numpy()
+            for a in range(0, len(doc), 50_000):
+                own = slice(a, a + 50_000)
+                at = first[doc[own]] + start[own]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(doc[own])), pa.array(start[own], pa.int32()), pa.array(k[own], pa.int32()), pa.array(phrases(data, w, at, k[own]), pa.string())],
+                    ["doc", "start", "k", "phrase"],
+                )
+
+    spoken = texts.select("doc", "text", "begins").mapInArrow(read, "doc binary, start int, k int, phrase string")
+    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    occurrences = materialize(spoken.withColumn("salt", salt).join(windows.select("phrase", copies), ["phrase", "salt"], "left_semi"), "occurrences")
+    # words inside any occurrence: the length of the union of the intervals
+    ends = F.aggregate(
+        F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("k")).alias("end")))),
+        F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("covered")),
+        lambda s, x: F.struct(F.greatest(s["upto"], x["end"]).alias("upto"), (s["covered"] + F.greatest(x["end"] - F.greatest(x["start"], s["upto"]), F.lit(0))).alias("covered")),
+        lambda s: s["covered"],
+    )
+    hits = occurrences.groupBy("doc").agg(ends.alias("n_hit"))
+    met = occurrences.select("doc", "phrase", "salt").distinct().join(held.where("item_id is not null").select("phrase", "item_id", copies), ["phrase", "salt"])
+    named = met.groupBy("doc").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    return index, places, anchors, hits, named

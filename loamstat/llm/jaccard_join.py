@@ -4,15 +4,15 @@ Documents become sets of word-shingle hashes.  Pairs with
 ``|A & B| / |A | B| >= num / den`` are linked and linked documents form
 components.  The steps:
 
-1. *Sets.*  Each document's shingle set is hashed in its scan task.  Equal
-   sets share a 64-bit signature and are one node from here on, so exact
-   copies, however many, cost one row each.
+1. *Sets.*  Each document's shingles become 128-bit digests in its scan task,
+   told apart by all their bits.  Equal sets share a 128-bit signature and are
+   one node from here on, so exact copies, however many, cost one row each.
 2. *Coarse tokens.*  If two sets of at most U shingles link, they differ in
    at most ``d = floor(2U (den-num) / (den+num))`` shingles.  The hash space
    is cut into more than ``d`` parts; a linked pair must agree on all
    shingles of one part at least.  The digest of a part is a coarse token.  U comes from
-   size bands; a set near its band's upper edge also emits the tokens of the
-   next band.  Agreement by chance needs a whole part to be equal, so words,
+   size bands; a set also emits the tokens of all bands that a larger
+   partner may lie in.  Agreement by chance needs a whole part to be equal, so words,
    lines or passages that many documents share make no hot token.
 3. *Groups.*  Sets that share a coarse token with others take the smallest
    signature met there as group label: similar documents fall together.
@@ -29,7 +29,8 @@ components.  The steps:
    spanning forest, never as all pairs.
 6. *Components* of the forest edges, joined back to all documents.
 
-Every bound is exact: no link is lost and no bucket is capped.
+Every bound is exact: no link is lost and no bucket is capped.  What takes
+place of the words are 128-bit digests; 64-bit ones only find candidates.
 
 Edge cases: null and word-less texts have no shingles, are linked with
 nothing and are their own component; fewer words than the shingle length give
@@ -44,21 +45,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstat.llm.common import bloom_build, bloom_has, connected_components, materialize, mix64, row_key, split_by_keys, text_slices
-from loamstat.llm.wordhash import SPACED, Words, as_long, ngrams, words
+from loamstat.llm.common import bloom_build, bloom_has, connected_components, fresh, materialize, mix64, quoted, row_key, sieve, split_by_keys, text_slices
+from loamstat.llm.wordhash import SPACED, Words, as_long, ngram_checks, ngrams, words
 
 #: Shingles that one group, or one block of queries, holds at most (unless a
 #: single set is larger): bounds a task's memory.
 GROUP_VOLUME = 400_000
 
-#: Bits of the filter of shared coarse tokens (4 MB); beyond its reach more
-#: tokens go to the exact join.
-SHARED_BITS = 1 << 25
-
 #: Shingles per range of the coarse-token count (about half as many tokens).
 RANGE_TOKENS = 2_000_000
 
@@ -67,10 +63,35 @@ _SIGN = np.uint64(0x2545F4914F6CDD1D)
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int, kind: np.ndarray = SPACED) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of every row of a slice."""
-    w = words(data, offs, kind)
+class Shingles(NamedTuple):
+    """A set of shingles, ascending by its first lane: both 64-bit lanes of every shingle's digest."""
+
+    hash: np.ndarray
+    check: np.ndarray
+
+    @property
+    def size(self) -> int:
+        return len(self.hash)
+
+
+def _distinct(h: np.ndarray, c: np.ndarray) -> Shingles:
+    """Distinct 128-bit shingles; sorted by the second lane too only where first lanes tie."""
+    order = np.argsort(h, kind="stable")
+    h, c = h[order], c[order]
+    tied = h[1:] == h[:-1]
+    if (c[1:][tied] != c[:-1][tied]).any():
+        order = np.lexsort((c, h))
+        h, c = h[order], c[order]
+        tied = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+    keep = np.concatenate([np.ones(min(len(h), 1), bool), ~tied])
+    return Shingles(h[keep], c[keep])
+
+
+def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int, kind: np.ndarray = SPACED) -> list[Shingles]:
+    """The distinct shingles of every row of a slice."""
+    w = words(data, offs, kind, checked=True)
     h, at = ngrams(w, n)
+    c = ngram_checks(w, at, n)
     doc = w.doc[at]
     rows = len(offs) - 1
     counts = np.bincount(w.doc, minlength=rows) if len(w.doc) else np.zeros(rows, np.int64)
@@ -79,20 +100,32 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int, kind: np.ndarray =
     out = []
     for r in range(rows):
         if counts[r] >= n:
-            out.append(np.unique(h[cut[r] : cut[r + 1]]))
+            own = slice(cut[r], cut[r + 1])
+            out.append(_distinct(h[own], c[own]))
         elif counts[r]:
             own = slice(first[r], first[r] + counts[r])
-            few = Words(w.start[own], w.end[own], w.doc[own], w.hash[own])
-            out.append(ngrams(few, int(counts[r]))[0])
+            few = Words(w.start[own], w.end[own], w.doc[own], w.hash[own], w.check[own])
+            whole, start = ngrams(few, int(counts[r]))
+            out.append(Shingles(whole, ngram_checks(few, start, int(counts[r]))))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(Shingles(np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
     return out
 
 
-def signature(tokens: np.ndarray) -> int:
-    """Order-free 64-bit digest of a set."""
-    s = np.add.reduce(mix64(tokens ^ _SIGN), dtype=np.uint64) + np.uint64(len(tokens))
-    return int(as_long(mix64(np.array([s], np.uint64)))[0])
+def signature(s: Shingles) -> tuple[int, int]:
+    """Order-free 128-bit digest of a set, as two longs."""
+    joint = mix64(s.hash ^ _SIGN) + mix64(s.check ^ _PART)
+    first = np.add.reduce(mix64(joint), dtype=np.uint64) + np.uint64(s.size)
+    second = np.add.reduce(mix64(joint ^ _SECOND), dtype=np.uint64)
+    return tuple(as_long(mix64(np.array([first, second], np.uint64))).tolist())
+
+
+def node_of(mark: tuple[int, int], clashes: frozenset[int]) -> int:
+    """The node of a set: the first half of its signature, or a mix of both halves if different sets share the first."""
+    if mark[0] not in clashes:
+        return mark[0]
+    both = np.array(mark, np.int64).view(np.uint64)
+    return int(as_long(mix64(mix64(both[:1]) ^ both[1:]))[0])
 
 
 def size_bands(num: int, den: int, upto: int) -> list[int]:
@@ -106,7 +139,7 @@ def size_bands(num: int, den: int, upto: int) -> list[int]:
 
 
 def coarse_tokens(tokens: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
-    """48-bit digests of the parts of one set, for its band and perhaps the next, and its need:
+    """48-bit digests of the parts of one set, for its band and those of larger partners, and its need:
     how many of them a set that links with it shares at least.
 
     Digests that fall together by chance only make sets meet that then fail the exact comparison.
@@ -116,7 +149,8 @@ def coarse_tokens(tokens: np.ndarray, num: int, den: int) -> tuple[np.ndarray, i
         return np.zeros(0, np.uint64), 1
     edges = size_bands(num, den, n)
     band = int(np.searchsorted(edges, n))
-    bands = [band] if n * den <= edges[band] * num else [band, band + 1]
+    # a pair meets in the band of its larger set
+    bands = range(band, int(np.searchsorted(edges, n * den // num)) + 1)
     out, need = [], n
     mixed = mix64(tokens ^ _PART)
     for b in bands:
@@ -153,39 +187,45 @@ def _ragged(rows: list[np.ndarray]) -> pa.Array:
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """One row per document: ``id, rowkey, n, sig``: set size and signature (null without shingles)."""
+    """One row per document: ``id, rowkey, n, sig, sig2``: set size and signature (null without shingles)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in text_slices(batches, "text"):
             sets = shingle_sets(data, offs, n)
-            size = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), size, pa.array([signature(s) if len(s) else None for s in sets], pa.int64())], ["id", "rowkey", "n", "sig"])
+            marks = [signature(s) if s.size else (None, None) for s in sets]
+            columns = [pa.array(x, pa.int64()) for x in ([s.size for s in sets], [m[0] for m in marks], [m[1] for m in marks])]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["id", "rowkey", "n", "sig", "sig2"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("rowkey"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(scan, "id long, rowkey long, n long, sig long")
+    return source.mapInArrow(scan, "id long, rowkey binary, n long, sig long, sig2 long")
+
+
+def with_nodes(sets: DataFrame) -> tuple[DataFrame, frozenset[int]]:
+    """``(id, rowkey, n, sig)`` with one ``sig`` for each 128-bit signature, and the first halves that
+    different sets share.
+
+    Among N sets some N^2 / 2^65 first halves fall together by chance: none
+    below a billion sets, a handful at a hundred billion.
+    """
+    halves = sets.where("sig is not null").groupBy("sig").agg(F.min("sig2").alias("lo"), F.max("sig2").alias("hi"))
+    clashes = frozenset(r["sig"] for r in halves.where("lo <> hi").select("sig").collect())
+    if clashes:
+        mixed = F.udf(lambda a, b: node_of((a, b), clashes), "long")  # for those few rows only
+        sets = sets.withColumn("sig", F.when(F.col("sig").isin(list(clashes)), mixed("sig", "sig2")).otherwise(F.col("sig")))
+    return sets.select("id", "rowkey", "n", "sig"), clashes
 
 
 class OneEach(NamedTuple):
     """Documents with one row standing for all rows of an equal set: those of ``docs`` whose key is
-    not in ``skip``, and the rows of ``rest``.  Both have ``(rowkey, text)``."""
+    not in the filter ``skip``, and the rows of ``rest``.  Both have ``(rowkey, text)``."""
 
     docs: DataFrame
-    skip: Broadcast
+    skip: np.ndarray
     rest: DataFrame
 
     def scan(self, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-        skip = self.skip
-
-        def sieved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def kept() -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    keep = ~bloom_has(skip.value, b.column(0).to_numpy(zero_copy_only=False))
-                    if keep.any():
-                        yield b.filter(pa.array(keep))
-
-            return run(kept())
-
-        return self.docs.mapInArrow(sieved, schema).unionByName(self.rest.mapInArrow(run, schema))
+        kept = sieve(self.skip, self.docs.sparkSession, 0, False)
+        return self.docs.mapInArrow(lambda batches: run(kept(batches)), schema).unionByName(self.rest.mapInArrow(run, schema))
 
 
 def one_each(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> OneEach:
@@ -193,19 +233,12 @@ def one_each(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> On
     several = sets.where("sig is not null").groupBy("sig").agg(F.min("rowkey").alias("stays"), F.max("rowkey").alias("last")).where("stays < last")
     copies = materialize(sets.join(several, "sig").where("rowkey <> stays").select("rowkey").distinct(), "copies")
     keyed = docs.select(row_key(id_col, text_col).alias("rowkey"), F.col(text_col).cast("string").alias("text"))
-    skip = docs.sparkSession.sparkContext.broadcast(bloom_build(copies))
-
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = bloom_has(skip.value, b.column(0).to_numpy(zero_copy_only=False))
-            if keep.any():
-                yield b.filter(pa.array(keep))
-
-    rest = keyed.mapInArrow(held, "rowkey long, text string").join(copies, "rowkey", "left_anti")
+    skip = bloom_build(copies)
+    rest = keyed.mapInArrow(sieve(skip, docs.sparkSession, 0), "rowkey binary, text string").join(copies, "rowkey", "left_anti")
     return OneEach(keyed, skip, materialize(rest, "rest"))
 
 
-def document_coarse(docs: OneEach, n: int, num: int, den: int, bloom: np.ndarray) -> DataFrame:
+def document_coarse(docs: OneEach, n: int, num: int, den: int, bloom: np.ndarray, clashes: frozenset[int]) -> DataFrame:
     """``(c, sig, need)``: the coarse tokens of every document that may be in a Bloom filter.
 
     Documents with fewer such tokens than their need link with nothing and are left out.
@@ -215,10 +248,10 @@ def document_coarse(docs: OneEach, n: int, num: int, den: int, bloom: np.ndarray
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = shared.value
         for _, data, offs in text_slices(batches, "text"):
-            sets = [s for s in shingle_sets(data, offs, n) if len(s)]
+            sets = [s for s in shingle_sets(data, offs, n) if s.size]
             coarse, need = [], []
             for s in sets:
-                c, least = coarse_tokens(s, num, den)
+                c, least = coarse_tokens(s.hash, num, den)
                 coarse.append(c)
                 need.append(least)
             flat = np.concatenate(coarse) if coarse else np.zeros(0, np.uint64)
@@ -227,7 +260,7 @@ def document_coarse(docs: OneEach, n: int, num: int, den: int, bloom: np.ndarray
             coarse = [flat[a:b][keep[a:b]] for a, b in zip(cut[:-1], cut[1:], strict=True)]
             used = [i for i, c in enumerate(coarse) if len(c) >= need[i]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([signature(sets[i]) for i in used], pa.int64()), pa.array([need[i] for i in used], pa.int64()), _ragged([coarse[i] for i in used])], ["sig", "need", "coarse"]
+                [pa.array([node_of(signature(sets[i]), clashes) for i in used], pa.int64()), pa.array([need[i] for i in used], pa.int64()), _ragged([coarse[i] for i in used])], ["sig", "need", "coarse"]
             )
 
     return docs.scan(scan, "sig long, need long, coarse array<long>").select(F.explode("coarse").alias("c"), "sig", "need")
@@ -243,7 +276,7 @@ def shared_coarse(docs: OneEach, n: int, num: int, den: int, ranges: int) -> Dat
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offs in text_slices(batches, "text"):
-            tokens = [coarse_tokens(s, num, den)[0] for s in shingle_sets(data, offs, n)]
+            tokens = [coarse_tokens(s.hash, num, den)[0] for s in shingle_sets(data, offs, n)]
             c = np.sort(np.concatenate(tokens)) if tokens else np.zeros(0, np.uint64)
             place = (c >> np.uint64(48 - bits)).astype(np.int64)
             cut = np.searchsorted(place, np.arange(ranges + 1))
@@ -262,27 +295,39 @@ def shared_coarse(docs: OneEach, n: int, num: int, den: int, ranges: int) -> Dat
     return docs.scan(deal, "range int, tokens binary").groupBy("range").applyInArrow(count, "c long")
 
 
-def _fetch_sets(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFrame) -> DataFrame:
-    """``(sig, tokens)`` of the wanted signatures, from the texts of one document each."""
+def _fetch_sets(docs: DataFrame, id_col: str, text_col: str, n: int, wanted: DataFrame, clashes: frozenset[int]) -> DataFrame:
+    """``(sig, tokens, checks)`` of the wanted signatures, from the texts of one document each."""
     spark = docs.sparkSession
-    bloom = spark.sparkContext.broadcast(bloom_build(wanted.select("rowkey")))
+    kept = sieve(bloom_build(wanted.select("rowkey")), spark, 0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def kept() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep = bloom_has(bloom.value, b.column(0).to_numpy(zero_copy_only=False))
-                if keep.any():
-                    yield b.filter(pa.array(keep))
-
-        for _, data, offs in text_slices(kept(), "text"):
-            sets = [s for s in shingle_sets(data, offs, n) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.int64()), _ragged(sets)], ["sig", "tokens"])
+        for _, data, offs in text_slices(kept(batches), "text"):
+            sets = [s for s in shingle_sets(data, offs, n) if s.size]
+            marks = pa.array([node_of(signature(s), clashes) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([marks, _ragged([s.hash for s in sets]), _ragged([s.check for s in sets])], ["sig", "tokens", "checks"])
 
-    found = docs.select(row_key(id_col, text_col).alias("rowkey"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, "sig long, tokens array<long>")
+    keyed = docs.select(row_key(id_col, text_col).alias("rowkey"), F.col(text_col).cast("string").alias("text"))
+    found = keyed.mapInArrow(scan, "sig long, tokens array<long>, checks array<long>")
     return found.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
 
 
-def open_group(sigs: np.ndarray, tokens: list[np.ndarray], member: np.ndarray, inner: bool, num: int, den: int) -> list[tuple[int, int]]:
+def _local_ids(tokens: list[np.ndarray], checks: list[np.ndarray]) -> tuple[np.ndarray, int]:
+    """Numbers from 0 for the 128-bit shingles of a task, flat, and how many there are."""
+    h, c = np.concatenate(tokens), np.concatenate(checks)
+    order = np.argsort(h, kind="stable")
+    tied = h[order][1:] == h[order][:-1]
+    same = c[order][1:] == c[order][:-1]
+    if not same[tied].all():
+        order = np.lexsort((c, h))
+        tied = h[order][1:] == h[order][:-1]
+        same = c[order][1:] == c[order][:-1]
+    number = np.concatenate([[0], np.cumsum(~(tied & same))])
+    local = np.empty(len(h), np.int64)
+    local[order] = number
+    return local, int(number[-1]) + 1
+
+
+def open_group(sigs: np.ndarray, tokens: list[np.ndarray], checks: list[np.ndarray], member: np.ndarray, inner: bool, num: int, den: int) -> list[tuple[int, int]]:
     """Links of one group's task, as a spanning forest.
 
     ``member`` marks the group's own sets, the others are queries.  Queries
@@ -293,16 +338,16 @@ def open_group(sigs: np.ndarray, tokens: list[np.ndarray], member: np.ndarray, i
     if len(size) < 2:
         return []
     owner = np.repeat(np.arange(len(size)), size)
-    flat, local = np.unique(np.concatenate(tokens), return_inverse=True)
-    union = np.zeros(len(flat), bool)
+    local, shingles = _local_ids(tokens, checks)
+    union = np.zeros(shingles, bool)
     union[local[member[owner]]] = True
     overlap = np.bincount(owner[union[local]], minlength=len(size))
     alive = member | (overlap * den >= size * num)
     # a set needs num/den of its shingles in other live sets it may be compared with
     while True:
         live = alive[owner]
-        df = np.bincount(local[live], minlength=len(flat))
-        from_member = np.bincount(local[live & member[owner]], minlength=len(flat))
+        df = np.bincount(local[live], minlength=shingles)
+        from_member = np.bincount(local[live & member[owner]], minlength=shingles)
         reach = np.where(member[owner], (df if inner else df - from_member)[local] > (1 if inner else 0), from_member[local] > 0)
         shared = np.bincount(owner[reach & live], minlength=len(size))
         nxt = alive & (shared * den >= size * num)
@@ -314,7 +359,7 @@ def open_group(sigs: np.ndarray, tokens: list[np.ndarray], member: np.ndarray, i
     live = alive[owner]
     order = np.argsort(local[live], kind="stable")
     posting_doc = owner[live][order]
-    begins = np.searchsorted(local[live][order], np.arange(len(flat) + 1))
+    begins = np.searchsorted(local[live][order], np.arange(shingles + 1))
     starts = np.concatenate([[0], np.cumsum(size)])
     parent = list(range(len(size)))
 
@@ -371,9 +416,9 @@ def jaccard_components(
 
 def _labelled(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, group_volume: int) -> DataFrame:
     """``(id, rowkey, n, comp)`` of every row; ``comp`` is null without shingles."""
-    sets = materialize(document_sets(docs, id_col, text_col, n), "sets")
-    comps = connected_components(similar_edges(docs, sets, n, num, den, id_col, text_col, group_volume))
-    joined = sets.select("id", "rowkey", "n", "sig").join(comps.withColumnRenamed("node", "sig"), "sig", "left")
+    sets, clashes = with_nodes(materialize(document_sets(docs, id_col, text_col, n), "sets"))
+    comps = connected_components(similar_edges(docs, sets, clashes, n, num, den, id_col, text_col, group_volume))
+    joined = sets.join(comps.withColumnRenamed("node", "sig"), "sig", "left")
     return joined.select("id", "rowkey", "n", F.coalesce("comp", "sig").alias("comp"))
 
 
@@ -387,12 +432,12 @@ def deduplicate(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, id_col
     order = F.struct(F.col("id").isNull().alias("none"), "id", "rowkey")
     several = labelled.where("comp is not null").groupBy("comp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     several = materialize(several.select("comp", F.col("first.rowkey").alias("kept")), "several")
-    marks = labelled.join(several, "comp").groupBy("rowkey").agg(F.max(F.col("rowkey") == F.col("kept")).alias("__stays")).withColumnRenamed("rowkey", "__key")
-    marks = materialize(marks, "marks")
-    sure, maybe = split_by_keys(docs, row_key(id_col, text_col), marks.select("__key"))
-    told = maybe.join(marks, "__key", "left")
-    once = told.where("__stays").dropDuplicates(["__key"])  # equal rows are one
-    return sure.unionByName(told.where("__stays is null").select(*docs.columns)).unionByName(once.select(*docs.columns))
+    marks = materialize(labelled.join(several, "comp").groupBy("rowkey").agg(F.max(F.col("rowkey") == F.col("kept")).alias("stays")), "marks")
+    sure, maybe, key = split_by_keys(docs, row_key(id_col, text_col), marks.select("rowkey"))
+    (stays,) = fresh(maybe, "stays")
+    told = maybe.join(marks.toDF(key, stays), key, "left")
+    once = told.where(F.col(stays)).dropDuplicates([key])  # equal rows are one
+    return sure.unionByName(told.where(F.col(stays).isNull()).select(*quoted(docs))).unionByName(once.select(*quoted(docs)))
 
 
 def _needed(tokens: DataFrame) -> DataFrame:
@@ -401,14 +446,14 @@ def _needed(tokens: DataFrame) -> DataFrame:
     return tokens.join(enough, "sig", "left_semi")
 
 
-def similar_edges(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, group_volume: int) -> DataFrame:
+def similar_edges(docs: DataFrame, sets: DataFrame, clashes: frozenset[int], n: int, num: int, den: int, id_col: str, text_col: str, group_volume: int) -> DataFrame:
     """Spanning-forest links ``(a, b)`` between signatures (steps 2-5)."""
     unique = one_each(docs, sets, id_col, text_col)
     shingles = sets.agg(F.sum("n")).first()[0] or 0
     ranges = 1 << max(4, int(shingles // RANGE_TOKENS).bit_length())
     shared = materialize(shared_coarse(unique, n, num, den, ranges), "shared")
-    # few tokens are shared: a fixed-size filter keeps most others out of the exact join
-    some = document_coarse(unique, n, num, den, bloom_build(shared, SHARED_BITS))
+    # few tokens are shared: a filter keeps most others out of the exact join
+    some = document_coarse(unique, n, num, den, bloom_build(shared), clashes)
     pairs = materialize(_needed(some.join(shared, "c").select("c", "sig", "need").distinct()), "pairs")
     ends = pairs.groupBy("c").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").select("c", "lo")
     met = materialize(_needed(pairs.join(ends, "c")), "met")
@@ -448,17 +493,19 @@ def similar_edges(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int,
     # a group of one set without queries has nothing to compare
     alone = tasks.groupBy("g", "block").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g", "block")
     tasks = tasks.join(alone, ["g", "block"], "left_semi")
-    texts = _fetch_sets(docs, id_col, text_col, n, grouped.select("sig", "rowkey"))
+    texts = _fetch_sets(docs, id_col, text_col, n, grouped.select("sig", "rowkey"), clashes)
 
     def verify(table: pa.Table) -> pa.Table:
         sig = table.column("sig").to_numpy()
         order = np.argsort(sig, kind="stable")
         sig = sig[order]
         member = table.column("member").to_numpy()[order]
-        flat = table.column("tokens").combine_chunks()
-        values, offs = flat.values.to_numpy(), flat.offsets.to_numpy()
-        tokens = [values[offs[i] : offs[i + 1]] for i in order]
-        links = open_group(sig, tokens, member, table.column("block")[0].as_py() == 0, num, den)
+        lanes = []
+        for lane in ("tokens", "checks"):
+            flat = table.column(lane).combine_chunks()
+            values, offs = flat.values.to_numpy(), flat.offsets.to_numpy()
+            lanes.append([values[offs[i] : offs[i + 1]] for i in order])
+        links = open_group(sig, *lanes, member, table.column("block")[0].as_py() == 0, num, den)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return tasks.join(texts, "sig").groupBy("g", "block").applyInArrow(verify, "a long, b long")

@@ -29,7 +29,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_control_strings(turns: DataFrame) -> DataFrame:
     """Adds conversation -7, whose texts hold the template's own marks."""
     said = r"\### Assistant: </turn> ok"
-    extra = turns.sparkSession.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = turns.sparkSession.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
+    )
     return turns.select("conv_id", "turn", "role", "text").unionByName(extra)
 
 
@@ -38,7 +40,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derivatives(table(spark, sf_dir, "pages"))
+    return derivatives(table(spark, sf_dir, "pages"), responses=True)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +65,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,10 +140,23 @@ dw AS (
 ), occ AS (
   SELECT doc_id, item_id, p, win.k FROM (SELECT doc_id, k, p, array_to_string(ws[p:p + k - 1], ' ') AS g FROM dw) x JOIN win ON win.k = x.k AND win.g = x.g
 ), hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM occ) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM occ) GROUP BY doc_id)
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM occ) GROUP BY doc_id),
+tok AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM d),
+cf AS (SELECT w, count(*) AS n FROM tok GROUP BY w),
+pw AS (SELECT g, string_split(g, ' ') AS gw FROM (SELECT DISTINCT g FROM win)),
+tw AS (SELECT g, w, min(place) AS place FROM (SELECT g, unnest(gw) AS w, unnest(range(1, len(gw) + 1)) AS place FROM pw) GROUP BY g, w),
+rk AS (SELECT g, tw.w, place, row_number() OVER (PARTITION BY g ORDER BY coalesce(n, 0), tw.w) AS r FROM tw LEFT JOIN cf ON cf.w = tw.w),
+pr AS (SELECT a.g, a.w AS w0, b.w AS w1, b.place - a.place AS gap FROM rk a LEFT JOIN rk b ON b.g = a.g AND b.r = 2 WHERE a.r = 1),
+up AS (SELECT w0, w1, gap, count(*) AS n FROM pr GROUP BY w0, w1, gap),
+nr AS (
+  SELECT doc_id, sum(n) AS n_near FROM (
+    SELECT DISTINCT x.doc_id, w0, w1, gap, up.n FROM up JOIN tok x ON x.w = w0 JOIN tok y ON y.w = w1 AND y.doc_id = x.doc_id WHERE abs(y.pos - x.pos - gap) <= 3
+    UNION ALL SELECT DISTINCT x.doc_id, w0, w1, gap, up.n FROM up JOIN tok x ON x.w = w0 WHERE w1 IS NULL
+  ) GROUP BY doc_id
+)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id LEFT JOIN nr ON nr.doc_id = d.doc_id
 """
 
 ORACLE_SQL: dict[str, str] = {

@@ -1,21 +1,22 @@
 """Vectorised word hashing over Arrow text slices.
 
-Words are maximal runs of word bytes in UTF-8.  A word's 64-bit hash is a
-polynomial over per-byte random values, mixed; A-Z and a-z share a value, so
-hashes are those of the lower-cased word.
+Words are maximal runs of word bytes in UTF-8, A-Z lower-cased.  A word's
+digest has two 64-bit lanes with constants of their own.  Each lane chains a
+bijective mix over the word's eight-byte blocks, its length first; words over
+64 bytes are digested by BLAKE2b instead.  Lane ``hash`` names words in joins
+and filters; wherever equality decides a result, lane ``check`` (so 128 bits)
+or the words themselves are compared too.
 """
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 import numpy as np
 
 from loamstat.llm.common import mix64
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
 SPACED = np.ones(256, bool)
 SPACED[[0x20, *range(0x09, 0x0E)]] = False
 
@@ -25,35 +26,60 @@ ALNUM[ord("a") : ord("z") + 1] = True
 ALNUM[ord("A") : ord("Z") + 1] = True
 ALNUM[0x80:] = True
 
-_BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Longer words (in bytes) are digested one by one.
+_LONG = 64
+#: Keeps the first 0 to 8 bytes of a little-endian block.
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        size = 1 << max(n - 1, 1).bit_length()
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"], _powers["down"]
+def _mix_check(x: np.ndarray) -> np.ndarray:
+    """The second lane's bijective mix (other shifts and multipliers than ``mix64``)."""
+    x = x * np.uint64(0x9FB21C651E98DF25)
+    x ^= x >> np.uint64(35)
+    x *= np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(28)
+    return x
 
 
 class Words(NamedTuple):
-    """Word spans of a slice: byte start and end, row, 64-bit hash."""
+    """Word spans of a slice: byte start and end, row, both lanes of the digest (``check`` only if asked for)."""
 
     start: np.ndarray
     end: np.ndarray
     doc: np.ndarray
     hash: np.ndarray
-
-
-def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray = SPACED) -> Words:
-    none = np.zeros(0, np.int64)
-    if len(data) == 0:
-        return Words(none, none, none, np.zeros(0, np.uint64))
+    check: np.ndarray | None = None
+
+
+def _digests(low: np.ndarray, start: np.ndarray, length: np.ndarray, checked: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Both lanes of the words at ``start`` in lower-cased bytes that eight spare bytes follow."""
+    at_byte = np.ndarray(len(low) - 7, "<u8", low, strides=(1,))  # the eight bytes at every place
+    size = length.astype(np.uint64)
+    h = mix64(size + np.uint64(0x632BE59BD9B4E019))
+    c = _mix_check(size + np.uint64(0xE7037ED1A0B428DB)) if checked else None
+    block = at_byte[start] & _KEEP[np.minimum(length, 8)]
+    h = mix64(h ^ block)
+    c = _mix_check(c ^ block) if checked else None
+    live = np.flatnonzero(length > 8)
+    for k in range(8, _LONG, 8):
+        block = at_byte[start[live] + k] & _KEEP[np.minimum(length[live] - k, 8)]
+        h[live] = mix64(h[live] ^ block)
+        if checked:
+            c[live] = _mix_check(c[live] ^ block)
+        live = live[length[live] > k + 8]
+    for i in live:
+        d = hashlib.blake2b(low[start[i] : start[i] + length[i]].tobytes(), digest_size=16).digest()
+        h[i] = int.from_bytes(d[:8], "little")
+        if checked:
+            c[i] = int.from_bytes(d[8:], "little")
+    return h, c
+
+
+def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray = SPACED, checked: bool = False) -> Words:
+    none, empty = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     inside = kind[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offs] = True
@@ -64,19 +90,31 @@ def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray = SPACED) -> Word
     start = np.flatnonzero(first)
     end = np.flatnonzero(last) + 1
     if len(start) == 0:
-        return Words(none, none, none, np.zeros(0, np.uint64))
-    up, down = _power(len(data))
-    value = np.where(kind, _BYTE, np.uint64(0))[data]
-    value *= up[: len(data)]
-    h = np.add.reduceat(value, start)
-    h *= down[start]
+        return Words(none, none, none, empty, empty if checked else None)
+    low = np.zeros(len(data) + 8, np.uint8)
+    low[: len(data)] = _LOWER[data]
+    h, c = _digests(low, start, end - start, checked)
     doc = np.searchsorted(offs, start, "right") - 1
-    return Words(start, end, doc, mix64(h))
+    return Words(start, end, doc, h, c)
+
+
+def phrases(data: np.ndarray, w: Words, at: np.ndarray, n: np.ndarray) -> list[str]:
+    """The lower-cased words from word ``at[i]`` on, ``n[i]`` of them, joined by one space."""
+    low = _LOWER[data].tobytes()
+    return [b" ".join([low[w.start[j] : w.end[j]] for j in range(a, a + k)]).decode() for a, k in zip(at.tolist(), n.tolist(), strict=True)]
 
 
 _MULTIPLIERS = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
+def _combined(lane: np.ndarray, at: np.ndarray, steps: tuple[int, ...]) -> np.ndarray:
+    h = np.zeros(len(at), np.uint64)
+    for k, s in enumerate(steps):
+        h += lane[at + s] * _MULTIPLIERS[k]
+    h += mix64(np.array([len(steps) * 1_000_003 + steps[-1]], np.uint64))[0]
+    return h
+
+
 def ngrams(w: Words, n: int, steps: tuple[int, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of word n-grams and the word index each starts at.
 
@@ -90,17 +128,12 @@ def ngrams(w: Words, n: int, steps: tuple[int, ...] | None = None) -> tuple[np.n
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     m = len(w.hash) - reach
     at = np.flatnonzero(w.doc[:m] == w.doc[reach:])
-    h = np.zeros(len(at), np.uint64)
-    for k, s in enumerate(steps):
-        h += w.hash[at + s] * _MULTIPLIERS[k]
-    h += mix64(np.array([len(steps) * 1_000_003 + reach], np.uint64))[0]
-    return mix64(h), at
+    return mix64(_combined(w.hash, at, steps)), at
 
 
-def word_hash(word: str) -> int:
-    """The hash of one word, as ``words`` gives it (for fixed phrases)."""
-    data = np.frombuffer(word.encode(), np.uint8)
-    return int(words(data, np.array([0, len(data)]), np.ones(256, bool)).hash[0])
+def ngram_checks(w: Words, at: np.ndarray, n: int) -> np.ndarray:
+    """The second lane of the n-grams that start at ``at``."""
+    return _mix_check(_combined(w.check, at, tuple(range(n))))
 
 
 def phrase_words(text: str, kind: np.ndarray = ALNUM) -> np.ndarray:

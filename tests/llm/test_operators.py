@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamstat.llm import chat_format, common, decontamination, jaccard_join, license_scan, media_chunks, mixing, quality, token_counts, toxicity, warc
+from loamstat.llm.common import mix64
 from loamstat.llm.wordhash import ALNUM, SPACED, ngrams, words
 
 
@@ -96,7 +97,7 @@ def test_jaccard_components_match_brute_force(spark, n, num, den, volume):
 def test_coarse_tokens_lose_no_pair():
     """Sets that differ as much as the threshold allows share a coarse token, at every size."""
     rng = np.random.default_rng(3)
-    for num, den in ((9, 10), (8, 10)):
+    for num, den in ((9, 10), (8, 10), (3, 5), (1, 2)):
         for size in [*range(2, 60), 97, 150, 333, 1200]:
             for _ in range(4):
                 common_part = rng.integers(0, 1 << 63, size, dtype=np.uint64)
@@ -109,6 +110,74 @@ def test_coarse_tokens_lose_no_pair():
                 assert both >= max(na, nb) or np.array_equal(a, b) or len(np.intersect1d(a, b)) * den < num * len(np.union1d(a, b))
 
 
+def mirror(n: int) -> tuple[str, str]:
+    """A Thue-Morse word of n letters and its complement: equal under any power-sum hash that wraps at 2^64."""
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_structured_words_stay_apart(spark):
+    sizes = [8, 64, 1024, 2048]
+    assert all(len(x) == n and mirror(n)[0] != mirror(n)[1] for n in sizes for x in mirror(n))
+    rows = [(10 * i + j, x) for i, n in enumerate(sizes) for j, x in enumerate((*mirror(n), mirror(n)[0].upper()))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_components(docs).toPandas().set_index("doc_id")
+    assert got.component_id.to_dict() == {d: d - 2 if d % 10 == 2 else d for d, _ in rows}
+    items = spark.createDataFrame([(n, mirror(n)[0]) for n in sizes], "item_id long, text string")
+    hits = decontamination.contamination(docs, items).toPandas().set_index("doc_id")
+    assert hits.n_hit.to_dict() == {d: int(d % 10 != 1) for d, _ in rows}
+
+
+def cut_to_16_bits(w):
+    return w._replace(hash=mix64(w.hash & np.uint64(0xFFFF)))
+
+
+def test_jaccard_is_right_with_16_bit_hashes(spark, monkeypatch):
+    """With first lanes of 16 bits, sets, signatures and the opened groups still tell all shingles apart."""
+    texts = [t for t in family(random.Random(2), 120, (300, 900))]
+    real, grams = jaccard_join.words, jaccard_join.ngrams
+    monkeypatch.setattr(jaccard_join, "words", lambda *a, **k: cut_to_16_bits(real(*a, **k)))
+    monkeypatch.setattr(jaccard_join, "ngrams", lambda *a: (lambda h, at: (h & np.uint64(0xFFFF), at))(*grams(*a)))
+    sets = jaccard_join.shingle_sets(*flat(texts), 3)
+    plain = [re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for t in texts]
+    assert [s.size for s in sets] == [len(set(zip(w, w[1:], w[2:]))) for w in plain]
+    assert sum(len(np.unique(s.hash)) < s.size for s in sets) > 10
+    marks = [jaccard_join.signature(s) for s in sets]
+    assert len(set(marks)) == len({frozenset(zip(w, w[1:], w[2:])) for w in plain})
+    sigs = np.arange(len(sets))
+    links = jaccard_join.open_group(sigs, [s.hash for s in sets], [s.check for s in sets], np.ones(len(sets), bool), True, 9, 10)
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert root == brute_components(texts, 3, 9, 10)
+
+
+def test_clashing_signatures_get_nodes_of_their_own(spark):
+    rows = [(1, b"1" * 16, 3, 7, 1), (2, b"2" * 16, 3, 7, 2), (3, b"3" * 16, 3, 7, 2), (4, b"4" * 16, 3, 8, 2), (5, b"5" * 16, 0, None, None)]
+    sets, clashes = jaccard_join.with_nodes(spark.createDataFrame(rows, "id long, rowkey binary, n long, sig long, sig2 long"))
+    node = {r.id: r.sig for r in sets.collect()}
+    assert clashes == {7} and node[1] != node[2] == node[3] and node[4] == 8 and node[5] is None
+    assert node[1] == jaccard_join.node_of((7, 1), clashes)
+
+
+@pytest.mark.parametrize("most", [1 << 16, 1 << 29])
+def test_bloom_filter_has_no_false_negatives(spark, most):
+    """Also where far more keys than it is made for saturate it."""
+    keys = spark.range(100_000).select(F.xxhash64("id").alias("k"))
+    bloom = common.bloom_build(keys, most)
+    mine = keys.toPandas().k.to_numpy()
+    other = spark.range(100_000, 200_000).select(F.xxhash64("id").alias("k")).toPandas().k.to_numpy()
+    assert common.bloom_has(bloom, mine).all()
+    share = common.bloom_has(bloom, other).mean()
+    assert share < 0.05 if most > 1 << 20 else share > 0.9
+    docs = spark.createDataFrame([(i, "x") for i in range(50)], "doc_id long, text string")
+    gone = docs.where("doc_id % 3 = 0").select(common.row_key().alias("k"))
+    assert sorted(r.doc_id for r in common.drop_keys(docs, common.row_key(), gone).collect()) == [i for i in range(50) if i % 3]
+
+
 def test_decontamination_matches_brute_force(spark):
     rng = random.Random(5)
     common_words = ["the", "of", "and", "in"]
@@ -138,16 +207,34 @@ def test_decontamination_matches_brute_force(spark):
         assert (got.n_words[i], got.n_hit[i], list(got["items"][i])) == (len(w), len(hit), sorted(names)), i
 
 
-def test_proximity_allows_slop(spark):
-    items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha beta x gamma y delta"), (3, "alpha " + "x " * 30 + "beta gamma delta")], "doc_id long, text string")
-    item = decontamination.item_words(items)
-    terms = item.selectExpr("explode(terms) AS term").distinct()
-    anchors = decontamination.window_anchors(item, decontamination.term_frequencies(docs, terms), 10, 4)
-    index = decontamination.positional_index(docs, terms)
-    near = decontamination.proximity(index, anchors, 2).join(index, "doc").toPandas()
-    exact = decontamination.proximity(index, anchors, 0).join(index, "doc").toPandas()
-    assert set(near.doc_id) == {1, 2} and set(exact.doc_id) == {1}
+def test_proximity_counts_windows_within_slop(spark):
+    """``n_near`` against brute force over the windows' two rarest words."""
+    rng = random.Random(8)
+    vocabulary = [f"t{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 6, 14])))) for i in range(12)] + [(50, "x x x"), (51, "alpha beta gamma delta")]
+    docs = [(i, " ".join(rng.choice(vocabulary + ["x"]) for _ in range(rng.randint(0, 150)))) for i in range(60)]
+    docs += [(100, "alpha beta gamma delta"), (101, "alpha beta x gamma y delta"), (102, "alpha " + "x " * 30 + "beta gamma delta")]
+    cf: dict = {}
+    for _, t in docs:
+        for w in t.split():
+            cf[w] = cf.get(w, 0) + 1
+    windows = {tuple(w[a : a + min(10, len(w))]) for _, t in items for w in [t.split()] for a in range(len(w) - min(10, len(w)) + 1)}
+    for slop in (0, 2):
+        got = decontamination.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), slop=slop).toPandas().set_index("doc_id")
+        for i, text in docs:
+            places: dict = {}
+            for p, w in enumerate(text.split()):
+                places.setdefault(w, []).append(p)
+            near = 0
+            for win in windows:
+                order = sorted(set(win), key=lambda w: (cf.get(w, 0), w))
+                a = order[0]
+                if len(order) == 1:
+                    near += a in places
+                    continue
+                gap = win.index(order[1]) - win.index(a)
+                near += any(abs(q - p - gap) <= slop for p in places.get(a, []) for q in places.get(order[1], []))
+            assert got.n_near[i] == near, (slop, i)
 
 
 def test_license_base_places_match_brute_force(spark):
