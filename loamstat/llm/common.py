@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -110,7 +111,10 @@ def quoted(df: DataFrame) -> list[Column]:
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """A name for each of ``names`` that no column of ``df`` has."""
-    taken = {c.lower() for c in df.columns}
+    return _apart({c.lower() for c in df.columns}, names)
+
+
+def _apart(taken: set[str], names: Iterable[str]) -> list[str]:
     out = []
     for name in names:
         while name.lower() in taken:
@@ -120,6 +124,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``mapInArrow`` that keeps the columns, also those whose names ``mapInArrow`` can't resolve."""
+    plain = df.toDF(*_apart(set(), [re.sub(r"\W", "_", c) for c in df.columns]))
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 # --- Bloom prefilter -------------------------------------------------------
 
 #: Bits of a filter for each of its keys (2 % false alarms or fewer with four probes).
@@ -238,7 +248,7 @@ def split_by_keys(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFram
     (name,) = fresh(df, "row_key")
     keyed = df.withColumn(name, key)
     last = len(df.columns)
-    return keyed.mapInArrow(sieve(bloom, spark, last, False), keyed.schema).select(*quoted(df)), keyed.mapInArrow(sieve(bloom, spark, last), keyed.schema), name
+    return map_rows(keyed, sieve(bloom, spark, last, False)).select(*quoted(df)), map_rows(keyed, sieve(bloom, spark, last)), name
 
 
 def drop_keys(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:

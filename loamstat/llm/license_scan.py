@@ -8,8 +8,8 @@ diagonal; neighbouring diagonals of one template (shifted by inserted or
 missing words) whose spans follow each other are merged into one candidate
 span.  Spans are verified word by word against the text of those documents.
 
-A base phrase stands at a place exactly where all its k-grams vote for the
-same diagonal; the place is the diagonal.
+Where all k-grams of a base phrase vote for the same diagonal the phrase may
+stand at that diagonal; it counts if the words there are the phrase's.
 
 The template table is a fixed parameter of a few hundred rows, so it is
 broadcast; the documents' side of the join is a map without a shuffle.
@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loamstat.llm.common import bloom_build, bloom_has, materialize, text_slices
-from loamstat.llm.wordhash import ALNUM, Words, as_long, ngrams, phrase_words, words
+from loamstat.llm.common import bloom_build, flat_bytes, materialize, row_key, sieve, text_slices
+from loamstat.llm.wordhash import ALNUM, Words, as_long, ngrams, phrase_words, phrases, words
 
 #: The phrases that the base rule counts, with their labels.
 BASE_PHRASES = (
@@ -90,11 +90,11 @@ def document_grams(docs: DataFrame, k: int) -> DataFrame:
                 ["doc_id", "doc", "n_words", "grams"],
             )
 
-    return _keyed(docs).mapInArrow(scan, "doc_id long, doc long, n_words long, grams array<long>")
+    return _keyed(docs).mapInArrow(scan, "doc_id long, doc binary, n_words long, grams array<long>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("doc"), F.col("text").cast("string").alias("text"))
 
 
 def diagonal_votes(grams: DataFrame, templates: DataFrame) -> DataFrame:
@@ -124,8 +124,14 @@ def merged_spans(votes: DataFrame, p: ScanParams) -> DataFrame:
     ).drop("chain")
 
 
+def word_ids(own: list[str], template: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Both word lists as numbers that are equal where the words are (-1: not in the template)."""
+    number = {w: i for i, w in enumerate(dict.fromkeys(template))}
+    return np.array([number.get(w, -1) for w in own], np.int64), np.array([number[w] for w in template], np.int64)
+
+
 def ordered_cover(text: np.ndarray, template: np.ndarray) -> float:
-    """Longest common subsequence over the template's length (word hashes)."""
+    """Longest common subsequence over the template's length (numbers of words)."""
     best = np.zeros(len(template) + 1, np.int64)
     for h in text:
         step = np.where(template == h, best[:-1] + 1, best[1:])
@@ -133,49 +139,64 @@ def ordered_cover(text: np.ndarray, template: np.ndarray) -> float:
     return best[-1] / max(len(template), 1)
 
 
-def license_spans(docs: DataFrame, grams: DataFrame, templates: tuple[tuple[str, str], ...], votes: DataFrame, p: ScanParams) -> DataFrame:
-    """Verified spans ``(doc, template, first, last, cover)``."""
-    least = F.element_at(F.array(*[F.lit(max(1, int(np.ceil((len(phrase_words(t)) - p.k + 1) * 0.4)))) for t, _ in templates]), F.col("template") + 1)
-    spans = merged_spans(votes, p).where(F.col("votes") >= least)
-    wanted = materialize(spans.groupBy("doc").agg(F.collect_list(F.struct("template", "first", "last")).alias("spans")), "spans")
-    bloom = docs.sparkSession.sparkContext.broadcast(bloom_build(wanted.select("doc")))
-    hashes = [phrase_words(t) for t, _ in templates]
-
-    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = bloom_has(bloom.value, b.column(0).to_numpy(zero_copy_only=False))
-            if keep.any():
-                yield b.filter(pa.array(keep))
+def license_spans(docs: DataFrame, templates: tuple[tuple[str, str], ...], votes: DataFrame, phrases_too: int, p: ScanParams) -> DataFrame:
+    """Verified spans ``(doc, template, first, last, cover, base)``.
 
-    texts = _keyed(docs).select("doc", "text").mapInArrow(sieve, "doc long, text string").dropDuplicates(["doc"])
+    ``base`` marks the places where one of the first ``phrases_too``
+    templates stands word by word.
+    """
+    said = [_words_of(t) for t, _ in templates]
+    grams = F.element_at(F.array(*[F.lit(len(t) - p.k + 1) for t in said]), F.col("template") + 1)
+    spans = merged_spans(votes, p).where(F.col("votes") >= F.greatest(F.lit(1), F.ceil(grams * F.lit(0.4)))).select("doc", "template", "first", "last", F.lit(False).alias("base"))
+    places = votes.where((F.col("template") < phrases_too) & (F.col("votes") == grams)).select(
+        "doc", "template", F.col("diagonal").alias("first"), (F.col("diagonal") + grams + p.k - 2).alias("last"), F.lit(True).alias("base")
+    )
+    span = F.struct("template", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"), "base")
+    wanted = materialize(spans.unionByName(places).groupBy("doc").agg(F.collect_list(span).alias("spans")), "spans")
+    kept = sieve(bloom_build(wanted.select("doc")), docs.sparkSession, 0)
+    texts = _keyed(docs).select("doc", "text").mapInArrow(kept, "doc binary, text string").join(wanted, "doc").dropDuplicates(["doc"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in text_slices(batches, "text"):
             w = words(data, offs, ALNUM)
             cut = np.searchsorted(w.doc, np.arange(part.num_rows + 1))
             out = []
+
+            def read(r: int, lo: int, hi: int) -> list[str]:
+                lo, hi = cut[r] + max(0, lo), min(cut[r + 1], cut[r] + hi)
+                return phrases(data, w, np.arange(lo, hi), np.ones(hi - lo, np.int64))
+
             for r, spans in enumerate(part.column(2).to_pylist()):
-                own = w.hash[cut[r] : cut[r + 1]]
                 for s in spans:
-                    t = hashes[s["template"]]
-                    # a template's edge words need not be in any matched gram
-                    lo, hi = max(0, s["first"] - len(t)), min(len(own), s["last"] + 1 + len(t))
-                    cover = ordered_cover(own[s["first"] : s["last"] + 1], t)
+                    t, first, last = said[s["template"]], s["first"], s["last"]
+                    if s["base"]:
+                        if read(r, first, last + 1) == t:
+                            out.append((part.column(0)[r].as_py(), s["template"], first, last, 1.0, True))
+                        continue
+                    cover = ordered_cover(*word_ids(read(r, first, last + 1), t))
                     if cover < 1:
-                        cover = max(cover, min(ordered_cover(own[lo:hi], t), cover + 2 * p.k / len(t)))
+                        # a template's edge words need not be in any matched gram
+                        around = ordered_cover(*word_ids(read(r, first - len(t), last + 1 + len(t)), t))
+                        cover = max(cover, min(around, cover + 2 * p.k / len(t)))
                     if cover >= p.cover:
-                        out.append((part.column(0)[r].as_py(), s["template"], s["first"], s["last"], float(cover)))
-            yield pa.RecordBatch.from_pylist([dict(zip(("doc", "template", "first", "last", "cover"), o, strict=True)) for o in out], schema=_SPANS)
+                        out.append((part.column(0)[r].as_py(), s["template"], first, last, float(cover), False))
+            yield pa.RecordBatch.from_pylist([dict(zip(_SPANS.names, o, strict=True)) for o in out], schema=_SPANS)
+
+    return texts.select("doc", "text", "spans").mapInArrow(verify, "doc binary, template int, first int, last int, cover double, base boolean")
+
 
-    return texts.join(wanted, "doc").select("doc", "text", "spans").mapInArrow(verify, "doc long, template int, first int, last int, cover double")
+_SPANS = pa.schema([("doc", pa.binary()), ("template", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("cover", pa.float64()), ("base", pa.bool_())])
 
 
-_SPANS = pa.schema([("doc", pa.int64()), ("template", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("cover", pa.float64())])
+def _words_of(text: str) -> list[str]:
+    data, offs = flat_bytes(pa.array([text]))
+    w = words(data, offs, ALNUM)
+    return phrases(data, w, np.arange(len(w.doc)), np.ones(len(w.doc), np.int64))
 
 
 def license_scan(
     docs: DataFrame,
-    phrases: tuple[tuple[str, str], ...] = BASE_PHRASES,
+    base_phrases: tuple[tuple[str, str], ...] = BASE_PHRASES,
     notices: tuple[tuple[str, str], ...] = NOTICES,
     p: ScanParams = ScanParams(),
 ) -> DataFrame:
@@ -186,19 +207,19 @@ def license_scan(
     Every phrase must have ``k`` words at least.
     """
     spark = docs.sparkSession
-    templates = (*phrases, *notices)
+    templates = (*base_phrases, *notices)
     if min(len(phrase_words(t)) for t, _ in templates) < p.k:
         raise ValueError("a template has fewer words than a gram")
     grams = document_grams(docs, p.k)
     votes = materialize(diagonal_votes(grams, template_grams(spark, templates, p.k)), "votes")
     label = F.element_at(F.array(*[F.lit(name) for _, name in templates]), F.col("template") + 1)
-    needed = F.element_at(F.array(*[F.lit(len(phrase_words(t)) - p.k + 1) for t, _ in templates]), F.col("template") + 1)
+    found = materialize(license_spans(docs, templates, votes, len(base_phrases), p), "found")
     base = (
-        votes.where((F.col("template") < len(phrases)) & (F.col("votes") == needed))
+        found.where("base")
         .groupBy("doc")
-        .agg(F.count(F.lit(1)).alias("n_base"), F.min("diagonal").alias("lo"), F.max("diagonal").alias("hi"), F.collect_set(label).alias("base_set"))
+        .agg(F.count(F.lit(1)).alias("n_base"), F.min("first").alias("lo"), F.max("first").alias("hi"), F.collect_set(label).alias("base_set"))
     )
-    spans = license_spans(docs, grams, templates, votes, p).groupBy("doc").agg(F.collect_set(label).alias("more"), F.max("cover").alias("cover"))
+    spans = found.where("not base").groupBy("doc").agg(F.collect_set(label).alias("more"), F.max("cover").alias("cover"))
     counts = docs_words(docs)
     none = F.array().cast("array<string>")
     joined = counts.join(base, "doc", "left").join(spans, "doc", "left")
@@ -223,4 +244,4 @@ def docs_words(docs: DataFrame) -> DataFrame:
             n = np.bincount(words(data, offs, ALNUM).doc, minlength=part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n.astype(np.int64))], ["doc_id", "doc", "n_words"])
 
-    return _keyed(docs).mapInArrow(scan, "doc_id long, doc long, n_words long")
+    return _keyed(docs).mapInArrow(scan, "doc_id long, doc binary, n_words long")

@@ -13,7 +13,7 @@ The stored form is a list of chunks:
 3. *Store.*  Each distinct file keeps an ordered chunk list.  Chunks of its
    own are stored with it; shared chunks are stored once, in a chunk table
    keyed by digest.  Which chunks are shared is told to the writing scan by a
-   Bloom filter of fixed size: a false alarm only sends a chunk to the chunk
+   Bloom filter: a false alarm only sends a chunk to the chunk
    table, where it is stored once all the same.
 4. *Read back.*  Files without shared chunks are put together from their own
    row.  The others join the chunk table by digest.  Every file read back is
@@ -33,10 +33,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstat.llm.common import bloom_build, bloom_has, materialize, text_slices
+from loamstat.llm.common import bloom_build, bloom_has, key_longs, materialize, text_slices
 
 RATE = 8000
 _GEAR = np.random.Generator(np.random.PCG64(4099)).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -174,11 +174,6 @@ class MediaStore:
     shared: DataFrame
 
 
-def _place(d: Column) -> Column:
-    """The first 60 bits of a digest as a long."""
-    return F.conv(F.substring(F.hex(d), 1, 15), 16, 10).cast("long")
-
-
 def store_media(docs: DataFrame, p: ChunkParams = ChunkParams()) -> MediaStore:
     """Write the chunked store; see the module's docstring, steps 1-3."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -192,13 +187,13 @@ def store_media(docs: DataFrame, p: ChunkParams = ChunkParams()) -> MediaStore:
 
     recipes = materialize(source.mapInArrow(name, "doc_id long, n_bytes long, file binary, digests array<binary>"), "recipes")
     met = recipes.select(F.explode("digests").alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("k"))
-    several = docs.sparkSession.sparkContext.broadcast(bloom_build(met.where("k > 1").select(_place(F.col("d")).alias("p"))))
+    several = docs.sparkSession.sparkContext.broadcast(bloom_build(materialize(met.where("k > 1").select("d"), "several")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, media, pieces, _ in _files(batches, p):
             marks = [[digest(c) for c in own] for own in pieces]
             flat = [d for own in marks for d in own]
-            far = bloom_has(several.value, np.array([int.from_bytes(d[:8], "big") >> 4 for d in flat], np.int64))
+            far = bloom_has(several.value, key_longs(pa.array(flat, pa.binary())))
             common: dict[bytes, bytes] = {}
             lists, at = [], 0
             for own, mark in zip(pieces, marks, strict=True):

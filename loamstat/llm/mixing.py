@@ -15,8 +15,12 @@ level of a reduction tree, until a source has one left, which is rounded by a
 last draw.  So a source's taken words differ from its target by less than one
 document, and no task sees more than a block.
 
+Equal rows (same id, source and text) are one member of a block, whatever
+their number: their common fraction, times their number, gives whole further
+copies, and what is left over is rounded as one document's fraction.
+
 The draws come from a generator keyed by seed, level, source and block, and
-documents meet in the order of their hashed ids: reruns agree on any cluster.
+rows meet in the order of their digests: reruns agree on any cluster.
 
 Edge cases: a null text has size 0 and is never taken; a null source is the
 last source; repeated rows are rows of their own; a source without words has
@@ -30,11 +34,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamstat.llm.common import materialize
+from loamstat.llm.common import digest_of, fresh, materialize, quoted
 
 #: Documents that meet in one task of a level.
 BLOCK = 8192
@@ -103,49 +106,56 @@ def mix_sources(
     block: int = BLOCK,
 ) -> DataFrame:
     """Rows ``doc_id, size, source_size, target, copies, taken``, one per document."""
-    return _mixed(docs, weights, amount, most, seed, block).drop("key")
+    each = _mixed(docs, weights, amount, most, seed, block).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    copies = F.col("whole") + (F.col("nth") <= F.col("more")).cast("long")
+    return each.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def repeat_mixed(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), amount: float = 1.5, most: float = 2.0, seed: int = 11, block: int = BLOCK) -> DataFrame:
     """The mix itself: every row as many times as it is taken, with its columns and ``copy`` from 1.
 
-    Equal rows (same id, source and text) share their copies.
+    Equal rows (same id, source and text) share their copies.  A column
+    named ``copy`` stays; the number is then called ``copy_``.
     """
-    plan = _mixed(docs, weights, amount, most, seed, block).groupBy("key").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    plan = plan.where("__copies > 0").withColumnRenamed("key", "__key")
-    kept = docs.withColumn("__key", _key()).join(plan, "__key")
-    kept = kept.where("__rows = 1").unionByName(kept.where("__rows > 1").dropDuplicates(["__key"]))
-    own = [c for c in docs.columns if c != "copy"]
-    return kept.select(*own, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy"))
+    plan = _mixed(docs, weights, amount, most, seed, block).select("key", F.col("rows").alias("rows"), (F.col("whole") * F.col("rows") + F.col("more")).alias("times")).where("times > 0")
+    copy, key, rows, times = fresh(docs, "copy", "key", "rows", "times")
+    kept = docs.withColumn(key, _key()).join(plan.toDF(key, rows, times), key)
+    kept = kept.where(F.col(rows) == 1).unionByName(kept.where(F.col(rows) > 1).dropDuplicates([key]))
+    return kept.select(*quoted(docs), F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(copy))
 
 
 def _key() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+    return digest_of(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
 
 
 def _mixed(docs: DataFrame, weights: tuple[float, ...], amount: float, most: float, seed: int, block: int) -> DataFrame:
+    """One line per distinct row: ``key, doc_id, size, source_size, target, rows, whole, more``.
+
+    Each of the ``rows`` equal rows is taken ``whole`` times, ``more`` of them once again.
+    """
     rows = docs.select(
         _key().alias("key"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         word_count(F.col("text").cast("string")).alias("size"),
     )
-    sized = materialize(rows, "sizes")
-    targets = source_targets(sized, weights, amount, most)
+    sized = materialize(rows.groupBy("key", "doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows")), "sizes")
+    targets = source_targets(sized.select("source", (F.col("size") * F.col("rows")).alias("size")), weights, amount, most)
     largest = targets.agg(F.max("docs").alias("m")).first()["m"] or 0
-    place = F.xxhash64("doc_id", "size", F.lit(seed))
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.when(F.col("size") > 0, factor).otherwise(F.lit(0.0))
     start = (
         sized.alias("s")
         .join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
-        .select("s.key", "s.doc_id", "s.source", "s.size", "t.source_size", "t.target", "t.docs", copies.alias("copies"))
-        .withColumn("whole", F.floor("copies").cast("double"))
-        .withColumn("part", F.col("copies") - F.col("whole"))
-        .withColumn("block", F.pmod(place, F.ceil(F.col("docs") / block).cast("long")))
-        .drop("docs", "copies")
+        .select("s.key", "s.doc_id", "s.source", "s.size", "s.rows", "t.source_size", "t.target", "t.docs", copies.alias("copies"))
+        .withColumn("whole", F.floor("copies"))
+        .withColumn("mass", (F.col("copies") - F.col("whole")) * F.col("rows"))
+        .withColumn("more", F.floor("mass"))
+        .withColumn("part", F.col("mass") - F.col("more"))
+        .withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed)), F.ceil(F.col("docs") / block).cast("long")))
+        .drop("docs", "copies", "mass")
     )
-    schema = "key long, doc_id long, source string, size long, source_size long, target double, whole double, part double, block long, open boolean"
+    schema = "key binary, doc_id long, source string, size long, rows long, source_size long, target double, whole long, more long, part double, block long, open boolean"
     pending, decided, level, blocks = start, [], 0, max(1, -(-largest // block))
     while True:
         last = blocks <= 1
@@ -156,20 +166,16 @@ def _mixed(docs: DataFrame, weights: tuple[float, ...], amount: float, most: flo
         pending = met.where("open").drop("open").withColumn("block", F.floor(F.col("block") / block).cast("long"))
         blocks, level = -(-blocks // block), level + 1
     done = decided[0]
-    for more in decided[1:]:
-        done = done.unionByName(more)
-    total = F.round(F.col("whole") + F.col("part")).cast("long")
-    return done.select("key", "doc_id", "size", "source_size", "target", total.alias("copies"), (total * F.col("size")).alias("taken"))
+    for later in decided[1:]:
+        done = done.unionByName(later)
+    return done.select("key", "doc_id", "size", "source_size", "target", "rows", "whole", (F.col("more") + F.round("part").cast("long")).alias("more"))
 
 
 def _meeting(seed: int, level: int, last: bool) -> Callable[[pa.Table], pa.Table]:
     """The meetings of one block at one level; at the last one no document stays open."""
 
     def meet(table: pa.Table) -> pa.Table:
-        ids, size = table.column("doc_id"), table.column("size").to_numpy()
-        key = np.array([zlib.crc32(f"{seed}|{i}".encode()) for i in ids.to_pylist()])
-        known = pc.fill_null(ids, 0).to_numpy()
-        table = table.take(pa.array(np.lexsort((table.column("part").to_numpy(), size, known, key))))
+        table = table.sort_by("key")
         source = table.column("source")[0].as_py()
         name = zlib.crc32(b"\0" if source is None else source.encode())
         rng = np.random.Generator(np.random.PCG64([seed, level, name, table.column("block")[0].as_py()]))

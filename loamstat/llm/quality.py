@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamstat.llm.common import materialize, mix64, text_slices
-from loamstat.llm.sampling import fold_of, labelled_sample
+from loamstat.llm.common import map_rows, materialize, mix64, text_slices
+from loamstat.llm.sampling import fold_of, labelled_sample, one_per_id
 from loamstat.llm.wordhash import SPACED, ngrams, words
 
 
@@ -39,7 +39,7 @@ class MilParams:
     passage_words: int = 48
     hidden: int = 24
     attention: int = 12
-    projected: int = 8
+    projected: int = 256
     sample: int = 12_000
     per_shard: int = 4_000
     rounds: int = 3
@@ -197,9 +197,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, allowed: Column, p: MilPar
             row, x = encode_passages(data, offs, p)
             cut = np.searchsorted(row, np.arange(part.num_rows + 1))
             flat = [x[cut[r] : cut[r + 1]].ravel() for r in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(flat, pa.list_(pa.float32()))], ["doc_id", "y", "shard", "x"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), part.column(4), pa.array(flat, pa.list_(pa.float32()))], ["doc_id", "y", "shard", "mark", "x"])
 
-    bags = materialize(sample.mapInArrow(encode, "doc_id long, y double, shard int, x array<float>"), "passages")
+    bags = materialize(one_per_id(sample.mapInArrow(encode, "doc_id long, y double, shard int, mark long, x array<float>")), "passages")
     theta = init_params(p)
     width = _shapes(p)[0][0]
     for r in range(p.rounds):
@@ -248,7 +248,7 @@ def drop_low_quality(docs: DataFrame, theta: np.ndarray, p: MilParams = MilParam
         for part, data, offs in text_slices(batches, "text"):
             yield part.filter(pa.array(_scores(data, offs, theta, p) >= 0.5))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return map_rows(docs, scan)
 
 
 def passage_attention(docs: DataFrame, theta: np.ndarray, p: MilParams = MilParams()) -> DataFrame:

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamstat.llm.common import text_slices
-from loamstat.llm.sampling import fold_of, labelled_sample
+from loamstat.llm.common import map_rows, text_slices
+from loamstat.llm.sampling import fold_of, labelled_sample, one_per_id
 from loamstat.llm.wordhash import ALNUM, ngrams, words
 
 
@@ -109,16 +109,21 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, params:
     """Weights from labelled rows that ``allowed`` admits."""
     sample = labelled_sample(docs, labels, "toxic", allowed, params.sample, params.per_shard)
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offs in text_slices(batches, "text"):
+            rows, feats = _distinct(*hashed_features(data, offs, params.bits), params.bits)
+            cut = np.searchsorted(rows, np.arange(part.num_rows + 1)).astype(np.int32)
+            x = pa.ListArray.from_arrays(pa.array(cut), pa.array(feats.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), part.column(4), x], ["doc_id", "y", "shard", "mark", "x"])
+
+    encoded = one_per_id(sample.mapInArrow(encode, "doc_id long, y double, shard int, mark long, x array<int>"))
+
     def shard(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        table = table.sort_by([("doc_id", "ascending")])
         # a fixed shuffle: neighbouring ids may be alike
         order = np.random.Generator(np.random.PCG64(table.num_rows)).permutation(table.num_rows)
         y = table.column("y").to_numpy()
-        examples: list[np.ndarray] = []
-        for part, data, offs in text_slices(iter(table.to_batches()), "text"):
-            rows, feats = _distinct(*hashed_features(data, offs, params.bits), params.bits)
-            cut = np.searchsorted(rows, np.arange(part.num_rows + 1))
-            examples += [feats[cut[r] : cut[r + 1]] for r in range(part.num_rows)]
+        examples = [np.asarray(v.values, np.int64) for v in table.column("x")]
         w, bias = ftrl_train([examples[i] for i in order], y[order], params)
         index = np.flatnonzero(w)
         return pa.table(
@@ -131,7 +136,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, params:
             }
         )
 
-    got = sample.groupBy("shard").applyInArrow(shard, "shard int, n long, index array<int>, value array<double>, bias double").collect()
+    got = encoded.groupBy("shard").applyInArrow(shard, "shard int, n long, index array<int>, value array<double>, bias double").collect()
     got = sorted(got, key=lambda r: r["shard"])
     total = sum(r["n"] for r in got)
     mixed, bias = np.zeros(1 << params.bits), 0.0
@@ -176,7 +181,7 @@ def drop_toxic(docs: DataFrame, model: SparseWeights) -> DataFrame:
         for part, data, offs in text_slices(batches, "text"):
             yield part.filter(pa.array(_scores(data, offs, w, shared.value) < 0.5))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return map_rows(docs, scan)
 
 
 #: Fold rule of the registered query: remainder 0 of 5 is held out.

@@ -15,8 +15,8 @@ digest, so a rebuilt derivative has the same ids.  All of it is a map over
 the responses: no shuffle.
 
 Edge cases: a null URL leaves the target URI out; null HTML is an empty
-payload; malformed HTML (unclosed scripts, comments or tags) is text up to
-where it breaks off; repeated rows give equal records with equal ids.
+payload; an unclosed script or comment hides nothing, an unclosed tag is
+text, and no page takes more than time in proportion to its length; repeated rows give equal records with equal ids.
 """
 
 from __future__ import annotations
@@ -32,28 +32,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<!doctype[^>]*>", re.I | re.S)
-_HEAD = re.compile(r"<head\b[^>]*>.*?</head\s*>", re.I | re.S)
+_HIDDEN = re.compile(r"<!--|<!doctype[^>]*>|<(script|style|noscript|template)\b[^>]*>", re.I)
+_HEAD = re.compile(r"<(head)\b[^>]*>", re.I)
+_TITLE = re.compile(r"<(title)\b[^>]*>", re.I)
 _BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|main|aside|blockquote|pre|body|html|title|dd|dt|dl|form|hr)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_CHARSET = re.compile(r"<meta\b[^>]*\bcharset\s*=\s*[\"']?([\w-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_SPACES, _LINES = re.compile(r"[ \t\r\f\v ]+"), re.compile(r" ?\n[ \n]*")
+_FIELD_TAG = re.compile(r"<(html|meta|a)\b[^>]*>", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_CHARSET = re.compile(r"\bcharset\s*=\s*[\"']?([\w-]+)", re.I)
+_LINK = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_SPACES, _LINES = re.compile(r"[ \t\r\f\v\xa0]+"), re.compile(r" ?\n[ \n]*")
+_CLOSERS = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "head", "title")} | {"": re.compile("-->")}
+
+
+def closed(page: str) -> tuple[str, str]:
+    """The page up to its last ``>``, and the rest, which holds no whole tag.
+
+    Before the last ``>`` every ``[^>]*>`` finds its end at the first try, so the
+    patterns here take time in proportion to the page.
+    """
+    end = page.rfind(">") + 1
+    return page[:end], page[end:]
+
+
+def elements(page: str, opener: re.Pattern) -> Iterator[tuple[int, int, int, int]]:
+    """``(start, inner from, inner to, end)`` of the elements ``opener`` begins, in order and not nested.
+
+    An element without an end tag is none; that a kind has no further end tag is found out once.
+    """
+    at, open_ended = 0, set()
+    while found := opener.search(page, at):
+        at = found.end()
+        kind = (found[1] or "").lower()
+        if not kind and found[0] != "<!--":
+            yield found.start(), at, at, at  # a doctype
+            continue
+        if kind in open_ended:
+            continue
+        end = _CLOSERS[kind].search(page, at)
+        if end is None:
+            open_ended.add(kind)
+            continue
+        yield found.start(), at, end.start(), end.end()
+        at = end.end()
+
+
+def without(page: str, opener: re.Pattern, instead: str) -> str:
+    """The page with the elements replaced."""
+    kept, at = [], 0
+    for start, _, _, end in elements(page, opener):
+        kept += [page[at:start], instead]
+        at = end
+    return "".join([*kept, page[at:]])
 
 
 def plain_text(page: str) -> str:
     """Visible text: hidden parts and the head dropped, block tags as line feeds, entities decoded."""
-    text = _TAG.sub("", _BLOCK.sub("\n", _HEAD.sub("", _HIDDEN.sub(" ", page))))
+    whole, rest = closed(page)
+    whole, more = closed(without(without(whole, _HIDDEN, " "), _HEAD, ""))
+    text = _TAG.sub("", _BLOCK.sub("\n", whole)) + more + rest
     return _LINES.sub("\n", _SPACES.sub(" ", html.unescape(text))).strip()
 
 
 def page_fields(page: str) -> list[tuple[str, str]]:
     """Title, language, charset and outlinks, in this order."""
-    one = lambda pattern: (m := pattern.search(page)) and _SPACES.sub(" ", html.unescape(m[1])).replace("\n", " ").strip() or ""
-    found = [("title", one(_TITLE)), ("language", one(_LANG)), ("charset", one(_CHARSET))]
-    links = [html.unescape(next(g for g in m.groups() if g is not None)).strip() for m in _LINK.finditer(_HIDDEN.sub(" ", page))]
+    whole = closed(page)[0]
+    plain = lambda x: _SPACES.sub(" ", html.unescape(x)).replace("\n", " ").strip()
+    title = next((plain(whole[a:b]) for _, a, b, _ in elements(whole, _TITLE)), "")
+    first: dict[str, str] = {}
+    for tag in _FIELD_TAG.finditer(whole):
+        name, pattern = {"html": ("language", _LANG), "meta": ("charset", _CHARSET)}.get(tag[1].lower(), ("", None))
+        if pattern and name not in first and (m := pattern.search(tag[0])):
+            first[name] = plain(m[1])
+    found = [("title", title), ("language", first.get("language", "")), ("charset", first.get("charset", ""))]
+    shown = closed(without(whole, _HIDDEN, " "))[0]
+    tags = [_LINK.search(t[0]) for t in _FIELD_TAG.finditer(shown) if t[1].lower() == "a"]
+    links = [html.unescape(next(g for g in m.groups() if g is not None)).strip() for m in tags if m]
     return [f for f in found if f[1]] + [("outlink", x.replace("\n", "").replace("\r", "")) for x in links]
 
 

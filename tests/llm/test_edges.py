@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loamstat.llm import decontamination, jaccard_join, license_scan, media_chunks, mixing, quality, queries, token_counts, toxicity
+from loamstat.llm import decontamination, jaccard_join, license_scan, media_chunks, mixing, quality, queries, sampling, token_counts, toxicity, warc
 from loamstat.llm.chat_format import digests, format_conversations
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, `__t` string, copies int, sig long"
@@ -99,6 +102,53 @@ def test_pipeline_stages(spark, tables, name, stage):
         assert len(rows) == 0 if path == empty else len(rows) > 0
 
 
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_keep_extra_columns(spark, tables, name, stage):
+    """Dotted names, and the names that stages use themselves."""
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
+    extra = ["a.b", "a b", "copy", "key", "row_key", "rows", "times", "stays", "doc", "sig", "__key", "__stays", "__copies", "__rows"]
+    for c in extra:
+        docs = docs.withColumn(c, docs.doc_id + 1)
+    out = stage(spark, docs, tables[0])
+    assert out.columns == docs.columns + (["copy_"] if name == "mixing" else [])
+    rows = out.toPandas()
+    known = rows[rows.doc_id.notna()]
+    assert len(known) and all((known[c] == known.doc_id + 1).all() for c in extra)
+
+
+def test_repeated_rows_and_ids_are_mixed_alike(spark):
+    """A third of all rows are one row; copies stay within the bound and reruns agree."""
+    rows = [(1, "a", "x y z")] * 900 + [(2, "a", f"u{i} v") for i in range(600)] + [(None, None, None)] * 300 + [(i, "b", "w " * (i % 40)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    one = mixing.mix_sources(docs, block=64).toPandas()
+    two = mixing.mix_sources(docs.repartition(5), block=64).toPandas()
+    key = ["doc_id", "size", "source_size", "taken"]
+    assert one[key].fillna(-1).sort_values(key).values.tolist() == two[key].fillna(-1).sort_values(key).values.tolist()
+    assert len(one) == len(rows) and (one.taken <= 2 * one["size"]).all()
+    for total, g in one[one.source_size > 0].groupby("source_size"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 40
+    taken = mixing.repeat_mixed(docs, block=64)
+    again = mixing.repeat_mixed(docs.repartition(3), block=64)
+    assert sorted(map(repr, taken.collect())) == sorted(map(repr, again.collect()))
+    assert taken.count() == one.copies.sum()
+
+
+def test_a_repeated_id_does_not_widen_a_training_sample(spark):
+    docs = spark.createDataFrame([(7, f"text {i % 5}") for i in range(500)] + [(8, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, toxic int")
+    sample = sampling.labelled_sample(docs, labels, "toxic", F.lit(True), 10, 10)
+    assert sorted(r.doc_id for r in sampling.one_per_id(sample).collect()) == [7, 8]
+
+
+@pytest.mark.parametrize("piece", ["<script>", "<script", " <!--", "<head>", "<title>", "<a ", "<a href", "<html ", "<p", "</script ", "&", "<style></script>"])
+def test_malformed_pages_take_linear_time(piece):
+    began = time.time()
+    for page in (piece * 60_000, piece * 60_000 + ">"):
+        warc.plain_text(page)
+        warc.page_fields(page)
+    assert time.time() - began < 8
+
+
 def test_stage_decisions(spark, tables):
     full = tables[0]
     docs = spark.read.parquet(f"{full}/documents.parquet")
