@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; set to a temporary folder only where it is absent."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Only where it is absent and Spark runs in one process a temporary folder is
+    made and set; a cluster without it is refused.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-work-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamstat.functions.work import materialize
+from loamstat.operators.factor import cross_products
 from loamstat.operators.stats import nmi
 
 DISTANCES = ("euclid", "manhattan", "matching", "cosine")
@@ -64,13 +65,14 @@ def k_representatives(df: DataFrame, k: int, init: list[tuple[int, list[float]]]
 def unit_rows(df: DataFrame) -> DataFrame:
     """Vectors scaled to unit length; zero vectors stay."""
     norm = F.sqrt(F.aggregate(F.transform("v", lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
-    return df.withColumn("__n", norm).withColumn("v", F.transform("v", lambda x: F.when(F.col("__n") > 0, x / F.col("__n")).otherwise(x))).drop("__n")
+    # the norm is bound to a variable, so it is computed once a row
+    return df.withColumn("v", F.transform(F.array(norm), lambda n: F.when(n > 0, F.transform("v", lambda x: x / n)).otherwise(F.col("v")))[0])
 
 
 def spherical_kmeans(df: DataFrame, k: int, init: list[tuple[int, list[float]]] | None = None, n_iter: int = 10, empty: str = "drop", redraw_after: int = 1, key: str = "vec_id", seed: int = 1) -> tuple[DataFrame, list]:
     """K-means on unit vectors by cosine.  Empty clusters are dropped (``drop``), keep their
     centre (``keep``) or, empty ``redraw_after`` rounds in a row, take a keyed row (``redraw``)."""
-    unit = unit_rows(df)
+    unit = materialize(unit_rows(df), "unit")
     centres = init or first_centres(unit, k, key, seed)
     idle: dict[int, int] = {}
     for r in range(n_iter):
@@ -160,25 +162,32 @@ def average_groups(x: np.ndarray, k: int) -> np.ndarray:
     return owner
 
 
-def noisy_vq(df: DataFrame, k: int, delta: float, repeat: int, key: str = "vec_id", seed: int = 1) -> DataFrame:
-    """Every row plus keyed noise is replaced by the mean of its k nearest rows; ``(key, rep, v)``."""
+def noisy_vq(df: DataFrame, k: int, delta: float, repeat: int = 0, key: str = "vec_id", seed: int = 1) -> DataFrame:
+    """Every row plus keyed noise is replaced by the mean of its k nearest rows; ``(key, v)``.
+
+    ``repeat`` further rounds quantise the means of the round before in the same way.
+    """
     from loamstat.operators.joins import knn
 
-    def noisy(pdfs):  # noqa: ANN001, ANN202
-        for pdf in pdfs:
-            out = []
-            for name, v in zip(pdf[key], pdf.v, strict=True):
-                for r in range(repeat):
-                    rng = np.random.Generator(np.random.PCG64([seed, r, int(name)]))
-                    out.append((-(int(name) * repeat + r) - 1, np.asarray(v) + delta * rng.normal(size=len(v))))
-            yield pd.DataFrame(out, columns=[key, "v"])
+    now = df.select(key, F.col("v").cast("array<double>").alias("v"))
+    for r in range(repeat + 1):
+
+        def noisy(pdfs, r: int = r):  # noqa: ANN001, ANN202
+            for pdf in pdfs:
+                moved = [np.asarray(v) + delta * np.random.Generator(np.random.PCG64([seed, r, abs(int(name))])).normal(size=len(v)) for name, v in zip(pdf[key], pdf.v, strict=True)]
+                yield pd.DataFrame({key: -pdf[key] - 1, "v": moved})  # names that no row has: a query's own row may be near it
+
+        near = knn(now.mapInPandas(noisy, f"{key} long, v array<double>"), now, k, key=key, vec="v")
+        each = near.join(now.select(F.col(key).alias("neighbour"), F.posexplode("v").alias("dim", "x")), "neighbour")
+        mean = each.groupBy("key", "dim").agg(F.avg("x").alias("x")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("s"))
+        now = materialize(mean.select((-F.col("key") - 1).alias(key), F.col("s.x").alias("v")), "quantised")
+    return now
 
-    queries = df.select(key, "v").mapInPandas(noisy, f"{key} long, v array<double>")
-    near = knn(queries, df, k, key=key, vec="v")
-    each = near.join(df.select(F.col(key).alias("neighbour"), F.posexplode("v").alias("dim", "x")), "neighbour")
-    mean = each.groupBy("key", "dim").agg(F.avg("x").alias("x")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("s"))
-    ident = -F.col("key") - 1
-    return mean.select(F.floor(ident / repeat).cast("long").alias(key), F.pmod(ident, F.lit(repeat)).cast("int").alias("rep"), F.col("s.x").alias("v"))
+
+def quantised_labels(labels: DataFrame, cells: DataFrame, label: str, key: str = "vec_id", cell: str = "cluster") -> DataFrame:
+    """``(cell, label)``: the majority label of the rows in each cell of a quantisation; ties to the smaller label."""
+    votes = labels.select(key, label).join(cells.select(key, cell), key).groupBy(cell, label).agg(F.count(F.lit(1)).alias("n"))
+    return votes.groupBy(cell).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(label).alias("l")))["l"].alias(label))
 
 
 def similarity_graph(df: DataFrame, metric: str = "rbf", gamma: float = 1.0, k: int = 10, key: str = "vec_id") -> DataFrame:
@@ -202,6 +211,46 @@ def laplacian(edges: DataFrame, kind: str = "sym") -> DataFrame:
     return out.select("i", "j", value.alias("value")).union(diagonal)
 
 
+def spectral_embedding(edges: DataFrame, k: int, n_iter: int = 30, seed: int = 1) -> tuple[DataFrame, np.ndarray]:
+    """``(id, v)``, the nodes' places in the ``k`` leading eigenvectors of I + D^-1/2 W D^-1/2, and the
+    eigenvalues (of W's normalised form, descending).
+
+    Block power iteration: a round is one join of the edges with the nodes' k numbers, a grouped sum and a
+    k x k cross-product that the driver factors.  The constant direction comes first.
+    """
+    both = edges.union(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "weight"))
+    degree = both.groupBy("i").agg(F.sum("weight").alias("d"))
+    joined = both.join(degree, "i").join(degree.toDF("j", "dj"), "j")
+    walk = materialize(joined.select("i", "j", (F.col("weight") / F.sqrt(F.col("d") * F.col("dj"))).alias("w")), "walk")
+    names = [f"x{c}" for c in range(k)]
+    start = lambda c: (F.pmod(F.xxhash64("i", F.lit(seed), F.lit(c)), F.lit(1 << 40)) + 0.5) / float(1 << 39) - 1
+    now = degree.select(F.col("i").alias("id"), *[F.sqrt("d").alias(names[0]) if c == 0 else start(c).alias(n) for c, n in enumerate(names)])
+    values = np.zeros(k)
+
+    def turned(df: DataFrame, m: np.ndarray) -> DataFrame:
+        return df.select("id", *[sum((F.col(a) * float(m[r, c]) for r, a in enumerate(names)), F.lit(0.0)).alias(n) for c, n in enumerate(names)])
+
+    def gram(df: DataFrame) -> np.ndarray:
+        return cross_products(df, F.array(*names))[0][2]
+
+    def stepped(df: DataFrame) -> DataFrame:
+        pulled = walk.join(df.withColumnRenamed("id", "j"), "j").groupBy("i").agg(*[F.sum(F.col("w") * F.col(n)).alias(n) for n in names])
+        both = pulled.withColumnRenamed("i", "id").union(df)  # I + W
+        return both.groupBy("id").agg(*[F.sum(n).alias(n) for n in names])
+
+    for _ in range(n_iter):
+        new = materialize(stepped(now), "power")
+        now = turned(new, np.linalg.inv(np.linalg.cholesky(gram(new))).T)
+    # Rayleigh-Ritz: the eigenvectors inside the block
+    now = materialize(now, "power")
+    pulled = stepped(now).toDF("id", *[f"y{c}" for c in range(k)]).join(now, "id")
+    both = cross_products(pulled, F.array(*names, *[f"y{c}" for c in range(k)]))[0][2]
+    cross = both[:k, k:]
+    values, vectors = np.linalg.eigh((cross + cross.T) / 2)
+    order = np.argsort(values)[::-1]
+    return turned(now, vectors[:, order]).select("id", F.array(*names).alias("v")), values[order] - 1
+
+
 def spectral_clusters(edges: DataFrame, k: int, n_iter: int = 20) -> DataFrame:
     """``(id, cluster)`` by power iteration on the normalised similarity graph."""
     from pyspark.ml.clustering import PowerIterationClustering

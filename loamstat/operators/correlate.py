@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loamstat.functions.special import norm_ppf, t_p_col
 from loamstat.functions.work import materialize
-from loamstat.operators.factor import covariance
+from loamstat.operators.factor import MAX_COLUMNS, covariance, cross_products
 
 #: Features of one block: a task multiplies two blocks.
 BLOCK = 1000
@@ -96,11 +96,11 @@ def correlation_distance(packed: DataFrame, min_r: float = 0.95, mask: DataFrame
     return edges.join(mask.select("i", "j"), ["i", "j"], "left_semi") if mask is not None else edges
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of an edge list (i, j): smallest label by neighbours and pointer jumping."""
     both = materialize(edges.select("i", "j").union(edges.select(F.col("j"), F.col("i"))).distinct().toDF("node", "other"), "edges")
     label = both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component"))
-    for _ in range(max_rounds):
+    while True:
         met = both.join(label.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("near"))
         one = label.join(met, "node").select("node", F.least("component", "near").alias("component"))
         jump = one.select(F.col("node").alias("component"), F.col("component").alias("root"))
@@ -109,7 +109,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         label = new
         if not changed:
             return label
-    raise RuntimeError("components did not settle")
 
 
 def threshold_graph(edges: DataFrame, lim: float) -> tuple[DataFrame, DataFrame]:
@@ -118,42 +117,79 @@ def threshold_graph(edges: DataFrame, lim: float) -> tuple[DataFrame, DataFrame]
     return kept, components(kept)
 
 
-def complete_linkage(edges: DataFrame, t: float, limit: int = 20_000) -> DataFrame:
+#: Nodes of a component that one task agglomerates (a matrix of 32 MB); larger ones are merged in rounds.
+TASK_NODES = 2000
+
+
+def complete_linkage(edges: DataFrame, t: float, task_nodes: int = TASK_NODES) -> DataFrame:
     """``(node, cluster)`` of complete linkage cut at height ``t`` over ``(i, j, distance)``.
 
     A cluster of height t lies in one component of the edges <= t, and merges
-    in different components don't touch, so each component is agglomerated
-    exactly in a task of its own.  Absent pairs are farther than t.  A
-    component above ``limit`` nodes is refused with its size: it is quadratic.
+    in different components don't touch.  Components of up to ``task_nodes``
+    nodes are agglomerated each in a task; larger ones by rounds over all
+    their edges, which give the same clusters.  Absent pairs are farther than
+    t.  Of equally near partners the one with the smaller name is taken.
     Clusters are named by their smallest node.
     """
-    kept = edges.where(F.col("distance") <= t).select("i", "j", "distance")
+    kept = materialize(edges.where(F.col("distance") <= t).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "distance").groupBy("i", "j").agg(F.min("distance").alias("distance")), "linkage")
     comps = components(kept)
-    largest = comps.groupBy("component").count().agg(F.max("count")).first()[0] or 0
-    if largest > limit:
-        raise ValueError(f"a component has {largest} nodes; raise the threshold's strictness or limit={limit}")
-    inside = kept.join(comps.withColumnRenamed("node", "i"), "i")
-
-    def agglomerate(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = np.unique(np.concatenate([pdf.i, pdf.j]))
-        n = len(nodes)
-        d = np.full((n, n), np.inf)
-        a, b = np.searchsorted(nodes, pdf.i), np.searchsorted(nodes, pdf.j)
-        d[a, b] = d[b, a] = pdf.distance
-        name = np.arange(n)
-        while True:
-            at = int(np.argmin(d))
-            u, v = sorted(divmod(at, n))
-            if not d[u, v] <= t:
-                break
+    sizes = comps.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
+    inside = kept.join(comps.withColumnRenamed("node", "i"), "i").join(sizes, "component")
+    small = inside.where(F.col("nodes") <= task_nodes).groupBy("component").applyInPandas(lambda pdf: _agglomerate(pdf, t), "node long, cluster long")
+    if sizes.where(F.col("nodes") > task_nodes).limit(1).count() == 0:
+        return small
+    large = inside.where(F.col("nodes") > task_nodes).select("i", "j", "distance")
+    return small.unionByName(_merged_in_rounds(large))
+
+
+def _agglomerate(pdf: pd.DataFrame, t: float) -> pd.DataFrame:
+    """One component's clusters: chains of nearest neighbours, equally near ones by the smaller name."""
+    nodes = np.unique(np.concatenate([pdf.i, pdf.j]))
+    n = len(nodes)
+    d = np.full((n, n), np.inf)
+    a, b = np.searchsorted(nodes, pdf.i), np.searchsorted(nodes, pdf.j)
+    d[a, b] = d[b, a] = pdf.distance
+    name = np.arange(n)
+    while True:
+        # all pairs that are each other's nearest merge at once, as in the rounds
+        near = d.argmin(axis=1)
+        least = d[np.arange(n), near]
+        both = np.flatnonzero((near[near] == np.arange(n)) & (least <= t) & (np.arange(n) < near))
+        if not len(both):
+            return pd.DataFrame({"node": nodes, "cluster": nodes[name]})
+        for u in both:
+            v = near[u]
             name[name == v] = u
             merged = np.maximum(d[u], d[v])
             merged[u] = np.inf
             d[u, :] = d[:, u] = merged
             d[v, :] = d[:, v] = np.inf
-        return pd.DataFrame({"node": nodes, "cluster": nodes[name]})
 
-    return inside.groupBy("component").applyInPandas(agglomerate, "node long, cluster long")
+
+def _merged_in_rounds(edges: DataFrame) -> DataFrame:
+    """Complete linkage of ``(i, j, distance)``, all at most the cut: every round merges all pairs of clusters
+    that are each other's nearest.
+
+    A merged cluster keeps a neighbour only if all its parts have it, at the
+    largest of their distances.  Merging reciprocal nearest pairs in any order gives complete
+    linkage's clusters, since no distance shrinks by a merge.
+    """
+    member = edges.select("i").union(edges.select("j")).distinct().select(F.col("i").alias("node"), F.col("i").alias("cluster"))
+    now = edges
+    while True:
+        both = now.union(now.select("j", "i", "distance"))
+        near = both.groupBy("i").agg(F.min(F.struct("distance", "j"))["j"].alias("near"))
+        back = near.select(F.col("i").alias("near"), F.col("near").alias("back"))
+        pairs = materialize(near.join(back, "near").where("back = i and i < near").select(F.col("near").alias("old"), F.col("i").alias("new")), "pairs")
+        if pairs.limit(1).count() == 0:
+            return member
+        moved = pairs.union(pairs.select("new", "new")).toDF("part", "new")  # parts of merged clusters
+        halves = moved.select(F.col("part").alias("i"), F.col("new").alias("ni"))
+        placed = now.join(halves, "i", "left").join(halves.toDF("j", "nj"), "j", "left")
+        placed = placed.select(F.coalesce("ni", "i").alias("i"), F.coalesce("nj", "j").alias("j"), "distance", (F.when(F.col("ni").isNull(), 1).otherwise(2) * F.when(F.col("nj").isNull(), 1).otherwise(2)).alias("need"))
+        placed = placed.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "distance", "need")
+        now = materialize(placed.groupBy("i", "j").agg(F.max("distance").alias("distance"), F.count(F.lit(1)).alias("have"), F.max("need").alias("need")).where("have = need").select("i", "j", "distance"), "linkage")
+        member = materialize(member.join(pairs.withColumnRenamed("old", "cluster"), "cluster", "left").select("node", F.coalesce("new", "cluster").alias("cluster")), "member")
 
 
 def negative_clusters(packed: DataFrame, clusters: DataFrame, th: float = 0.5, min_size: int = 2, key: str = "feature_id") -> DataFrame:
@@ -184,48 +220,68 @@ def n_eff_cluster(edges: DataFrame, total: int, threshold: float = 0.1, factor:
     return c.agg(F.count_distinct("cluster").alias("k"), F.count(F.lit(1)).alias("n")).select(((F.col("k") + total - F.col("n")) * factor).cast("long").alias("m_eff"))
 
 
+#: Which formula of ``n_eff_of`` needs only the sums of the eigenvalues and of their squares.
+_BY_SUMS = ("nyholt", "li", "cheverud", "bretherton")
+
+
 def n_eff_spectral(packed: DataFrame, method: str = "nyholt", factor: float = 1.0, key: str = "feature_id") -> int:
     """M7: effective number of tests from the eigenvalues of the correlation matrix, truncated.
 
-    ``nyholt`` 1 + (M - 1)(1 - var(lambda) / M), ``galwey`` (sum sqrt lambda)^2 /
-    sum lambda, ``bretherton`` (sum lambda)^2 / sum lambda^2, ``li_ji`` and
-    ``cheverud`` (nyholt with the population variance).  What only needs the
-    sums of eigenvalues and their squares comes from the trace and the squared
-    entries.  The others use the eigenvalues of the smaller Gram matrix, over
-    samples, whose size doesn't depend on the number of features.
+    The eigenvalues are those of the Gram matrix over samples, which partitions add up.  Beyond
+    ``factor.MAX_COLUMNS`` samples, formulas that need only sums of eigenvalues and squares take them
+    from the trace and the squared correlations.
     """
-
-    def gram(pdfs):  # noqa: ANN001, ANN202
-        total, rows = None, 0
-        for pdf in pdfs:
-            if len(pdf):
-                x = np.stack(pdf.v.to_numpy())
-                x = x - x.mean(axis=1, keepdims=True)
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                x = np.divide(x, n, out=np.zeros_like(x), where=n > 1e-12)
-                total = x.T @ x if total is None else total + x.T @ x
-                rows += len(pdf)
-        if total is not None:
-            yield pd.DataFrame({"rows": [rows], "g": [total.ravel()]})
-
-    got = packed.select("v").mapInPandas(gram, "rows long, g array<double>").toPandas()  # one matrix of samples x samples a partition
-    m = int(got.rows.sum())
-    g = np.sum(np.stack(got.g.to_numpy()), axis=0)
-    g = g.reshape(int(np.sqrt(len(g))), -1)
-    return n_eff_of(np.linalg.eigvalsh(g), m, method, factor)
+    n = F.size("v")
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    # means and norms are bound to variables, so they are computed once a row
+    centred = F.transform(F.array(total(F.col("v")) / n), lambda m: F.transform("v", lambda x: x - m))[0]
+    norm = lambda c: F.sqrt(total(F.transform(c, lambda x: x * x)))
+    scaled = lambda c: F.transform(F.array(norm(c)), lambda d: F.transform(c, lambda x: F.when(d > 1e-12, x / d).otherwise(0.0)))[0]
+    unit = packed.select(F.transform(F.array(centred), scaled)[0].alias("u"))
+    samples = packed.agg(F.max(n)).first()[0] or 0
+    if samples <= MAX_COLUMNS or method not in _BY_SUMS:
+        m, _, gram = cross_products(unit, F.col("u"))[0]
+        return n_eff_of(np.linalg.eigvalsh(gram), int(m), method, factor)
+    m = packed.count()
+    square = m + 2 * (pearson_edges(packed, key=key).agg(F.sum(F.col("r") ** 2)).first()[0] or 0.0)
+    return n_eff_of_sums(float(m), float(square), m, method, factor)
+
+
+def n_eff_of_sums(total: float, square: float, m: int, method: str, factor: float = 1.0) -> int:
+    """M7 from the sum of the eigenvalues and of their squares."""
+    spread = square - total**2 / m
+    if method == "nyholt":
+        out = 1 + (m - 1) * (1 - spread / (m - 1) / m)
+    elif method == "li":
+        out = 1 + (m - 1) * (1 - spread / m / m)
+    elif method == "cheverud":
+        out = m * (1 - (m - 1) * (spread / m) / m**2)
+    else:
+        out = total**2 / square
+    return int(out * factor)
 
 
 def n_eff_of(lam: np.ndarray, m: int, method: str = "nyholt", factor: float = 1.0) -> int:
-    """M7 from the eigenvalues (zeros may be left out) of the correlations of m features."""
+    """M7 from the eigenvalues (zeros may be left out) of the correlations of m features.
+
+    ``nyholt`` 1 + (M - 1)(1 - var / M) with the sample variance of the eigenvalues, ``li`` the same with
+    the population variance, ``cheverud`` M (1 - (M - 1) var / M^2), ``bretherton``
+    (sum)^2 / sum of squares, ``galwey`` (sum sqrt)^2 / sum, ``li_ji``, and ``peluso``
+    (sum sqrt / ln max)^2 / (sum / max + sqrt max).
+    """
     lam = np.clip(lam, 0, None)
-    if method == "nyholt":
-        out = 1 + (m - 1) * (1 - ((lam**2).sum() - lam.sum() ** 2 / m) / (m - 1) / m)
-    elif method == "cheverud":
-        out = m * (1 - (m - 1) * (((lam**2).sum() - lam.sum() ** 2 / m) / m) / m**2)
-    elif method == "bretherton":
-        out = lam.sum() ** 2 / (lam**2).sum()
-    elif method == "galwey":
+    if method in _BY_SUMS:
+        return n_eff_of_sums(float(lam.sum()), float((lam**2).sum()), m, method, factor)
+    if method == "galwey":
         out = np.sqrt(lam).sum() ** 2 / lam.sum()
+    elif method == "peluso":
+        top = lam.max()
+        out = (np.sqrt(lam).sum() / np.log(top)) ** 2 / (lam.sum() / top + np.sqrt(top))
     else:
         out = ((lam >= 1 - 1e-9).astype(float) + (lam - np.floor(lam + 1e-9)) * (lam > 1e-9)).sum()
     return int(out * factor)
+
+
+def effective_levels(m_eff: int, alpha: float = 0.05) -> tuple[float, float]:
+    """M7, M8: the Sidak and Bonferroni levels for an effective number of tests."""
+    return 1 - (1 - alpha) ** (1 / m_eff), alpha / m_eff

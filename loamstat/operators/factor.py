@@ -1,7 +1,8 @@
 """Components, factorisations and discriminants from distributed cross-products.
 
-Only sums over rows are distributed (a d x d matrix from every partition, d
-the number of columns); the d x d algebra that follows runs on the driver.
+Sums over rows are distributed: every partition makes its d x d matrix (d the
+number of columns) and tasks add them up.  The d x d algebra that follows runs
+on the driver, which gets one such matrix (134 MB at ``MAX_COLUMNS``).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamstat.functions.sums import PART, added, parts
 from loamstat.functions.work import materialize
 
 #: Columns up to which a d x d matrix may come to the driver.
@@ -20,31 +22,31 @@ MAX_COLUMNS = 4096
 
 
 def cross_products(df: DataFrame, x: Column, weight: Column | None = None, by: str | None = None) -> dict:
-    """``{group: (n, sum x, x'x)}`` of an array column; partial matrices per partition, summed pairwise in task order.
+    """``{group: (n, sum x, x'x)}`` of an array column: one job, partial matrices added up in tasks.
 
     ``by`` is a column with few groups (classes, folds, replicates of a bootstrap).
+    The driver gets one d x d matrix a group.
     """
     cols = [x.alias("x"), (weight if weight is not None else F.lit(1.0)).cast("double").alias("w"), (F.col(by) if by else F.lit(0)).cast("long").alias("g")]
 
     def partial(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict = {}
+        held: dict = {}
         for pdf in pdfs:
             for g, part in pdf.groupby("g"):
                 m, w = np.stack(part.x.to_numpy()).astype(float), part.w.to_numpy()
+                if m.shape[1] > MAX_COLUMNS:
+                    raise ValueError("too many columns for a driver-side solve")
                 wm = m * w[:, None]
-                n, s, q = sums.get(g, (0.0, 0.0, 0.0))
-                sums[g] = (n + w.sum(), s + wm.sum(0), q + wm.T @ m)
-        if sums:
-            yield pd.DataFrame({"g": list(sums), "n": [v[0] for v in sums.values()], "s": [v[1] for v in sums.values()], "q": [v[2].ravel() for v in sums.values()]})
+                n, s, q = held.get(g, (0.0, 0.0, 0.0))
+                held[g] = (n + w.sum(), s + wm.sum(0), q + wm.T @ m)
+        for g, (n, s, q) in held.items():
+            yield parts([(g, -1, np.append(s, n)), *((g, i, row) for i, row in enumerate(q))])
 
+    got = added(df.select(*cols).where(F.col("x").isNotNull()).mapInPandas(partial, PART))
     out: dict = {}
-    part = df.select(*cols).where(F.col("x").isNotNull()).mapInPandas(partial, "g long, n double, s array<double>, q array<double>")
-    for r in part.toLocalIterator():
-        s = np.array(r["s"])
-        if len(s) > MAX_COLUMNS:
-            raise ValueError("too many columns for a driver-side solve")
-        n0, s0, q0 = out.get(r["g"], (0.0, 0.0, 0.0))
-        out[r["g"]] = (n0 + r["n"], s0 + s, q0 + np.array(r["q"]).reshape(len(s), -1))
+    for g in sorted({g for g, _ in got}):
+        s = got[g, -1]
+        out[g] = (float(s[-1]), s[:-1], np.stack([got[g, i] for i in range(len(s) - 1)]))
     return out
 
 
@@ -153,13 +155,15 @@ def sparse_pca(df: DataFrame, x: Column, k: int, alpha: float, l1_ratio: float =
 
 
 def irls(df: DataFrame, x: list[str], y: str, p: float = 1.0, max_iter: int = 30, tol: float = 1e-8) -> np.ndarray:
-    """L4: Lp regression (no intercept) by reweighted least squares; one aggregation an iteration."""
-    row = F.array(*[F.col(c).cast("double") for c in [*x, y]])
+    """L4: Lp regression by reweighted least squares on centred predictors, without an intercept; one aggregation an iteration."""
     d = len(x)
+    n, s, _ = cross_products(df, F.array(*[F.col(c).cast("double") for c in x]))[0]
+    centred = [F.col(c).cast("double") - float(m) for c, m in zip(x, s / n, strict=True)]
+    row = F.array(*centred, F.col(y).cast("double"))
     _, _, q = cross_products(df, row)[0]
     beta = np.linalg.lstsq(q[:d, :d], q[:d, d], rcond=None)[0]
     for _ in range(max_iter):
-        fit = sum((F.col(c) * float(b) for c, b in zip(x, beta, strict=True)), F.lit(0.0))
+        fit = sum((c * float(b) for c, b in zip(centred, beta, strict=True)), F.lit(0.0))
         weight = F.pow(F.greatest(F.abs(F.col(y) - fit), F.lit(1e-6)), F.lit(p - 2.0))
         _, _, q = cross_products(df, row, weight)[0]
         new = np.linalg.lstsq(q[:d, :d], q[:d, d], rcond=None)[0]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamstat.functions.ordered import global_rank, ranged, suffix_min
+from loamstat.functions.work import materialize
 
 METHODS = ("bonferroni", "holm", "fdr_bh", "fdr_by")
 
@@ -31,6 +32,8 @@ def adjust(tests: DataFrame, method: str, family: list[str] | None = None, p: st
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     name = f"p_{method}"
+    if family is None:
+        tests = materialize(tests, "tests")  # counted, ranked and returned: computed once
     known, unknown = tests.where(F.col(p).isNotNull()), tests.where(F.col(p).isNull())
     if family is None:
         out = _adjust_one(known, method, p, name)
@@ -106,13 +109,15 @@ def m0_bky(tests: DataFrame, family: list[str], alpha: float = 0.05, p: str = "p
 def two_stage(tests: DataFrame, family: list[str], method: str = "bh", alpha: float = 0.05, p: str = "p") -> DataFrame:
     """M5, M6: Benjamini-Hochberg at a level adjusted by the estimated m0; adds ``reject``.
 
-    No estimated null (m0 = 0) rejects everything.
+    No estimated null (m0 = 0) rejects everything that has a p-value.
     """
     est = m0_bh(tests, family, p) if method == "bh" else m0_bky(tests, family, alpha, p)
     level = alpha if method == "bh" else alpha / (1 + alpha)
-    plain = adjust(tests, "fdr_bh", family, p).drop("reject").join(est, family)
+    plain = adjust(tests, "fdr_bh", family, p).drop("reject").alias("t")
+    same = [F.col(f"t.{f}").eqNullSafe(F.col(f"e.{f}")) for f in family]
+    plain = plain.join(est.alias("e"), same, "left").select("t.*", "e.m", "e.m0")
     scaled = F.col("p_fdr_bh") * F.col("m0") / F.col("m")
-    return plain.withColumn("reject", (F.col("m0") == 0) | F.coalesce(scaled <= level, F.lit(False)))
+    return plain.withColumn("reject", F.coalesce(F.col(p).isNotNull() & ((F.col("m0") == 0) | (scaled <= level)), F.lit(False)))
 
 
 def adjust_effective(tests: DataFrame, m_eff: float, method: str = "bonferroni", alpha: float = 0.05, p: str = "p") -> DataFrame:
@@ -128,8 +133,8 @@ def boundary(tests: DataFrame, family: list[str], p: str = "p") -> DataFrame:
     return tests.groupBy(*family).agg(F.max(F.when(F.col("reject"), F.col(p))).alias("last_rejected"), F.min(F.when(~F.col("reject"), F.col(p))).alias("first_kept"))
 
 
-def spjotvoll(tests: DataFrame, p: str = "p") -> DataFrame:
-    """Points (1 - p, share of p-values above p), one per test."""
+def spjotvoll(tests: DataFrame, p: str = "p", n_max: int | None = None, seed: int = 1) -> DataFrame:
+    """Points (1 - p, share of p-values above p), one per test, or for a seeded sample of some ``n_max`` of them."""
     counts = tests.groupBy(F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("c"))
     frozen = ranged(counts, F.col("p"))
     per = frozen.groupBy("__range").agg(F.sum("c").alias("t"))
@@ -138,4 +143,7 @@ def spjotvoll(tests: DataFrame, p: str = "p") -> DataFrame:
     upto = F.sum("c").over(Window.partitionBy("__range").orderBy("p"))
     out = frozen.withColumn("u", upto).join(F.broadcast(before), "__range").crossJoin(F.broadcast(total))  # one row
     points = out.select("p", (1 - F.col("p")).alias("x"), ((F.col("m") - F.col("u") - F.col("b")) / F.col("m")).alias("y"))
-    return tests.select(F.col(p).alias("p")).join(points, "p")
+    shown = tests.select(F.col(p).alias("p"))
+    if n_max is not None:
+        shown = shown.sample(min(1.0, n_max / max(tests.count(), 1)), seed)
+    return shown.join(points, "p")

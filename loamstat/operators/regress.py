@@ -7,13 +7,16 @@ a d x d matrix.  The objective is 1/(2n) |y - X b|^2 + lam (alpha |b|_1 +
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamstat.functions.ordered import global_rank
+from loamstat.functions.work import materialize
 from loamstat.operators.factor import cross_products, elastic_descent
 
 COEFS = "alpha double, lam double, variable string, beta double"
@@ -75,13 +78,13 @@ def lambda_grid(sums: Sums, alpha: float, count: int = 30, ratio: float = 1e-3)
     return list(np.exp(np.linspace(np.log(top), np.log(top * ratio), count)))
 
 
-def cv_lambda(df: DataFrame, x: list[str], y: str, alphas: list[float], folds: int = 10, key: str = "row_id", lambdas: list[float] | None = None) -> DataFrame:
-    """Per alpha ``lambda_min``, ``lambda_1se`` and their errors; folds by a keyed hash.
+def cv_lambda(df: DataFrame, x: list[str], y: str, alphas: list[float], folds: int = 10, key: str = "row_id", lambdas: list[float] | None = None, fold: Column | None = None) -> DataFrame:
+    """Per alpha ``lambda_min``, ``lambda_1se``, their errors and whether the alpha is ``best``; folds by a keyed hash, or ``fold``.
 
     One pass: each fold's sums; a training set is the total less its fold.
     """
-    fold = df.withColumn("__fold", F.pmod(F.xxhash64(key), F.lit(folds)))
-    per = sums_of(fold, x, y, "__fold")
+    marked = df.withColumn("__fold", F.pmod(F.xxhash64(key), F.lit(folds)) if fold is None else fold)
+    per = sums_of(marked, x, y, "__fold")
     total = Sums(sum(s.n for s in per.values()), sum(s.s for s in per.values()), sum(s.q for s in per.values()))
     rows = []
     for a in alphas:
@@ -91,7 +94,10 @@ def cv_lambda(df: DataFrame, x: list[str], y: str, alphas: list[float], folds: i
         best = int(mean.argmin())
         wide = max(lam for lam, m in zip(grid, mean, strict=True) if m <= mean[best] + se[best])
         rows.append((float(a), float(grid[best]), float(wide), float(mean[best]), float(se[best])))
-    return df.sparkSession.createDataFrame(rows, "alpha double, lambda_min double, lambda_1se double, mse double, se double")
+    least = min(r[3] for r in rows)
+    first = next(i for i, r in enumerate(rows) if r[3] == least)
+    rows = [(*r, i == first) for i, r in enumerate(rows)]
+    return df.sparkSession.createDataFrame(rows, "alpha double, lambda_min double, lambda_1se double, mse double, se double, best boolean")
 
 
 def sigma_normalized(df: DataFrame, coefs: DataFrame, x: list[str], y: str) -> DataFrame:
@@ -194,12 +200,14 @@ def coef_bootstrap(df: DataFrame, x: list[str], y: str, kind: str = "residual",
         fit = sum((F.col(c) * float(v) for c, v in zip(x, b, strict=True)), F.lit(b0))
         reps = reps.withColumn(y, fit + (F.col(y) - fit) * F.when(_uniform(key, seed) < 0.5, 1.0).otherwise(-1.0))
     elif kind == "permuted":
-        from pyspark.sql import Window
-
-        # inside a replicate rows are ranked by two keys; the response moves from one order to the other
-        one = reps.withColumn("__a", F.row_number().over(Window.partitionBy("rep").orderBy(_uniform(key, seed), key)))
-        two = reps.select("rep", F.row_number().over(Window.partitionBy("rep").orderBy(_uniform(key, seed + 1), key)).alias("__a"), F.col(y).alias("__y"))
-        reps = one.join(two, ["rep", "__a"]).withColumn(y, F.col("__y")).drop("__y", "__a")
+        # the response moves along a permutation of all rows' ranks that differs by replicate
+        ranked = materialize(global_rank(df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))), [F.col("__h"), F.col(key)], "__at"), "ranked")
+        n = ranked.count()
+        step = next(k for k in range(int(n * 0.618) | 1, 2 * n + 3, 2) if math.gcd(k, n) == 1) if n else 1
+        moved = F.pmod(F.col("__at") * step + F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(max(n, 1))), F.lit(max(n, 1))) + 1
+        response = ranked.select(F.col("__at").alias("__to"), F.col(y).alias("__y"))
+        spread = ranked.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("__to", moved)
+        reps = spread.join(response, "__to").withColumn(y, F.col("__y")).drop("__y", "__to", "__at", "__h")
     else:
         row = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
         reps = reps.withColumn(column, F.lit(float(row["lo"])) + _uniform(key, seed) * float(row["hi"] - row["lo"]))

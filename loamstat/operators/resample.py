@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loamstat.functions.ordered import cumulative_count, global_rank
 from loamstat.functions.special import t_two_sided
+from loamstat.functions.sums import PART, added, parts
 from loamstat.functions.work import materialize
 from loamstat.operators.factor import covariance
 
@@ -92,7 +93,7 @@ def permutation_extremes(packed: DataFrame, n_x: int, reps: int, seed: int = 1,
 
 
 def _added(df: DataFrame, step, shapes: list[tuple[int, ...]], dtype: type) -> list[np.ndarray]:  # noqa: ANN001
-    """Arrays that ``step(pos, x)`` yields for a batch of rows, added within every partition and then over all."""
+    """Arrays that ``step(pos, x)`` yields for a batch of rows, added within every partition and then by tasks over all."""
 
     def partial(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -101,15 +102,25 @@ def _added(df: DataFrame, step, shapes: list[tuple[int, ...]], dtype: type) -> l
                 few = pdf.iloc[at : at + 1000]
                 got = step(few.pos.to_numpy(), np.stack(few.v.to_numpy()).astype(float))
                 total = got if total is None else [a + b for a, b in zip(total, got, strict=True)]
-        if total is not None:
-            yield pd.DataFrame({"part": range(len(total)), "raw": [a.astype(dtype).tobytes() for a in total]})
-
-    out = [np.zeros(shape, dtype) for shape in shapes]
-    for r in df.select("pos", "v").mapInPandas(partial, "part int, raw binary").toLocalIterator():
-        out[r["part"]] += np.frombuffer(bytes(r["raw"]), dtype).reshape(shapes[r["part"]])
+        for k, whole in enumerate(total or []):
+            flat = whole.ravel().astype(float)
+            yield parts((k, i, flat[i : i + _PIECE]) for i in range(0, len(flat), _PIECE))
+
+    got = added(df.select("pos", "v").mapInPandas(partial, PART))
+    out = []
+    for k, shape in enumerate(shapes):
+        flat = np.zeros(int(np.prod(shape)))
+        for (g, i), v in got.items():
+            if g == k:
+                flat[i : i + len(v)] = v
+        out.append(flat.reshape(shape).astype(dtype))
     return out
 
 
+#: Numbers in one row of a partial array.
+_PIECE = 1 << 16
+
+
 def row_permutation_extremes(vectors: DataFrame, n_x: int, reps: int, seed: int = 1, equal_var: bool = False, independent: bool = False, key: str = "vec_id", rep_block: int = 200) -> DataFrame:
     """``permutation_extremes`` of the columns of ``(key, v array)``, with rows as samples in the order of ``key``.
 
@@ -221,12 +232,15 @@ def bootstrap_effect(obs: DataFrame, x: str, y: str, reps: int, seed: int = 1, r
 def group_permutation(obs: DataFrame, contrasts: DataFrame, reps: int, seed: int = 1, shifts: DataFrame | None = None) -> DataFrame:
     """Labels of all groups permuted inside each feature; ``(rep, contrast, feature_id, p)`` of every test.
 
-    A shuffled order of samples takes the group sizes in turn, keyed by (replicate, sample).
+    A shuffled order of samples takes the group sizes in turn.  Its keys come from the replicate and the
+    sample's name, so features share an order also where they lack some samples.
     ``shifts`` (feature_id, grp, shift) are known effects added after the permutation.
     """
     groups = [r["grp"] for r in obs.select("grp").distinct().orderBy("grp").collect()]  # a handful of groups
     pairs = [(r["contrast"], r["grp_x"], r["grp_y"]) for r in contrasts.collect()]
-    per = obs.groupBy("feature_id").agg(F.array_sort(F.collect_list(F.struct("grp", "sample_id", "value"))).alias("s")).select("feature_id", F.col("s.grp").alias("g"), F.col("s.value").alias("v"))
+    ident = F.crc32(F.col("sample_id").cast("string").cast("binary")).alias("ident")
+    packed = obs.groupBy("feature_id").agg(F.array_sort(F.collect_list(F.struct("grp", "sample_id", "value", ident))).alias("s"))
+    per = packed.select("feature_id", F.col("s.grp").alias("g"), F.col("s.value").alias("v"), F.col("s.ident").alias("ident"))
     if shifts is None:
         per = per.withColumn("shift", F.lit(None).cast("map<string,double>"))
     else:
@@ -236,9 +250,9 @@ def group_permutation(obs: DataFrame, contrasts: DataFrame, reps: int, seed: int
     def walk(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rep = np.arange(1, reps + 1)
         for pdf in pdfs:
-            for f, g, v, more in zip(pdf.feature_id, pdf.g, pdf["v"], pdf["shift"], strict=True):
+            for f, g, v, ident, more in zip(pdf.feature_id, pdf.g, pdf["v"], pdf["ident"], pdf["shift"], strict=True):
                 v, g = np.asarray(v, float), np.asarray(g)
-                mixed = v[np.argsort(keyed(rep, np.arange(len(v)), seed), axis=1, kind="stable")]
+                mixed = v[np.argsort(keyed(rep, np.asarray(ident), seed), axis=1, kind="stable")]
                 if more is not None:
                     more = dict(more)
                     mixed = mixed + np.array([more.get(x, 0.0) for x in g])[None, :]

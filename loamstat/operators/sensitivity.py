@@ -19,6 +19,14 @@ def _unit(i: Column, j: int, seed: int) -> Column:
     return (F.pmod(F.xxhash64(i, F.lit(j), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
+def _by_quantiles(u: Column, quantiles: list[float], steps: int) -> Column:
+    """The value at share ``u`` of a table of ``steps`` + 1 quantiles, linear in between."""
+    at = u * steps
+    k = F.least(F.floor(at), F.lit(steps - 1)).cast("int")
+    q = F.array(*[F.lit(float(v)) for v in quantiles])
+    return F.element_at(q, k + 1) + (at - k) * (F.element_at(q, k + 2) - F.element_at(q, k + 1))
+
+
 def quantile_sample(df: DataFrame, cols: list[str], n: int, design: str = "random", seed: int = 1, steps: int = 100) -> DataFrame:
     """``row_id`` and ``n`` draws of each column by its marginal quantiles.
 
@@ -42,10 +50,7 @@ def quantile_sample(df: DataFrame, cols: list[str], n: int, design: str = "rando
             u = 0.5 + F.asin(F.sin(s * frequencies(len(cols))[j])) / np.pi
         else:
             u = (i + 0.5) / n
-        at = u * steps
-        k = F.least(F.floor(at), F.lit(steps - 1)).cast("int")
-        q = F.array(*[F.lit(float(v)) for v in table[c]])
-        out.append((F.element_at(q, k + 1) + (at - k) * (F.element_at(q, k + 2) - F.element_at(q, k + 1))).alias(c))
+        out.append(_by_quantiles(u, table[c], steps).alias(c))
     return base.select("row_id", *out)
 
 
@@ -83,19 +88,67 @@ def mara_indices(x: DataFrame, cols: list[str], model: Model, seed: int = 1, key
     return met.groupBy("factor").agg((F.covar_pop("y", "y2") / F.sqrt(F.var_pop("y") * F.var_pop("y2"))).alias("s1"))
 
 
+def _spectrum(sample: DataFrame, y: Column, n: int, waves: Column, by: list[str], key: str) -> DataFrame:
+    """``(by, wave, p)``: squared Fourier coefficients of ``y`` along the search curve, for the waves of each row."""
+    s = (2 * F.col(key) + 1) / n * np.pi - np.pi
+    rows = sample.select(*by, y.alias("y"), s.alias("s"), F.explode(waves).alias("wave"))
+    part = lambda f: F.avg(F.col("y") * f(F.col("wave") * F.col("s"))) ** 2
+    return rows.groupBy(*by, "wave").agg((part(F.cos) + part(F.sin)).alias("p"))
+
+
 def fast_indices(sample: DataFrame, cols: list[str], y: Column, harmonics: int = 4, key: str = "row_id") -> DataFrame:
-    """D1 / V and Dt / V from Fourier sums over the search curve; ``sample`` is a ``curve`` design."""
+    """D1 / V from Fourier sums over one search curve for all factors; ``sample`` is a ``curve`` design
+    of more than ``2 * harmonics * max(frequencies)`` rows."""
     n = sample.count()
-    s = (2 * F.col(key) + 1) / n * np.pi - np.pi
     w = frequencies(len(cols))
-    top = max(w) * harmonics
-    waves = F.explode(F.sequence(F.lit(1), F.lit(min(top, n // 2))))
-    rows = sample.select(y.alias("y"), s.alias("s"), waves.alias("wave"))
-    power = rows.groupBy("wave").agg((F.avg(F.col("y") * F.cos(F.col("wave") * F.col("s"))) ** 2 + F.avg(F.col("y") * F.sin(F.col("wave") * F.col("s"))) ** 2).alias("p"))
-    total = sample.agg(F.var_pop(y).alias("v"))
-    own = sample.sparkSession.createDataFrame([(c, wi * h) for c, wi in zip(cols, w, strict=True) for h in range(1, harmonics + 1)], "factor string, wave int")
-    first = power.join(F.broadcast(own), "wave").groupBy("factor").agg(F.sum("p").alias("p"))
-    return first.crossJoin(F.broadcast(total)).select("factor", (2 * F.col("p") / F.col("v")).alias("s1"))
+    if n <= 2 * max(w) * harmonics:
+        raise ValueError(f"a curve of {n} rows can't hold {harmonics} harmonics of {max(w)}")
+    own = [(c, wi * h) for c, wi in zip(cols, w, strict=True) for h in range(1, harmonics + 1)]
+    power = _spectrum(sample, y, n, F.array(*[F.lit(k) for k in sorted({k for _, k in own})]), [], key)
+    total = sample.agg(F.var_pop(y).alias("v")).first()["v"]
+    table = sample.sparkSession.createDataFrame(own, "factor string, wave int")
+    first = power.join(F.broadcast(table), "wave").groupBy("factor").agg(F.sum("p").alias("p"))  # a few rows a factor
+    return first.select("factor", (2 * F.col("p") / F.lit(total)).alias("s1"))
+
+
+def fast_design(df: DataFrame, cols: list[str], n: int, harmonics: int = 4, steps: int = 100) -> DataFrame:
+    """E12's design for both indices: ``(factor, row_id, cols)``, a search curve of ``n`` rows for every factor.
+
+    The factor runs at the highest frequency the curve can hold, the others at low ones, spread up to
+    ``high / (2 harmonics)``.
+    """
+    high, low = _fast_frequencies(n, harmonics, len(cols))
+    probs = [i / steps for i in range(steps + 1)]
+    table = df.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in cols]).first()
+    base = df.sparkSession.range(n).withColumnRenamed("id", "row_id")
+    s = (2 * F.col("row_id") + 1) / n * np.pi - np.pi
+    out = None
+    for f in cols:
+        others = iter(low)
+        one = base.select(F.lit(f).alias("factor"), "row_id", *[_by_quantiles(0.5 + F.asin(F.sin(s * (high if c == f else next(others)))) / np.pi, table[c], steps).alias(c) for c in cols])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _fast_frequencies(n: int, harmonics: int, d: int) -> tuple[int, list[int]]:
+    high = (n - 1) // (2 * harmonics)
+    most = high // (2 * harmonics)
+    if most < 1:
+        raise ValueError(f"a curve of {n} rows is too short for {harmonics} harmonics")
+    return high, [1 + (i * max(most - 1, 0)) // max(d - 2, 1) if most >= d - 1 else i % most + 1 for i in range(d - 1)]
+
+
+def fast_total_indices(design: DataFrame, cols: list[str], y: Column, harmonics: int = 4, key: str = "row_id") -> DataFrame:
+    """``(factor, s1, dt, st)`` of a ``fast_design``: D1 / V, Dt / V (all that the other factors explain
+    without this one) and the total index 1 - Dt / V."""
+    n = design.agg(F.count_distinct(key).alias("n")).first()["n"]
+    high, _ = _fast_frequencies(n, harmonics, len(cols))
+    waves = F.array(*[F.lit(k) for k in [*range(1, high // 2 + 1), *(high * h for h in range(1, harmonics + 1))]])
+    power = _spectrum(design, y, n, waves, ["factor"], key)
+    sums = power.groupBy("factor").agg(F.sum(F.when(F.col("wave") >= high, F.col("p"))).alias("d1"), F.sum(F.when(F.col("wave") <= high // 2, F.col("p"))).alias("dt"))
+    total = design.groupBy("factor").agg(F.var_pop(y).alias("v"))
+    share = lambda c: 2 * F.col(c) / F.col("v")
+    return sums.join(total, "factor").select("factor", share("d1").alias("s1"), share("dt").alias("dt"), (1 - share("dt")).alias("st"))
 
 
 def fix_factor(sample: DataFrame, name: str, value: float | None = None) -> DataFrame:

@@ -140,6 +140,33 @@ def group_contrasts(stats: DataFrame, weights: DataFrame) -> DataFrame:
     return stats.join(F.broadcast(weights), "grp").groupBy("feature_id", "contrast").agg(F.sum(F.col("weight") * F.col("mean")).alias("effect"))
 
 
+def group_ols(stats: DataFrame, base: str) -> DataFrame:
+    """Least squares of the value on dummy-coded groups per feature, group ``base`` left out.
+
+    ``(feature_id, term, beta, se, t, p)``; ``term`` is ``(intercept)`` or a
+    group.  From the groups' sizes, means and variances: the estimates are
+    differences of means, their errors share one residual variance.  Features without the
+    base group or without residual degrees of freedom have no rows.
+    """
+    part = stats.select("feature_id", "grp", "n", "mean", F.coalesce("var", F.lit(0.0)).alias("var"))
+    whole = part.groupBy("feature_id").agg(
+        (F.sum("n") - F.count(F.lit(1))).alias("dof"),
+        F.sum((F.col("n") - 1) * F.col("var")).alias("rss"),
+        F.max(F.when(F.col("grp") == base, F.col("mean"))).alias("mean_0"),
+        F.max(F.when(F.col("grp") == base, F.col("n"))).alias("n_0"),
+    ).where("dof > 0 and n_0 is not null")
+    own = F.col("grp") == base
+    out = part.join(whole, "feature_id").select(
+        "feature_id",
+        F.when(own, F.lit("(intercept)")).otherwise(F.col("grp")).alias("term"),
+        F.when(own, F.col("mean_0")).otherwise(F.col("mean") - F.col("mean_0")).alias("beta"),
+        F.sqrt(F.col("rss") / F.col("dof") * (1 / F.col("n_0") + F.when(own, 0.0).otherwise(1 / F.col("n")))).alias("se"),
+        "dof",
+    )
+    out = out.withColumn("t", F.when(F.col("se") > 0, F.col("beta") / F.col("se")))
+    return out.withColumn("p", t_p_col(F.col("t"), F.col("dof").cast("double"))).drop("dof")
+
+
 def histogram(df: DataFrame, col: str, bins: int, by: list[str] | None = None, lo: float | None = None, hi: float | None = None) -> DataFrame:
     """Counts in equal bins over [lo, hi] (by default the observed range); ``hi`` falls in the last bin."""
     if lo is None or hi is None:

@@ -249,11 +249,13 @@ def label_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.encode_labels(read(spark, sf_dir, "documents").select("doc_id", "lang"), "lang")
 
 
-_PAIRS = r"""pr AS (
-  SELECT a.conv_id * 1000 + a.turn AS pair_id, a.text AS s, b.text AS t FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
+_PAIRS = r"""tp AS (
+  SELECT a.conv_id * 1000 + a.turn AS turn_id, string_split(coalesce(a.text, ''), '.') AS s, string_split(coalesce(b.text, ''), '.') AS t FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
+), pr AS (
+  SELECT turn_id * 10000 + i AS pair_id, coalesce(s[i + 1], '') AS s, coalesce(t[i + 1], '') AS t FROM (SELECT *, unnest(range(greatest(len(s), len(t)))) AS i FROM tp)
 ), norm AS (
-  SELECT pair_id, trim(regexp_replace(regexp_replace(lower(trim(strip_accents(split_part(s, '.', 1)))), '([.!?])', ' \1', 'g'), '[^a-zA-Z.!?]+', ' ', 'g')) AS src,
-    trim(regexp_replace(regexp_replace(lower(trim(strip_accents(split_part(t, '.', 1)))), '([.!?])', ' \1', 'g'), '[^a-zA-Z.!?]+', ' ', 'g')) AS tgt FROM pr
+  SELECT pair_id, trim(regexp_replace(regexp_replace(lower(trim(strip_accents(s))), '([.!?])', ' \1', 'g'), '[^a-zA-Z.!?]+', ' ', 'g')) AS src,
+    trim(regexp_replace(regexp_replace(lower(trim(strip_accents(t))), '([.!?])', ' \1', 'g'), '[^a-zA-Z.!?]+', ' ', 'g')) AS tgt FROM pr
 )"""
 
 
@@ -269,13 +271,16 @@ def _normalized(raw: DataFrame) -> DataFrame:
 
 
 def _sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = lambda col: F.substring_index(col, ".", 1)
-    return _normalized(_turn_pairs(spark, sf_dir).select("pair_id", first("s").alias("s"), first("t").alias("t")))
+    """All sentences of consecutive turns, the n-th with the n-th; where one turn has more, its last ones stand alone."""
+    parts = _turn_pairs(spark, sf_dir).select("pair_id", *[F.split(F.coalesce(c, F.lit("")), r"\.").alias(c) for c in ("s", "t")])
+    each = parts.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("s"), F.size("t")) - 1)).alias("i"))
+    at = lambda c: F.coalesce(F.get(F.col(c), F.col("i")), F.lit(""))
+    return _normalized(each.select((F.col("pair_id") * 10_000 + F.col("i")).alias("pair_id"), at("s").alias("s"), at("t").alias("t")))
 
 
 @query(f"WITH {_PAIRS} SELECT * FROM norm")
 def normalized_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First sentences of consecutive turns."""
+    """Sentences of consecutive turns."""
     return _sentence_pairs(spark, sf_dir)
 
 

@@ -97,11 +97,24 @@ def effective_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7, M8: every formula over the 64 dimensions."""
     v = vectors(spark, sf_dir)
     lam = np.linalg.eigvalsh(correlate.column_correlations(v))
-    rows = [(m, correlate.n_eff_of(lam, 64, m)) for m in ("nyholt", "cheverud", "bretherton", "galwey", "li_ji")]
+    rows = [(m, correlate.n_eff_of(lam, 64, m)) for m in ("nyholt", "li", "cheverud", "bretherton", "galwey", "peluso", "li_ji")]
     by_cluster = correlate.n_eff_cluster(correlate.column_edges(v).where("r >= 0.1").select("i", "j", (1 - F.col("r")).alias("distance")), 64, 0.9).first()["m_eff"]
     return spark.createDataFrame([*rows, ("clusters", by_cluster)], "method string, m_eff long")
 
 
+@query(f"""WITH {_CORR}, s AS (SELECT 64.0 AS m, 64 + 2 * sum(r * r) AS q FROM r), v AS (SELECT *, q - m AS spread FROM s), f AS (
+  SELECT 'nyholt' AS method, 1 + (m - 1) * (1 - spread / (m - 1) / m) AS x FROM v UNION ALL SELECT 'li', 1 + (m - 1) * (1 - spread / m / m) FROM v
+  UNION ALL SELECT 'cheverud', m * (1 - (m - 1) * (spread / m) / (m * m)) FROM v UNION ALL SELECT 'bretherton', m * m / q FROM v
+), z AS (SELECT method, CAST(floor(x) AS BIGINT) AS m_eff FROM f)
+SELECT method, m_eff, round(1 - pow(0.95, 1.0 / m_eff), 8) AS sidak, round(0.05 / m_eff, 8) AS bonferroni FROM z""")
+def effective_tests_by_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: the formulas of sums of eigenvalues and squares, with their levels."""
+    lam = np.linalg.eigvalsh(correlate.column_correlations(vectors(spark, sf_dir)))
+    rows = [(m, correlate.n_eff_of(lam, 64, m)) for m in ("nyholt", "li", "cheverud", "bretherton")]
+    rows = [(m, k, *(round(float(x), 8) for x in correlate.effective_levels(k))) for m, k in rows]
+    return spark.createDataFrame(rows, "method string, m_eff long, sidak double, bonferroni double")
+
+
 _REPS = 12
 _PERM = f"""{_DIMS}, s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM e), k AS (
   SELECT rep, pos, vec_id, (((rep * 1103515245 + pos * 12345 + 1) % 2147483647) * 48271 % 2147483647) * 69621 % 2147483647 AS key FROM s, range(1, {_REPS + 1}) g(rep)
@@ -121,6 +134,19 @@ def permutation_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rep", F.round("min_p", 6).alias("min_p"), F.round("max_t", 6).alias("max_t"))
 
 
+_PERM_OWN = _PERM.replace("SELECT rep, pos, vec_id, (((rep * 1103515245 + pos * 12345 + 1) % 2147483647)", "SELECT rep, f, pos, vec_id, (((rep * 1103515245 + pos * 12345 + 1 + f * 7919) % 2147483647)")
+_PERM_OWN = _PERM_OWN.replace(f"FROM s, range(1, {_REPS + 1}) g(rep)", f"FROM s, range(1, {_REPS + 1}) g(rep), range(64) h(f)").replace("SELECT rep, vec_id, row_number() OVER (PARTITION BY rep ORDER", "SELECT rep, f, vec_id, row_number() OVER (PARTITION BY rep, f ORDER")
+_PERM_OWN = _PERM_OWN.replace("SELECT rep, f, o.x AS side", "SELECT rep, c.f, o.x AS side").replace("FROM o JOIN c USING (vec_id)", "FROM o JOIN c ON c.vec_id = o.vec_id AND c.f = o.f")
+
+
+@query(f"WITH {_PERM_OWN} SELECT rep, round(min(p), 6) AS min_p, round(max(abs(t)), 6) AS max_t FROM p GROUP BY rep")
+def permutation_extremes_independent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: every column with a shuffle of its own."""
+    n = read(spark, sf_dir, "embeddings").count()
+    out = resample.row_permutation_extremes(vectors(spark, sf_dir), n // 2, _REPS, independent=True)
+    return out.select("rep", F.round("min_p", 6).alias("min_p"), F.round("max_t", 6).alias("max_t"))
+
+
 @query()
 def significance_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level, order-statistic interval, effective number of tests."""
@@ -164,11 +190,15 @@ def group_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("contrast").agg(F.count(F.lit(1)).alias("n"), F.percentile("p", F.lit(0.05)).alias("p05"))
 
 
-@query()
+@query("""WITH a AS (SELECT user_id AS f, CASE event_type WHEN 'click' THEN 0 ELSE 1 END AS side, list(value ORDER BY value) AS v FROM events WHERE event_type IN ('click', 'view') AND value IS NOT NULL GROUP BY ALL),
+b AS (SELECT * FROM a WHERE f IN (SELECT f FROM a GROUP BY f HAVING count(*) = 2)), d AS (SELECT f, side, rep, v, unnest(range(len(v))) AS i FROM b, range(50) g(rep)),
+k AS (SELECT f, side, rep, v[((((rep * 1103515245 + (i + side * 100003) * 12345 + 1 + f) % 2147483647) * 48271 % 2147483647) * 69621 % 2147483647) % len(v) + 1] AS x FROM d),
+m AS (SELECT f, rep, avg(x) FILTER (side = 0) - avg(x) FILTER (side = 1) AS effect FROM k GROUP BY ALL) SELECT f AS feature_id, round(avg(effect), 6) + 0 AS mean, round(stddev_samp(effect), 6) + 0 AS sd FROM m GROUP BY 1""")
 def bootstrap_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R6."""
-    obs = event_observations(spark, sf_dir).withColumn("sample_id", F.col("value"))
-    return resample.bootstrap_effect(obs, "click", "view", 50).groupBy("feature_id").agg(F.avg("effect").alias("mean"), F.stddev_samp("effect").alias("sd"))
+    """R6 (the keys are portable, so SQL repeats the draws)."""
+    obs = event_observations(spark, sf_dir).withColumn("sample_id", F.col("value")).where("value is not null")
+    per = resample.bootstrap_effect(obs, "click", "view", 50).groupBy("feature_id").agg(F.avg("effect").alias("mean"), F.stddev_samp("effect").alias("sd"))
+    return per.select("feature_id", *[(F.round(c, 6) + 0.0).alias(c) for c in ("mean", "sd")])
 
 
 @query()
@@ -202,6 +232,18 @@ def median_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.k_representatives(vectors(spark, sf_dir), 6, dist="manhattan", rep="median", n_iter=3)[0].groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("distance").alias("distance"))
 
 
+@query("""WITH e AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)),
+c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, v AS c FROM e ORDER BY vec_id LIMIT 8), a0 AS (SELECT vec_id, any_value(e.v) AS v, arg_min(k, (1 - list_dot_product(e.v, c), k)) AS k FROM e, c0 GROUP BY vec_id),
+d AS (SELECT k, unnest(range(64)) AS i, unnest(v) AS x FROM a0), m AS (SELECT k, i, avg(x) AS x FROM d GROUP BY ALL), c1 AS (SELECT k, list(x ORDER BY i) AS c FROM m GROUP BY k),
+u AS (SELECT k, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS c FROM c1)
+SELECT vec_id, CAST(arg_min(k, (1 - list_dot_product(v, c), k)) AS INTEGER) AS cluster, round(min(1 - list_dot_product(v, c)), 6) + 0 AS distance FROM e, u GROUP BY vec_id""")
+def one_spherical_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round by cosine from the first eight vectors."""
+    v = cluster.unit_rows(vectors(spark, sf_dir))
+    out = cluster.spherical_kmeans(v, 8, cluster.first_centres(v, 8, "vec_id"), n_iter=1)[0]
+    return out.select("vec_id", "cluster", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
 @query()
 def spherical_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C6."""
@@ -244,8 +286,23 @@ def class_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def noisy_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C9."""
-    return cluster.noisy_vq(vectors(spark, sf_dir), 5, 0.1, 2).select("vec_id", "rep", F.size("v").alias("d"))
+    """The first four numbers of every row's quantised place, after a further round."""
+    out = cluster.noisy_vq(vectors(spark, sf_dir), 5, 0.1, 1)
+    return out.select("vec_id", *[F.round(F.col("v")[i], 6).alias(f"v{i}") for i in range(4)])
+
+
+@query(f"WITH {_KM}, n AS (SELECT cluster, label, count(*) AS n FROM a1 JOIN embeddings USING (vec_id) GROUP BY ALL) SELECT CAST(cluster AS INTEGER) AS cluster, arg_min(label, (-n, label)) AS label FROM n GROUP BY 1")
+def cell_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The majority label of each cell."""
+    v = vectors(spark, sf_dir)
+    return cluster.quantised_labels(v, cluster.k_representatives(v, 8, n_iter=1)[0], "label")
+
+
+@query()
+def spectral_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes in the leading eigenvectors."""
+    places, _ = cluster.spectral_embedding(cluster.similarity_graph(vectors(spark, sf_dir), "rbf", 0.5, 8), 4, 12)
+    return places.select("id", *[F.col("v")[i].alias(f"e{i}") for i in range(4)])
 
 
 @query()
@@ -273,11 +330,48 @@ def discriminant_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factor.lda(vectors(spark, sf_dir), F.col("v"), "label", 1e-3, 2)[0].select("vec_id", "label", "predicted")
 
 
-@query()
+_MOMENTS = f"""{_DIMS}, m AS (SELECT f, avg(x) AS m FROM c GROUP BY f), z AS (SELECT vec_id, f, x - m AS z FROM c JOIN m USING (f)), n AS (SELECT count(*) AS n FROM e),
+s AS (SELECT a.f AS i, b.f AS j, sum(a.z * b.z) / (SELECT n FROM n) AS s FROM z a JOIN z b USING (vec_id) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_MOMENTS}, t AS (SELECT sum(s) FILTER (i = j) AS trace, sum(s * s) AS square FROM s), q AS (SELECT avg(w * w) AS fourth FROM (SELECT vec_id, sum(z * z) AS w FROM z GROUP BY 1)),
+d AS (SELECT trace, square, fourth, (square - trace * trace / 64) / 64 AS d2, n FROM t, q, n) SELECT round(trace, 6) AS trace, round(least((fourth - square) / n / 64, d2) / d2, 8) AS shrinkage FROM d""")
 def shrunk_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L10."""
     s, shrink = factor.ledoit_wolf(vectors(spark, sf_dir), F.col("v"))
-    return spark.createDataFrame([(float(np.trace(s)), shrink)], "trace double, shrinkage double")
+    return spark.createDataFrame([(round(float(np.trace(s)), 6), round(shrink, 8))], "trace double, shrinkage double")
+
+
+@query(f"""WITH {_MOMENTS}, u AS (SELECT i, j, s * n / (n - 1) AS s FROM s, n), p AS (SELECT a.i, b.j, sum(a.s * b.s) AS s FROM u a JOIN u b ON a.j = b.i GROUP BY ALL)
+SELECT 1 AS power, round(sum(s), 6) AS total FROM u WHERE i = j UNION ALL SELECT 2, round(sum(s), 8) FROM p WHERE i = j UNION ALL SELECT 3, round(sum(p.s * u.s), 8) FROM p JOIN u ON p.j = u.i AND p.i = u.j""")
+def component_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1: sums of the eigenvalues and of their squares and cubes."""
+    _, values, _ = factor.pca(vectors(spark, sf_dir), F.col("v"), 64)
+    return spark.createDataFrame([(k, round(float((values**k).sum()), 6 if k == 1 else 8)) for k in (1, 2, 3)], "power int, total double")
+
+
+@query(f"""WITH {_DIMS}, q AS (SELECT a.f AS i, b.f AS j, sum(a.x * b.x) AS s FROM c a JOIN c b USING (vec_id) GROUP BY ALL)
+SELECT 2 AS power, round(sum(s) FILTER (i = j), 5) AS total FROM q UNION ALL SELECT 4, round(sum(s * s), 3) FROM q""")
+def latent_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the squares and fourth powers of all singular values."""
+    comps = factor.lsi(vectors(spark, sf_dir), F.col("v"), [f"d{i}" for i in range(64)], 64).select("component", "singular").distinct()
+    total = lambda k, d: comps.agg(F.round(F.sum(F.pow("singular", F.lit(float(k)))), d).alias("total")).select(F.lit(k).alias("power"), "total")
+    return total(2, 5).union(total(4, 3))
+
+
+@query()
+def bootstrap_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1 in Poisson bootstrap replicates."""
+    got = factor.bootstrap_pca(vectors(spark, sf_dir), F.col("v"), 3, 5, "vec_id")
+    return spark.createDataFrame([(r, k, float(v)) for r, (values, _) in enumerate(got) for k, v in enumerate(values)], "rep int, component int, variance double")
+
+
+@query()
+def least_squares_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial least squares of the labels' indicators."""
+    v = vectors(spark, sf_dir)
+    w = factor.pls(v, F.col("v"), F.array(*[(F.col("label") == i).cast("double") for i in range(3)]), 2)
+    return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(w)], "dimension int, w1 double, w2 double")
 
 
 @query()
@@ -323,6 +417,46 @@ def least_squares_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regress.elastic_net_path(_lines(spark, sf_dir), ["l_quantity"], "y", [1.0], [0.0]).select("variable", F.round("beta", 8).alias("beta"))
 
 
+_LINE = "t AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, CAST(l_quantity AS DOUBLE) AS x, ln(l_extendedprice) AS y FROM lineitem)"
+_LINE_FIT = "sign(c) * greatest(abs(c) - lam * alpha, 0) / (1 + lam * (1 - alpha)) / sx"
+
+
+@query(f"""WITH {_LINE}, g AS (SELECT alpha, lam FROM (VALUES (0.0), (0.5), (1.0)) a(alpha), (VALUES (0.0), (0.01), (0.1)) b(lam)), m AS (SELECT avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, covar_pop(x, y) / stddev_pop(x) AS c FROM t),
+f AS (SELECT alpha, lam, mx, my, {_LINE_FIT} AS b FROM m, g)
+SELECT CAST(alpha AS DOUBLE) AS alpha, CAST(lam AS DOUBLE) AS lam, 'l_quantity' AS variable, round(b, 7) AS beta FROM f UNION ALL SELECT alpha, lam, '(intercept)', round(my - b * mx, 7) FROM f""")
+def penalised_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 with one predictor over a grid of penalties."""
+    return regress.elastic_net_path(_lines(spark, sf_dir), ["l_quantity"], "y", [0.0, 0.5, 1.0], [0.0, 0.01, 0.1]).withColumn("beta", F.round("beta", 7))
+
+
+@query(f"""WITH {_LINE}, g AS (SELECT alpha, lam FROM (VALUES (0.5), (1.0)) a(alpha), (VALUES (0.0), (0.05), (0.3)) b(lam)), d AS (SELECT *, row_id % 5 AS fold FROM t),
+m AS (SELECT k AS fold, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, covar_pop(x, y) / stddev_pop(x) AS c FROM d, range(5) r(k) WHERE fold <> k GROUP BY k),
+f AS (SELECT fold, alpha, lam, mx, my, {_LINE_FIT} AS b FROM m, g), e AS (SELECT fold, alpha, lam, avg(pow(y - my - b * (x - mx), 2)) AS mse FROM d JOIN f USING (fold) GROUP BY ALL),
+s AS (SELECT alpha, lam, avg(mse) AS mse, stddev_samp(mse) / sqrt(5) AS se FROM e GROUP BY ALL), b AS (SELECT alpha, min(mse) AS mse, arg_min(lam, (mse, -lam)) AS lam, arg_min(se, (mse, -lam)) AS se FROM s GROUP BY alpha)
+SELECT CAST(b.alpha AS DOUBLE) AS alpha, CAST(b.lam AS DOUBLE) AS lambda_min, CAST((SELECT max(s.lam) FROM s WHERE s.alpha = b.alpha AND s.mse <= b.mse + b.se) AS DOUBLE) AS lambda_1se, round(b.mse, 7) AS mse, round(b.se, 7) AS se FROM b""")
+def cross_validated_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2 with one predictor and arithmetic folds."""
+    lines = _lines(spark, sf_dir)
+    out = regress.cv_lambda(lines, ["l_quantity"], "y", [0.5, 1.0], 5, lambdas=[0.3, 0.05, 0.0], fold=F.col("row_id") % 5)
+    return out.select("alpha", "lambda_min", "lambda_1se", F.round("mse", 7).alias("mse"), F.round("se", 7).alias("se"))
+
+
+@query(f"""WITH {_LINE}, m AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_slope(y, x) AS b, var_pop(x) * count(*) AS sxx FROM t),
+e AS (SELECT (y - my - b * (x - mx)) / (1 - 1.0 / n - (x - mx) * (x - mx) / sxx) AS e FROM t, m), q AS (SELECT avg(e) AS mean, stddev_samp(e) AS sd, stddev_pop(e) AS sp, avg(e * e) AS mse FROM e)
+SELECT round(any_value(mean), 8) + 0 AS mean, round(any_value(sd), 7) AS sd, round(avg(pow((e - mean) / sp, 3)), 6) AS skewness, round(any_value(mse), 7) AS mse FROM e, q""")
+def leave_one_out_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5 with one predictor and no penalty, where the errors have a closed form."""
+    out = regress.loo_summary(regress.loo(_lines(spark, sf_dir), ["l_quantity"], "y", 1.0, 0.0, "row_id"))
+    return out.select((F.round("mean", 8) + 0.0).alias("mean"), F.round("sd", 7).alias("sd"), F.round("skewness", 6).alias("skewness"), F.round("mse", 7).alias("mse"))
+
+
+@query(f"""WITH {_LINE}, q AS (SELECT 1 / (0.1 + sum(x * x) / 4) AS v, sum(x * y) / 4 AS c FROM t) SELECT 'l_quantity' AS variable, round(v * c, 8) AS mean, round(sqrt(v), 10) AS sd FROM q""")
+def line_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A30 with one weight."""
+    mean, cov = bayes.bayes_linreg(_lines(spark, sf_dir), ["l_quantity"], "y", np.zeros(1), np.eye(1) * 10, 4.0)
+    return spark.createDataFrame([("l_quantity", round(float(mean[0]), 8), round(float(np.sqrt(cov[0, 0])), 10))], "variable string, mean double, sd double")
+
+
 @query()
 def cross_validated_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E2."""
@@ -397,6 +531,14 @@ def fourier_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensitivity.fast_indices(x, cols, F.col("l_quantity") + 100 * F.col("l_discount") * F.col("l_tax"))
 
 
+@query()
+def fourier_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-order and total indices, a search curve for every factor."""
+    cols = ["l_quantity", "l_discount", "l_tax"]
+    design = sensitivity.fast_design(_lines(spark, sf_dir), cols, 1001)
+    return sensitivity.fast_total_indices(design, cols, F.col("l_quantity") + 100 * F.col("l_discount") * F.col("l_tax"))
+
+
 @query("""SELECT o_orderpriority, o_orderstatus, round(l, 8) AS likelihood, round(p, 8) AS prior, round(l * p / sum(l * p) OVER (PARTITION BY o_orderstatus), 8) AS posterior FROM (
   SELECT o_orderpriority, o_orderstatus, n / sum(n) OVER (PARTITION BY o_orderpriority) AS l, sum(n) OVER (PARTITION BY o_orderpriority) / sum(n) OVER () AS p FROM (
     SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2))""")
@@ -427,10 +569,16 @@ def beta_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bayes.beta_posterior(e, ["event_type"], "hit", 2, 10)
 
 
-@query()
+@query(f"""WITH RECURSIVE g AS (SELECT event_type, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd, CAST(count(value) - 1 AS DOUBLE) AS dof FROM events GROUP BY 1 HAVING count(value) > 1),
+b(event_type, dof, lo, hi, k) AS (SELECT event_type, dof, CAST(0 AS DOUBLE), CAST(50 AS DOUBLE), 0 FROM g UNION ALL
+  SELECT event_type, dof, CASE WHEN p > 0.05 THEN t ELSE lo END, CASE WHEN p > 0.05 THEN hi ELSE t END, k + 1 FROM (SELECT *, {_P_OF_T} AS p FROM (SELECT *, (lo + hi) / 2 AS t FROM b WHERE k < 50))),
+q AS (SELECT event_type, (lo + hi) / 2 AS q FROM b WHERE k = 50)
+SELECT event_type, n, round(mean, 5) AS mean, round(sd, 5) AS sd, round(mean - q * sd / sqrt(n), 5) AS lo, round(mean + q * sd / sqrt(n), 5) AS hi,
+  round(mean - q * sd * sqrt(1 + 1 / n), 5) AS pred_lo, round(mean + q * sd * sqrt(1 + 1 / n), 5) AS pred_hi FROM g JOIN q USING (event_type)""")
 def mean_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A24."""
-    return bayes.mean_posterior(read(spark, sf_dir, "events"), ["event_type"], "value")
+    out = bayes.mean_posterior(read(spark, sf_dir, "events"), ["event_type"], "value")
+    return out.select("event_type", "n", *[F.round(c, 5).alias(c) for c in ("mean", "sd", "lo", "hi", "pred_lo", "pred_hi")])
 
 
 @query()

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from loamstat.plans import mining, models, testing
+from loamstat.plans import files, mining, models, testing
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (testing, mining, models):
+for _module in (testing, mining, models, files):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

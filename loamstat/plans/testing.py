@@ -52,8 +52,11 @@ def part_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean, filter by variance, aggregate once, contrast and t-test."""
     obs = clean.log2_values(clean.fill_gaps(part_observations(spark, sf_dir)))
     per = stats.describe_groups(obs, medians=True)
-    # the variance filter needs only the same sums: no second pass over raw rows
-    spread = obs.groupBy("feature_id").agg(F.var_samp("value").alias("v")).where("v > 0.5").select("feature_id")
+    # a feature's variance from its groups' sizes, means and variances: no second pass over raw rows
+    total = F.sum("n")
+    between = F.sum(F.col("n") * F.col("mean") ** 2) - F.sum(F.col("n") * F.col("mean")) ** 2 / total
+    within = F.sum((F.col("n") - 1) * F.coalesce("var", F.lit(0.0)))
+    spread = per.groupBy("feature_id").agg(((within + between) / (total - 1)).alias("v")).where("v > 0.5").select("feature_id")
     pairs = stats.pairwise_contrasts(clean.get_features(per, spread), flag_contrasts(spark))
     return stats.ttest(stats.min_margin(stats.fold_change(pairs))).where("p is not null")
 
@@ -71,6 +74,26 @@ def feature_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""WITH {_TESTS}, r AS (SELECT *, count(*) OVER () AS m, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k FROM p),
+b AS (SELECT *, min(p * m / k) OVER (ORDER BY k DESC) AS bh FROM r)
+SELECT feature_id, contrast, p * 100.5 < 0.05 AS by_bonferroni, least(1, bh) <= 0.05 * m / 100.5 AS by_bh FROM b""")
+def effective_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: rejections with 100.5 effective tests in place of all."""
+    tests = part_tests(spark, sf_dir).select("feature_id", "contrast", "p")
+    one = multitest.adjust_effective(tests, 100.5).withColumnRenamed("reject", "by_bonferroni")
+    return multitest.adjust_effective(one, 100.5, "bh").withColumnRenamed("reject", "by_bh").select("feature_id", "contrast", "by_bonferroni", "by_bh")
+
+
+@query(f"""WITH {_OBS}, g AS (SELECT feature_id, grp, count(*) AS n, avg(value) AS m, coalesce(var_samp(value), 0) AS v FROM obs GROUP BY ALL),
+w AS (SELECT feature_id, sum(n) - count(*) AS dof, sum((n - 1) * v) AS rss, max(m) FILTER (grp = 'A') AS m0, max(n) FILTER (grp = 'A') AS n0 FROM g GROUP BY 1 HAVING dof > 0 AND n0 IS NOT NULL)
+SELECT feature_id, CASE grp WHEN 'A' THEN '(intercept)' ELSE grp END AS term, round(CASE grp WHEN 'A' THEN m0 ELSE m - m0 END, 6) + 0 AS beta,
+  round(sqrt(rss / dof * (1 / n0 + CASE grp WHEN 'A' THEN 0 ELSE 1 / n END)), 6) + 0 AS se FROM g JOIN w USING (feature_id)""")
+def dummy_coded_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least squares on dummy-coded groups per feature."""
+    per = stats.describe_groups(clean.log2_values(part_observations(spark, sf_dir)))
+    return stats.group_ols(per, "A").select("feature_id", "term", *[(F.round(c, 6) + 0.0).alias(c) for c in ("beta", "se")])
+
+
 @query(f"""WITH {_TESTS}, ranked AS (
   SELECT *, count(*) OVER (PARTITION BY contrast) AS m, rank() OVER (PARTITION BY contrast ORDER BY p) AS lo,
     count(*) OVER (PARTITION BY contrast ORDER BY p) AS hi FROM p

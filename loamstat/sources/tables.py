@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_feature_matrix(spark: SparkSession, path: str | list[str], n_header: int = 3, n_meta: int = 8, n_samples: int = 40, group_row: int = 0, name_row: int | None = 2) -> tuple[DataFrame, DataFrame]:
+def read_feature_matrix(spark: SparkSession, path: str | list[str], n_header: int = 3, n_meta: int = 8, n_samples: int = 40, group_row: int = 0, name_row: int | None = 2, head_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """IO1: a ``;`` matrix without a header line whose first ``n_header`` lines describe the samples.
 
     Returns ``(features, samples)``: metadata ``m0..``, areas ``a0..`` and gap codes ``g0..`` per
     feature (with its source file), and ``(sample_id, grp, replicate, position)``.  Lines are told
     apart by an empty name in the first column or, for the head of a file, by their place in it:
-    header lines leave the mass column (4) empty or non-numeric.
+    header lines leave the mass column (4) empty or non-numeric.  ``head_path`` names the file with the
+    header lines where they aren't at the head of ``path``.
     """
     width = n_meta + 3 * n_samples
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
@@ -23,7 +24,7 @@ def read_feature_matrix(spark: SparkSession, path: str | list[str], n_header: in
     gaps = [F.expr(f"try_cast(c{n_meta + 2 * n_samples + i} AS int)").alias(f"g{i}") for i in range(n_samples)]
     features = raw.where(is_feature).select("source", *[F.col(f"c{i}").alias(f"m{i}") for i in range(n_meta)], *areas, *gaps)
     # the head of the first file: a few lines, in the order of the file
-    head = spark.read.csv(path, sep=";", schema=schema, header=False).limit(n_header).collect()
+    head = spark.read.csv(head_path or path, sep=";", schema=schema, header=False).limit(n_header).collect()
     rows, seen = [], {}
     for i in range(n_samples):
         grp = head[group_row][n_meta + i]
