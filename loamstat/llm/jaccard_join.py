@@ -231,6 +231,7 @@ class OneEach(NamedTuple):
 def one_each(docs: DataFrame, sets: DataFrame, id_col: str, text_col: str) -> OneEach:
     """Rows that a Bloom filter of the copies' keys holds back go through an exact join, once."""
     several = sets.where("sig is not null").groupBy("sig").agg(F.min("rowkey").alias("stays"), F.max("rowkey").alias("last")).where("stays < last")
+    several = materialize(several, "several")  # a table of its own, so Spark can split the join at a hot set
     copies = materialize(sets.join(several, "sig").where("rowkey <> stays").select("rowkey").distinct(), "copies")
     keyed = docs.select(row_key(id_col, text_col).alias("rowkey"), F.col(text_col).cast("string").alias("text"))
     skip = bloom_build(copies)
