@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamstat.functions.work import materialize
+
 
 def _bands(df: DataFrame, col: str, tol: float, name: str, reach: bool) -> DataFrame:
     """Adds a bucket of width ``tol`` (or, with ``reach``, a row for each bucket within ``tol``)."""
@@ -37,23 +39,28 @@ def value_duplicates(obs: DataFrame, tol: float) -> DataFrame:
     """Feature pairs whose share of equal values over the same samples is ``tol`` or more.
 
     Features have one value per sample.  Of n samples two such features agree
-    on ceil(tol * n); leaving out any ceil(tol * n) - 1 samples they still
-    meet, so the join keys are the other samples' cells.  The samples with the
-    most distinct values are kept, so imputed constants rarely join.
+    on ceil(tol * n) cells.  With every feature's cells in one order, the rarest
+    (sample, value) first, they then share one of their first
+    n - ceil(tol * n) + 1 cells, so only these meet; imputed constants come
+    last and rarely join.  Pairs that met are compared in full.
     """
-    n = obs.groupBy("feature_id").agg(F.count(F.lit(1)).alias("n"))
-    total = n.agg(F.max("n").alias("n")).first()["n"] or 0
+    cells = materialize(obs.select("feature_id", "sample_id", "value"), "cells")
+    total = cells.groupBy("feature_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
     need = max(1, math.ceil(tol * total))
-    spread = obs.groupBy("sample_id").agg(F.count_distinct("value").alias("d"))
-    keyed = spread.orderBy(F.col("d").desc(), "sample_id").limit(total - need + 1).select("sample_id")
-    cells = obs.select("feature_id", "sample_id", "value")
-    keys = cells.join(F.broadcast(keyed), "sample_id", "left_semi")  # as many rows as samples
+    known = cells.where("value is not null")
+    common = known.groupBy("sample_id", "value").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    rare = Window.partitionBy("feature_id").orderBy("held", "sample_id")
+    # cells that no other feature has meet nothing, but they take the first places
+    placed = known.join(common, ["sample_id", "value"], "left").withColumn("held", F.coalesce("held", F.lit(1))).withColumn("place", F.row_number().over(rare))
+    keys = placed.where((F.col("place") <= total - need + 1) & (F.col("held") > 1))
     a, b = (keys.select(F.col("feature_id").alias(x), "sample_id", "value") for x in ("i", "j"))
     met = a.join(b, ["sample_id", "value"]).where("i < j").select("i", "j").distinct()
-    x = cells.select(F.col("feature_id").alias("i"), "sample_id", F.col("value").alias("u"))
-    y = cells.select(F.col("feature_id").alias("j"), "sample_id", F.col("value").alias("v"))
-    equal = met.join(x, "i").join(y, ["j", "sample_id"]).groupBy("i", "j").agg(F.sum((F.col("u") == F.col("v")).cast("long")).alias("equal"))
-    return equal.where(F.col("equal") >= F.lit(tol * total)).select("i", "j", (F.col("equal") / total).alias("similarity"))
+    packed = materialize(known.groupBy("feature_id").agg(F.array_sort(F.collect_list(F.struct("sample_id", "value"))).alias("s")), "packed")
+    x, y = (packed.select(F.col("feature_id").alias(n), F.col("s.sample_id").alias(f"s{n}"), F.col("s.value").alias(f"v{n}"), F.col("s").alias(f"c{n}")) for n in ("i", "j"))
+    aligned = F.aggregate(F.zip_with("vi", "vj", lambda u, v: (u == v).cast("long")), F.lit(0).cast("long"), lambda t, e: t + e)
+    equal = F.when(F.col("si") == F.col("sj"), aligned).otherwise(F.size(F.array_intersect("ci", "cj")).cast("long"))
+    both = met.join(x, "i").join(y, "j").select("i", "j", equal.alias("equal"))
+    return both.where(F.col("equal") >= F.lit(tol * total)).select("i", "j", (F.col("equal") / total).alias("similarity"))
 
 
 def cross_source_duplicates(features: DataFrame, dm: float, dt: float, source: str = "source", mass: str = "mass", rtime: str = "rtime") -> DataFrame:
@@ -129,14 +136,34 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int, metric: str = "eucli
     return best.withColumnRenamed("key", key)
 
 
+#: Coefficients that one pass over the rows carries in its plan.
+COEFFICIENTS = 20_000
+
+
 def uncertainty_predict(rows: DataFrame, coefs: DataFrame, key: str, x: Column) -> DataFrame:
     """Predictions of every row under every coefficient sample ``(rep, beta array)``.
 
-    ``x`` is the row's array of predictors.  Each coefficient sample is a
-    partial pass over the rows, so samples are few and small: they are broadcast.
+    ``x`` is the row's array of predictors.  The samples are numbered and put
+    into the plan in blocks of ``COEFFICIENTS`` numbers, so a row meets a
+    block at a time and nothing is broadcast.
     """
-    dot = F.aggregate(F.zip_with("__x", "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return rows.select(key, x.alias("__x")).crossJoin(F.broadcast(coefs)).select(key, "rep", dot.alias("prediction"))
+    held = coefs.select("rep", F.col("beta").cast("array<double>").alias("beta")).orderBy("rep").toLocalIterator()
+    dot = lambda c: F.aggregate(F.zip_with("__x", c, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    base, out, block = rows.select(key, x.alias("__x")), None, []
+
+    def predicted(block: list) -> DataFrame:
+        samples = F.array(*[F.struct(F.lit(r["rep"]).cast(dict(coefs.dtypes)["rep"]).alias("rep"), F.array(*[F.lit(b) for b in r["beta"]]).alias("beta")) for r in block])
+        each = base.select(key, "__x", F.explode(samples).alias("c"))
+        return each.select(key, F.col("c.rep").alias("rep"), dot(F.col("c.beta")).alias("prediction"))
+
+    for r in held:
+        block.append(r)
+        if sum(len(b["beta"]) for b in block) >= COEFFICIENTS:
+            out, block = predicted(block) if out is None else out.unionByName(predicted(block)), []
+    if block or out is None:
+        last = predicted(block) if block else base.select(key, F.lit(None).cast(dict(coefs.dtypes)["rep"]).alias("rep"), F.lit(None).cast("double").alias("prediction")).limit(0)
+        out = last if out is None else out.unionByName(last)
+    return out
 
 
 def leader_groups(df: DataFrame, key: str, col: str, tol: float, by: str | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamstat.functions.ordered import global_rank, ranged, suffix_min
+from loamstat.functions.ordered import ranged
 from loamstat.functions.work import materialize
 
 METHODS = ("bonferroni", "holm", "fdr_bh", "fdr_by")
@@ -63,22 +63,29 @@ def _adjust_families(tests: DataFrame, method: str, family: list[str], p: str, n
 
 
 def _adjust_one(tests: DataFrame, method: str, p: str, name: str) -> DataFrame:
+    """One family: distinct p-values with their counts are ranked by ranges and joined back, so ties cost one row."""
     m = tests.count()
     if method == "bonferroni":
         return tests.withColumn(name, F.least(F.lit(1.0), F.col(p) * m))
-    ranked = global_rank(tests, [F.col(p)], "__r")
+    counts = ranged(tests.groupBy(F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__n")), F.col("__p"))
+    own, up, down = Window.partitionBy("__range"), Window.orderBy("__range"), Window.partitionBy("__range").orderBy(F.col("__p").desc())
+    ranges = counts.groupBy("__range").agg(F.sum("__n").alias("t"))  # one row a range, as in all windows over ranges here
+    before = ranges.select("__range", F.coalesce(F.sum("t").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    ranked = counts.join(F.broadcast(before), "__range").withColumn("__last", F.col("__before") + F.sum("__n").over(own.orderBy("__p")))
     if method == "holm":
-        # running maximum from below = minus the running minimum of the negated steps from above
-        step = (F.lit(m) - F.col("__r") + 1) * F.col(p)
-        frozen = ranged(ranked.withColumn("__s", step), F.col(p))
-        per = frozen.groupBy("__range").agg(F.max("__s").alias("t"))
-        before = per.select("__range", F.max("t").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("b"))
-        local = F.max("__s").over(Window.partitionBy("__range").orderBy(p))
-        out = frozen.withColumn("__l", local).join(F.broadcast(before), "__range")
-        return out.withColumn(name, F.least(F.lit(1.0), F.greatest("__l", "b")))
-    c = _harmonic(F.lit(m)) if method == "fdr_by" else F.lit(1.0)
-    out = suffix_min(ranked, F.col(p), F.col(p) * m * c / F.col("__r"), "__adj")
-    return out.withColumn(name, F.least(F.lit(1.0), F.col("__adj")))
+        # of tied values the first rank counts
+        ranked = ranked.withColumn("__s", (m - F.col("__last") + F.col("__n")) * F.col("__p"))
+        others = ranked.groupBy("__range").agg(F.max("__s").alias("t"))
+        others = others.select("__range", F.max("t").over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("__o"))
+        best = F.greatest(F.max("__s").over(own.orderBy("__p")), F.col("__o"))
+    else:
+        c = _harmonic(F.lit(m)) if method == "fdr_by" else F.lit(1.0)
+        ranked = ranked.withColumn("__s", F.col("__p") * m * c / F.col("__last"))
+        others = ranked.groupBy("__range").agg(F.min("__s").alias("t"))
+        others = others.select("__range", F.min("t").over(up.rowsBetween(1, Window.unboundedFollowing)).alias("__o"))
+        best = F.least(F.min("__s").over(down), F.col("__o"))
+    adjusted = ranked.join(F.broadcast(others), "__range").select(F.col("__p").alias(p), F.least(F.lit(1.0), best).alias(name))
+    return tests.join(adjusted, p)
 
 
 def alpha_levels(tests: DataFrame, alpha: float = 0.05, family: list[str] | None = None) -> DataFrame:

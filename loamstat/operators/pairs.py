@@ -27,6 +27,7 @@ def strip_accents(col: Column) -> Column:
 def normalize_sentence(col: Column, accents: bool = True) -> Column:
     """Accents stripped, lower case, trimmed, a space before ``.!?``, all else but letters to a space."""
     text = F.lower(F.trim(strip_accents(col) if accents else col))
+    # The two patterns of the normal form
     text = F.regexp_replace(text, r"([.!?])", r" $1")
     return F.trim(F.regexp_replace(text, r"[^a-zA-Z.!?]+", " "))
 

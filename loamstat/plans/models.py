@@ -81,8 +81,9 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def linkage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C2."""
-    return correlate.complete_linkage(_near_vectors(spark, sf_dir), 0.5)
+    """C2 of all pairs correlated by a quarter or more."""
+    edges = correlate.correlation_distance(vectors(spark, sf_dir).withColumnRenamed("vec_id", "feature_id"), 0.25)
+    return correlate.complete_linkage(edges, 0.75)
 
 
 @query()
@@ -193,12 +194,13 @@ def group_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH a AS (SELECT user_id AS f, CASE event_type WHEN 'click' THEN 0 ELSE 1 END AS side, list(value ORDER BY value) AS v FROM events WHERE event_type IN ('click', 'view') AND value IS NOT NULL GROUP BY ALL),
 b AS (SELECT * FROM a WHERE f IN (SELECT f FROM a GROUP BY f HAVING count(*) = 2)), d AS (SELECT f, side, rep, v, unnest(range(len(v))) AS i FROM b, range(50) g(rep)),
 k AS (SELECT f, side, rep, v[((((rep * 1103515245 + (i + side * 100003) * 12345 + 1 + f) % 2147483647) * 48271 % 2147483647) * 69621 % 2147483647) % len(v) + 1] AS x FROM d),
-m AS (SELECT f, rep, avg(x) FILTER (side = 0) - avg(x) FILTER (side = 1) AS effect FROM k GROUP BY ALL) SELECT f AS feature_id, round(avg(effect), 6) + 0 AS mean, round(stddev_samp(effect), 6) + 0 AS sd FROM m GROUP BY 1""")
+m AS (SELECT f, rep, avg(x) FILTER (side = 0) - avg(x) FILTER (side = 1) AS effect FROM k GROUP BY ALL) SELECT f AS feature_id, round(avg(effect) + 1e-9, 6) + 0 AS mean, round(stddev_samp(effect) + 1e-9, 6) + 0 AS sd FROM m GROUP BY 1""")
 def bootstrap_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R6 (the keys are portable, so SQL repeats the draws)."""
     obs = event_observations(spark, sf_dir).withColumn("sample_id", F.col("value")).where("value is not null")
     per = resample.bootstrap_effect(obs, "click", "view", 50).groupBy("feature_id").agg(F.avg("effect").alias("mean"), F.stddev_samp("effect").alias("sd"))
-    return per.select("feature_id", *[(F.round(c, 6) + 0.0).alias(c) for c in ("mean", "sd")])
+    # means of a few decimals often end in a 5: a little is added before rounding
+    return per.select("feature_id", *[(F.round(F.col(c) + 1e-9, 6) + 0.0).alias(c) for c in ("mean", "sd")])
 
 
 @query()

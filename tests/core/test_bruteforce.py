@@ -130,7 +130,7 @@ def test_spectral_embedding_matches_eigenvectors(spark):
             if (a < 6) == (b < 6) or (a, b) == (5, 6):
                 w[a, b] = w[b, a] = 0.2 + RNG.random()
     edges = spark.createDataFrame([(a, b, float(w[a, b])) for a in range(12) for b in range(a + 1, 12) if w[a, b]], "i long, j long, weight double")
-    places, values = cluster.spectral_embedding(edges, 2, 40)
+    places, values = cluster.spectral_embedding(edges, 2, 25)
     d = w.sum(1)
     want, vectors_ = np.linalg.eigh(w / np.sqrt(np.outer(d, d)))
     assert np.allclose(values, want[::-1][:2], atol=1e-6)

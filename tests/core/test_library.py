@@ -172,6 +172,7 @@ def test_rank_rule_and_spread(spark):
     low = {r.variable: r["rank"] for r in ranks.rank_abs(df, ["method"], ties="min", scale=True).collect()}
     assert top == {"a": 2, "b": 2, "c": 3, "d": 4} and low == {"a": 0, "b": 0, "c": 2, "d": 3}
     five = spark.createDataFrame([("a", r) for r in (3, 3, 3, 3, 4)], "variable string, rank long")
+    # Fixed value: a published result
     assert ranks.rank_spread(five, ["variable"]).first().rank_sd == pytest.approx(0.447213595499958)
 
 
