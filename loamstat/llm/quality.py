@@ -180,7 +180,7 @@ def train_epochs(theta: np.ndarray, x: np.ndarray, bag: np.ndarray, y: np.ndarra
         for k in range(0, len(y), p.batch):
             own = order[k : k + p.batch]
             rows = np.concatenate([np.arange(cut[i], cut[i + 1]) for i in own])
-            g = gradient(theta, x[rows], np.repeat(np.arange(len(own)), cut[own + 1] - cut[own]), y[own], p)
+            g = gradient(theta, x[rows].astype(np.float64), np.repeat(np.arange(len(own)), cut[own + 1] - cut[own]), y[own], p)
             step += 1
             m = 0.9 * m + 0.1 * g
             s = 0.999 * s + 0.001 * g * g
@@ -216,10 +216,11 @@ def _fitter(theta: np.ndarray, round_no: int, width: int, p: MilParams) -> Calla
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending")])
-        lists = [np.asarray(v.values, np.float64).reshape(-1, width) for v in table.column("x")]
-        bag = np.repeat(np.arange(len(lists)), [len(v) for v in lists])
-        got = train_epochs(theta, np.concatenate(lists), bag, table.column("y").to_numpy(), p, round_no)
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "n": pa.array([len(lists)], pa.int64()), "theta": pa.array([got], pa.list_(pa.float64()))})
+        bags = table.column("x").combine_chunks()
+        x = bags.flatten().to_numpy().reshape(-1, width)  # single precision, not copied
+        bag = np.repeat(np.arange(len(bags)), bags.value_lengths().to_numpy() // width)
+        got = train_epochs(theta, x, bag, table.column("y").to_numpy(), p, round_no)
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "n": pa.array([len(bags)], pa.int64()), "theta": pa.array([got], pa.list_(pa.float64()))})
 
     return fit
 

@@ -123,7 +123,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, params:
         # a fixed shuffle: neighbouring ids may be alike
         order = np.random.Generator(np.random.PCG64(table.num_rows)).permutation(table.num_rows)
         y = table.column("y").to_numpy()
-        examples = [np.asarray(v.values, np.int64) for v in table.column("x")]
+        lists = table.column("x").combine_chunks()
+        flat, cut = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        examples = [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]  # views
         w, bias = ftrl_train([examples[i] for i in order], y[order], params)
         index = np.flatnonzero(w)
         return pa.table(
