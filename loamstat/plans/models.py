@@ -203,10 +203,14 @@ def bootstrap_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("feature_id", *[(F.round(F.col(c) + 1e-9, 6) + 0.0).alias(c) for c in ("mean", "sd")])
 
 
-@query()
+@query(f"""WITH {_DIMS}, s AS (SELECT f, x, row_number() OVER (PARTITION BY f ORDER BY vec_id) - 1 AS pos FROM c),
+k AS (SELECT rep, f, pos, x, (((rep * 1103515245 + pos * 12345 + 1 + f * 7919) % 2147483647) * 48271 % 2147483647) * 69621 % 2147483647 AS key FROM s, range(3) g(rep)),
+o AS (SELECT rep, f, x, row_number() OVER (PARTITION BY rep, f ORDER BY key, pos) AS place FROM k),
+r AS (SELECT a.rep, corr(a.x, b.x) AS r FROM o a JOIN o b ON a.rep = b.rep AND a.place = b.place AND a.f < b.f GROUP BY a.rep, a.f, b.f)
+SELECT CAST(rep AS INTEGER) AS rep, round(quantile_disc(r, 0.025), 6) AS lo, round(quantile_disc(r, 0.975), 6) AS hi FROM r GROUP BY 1""")
 def null_correlation_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R7."""
-    return resample.null_correlations(dimensions(spark, sf_dir), 3)
+    return resample.null_correlations(dimensions(spark, sf_dir), 3).select("rep", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
 _KM = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, v AS c FROM e ORDER BY vec_id LIMIT 8),
@@ -517,6 +521,55 @@ def sobol_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensitivity.sobol_indices(a, b, cols, lambda x: x[0] + 100 * x[1] * x[2])
 
 
+_TWO_LINES = """l AS (SELECT l_linenumber AS k, l_orderkey AS row_id, CAST(l_quantity AS DOUBLE) AS q, CAST(l_discount AS DOUBLE) AS d, CAST(l_tax AS DOUBLE) AS t FROM lineitem),
+j AS (SELECT a.q AS aq, a.d AS ad, {tax} AS az, b.q AS bq, b.d AS bd, {other} AS bz FROM l a JOIN l b ON a.row_id = b.row_id AND a.k = 1 AND b.k = 2),
+m AS (SELECT aq + 100 * ad * az AS ya, bq + 100 * bd * bz AS yb, unnest([{{'factor': 'l_quantity', 'ym': bq + 100 * ad * az}}, {{'factor': 'l_discount', 'ym': aq + 100 * bd * az}}, {{'factor': 'l_tax', 'ym': aq + 100 * ad * bz}}]) AS u FROM j),
+s AS (SELECT u.factor AS factor, (var_pop(ya) + var_pop(yb)) / 2 + pow(avg(ya) - avg(yb), 2) / 4 AS v, avg(yb * (u.ym - ya)) AS v1, avg(pow(ya - u.ym, 2)) / 2 AS vt FROM m GROUP BY 1)
+SELECT factor, round(v1 / v, 6) + 0 AS s1, round(vt / v, 6) + 0 AS st FROM s"""
+
+
+def _two_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    line = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row_id"), "l_linenumber", *[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount", "l_tax")])
+    return line.where("l_linenumber = 1"), line.where("l_linenumber = 2")
+
+
+def _rounded_indices(out: DataFrame) -> DataFrame:
+    return out.select("factor", *[(F.round(c, 6) + 0.0).alias(c) for c in ("s1", "st")])
+
+
+@query(f"WITH {_TWO_LINES.format(tax='a.t', other='b.t')}")
+def sobol_indices_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E10 with the first two lines of every order as the two samples."""
+    a, b = _two_lines(spark, sf_dir)
+    return _rounded_indices(sensitivity.sobol_indices(a, b, ["l_quantity", "l_discount", "l_tax"], lambda x: x[0] + 100 * x[1] * x[2]))
+
+
+@query(f"WITH {_TWO_LINES.format(tax='0.04', other='0.04')}")
+def fixed_factor_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tax set to a value before E10."""
+    a, b = (sensitivity.fix_factor(x, "l_tax", 0.04) for x in _two_lines(spark, sf_dir))
+    return _rounded_indices(sensitivity.sobol_indices(a, b, ["l_quantity", "l_discount", "l_tax"], lambda x: x[0] + 100 * x[1] * x[2]))
+
+
+_STEPS = "[" + ", ".join(str(i / 100) for i in range(101)) + "]"
+_QUANTILES = f"k AS (SELECT quantile_cont(CAST(l_quantity AS DOUBLE), {_STEPS}) AS q, quantile_cont(CAST(l_discount AS DOUBLE), {_STEPS}) AS d, quantile_cont(CAST(l_tax AS DOUBLE), {_STEPS}) AS t FROM lineitem)"
+
+
+def _quantile_sql(share: str, table: str) -> str:
+    at = f"least(floor(({share}) * 100), 99)"
+    low, high = (f"{table}[CAST({at} AS BIGINT) + {i}]" for i in (1, 2))
+    return f"({low} + (({share}) * 100 - {at}) * ({high} - {low}))"
+
+
+@query(f"""WITH {_QUANTILES}, r AS (SELECT range AS i FROM range(250)) SELECT i AS row_id, round({_quantile_sql("(i + 0.5) / 250", "q")}, 6) + 0 AS l_quantity,
+  round({_quantile_sql("(i + 0.5) / 250", "d")}, 6) + 0 AS l_discount, round({_quantile_sql("(i + 0.5) / 250", "t")}, 6) + 0 AS l_tax FROM r, k""")
+def quantile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A walk along the marginal quantiles."""
+    cols = ["l_quantity", "l_discount", "l_tax"]
+    out = sensitivity.quantile_sample(_lines(spark, sf_dir), cols, 250, "grid")
+    return out.select("row_id", *[(F.round(c, 6) + 0.0).alias(c) for c in cols])
+
+
 @query()
 def replicate_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E11."""
@@ -525,12 +578,19 @@ def replicate_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensitivity.mara_indices(x, cols, lambda c: c[0] + 100 * c[1] * c[2])
 
 
-@query()
+_CURVE = ", ".join(f"{_quantile_sql(f'0.5 + asin(sin(s * {w})) / pi()', t)} AS x{t}" for w, t in ((11, "q"), (19, "d"), (27, "t")))
+
+
+@query(f"""WITH {_QUANTILES}, r AS (SELECT (2 * range + 1) / 2000 * pi() - pi() AS s FROM range(2000)), x AS (SELECT s, {_CURVE} FROM r, k), y AS (SELECT s, xq + 100 * xd * xt AS y FROM x),
+f AS (SELECT factor, w * h AS wave FROM (VALUES ('l_quantity', 11), ('l_discount', 19), ('l_tax', 27)) v(factor, w), range(1, 5) g(h)),
+p AS (SELECT factor, wave, pow(avg(y * cos(wave * s)), 2) + pow(avg(y * sin(wave * s)), 2) AS p FROM y, f GROUP BY ALL)
+SELECT factor, round(2 * sum(p) / (SELECT var_pop(y) FROM y), 6) + 0 AS s1 FROM p GROUP BY 1""")
 def fourier_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E12."""
     cols = ["l_quantity", "l_discount", "l_tax"]
     x = sensitivity.quantile_sample(_lines(spark, sf_dir), cols, 2000, "curve", 1)
-    return sensitivity.fast_indices(x, cols, F.col("l_quantity") + 100 * F.col("l_discount") * F.col("l_tax"))
+    out = sensitivity.fast_indices(x, cols, F.col("l_quantity") + 100 * F.col("l_discount") * F.col("l_tax"))
+    return out.select("factor", (F.round("s1", 6) + 0.0).alias("s1"))
 
 
 @query()
@@ -564,11 +624,21 @@ def beta_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bayes.beta_posterior(e, ["event_type"], "hit", 2, 10).select("event_type", "n", "y", F.round("mean", 8).alias("mean"))
 
 
-@query()
+#: The regularised incomplete beta function at x by Simpson's rule.
+_BETA_AT = """(x / 2000 / 3 * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) *
+  (CASE WHEN i = 0 THEN 0 ELSE exp((pa - 1) * ln(x * i / 2000) + (pb - 1) * ln(1 - x * i / 2000) + lgamma(pa + pb) - lgamma(pa) - lgamma(pb)) END))))"""
+
+
+@query(f"""WITH RECURSIVE g AS (SELECT event_type, count(value) AS n, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS BIGINT) AS y FROM events GROUP BY 1),
+h AS (SELECT *, CAST(y + 2 AS DOUBLE) AS pa, CAST(n - y + 10 AS DOUBLE) AS pb FROM g), b(event_type, pa, pb, tail, lo, hi, k) AS (
+  SELECT event_type, pa, pb, tail, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), 0 FROM h, (VALUES (0.05), (0.95)) v(tail) UNION ALL
+  SELECT event_type, pa, pb, tail, CASE WHEN c < tail THEN x ELSE lo END, CASE WHEN c < tail THEN hi ELSE x END, k + 1 FROM (SELECT *, {_BETA_AT} AS c FROM (SELECT *, (lo + hi) / 2 AS x FROM b WHERE k < 35))),
+q AS (SELECT event_type, max((lo + hi) / 2) FILTER (tail = 0.05) AS lo, max((lo + hi) / 2) FILTER (tail = 0.95) AS hi FROM b WHERE k = 35 GROUP BY 1), t AS (SELECT event_type, {_BETA_AT} AS below FROM (SELECT *, 0.5 AS x FROM h))
+SELECT event_type, y, n, round(pa / (pa + pb), 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, round(below, 6) AS below FROM h JOIN q USING (event_type) JOIN t USING (event_type)""")
 def beta_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A23 with intervals and tail probability."""
     e = read(spark, sf_dir, "events").withColumn("hit", (F.col("value") > 50).cast("int"))
-    return bayes.beta_posterior(e, ["event_type"], "hit", 2, 10)
+    return bayes.beta_posterior(e, ["event_type"], "hit", 2, 10).select("event_type", "y", "n", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi", "below")])
 
 
 @query(f"""WITH RECURSIVE g AS (SELECT event_type, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd, CAST(count(value) - 1 AS DOUBLE) AS dof FROM events GROUP BY 1 HAVING count(value) > 1),
@@ -785,6 +855,14 @@ def robust_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c, float(b)) for c, b in zip(["l_quantity", "l_discount"], beta, strict=True)], "variable string, beta double")
 
 
+@query("""WITH m AS (SELECT var_pop(l_quantity) AS a, covar_pop(l_quantity, l_discount) AS b, var_pop(l_discount) AS c, covar_pop(l_quantity, l_extendedprice) AS u, covar_pop(l_discount, l_extendedprice) AS v FROM lineitem)
+SELECT 'l_quantity' AS variable, round((c * u - b * v) / (a * c - b * b), 5) AS beta FROM m UNION ALL SELECT 'l_discount', round((a * v - b * u) / (a * c - b * b), 3) FROM m""")
+def unweighted_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4 at p = 2, where all weights are 1."""
+    beta = factor.irls(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice", 2.0, 3)
+    return spark.createDataFrame([("l_quantity", round(float(beta[0]), 5)), ("l_discount", round(float(beta[1]), 3))], "variable string, beta double")
+
+
 @query()
 def sparse_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L3."""
