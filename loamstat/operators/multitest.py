@@ -1,7 +1,7 @@
 """Multiple testing.  ``family`` names one set of tests; m is its size.
 
-With many families a window per family does; one huge family goes by global
-ranks over range partitions, so no task sees all of it.
+Families of any number and size go by ranks over range partitions of (family,
+p), so no task sees all of a large one.
 """
 
 from __future__ import annotations
@@ -26,66 +26,65 @@ def _harmonic(m: Column) -> Column:
 def adjust(tests: DataFrame, method: str, family: list[str] | None = None, p: str = "p", alpha: float = 0.05, key: list[str] | None = None) -> DataFrame:
     """M1-M3: adds ``p_<method>`` and ``reject``; rows with a null p stay out of m and get nulls.
 
-    ``family=None`` is one family of any size, ranked by range partitions;
-    otherwise each family is a window partition.
+    ``family=None`` is one family.  Families may have any size and null names.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
-    name = f"p_{method}"
-    if family is None:
-        tests = materialize(tests, "tests")  # counted, ranked and returned: computed once
-    known, unknown = tests.where(F.col(p).isNotNull()), tests.where(F.col(p).isNull())
-    if family is None:
-        out = _adjust_one(known, method, p, name)
-    else:
-        out = _adjust_families(known, method, family, p, name)
-    out = out.select(*tests.columns, name).unionByName(unknown.withColumn(name, F.lit(None).cast("double")))
+    name, family = f"p_{method}", family or []
+    tests = materialize(tests, "tests")  # counted, ranked and returned: computed once
+    adjusted = _adjusted(tests.where(F.col(p).isNotNull()), method, family, p, name)
+    out = _join(tests, adjusted, [*family, p], "left")
     return out.withColumn("reject", F.coalesce(F.col(name) < alpha if method == "bonferroni" else F.col(name) <= alpha, F.lit(False)))
 
 
-def _adjust_families(tests: DataFrame, method: str, family: list[str], p: str, name: str) -> DataFrame:
-    every = Window.partitionBy(*family)
-    m = F.count(p).over(every)
-    if method == "bonferroni":
-        return tests.withColumn(name, F.least(F.lit(1.0), F.col(p) * m))
-    up = Window.partitionBy(*family).orderBy(p)
-    ranked = tests.withColumns({"__m": m})
-    if method == "holm":
-        # tied values share the largest multiplier among them, m - (first rank) + 1
-        step = (F.col("__m") - F.rank().over(up) + 1) * F.col(p)
-        ranked = ranked.withColumn("__s", step)
-        return ranked.withColumn(name, F.least(F.lit(1.0), F.max("__s").over(up))).drop("__m", "__s")
-    c = _harmonic(F.col("__m")) if method == "fdr_by" else F.lit(1.0)
-    last = F.count(p).over(up)  # the rank of the last of tied values
-    ranked = ranked.withColumn("__s", F.col(p) * F.col("__m") * c / last)
-    down = Window.partitionBy(*family).orderBy(F.col(p).desc())
-    return ranked.withColumn(name, F.least(F.lit(1.0), F.min("__s").over(down))).drop("__m", "__s")
-
-
-def _adjust_one(tests: DataFrame, method: str, p: str, name: str) -> DataFrame:
-    """One family: distinct p-values with their counts are ranked by ranges and joined back, so ties cost one row."""
-    m = tests.count()
+def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with the further columns of ``right``; null keys are equal."""
+    a, b = left.alias("a"), right.alias("b")
+    met = F.lit(True)
+    for c in on:
+        met = met & F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`"))
+    return a.join(b, met, how).select("a.*", *[F.col(f"b.`{c}`") for c in right.columns if c not in on])
+
+
+def _ranked(tests: DataFrame, family: list[str], p: str) -> DataFrame:
+    """Distinct p-values of every family: ``__n`` tests, ``__last`` rank of the last of them, ``__m`` tests in the family.
+
+    Families and values together are range-partitioned, so neither a large family nor its ties meet in one
+    task; what crosses ranges are counts, one row for each family in each range.
+    """
+    counts = ranged(tests.groupBy(*family, p).agg(F.count(F.lit(1)).alias("__n")), *[F.col(f) for f in family], F.col(p))
+    part = ["__range", *family]
+    whole = Window.partitionBy(*family)
+    totals = counts.groupBy(*part).agg(F.sum("__n").alias("__t"))
+    before = totals.select(*part, F.coalesce(F.sum("__t").over(_earlier(family)), F.lit(0)).alias("__before"), F.sum("__t").over(whole).alias("__m"))
+    here = F.sum("__n").over(Window.partitionBy(*part).orderBy(p))
+    return _join(counts, before, part).withColumn("__last", F.col("__before") + here).drop("__before")
+
+
+def _earlier(family: list[str]):  # noqa: ANN202
+    return Window.partitionBy(*family).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _adjusted(tests: DataFrame, method: str, family: list[str], p: str, name: str) -> DataFrame:
+    """``(family, p, name)`` for every distinct p-value of a family."""
     if method == "bonferroni":
-        return tests.withColumn(name, F.least(F.lit(1.0), F.col(p) * m))
-    counts = ranged(tests.groupBy(F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__n")), F.col("__p"))
-    own, up, down = Window.partitionBy("__range"), Window.orderBy("__range"), Window.partitionBy("__range").orderBy(F.col("__p").desc())
-    ranges = counts.groupBy("__range").agg(F.sum("__n").alias("t"))  # one row a range, as in all windows over ranges here
-    before = ranges.select("__range", F.coalesce(F.sum("t").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    ranked = counts.join(F.broadcast(before), "__range").withColumn("__last", F.col("__before") + F.sum("__n").over(own.orderBy("__p")))
+        counts = tests.groupBy(*family, p).agg(F.count(F.lit(1)).alias("__n"))
+        totals = counts.groupBy(*family).agg(F.sum("__n").alias("__m"))
+        return _join(counts, totals, family).select(*family, p, F.least(F.lit(1.0), F.col(p) * F.col("__m")).alias(name))
+    ranked = _ranked(tests, family, p)
+    part = ["__range", *family]
     if method == "holm":
-        # of tied values the first rank counts
-        ranked = ranked.withColumn("__s", (m - F.col("__last") + F.col("__n")) * F.col("__p"))
-        others = ranked.groupBy("__range").agg(F.max("__s").alias("t"))
-        others = others.select("__range", F.max("t").over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("__o"))
-        best = F.greatest(F.max("__s").over(own.orderBy("__p")), F.col("__o"))
+        # of tied values the first rank counts: the largest multiplier among them
+        ranked = ranked.withColumn("__s", (F.col("__m") - F.col("__last") + F.col("__n")) * F.col(p))
+        others = ranked.groupBy(*part).agg(F.max("__s").alias("__t")).select(*part, F.max("__t").over(_earlier(family)).alias("__o"))
+        best = F.greatest(F.max("__s").over(Window.partitionBy(*part).orderBy(p)), F.col("__o"))
     else:
-        c = _harmonic(F.lit(m)) if method == "fdr_by" else F.lit(1.0)
-        ranked = ranked.withColumn("__s", F.col("__p") * m * c / F.col("__last"))
-        others = ranked.groupBy("__range").agg(F.min("__s").alias("t"))
-        others = others.select("__range", F.min("t").over(up.rowsBetween(1, Window.unboundedFollowing)).alias("__o"))
-        best = F.least(F.min("__s").over(down), F.col("__o"))
-    adjusted = ranked.join(F.broadcast(others), "__range").select(F.col("__p").alias(p), F.least(F.lit(1.0), best).alias(name))
-    return tests.join(adjusted, p)
+        c = _harmonic(F.col("__m")) if method == "fdr_by" else F.lit(1.0)
+        ranked = ranked.withColumn("__s", F.col(p) * F.col("__m") * c / F.col("__last"))
+        later = Window.partitionBy(*family).orderBy("__range").rowsBetween(1, Window.unboundedFollowing)
+        others = ranked.groupBy(*part).agg(F.min("__s").alias("__t")).select(*part, F.min("__t").over(later).alias("__o"))
+        best = F.least(F.min("__s").over(Window.partitionBy(*part).orderBy(F.col(p).desc())), F.col("__o"))
+    return _join(ranked, others, part).select(*family, p, F.least(F.lit(1.0), best).alias(name))
 
 
 def alpha_levels(tests: DataFrame, alpha: float = 0.05, family: list[str] | None = None) -> DataFrame:
@@ -96,14 +95,17 @@ def alpha_levels(tests: DataFrame, alpha: float = 0.05, family: list[str] | None
 def m0_bh(tests: DataFrame, family: list[str], p: str = "p") -> DataFrame:
     """M5: estimate of the number of true nulls per family: with m0(k) = (m + 1 - k) / (1 - p_(k)),
     the first m0(k) above its predecessor, at most m; m if none rises."""
-    up = Window.partitionBy(*family).orderBy(p).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    order = Window.partitionBy(*family).orderBy(p)
-    m = F.count(p).over(Window.partitionBy(*family))
-    k = F.count(F.lit(1)).over(up)
-    walk = tests.where(F.col(p).isNotNull()).withColumns({"__m": m, "__k": k})
-    walk = walk.withColumn("__m0", F.when(F.col(p) < 1, (F.col("__m") + 1 - F.col("__k")) / (1 - F.col(p))).otherwise(F.lit(float("inf"))))
-    walk = walk.withColumn("__rises", F.col("__m0") > F.lag("__m0").over(order))
-    est = walk.groupBy(*family).agg(F.max("__m").alias("m"), F.min(F.when(F.col("__rises"), F.struct("__k", "__m0")))["__m0"].alias("est"))
+    part = ["__range", *family]
+    null = lambda rank: F.when(F.col(p) < 1, (F.col("__m") + 1 - rank) / (1 - F.col(p))).otherwise(F.lit(float("inf")))
+    # m0(k) falls among tied values, so it can only rise from the last of a value to the first of the next
+    ranked = _ranked(tests.where(F.col(p).isNotNull()), family, p).withColumn("__k", F.col("__last") - F.col("__n") + 1)
+    ranked = ranked.withColumns({"__first": null(F.col("__k")), "__end": null(F.col("__last"))})
+    ends = ranked.groupBy(*part).agg(F.max_by("__end", p).alias("__t"))
+    ends = ends.select(*part, F.lag("__t").over(Window.partitionBy(*family).orderBy("__range")).alias("__o"))
+    walk = _join(ranked, ends, part)
+    before = F.coalesce(F.lag("__end").over(Window.partitionBy(*part).orderBy(p)), F.col("__o"))
+    walk = walk.withColumn("__rises", F.col("__first") > before)
+    est = walk.groupBy(*family).agg(F.max("__m").alias("m"), F.min(F.when(F.col("__rises"), F.struct("__k", "__first")))["__first"].alias("est"))
     return est.select(*family, "m", F.least(F.coalesce(F.ceil("est").cast("long"), F.col("m")), F.col("m")).alias("m0"))
 
 
@@ -120,9 +122,7 @@ def two_stage(tests: DataFrame, family: list[str], method: str = "bh", alpha: fl
     """
     est = m0_bh(tests, family, p) if method == "bh" else m0_bky(tests, family, alpha, p)
     level = alpha if method == "bh" else alpha / (1 + alpha)
-    plain = adjust(tests, "fdr_bh", family, p).drop("reject").alias("t")
-    same = [F.col(f"t.{f}").eqNullSafe(F.col(f"e.{f}")) for f in family]
-    plain = plain.join(est.alias("e"), same, "left").select("t.*", "e.m", "e.m0")
+    plain = _join(adjust(tests, "fdr_bh", family, p).drop("reject"), est, family, "left")
     scaled = F.col("p_fdr_bh") * F.col("m0") / F.col("m")
     return plain.withColumn("reject", F.coalesce(F.col(p).isNotNull() & ((F.col("m0") == 0) | (scaled <= level)), F.lit(False)))
 
