@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamstat.llm.common import bloom_build, bloom_has, drop_keys, materialize, row_key, sieve, text_slices
-from loamstat.llm.wordhash import ALNUM, as_long, phrases, words
+from loamstat.llm.wordhash import ALNUM, as_long, lowered, phrases, words
 
 #: Copies of a window's row in the joins on its words, so that a passage of very many documents
 #: isn't one task's.
@@ -55,10 +55,11 @@ def item_windows(items: DataFrame, window: int, id_col: str = "item_id", text_co
             n = np.bincount(w.doc, minlength=part.num_rows) if len(w.doc) else np.zeros(part.num_rows, np.int64)
             size = np.minimum(n, window)
             at = np.flatnonzero(np.arange(len(w.doc)) + size[w.doc] <= np.cumsum(n)[w.doc]) if len(w.doc) else np.zeros(0, np.int64)
+            low = lowered(data)
             for a in range(0, len(at), 50_000):
                 own = at[a : a + 50_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(phrases(data, w, own, size[w.doc[own]]), pa.string()), pa.array(size[w.doc[own]].astype(np.int32)), part.column(0).take(pa.array(w.doc[own]))],
+                    [pa.array(phrases(low, w, own, size[w.doc[own]]), pa.string()), pa.array(size[w.doc[own]].astype(np.int32)), part.column(0).take(pa.array(w.doc[own]))],
                     ["phrase", "k", "item_id"],
                 )
 
@@ -243,11 +244,12 @@ def _searched(docs: DataFrame, items: DataFrame, window: int, slop: int, id_col:
             doc = np.repeat(np.arange(part.num_rows), begins.value_lengths().to_numpy(zero_copy_only=False))
             flat = begins.flatten()
             start, k = flat.field("start").to_numpy(), flat.field("k").to_numpy()
+            low = lowered(data)
             for a in range(0, len(doc), 50_000):
                 own = slice(a, a + 50_000)
                 at = first[doc[own]] + start[own]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(doc[own])), pa.array(start[own], pa.int32()), pa.array(k[own], pa.int32()), pa.array(phrases(data, w, at, k[own]), pa.string())],
+                    [part.column(0).take(pa.array(doc[own])), pa.array(start[own], pa.int32()), pa.array(k[own], pa.int32()), pa.array(phrases(low, w, at, k[own]), pa.string())],
                     ["doc", "start", "k", "phrase"],
                 )
 

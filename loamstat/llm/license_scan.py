@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamstat.llm.common import bloom_build, flat_bytes, materialize, row_key, sieve, text_slices
-from loamstat.llm.wordhash import ALNUM, Words, as_long, ngrams, phrase_words, phrases, words
+from loamstat.llm.wordhash import ALNUM, Words, as_long, lowered, ngrams, phrase_words, phrases, words
 
 #: The phrases that the base rule counts, with their labels.
 BASE_PHRASES = (
@@ -160,11 +160,11 @@ def license_spans(docs: DataFrame, templates: tuple[tuple[str, str], ...], votes
         for part, data, offs in text_slices(batches, "text"):
             w = words(data, offs, ALNUM)
             cut = np.searchsorted(w.doc, np.arange(part.num_rows + 1))
-            out = []
+            low, out = lowered(data), []
 
             def read(r: int, lo: int, hi: int) -> list[str]:
                 lo, hi = cut[r] + max(0, lo), min(cut[r + 1], cut[r] + hi)
-                return phrases(data, w, np.arange(lo, hi), np.ones(hi - lo, np.int64))
+                return [x.decode() for x in map(low.__getitem__, map(slice, w.start[lo:hi], w.end[lo:hi]))]
 
             for r, spans in enumerate(part.column(2).to_pylist()):
                 for s in spans:
@@ -191,7 +191,7 @@ _SPANS = pa.schema([("doc", pa.binary()), ("template", pa.int32()), ("first", pa
 def _words_of(text: str) -> list[str]:
     data, offs = flat_bytes(pa.array([text]))
     w = words(data, offs, ALNUM)
-    return phrases(data, w, np.arange(len(w.doc)), np.ones(len(w.doc), np.int64))
+    return phrases(lowered(data), w, np.arange(len(w.doc)), np.ones(len(w.doc), np.int64))
 
 
 def license_scan(

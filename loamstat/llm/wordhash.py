@@ -98,9 +98,12 @@ def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray = SPACED, checked
     return Words(start, end, doc, h, c)
 
 
-def phrases(data: np.ndarray, w: Words, at: np.ndarray, n: np.ndarray) -> list[str]:
-    """The lower-cased words from word ``at[i]`` on, ``n[i]`` of them, joined by one space."""
-    low = _LOWER[data].tobytes()
+def lowered(data: np.ndarray) -> bytes:
+    return _LOWER[data].tobytes()
+
+
+def phrases(low: bytes, w: Words, at: np.ndarray, n: np.ndarray) -> list[str]:
+    """The words of ``lowered`` bytes from word ``at[i]`` on, ``n[i]`` of them, joined by one space."""
     return [b" ".join([low[w.start[j] : w.end[j]] for j in range(a, a + k)]).decode() for a, k in zip(at.tolist(), n.tolist(), strict=True)]
 
 
