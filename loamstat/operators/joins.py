@@ -88,14 +88,47 @@ def map_cluster_ids(tests: DataFrame, clusters: DataFrame, on: str = "feature_id
     return tests.join(clusters, on, "left")
 
 
+def _nearest(k: int, metric: str):  # noqa: ANN202
+    """A task's k nearest ``y`` rows (``q`` false) of every ``x`` row (``q`` true)."""
+
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf.q], pdf[~pdf.q].sort_values("key")
+        if a.empty or b.empty:
+            return pd.DataFrame({"key": [], "neighbour": [], "distance": []}).astype({"key": "int64", "neighbour": "int64", "distance": "float64"})
+        d = _distances(np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy()), metric)
+        names, own = b.key.to_numpy(), a.key.to_numpy()
+        d[own[:, None] == names[None, :]] = np.inf  # a row isn't its own neighbour
+        take = min(k, d.shape[1])
+        at = np.argsort(d, axis=1, kind="stable")[:, :take]
+        out = pd.DataFrame({"key": np.repeat(own, take), "neighbour": names[at].ravel(), "distance": np.take_along_axis(d, at, 1).ravel()})
+        return out[np.isfinite(out.distance)]
+
+    return nearest
+
+
+def _distances(u: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "cosine":
+        u, v = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (u, v))
+        return 1 - u @ v.T
+    return np.sqrt(np.maximum((u * u).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * u @ v.T, 0))
+
+
+_NEAR = "key long, neighbour long, distance double"
+
+
+def _first(part: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("key").orderBy("distance", "neighbour")
+    return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def knn(x: DataFrame, y: DataFrame, k: int, metric: str = "euclid", key: str = "vec_id", vec: str = "embedding", block: int = 2000) -> DataFrame:
     """The k nearest rows of ``y`` for every row of ``x``: ``(key, neighbour, distance, rank)``.
 
-    ``y`` is dealt into blocks and ``x`` into blocks; a task multiplies one
-    pair of blocks and keeps k rows of each query, so what is shuffled after
-    it is k rows per query and block.  Ties go to the smaller key.
+    Exact, so all pairs are computed: ``y`` is dealt into blocks and ``x`` into
+    blocks; a task multiplies one pair of blocks and keeps k rows of each
+    query, so what is shuffled after it is k rows per query and block.  Ties
+    go to the smaller key.  ``knn_by_cells`` looks at near rows only.
     """
-    schema = "key long, neighbour long, distance double"
 
     def deal(df: DataFrame, side: str) -> tuple[DataFrame, int]:
         parts = max(1, -(-df.count() // block))
@@ -105,27 +138,42 @@ def knn(x: DataFrame, y: DataFrame, k: int, metric: str = "euclid", key: str = "
     right, nr = deal(y, "by")
     left = left.withColumn("by", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))).withColumn("q", F.lit(True))
     right = right.withColumn("bx", F.explode(F.sequence(F.lit(0), F.lit(nl - 1)))).withColumn("q", F.lit(False))
+    return _first(left.unionByName(right).groupBy("bx", "by").applyInPandas(_nearest(k, metric), _NEAR), k)
 
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.q], pdf[~pdf.q].sort_values("key")
-        if a.empty or b.empty:
-            return pd.DataFrame({"key": [], "neighbour": [], "distance": []}).astype({"key": "int64", "neighbour": "int64", "distance": "float64"})
-        u, v = np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy())
-        if metric == "cosine":
-            u, v = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (u, v))
-            d = 1 - u @ v.T
-        else:
-            d = np.sqrt(np.maximum((u * u).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * u @ v.T, 0))
-        names, own = b.key.to_numpy(), a.key.to_numpy()
-        d[own[:, None] == names[None, :]] = np.inf  # a row isn't its own neighbour
-        take = min(k, d.shape[1])
-        at = np.argsort(d, axis=1, kind="stable")[:, :take]
-        out = pd.DataFrame({"key": np.repeat(own, take), "neighbour": names[at].ravel(), "distance": np.take_along_axis(d, at, 1).ravel()})
-        return out[np.isfinite(out.distance)]
 
-    part = left.unionByName(right).groupBy("bx", "by").applyInPandas(nearest, schema)
-    order = Window.partitionBy("key").orderBy("distance", "neighbour")
-    return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def knn_by_cells(x: DataFrame, y: DataFrame, k: int, probes: int, metric: str = "euclid", key: str = "vec_id", vec: str = "embedding", cells: int | None = None, block: int = 2000, seed: int = 1) -> DataFrame:
+    """J7 approximately: ``knn`` among the rows of ``y`` in the ``probes`` cells nearest to a query.
+
+    The cells are those of keyed rows of ``y`` as centres, by default about the
+    root of their number.  Work grows with rows x root x probes instead of rows x rows; recall grows with
+    ``probes`` and is 1 when all cells are probed.  Large cells are dealt into blocks on both sides.
+    """
+    y = materialize(y.select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("v")), "cells")
+    count = y.count()
+    wanted = cells or max(1, int(np.sqrt(count)))
+    drawn = y.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(wanted).select("v").collect()
+    if not drawn:
+        return x.select(F.col(key).cast("long").alias("key"), F.lit(0).cast("long").alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
+    centres = x.sparkSession.sparkContext.broadcast(np.array([r["v"] for r in drawn]))
+
+    def placed(df: DataFrame, near: int) -> DataFrame:
+        def place(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in pdfs:
+                if len(pdf):
+                    d = _distances(np.stack(pdf.v.to_numpy()), centres.value, metric)
+                    yield pd.DataFrame({"key": pdf["key"], "v": pdf["v"], "cell": list(np.argsort(d, axis=1, kind="stable")[:, :near])})
+
+        return df.mapInPandas(place, "key long, v array<double>, cell array<int>").select("key", "v", F.explode("cell").alias("cell"))
+
+    left = materialize(placed(x.select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("v")), min(probes, len(drawn))), "queries")
+    right = materialize(placed(y, 1), "placed")
+    blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    sizes = blocks(left, "nx").join(blocks(right, "ny"), "cell")
+    deal = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = left.join(sizes, "cell").select("key", "v", "cell", deal("nx").alias("bx"), every("ny").alias("by"), F.lit(True).alias("q"))
+    b = right.join(sizes, "cell").select("key", "v", "cell", every("nx").alias("bx"), deal("ny").alias("by"), F.lit(False).alias("q"))
+    return _first(a.unionByName(b).groupBy("cell", "bx", "by").applyInPandas(_nearest(k, metric), _NEAR), k)
 
 
 def knn_classify(train: DataFrame, test: DataFrame, k: int, metric: str = "euclid", key: str = "vec_id", vec: str = "embedding", label: str = "label") -> DataFrame:

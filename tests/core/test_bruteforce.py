@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamstat.operators import cluster, correlate, factor, multitest, regress, resample, sensitivity, stats
+from loamstat.operators import cluster, correlate, factor, joins, multitest, regress, resample, sensitivity, stats
 
 RNG = np.random.default_rng(7)
 
@@ -153,6 +153,19 @@ def test_noisy_quantisation_repeats_on_the_means(spark):
     assert {r.cluster: r.label for r in cluster.quantised_labels(labels, cells, "label").collect()} == {1: "b", 2: "a"}
 
 
+@pytest.mark.parametrize("metric", ["euclid", "cosine"])
+def test_neighbours_by_cells(spark, metric):
+    """All cells give the exact neighbours; a few give nine in ten of them on clustered rows, also where one cell is hot."""
+    middle = RNG.normal(size=(12, 6)) * 4
+    x = np.concatenate([middle[RNG.integers(0, 12, 300)] + RNG.normal(size=(300, 6)), middle[:1] + RNG.normal(size=(200, 6)) * 0.2])
+    df = vectors(spark, x).withColumnRenamed("v", "embedding")
+    exact = {(r.key, r["rank"]): r.neighbour for r in joins.knn(df, df, 5, metric, block=120).collect()}
+    whole = {(r.key, r["rank"]): r.neighbour for r in joins.knn_by_cells(df, df, 5, 99, metric, block=60).collect()}
+    assert whole == exact and len(exact) == 2500
+    some = {(r.key, r.neighbour) for r in joins.knn_by_cells(df, df, 5, 6, metric, block=60).collect()}
+    assert np.mean([(key, n) in some for (key, _), n in exact.items()]) > 0.9
+
+
 def test_unit_rows_and_spherical_clusters(spark):
     x = np.array([[3.0, 4.0], [0.0, 0.0], [-1.0, 0.0], [30.0, 41.0], [-2.0, 0.1]])
     got = np.array([r.v for r in cluster.unit_rows(vectors(spark, x)).orderBy("vec_id").collect()])
