@@ -29,6 +29,9 @@ components.  The steps:
    spanning forest, never as all pairs.
 6. *Components* of the forest edges, joined back to all documents.
 
+Thresholds of 2/3 and more are meant; lower ones stay exact, but step 2 then
+takes time and tokens with the square of a set's size.
+
 Every bound is exact: no link is lost and no bucket is capped.  What takes
 place of the words are 128-bit digests; 64-bit ones only find candidates.
 
