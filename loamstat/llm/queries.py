@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstat.llm.chat_format import digests, format_conversations
+from loamstat.llm.collocations import collocations
 from loamstat.llm.common import table
 from loamstat.llm.decontamination import contamination
 from loamstat.llm.jaccard_join import jaccard_components
 from loamstat.llm.license_scan import license_scan
 from loamstat.llm.media_chunks import media_features
+from loamstat.llm.merkle_manifest import document_leaves, verify
 from loamstat.llm.mixing import mix_sources
 from loamstat.llm.quality import quality_scores
 from loamstat.llm.token_counts import token_attribution
+from loamstat.llm.token_files import tokens_of
 from loamstat.llm.toxicity import toxicity_scores
 from loamstat.llm.warc import derivatives
 
@@ -72,6 +75,20 @@ def op10_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens_of(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id's crc32 is divisible by 7 is tampered with: its n_chars grows by 1."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return verify(document_leaves(table(spark, sf_dir, "documents"), tampered, ("n_chars", F.col("n_chars") + 1)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -85,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_decontamination,
         op10_media_chunks,
+        op11_token_files,
+        op12_collocations,
+        op13_merkle_manifest,
     )
 }
 
@@ -159,8 +179,83 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id LEFT JOIN nr ON nr.doc_id = d.doc_id
 """
 
+_OP12 = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)
+), totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+f AS (
+  SELECT lang, m, g, count(*) AS c FROM (
+    SELECT lang, m, array_to_string(ws[p:p + m - 1], ' ') AS g FROM (
+      SELECT lang, m, ws, unnest(range(1, len(ws) - m + 2)) AS p FROM pieces, range(1, 5) t(m) WHERE len(ws) >= m
+    )
+  ) GROUP BY lang, m, g HAVING count(*) >= 30
+), cand AS (SELECT lang, m, g, c AS a, string_split(g, ' ') AS gw FROM f WHERE m > 1),
+cuts AS (SELECT *, unnest(range(1, m)) AS k FROM cand),
+parts AS (
+  SELECT cuts.lang, cuts.g, cuts.a, k, x.c AS l, y.c AS r, CAST(2000000::HUGEINT * cuts.a // (x.c::HUGEINT + y.c) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.g = array_to_string(gw[1:k], ' ') JOIN f y ON y.lang = cuts.lang AND y.g = array_to_string(gw[k + 1:], ' ')
+), low AS (SELECT lang, g, a, l, r, score FROM parts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_places AS (SELECT lang, gw, a, m, s, unnest(range(1, m - s + 2)) AS p FROM cand, range(2, 4) t(s) WHERE m > s),
+covers AS (SELECT lang, array_to_string(gw[p:p + s - 1], ' ') AS g, max(a) AS longer FROM inner_places GROUP BY ALL),
+kept AS (
+  SELECT low.* FROM low LEFT JOIN covers ON covers.lang = low.lang AND covers.g = low.g
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score
+FROM kept JOIN totals ON totals.lang = kept.lang QUALIFY rank <= 2000
+"""
+
+_OP13 = r"""
+WITH RECURSIVE steps(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8
+), crc AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8),
+enc AS (
+  SELECT doc_id, lang, n_chars,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, crc.t[xor(c, b) % 256 + 1]), 4294967295), 4294967295) % 7 = 0 AS tampered
+  FROM documents, crc
+), leaf AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) AS changed, tampered
+  FROM enc
+), placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaf
+), nd(tree, lvl, pos, h) AS (
+  SELECT tree, 0, pos, leaf FROM placed
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM nd) WHERE c > 1 GROUP BY tree, lvl, pos // 2
+), heights AS (SELECT tree, max(lvl) AS top FROM nd GROUP BY tree),
+sub AS (SELECT nd.tree, top, h AS subroot FROM nd JOIN heights ON heights.tree = nd.tree AND nd.lvl = top),
+up(lvl, pos, h) AS (
+  SELECT 0, tree, subroot FROM sub
+  UNION ALL
+  SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS c FROM up) WHERE c > 1 GROUP BY lvl, pos // 2
+), all_nodes AS (
+  SELECT nd.tree, lvl, pos, h FROM nd JOIN heights ON heights.tree = nd.tree AND lvl < top
+  UNION ALL SELECT sub.tree, top + lvl, pos, h FROM up, sub WHERE (sub.tree >> up.lvl) // 2 = pos // 2
+), whole AS (SELECT max(lvl) AS high FROM up),
+path(id, doc_id, tree, pos, top, lvl, proof, now) AS (
+  SELECT row_number() OVER (), doc_id, placed.tree, pos, top, 0, '', CASE WHEN tampered THEN changed ELSE leaf END FROM placed JOIN sub ON sub.tree = placed.tree
+  UNION ALL
+  SELECT id, doc_id, path.tree, path.pos, top, path.lvl + 1, proof || coalesce(s.h, ''),
+    CASE WHEN s.h IS NULL THEN sha256(now) WHEN (CASE WHEN path.lvl < top THEN path.pos >> path.lvl ELSE path.tree >> (path.lvl - top) END) % 2 = 0 THEN sha256(now || s.h) ELSE sha256(s.h || now) END
+  FROM path JOIN whole ON path.lvl < top + high
+  LEFT JOIN all_nodes s ON s.tree = path.tree AND s.lvl = path.lvl
+    AND s.pos = xor(CASE WHEN path.lvl < top THEN path.pos >> path.lvl ELSE path.tree >> (path.lvl - top) END, 1)
+)
+SELECT p.doc_id, placed.leaf, sub.subroot, r.h AS root, sha256(p.proof) AS proof_sha256, p.now AS folded_root, p.now = r.h AS verified
+FROM path p JOIN whole ON p.lvl = p.top + high JOIN sub ON sub.tree = p.tree JOIN up r ON r.lvl = high
+JOIN placed ON placed.tree = p.tree AND placed.pos = p.pos
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": _OP2,
     "op6_ngram_jaccard_join": _OP6,
     "op9_decontamination": _OP9,
+    "op12_collocations": _OP12,
+    "op13_merkle_manifest": _OP13,
 }
