@@ -21,12 +21,16 @@ encoder is ``tiktoken``.
 
 Edge cases: null and empty texts give no rows unless a section table names
 sections for them; repeated rows are counted each; a token that holds part of
-a character counts as touching it; null ids meet the sections of null ids.
+a character counts as touching it; null ids meet the sections of null ids; very
+long texts are encoded whole, also runs of millions of spaces; an empty table
+gives no rows; of clashing columns, ``sections`` is replaced by
+``with_sections`` and the others are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +46,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenisation pattern that belongs to this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Runs of white space (as the pattern's ``\s`` has it) that are cut out before the pattern is applied.
+_LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
+
 RULES = ("start", "end", "majority", "split")
 
 _encoders: dict[int, tuple] = {}
@@ -76,12 +83,25 @@ def _encoder(vocabulary: bytes) -> tuple:
     return _encoders[key]
 
 
+def _encoded(text: str, encoder) -> Iterator[list[int]]:  # noqa: ANN001
+    """Ids of a text in runs, cut where the pattern itself cuts long white space: it backtracks over such a
+    run and overflows its stack.  All of a run but its last character (all of it at the text's end) is one piece.
+    """
+    at = 0
+    for run in _LONG_SPACE.finditer(text):
+        to = run.end() - (run.end() < len(text))
+        yield encoder.encode_ordinary(text[at : run.start()])
+        yield encoder._encode_single_piece(text[run.start() : to])
+        at = to
+    yield encoder.encode_ordinary(text[at:])
+
+
 def token_spans(text: str, vocabulary: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Character spans [from, to) of the tokens of a text."""
     if not text:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     encoder, sizes = _encoder(vocabulary)
-    ids = np.asarray(encoder.encode_ordinary(text), np.int64)
+    ids = np.concatenate([np.asarray(one, np.int64) for one in _encoded(text, encoder)])
     end = np.cumsum(sizes[ids])
     start = end - sizes[ids]
     raw = np.frombuffer(text.encode(), np.uint8)
@@ -133,7 +153,8 @@ def with_sections(docs: DataFrame, sections: DataFrame, id_col: str = "doc_id")
     entry = F.struct(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), F.col("section").cast("string").alias("section"))
     per = sections.groupBy(F.col("doc_id").alias("__doc")).agg(F.array_sort(F.collect_list(entry)).alias("sections"))
     joined = docs.alias("d").join(per.alias("s"), F.col(f"d.{id_col}").eqNullSafe(F.col("s.__doc")), "left")
-    return joined.select("d.*", F.coalesce("s.sections", F.array().cast(_SECTIONS)).alias("sections"))
+    kept = [F.col("d.`" + c.replace("`", "``") + "`") for c in docs.columns if c.lower() != "sections"]
+    return joined.select(*kept, F.coalesce("s.sections", F.array().cast(_SECTIONS)).alias("sections"))
 
 
 def token_attribution(docs: DataFrame, sections: DataFrame | None = None, rule: str = "majority", vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
