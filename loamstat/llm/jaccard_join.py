@@ -17,17 +17,23 @@ components.  The steps:
 3. *Groups.*  Sets that share a coarse token with others take the smallest
    signature met there as group label: similar documents fall together.
    A label with much text is dealt into several groups of bounded volume.
-4. *Token-group matrix.*  The union of coarse tokens of every group, one row
+4. *Inside groups.*  A task compares a group's sets: pivots first, each with all
+   sets, so that a family of near copies becomes one tree by few comparisons;
+   then only sets that may link outside their own tree.  The trees of a label
+   that was dealt out meet by one representative each, dealt and compared in
+   the same way, until nothing falls together any more.
+5. *Token-group matrix.*  The union of coarse tokens of every group, one row
    per (token, group).  A query set meets a foreign group only if it shares as
-   many coarse tokens with the union as it would with a linked set; each
+   many coarse tokens with the union as it would with a linked set, counting
+   only tokens that the group has from another component than the query's; each
    unordered pair of groups is met once.
-5. *Open.*  A task gets a group's members and a block of its queries, builds
+6. *Open.*  A task gets a group's members and a block of its queries, builds
    the union of the members' shingles and keeps a query only if its overlap
    with the union reaches ``num / den`` of its size - the most any member
    could share.  Only groups with such a query are opened for those queries,
    and members and queries are compared exactly there; links come out as a
    spanning forest, never as all pairs.
-6. *Components* of the forest edges, joined back to all documents.
+7. *Components* of the forest edges, joined back to all documents.
 
 Thresholds of 2/3 and more are meant; lower ones stay exact, but step 2 then
 takes time and tokens with the square of a set's size.
@@ -61,6 +67,12 @@ GROUP_VOLUME = 400_000
 #: Shingles per range of the coarse-token count (about half as many tokens).
 RANGE_TOKENS = 2_000_000
 
+#: Coarse tokens that a scan task holds before it deals them out (8 bytes each).
+HELD_TOKENS = 4_000_000
+
+#: Probes between two reckonings of which sets may still link outside their tree.
+PROBES = 256
+
 _PART = np.uint64(0x8CB92BA72F3D8DD7)
 _SIGN = np.uint64(0x2545F4914F6CDD1D)
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
@@ -145,7 +157,8 @@ def coarse_tokens(tokens: np.ndarray, num: int, den: int) -> tuple[np.ndarray, i
     """48-bit digests of the parts of one set, for its band and those of larger partners, and its need:
     how many of them a set that links with it shares at least.
 
-    Digests that fall together by chance only make sets meet that then fail the exact comparison.
+    Digests that fall together by chance only make sets meet that then fail the exact comparison;
+    where two of one set do, its need falls too.
     """
     n = len(tokens)
     if n == 0:
@@ -179,7 +192,11 @@ def coarse_tokens(tokens: np.ndarray, num: int, den: int) -> tuple[np.ndarray, i
             np.add.at(second, (again % np.uint64(parts)).astype(np.int64), mix64(again))
             for p in np.flatnonzero(~filled):
                 out.append(mix64(mix64(second + name) ^ ~full[p]))
-    return (np.unique(np.concatenate(out) >> np.uint64(16)), need) if out else (np.zeros(0, np.uint64), 1)
+    if not out:
+        return np.zeros(0, np.uint64), 1
+    every = np.concatenate(out)
+    some = np.unique(every >> np.uint64(16))
+    return some, max(1, need - (len(every) - len(some)))
 
 
 def _ragged(rows: list[np.ndarray]) -> pa.Array:
@@ -274,19 +291,30 @@ def shared_coarse(docs: OneEach, n: int, num: int, den: int, ranges: int) -> Dat
     """``(c)``: coarse tokens met more than once over all documents.
 
     A scan task deals its tokens, six bytes each, into ``ranges`` equal ranges of the token space
-    (a power of two); one task per range counts them.  Tokens are digests, so ranges are even.
+    (a power of two); one task per range counts them.  Tokens are digests, so ranges are even, and of
+    one token at most two copies leave a task for every ``HELD_TOKENS`` it has made.
     """
     bits = ranges.bit_length() - 1
 
+    def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+        c = np.sort(np.concatenate(held))
+        c = c[np.concatenate([np.ones(min(len(c), 2), bool), c[2:] != c[:-2]])]
+        place = (c >> np.uint64(48 - bits)).astype(np.int64)
+        cut = np.searchsorted(place, np.arange(ranges + 1))
+        six = c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        used = np.flatnonzero(np.diff(cut))
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([six[cut[p] : cut[p + 1]].tobytes() for p in used], pa.binary())], ["range", "tokens"])
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, have = [], 0
         for _, data, offs in text_slices(batches, "text"):
-            tokens = [coarse_tokens(s.hash, num, den)[0] for s in shingle_sets(data, offs, n)]
-            c = np.sort(np.concatenate(tokens)) if tokens else np.zeros(0, np.uint64)
-            place = (c >> np.uint64(48 - bits)).astype(np.int64)
-            cut = np.searchsorted(place, np.arange(ranges + 1))
-            six = c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            used = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([six[cut[p] : cut[p + 1]].tobytes() for p in used], pa.binary())], ["range", "tokens"])
+            held += [coarse_tokens(s.hash, num, den)[0] for s in shingle_sets(data, offs, n)]
+            have += sum(len(c) for c in held[1 - len(offs) :])
+            if have >= HELD_TOKENS:
+                yield dealt(held)
+                held, have = [], 0
+        if have:
+            yield dealt(held)
 
     def count(table: pa.Table) -> pa.Table:
         raw = np.frombuffer(b"".join(x.as_py() for x in table.column("tokens")), np.uint8).reshape(-1, 6)
@@ -331,66 +359,124 @@ def _local_ids(tokens: list[np.ndarray], checks: list[np.ndarray]) -> tuple[np.n
     return local, int(number[-1]) + 1
 
 
-def open_group(sigs: np.ndarray, tokens: list[np.ndarray], checks: list[np.ndarray], member: np.ndarray, inner: bool, num: int, den: int) -> list[tuple[int, int]]:
-    """Links of one group's task, as a spanning forest.
+class _Trees:
+    """Union-find over the sets of a task."""
 
-    ``member`` marks the group's own sets, the others are queries.  Queries
-    below the overlap bound are dropped before the group is opened.
-    ``inner`` also links members with members.
-    """
-    size = np.array([len(t) for t in tokens], np.int64)
-    if len(size) < 2:
-        return []
-    owner = np.repeat(np.arange(len(size)), size)
-    local, shingles = _local_ids(tokens, checks)
-    union = np.zeros(shingles, bool)
-    union[local[member[owner]]] = True
-    overlap = np.bincount(owner[union[local]], minlength=len(size))
-    alive = member | (overlap * den >= size * num)
-    # a set needs num/den of its shingles in other live sets it may be compared with
-    while True:
-        live = alive[owner]
-        df = np.bincount(local[live], minlength=shingles)
-        from_member = np.bincount(local[live & member[owner]], minlength=shingles)
-        reach = np.where(member[owner], (df if inner else df - from_member)[local] > (1 if inner else 0), from_member[local] > 0)
-        shared = np.bincount(owner[reach & live], minlength=len(size))
-        nxt = alive & (shared * den >= size * num)
-        if (nxt == alive).all():
-            break
-        alive = nxt
-    if alive.sum() < 2:
-        return []
-    live = alive[owner]
-    order = np.argsort(local[live], kind="stable")
-    posting_doc = owner[live][order]
-    begins = np.searchsorted(local[live][order], np.arange(shingles + 1))
-    starts = np.concatenate([[0], np.cumsum(size)])
-    parent = list(range(len(size)))
-
-    def root(i: int) -> int:
+    def __init__(self, label: np.ndarray) -> None:
+        _, first, place = np.unique(label, return_index=True, return_inverse=True)
+        self.parent = first[place].tolist()
+
+    def root(self, i: int) -> int:
+        parent = self.parent
         while parent[i] != i:
             parent[i] = parent[parent[i]]
             i = parent[i]
         return i
 
-    links = []
-    for x in np.flatnonzero(alive):
-        if member[x] and not inner:
-            continue
-        own = local[starts[x] : starts[x + 1]]
-        lo, hi = begins[own], begins[own + 1]
+    def roots(self) -> np.ndarray:
+        return np.array([self.root(i) for i in range(len(self.parent))], np.int64)
+
+
+class _Group:
+    """Shingles of a task's sets, and which sets may still link with one of another tree."""
+
+    def __init__(self, tokens: list[np.ndarray], checks: list[np.ndarray], num: int, den: int) -> None:
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.owner = np.repeat(np.arange(len(tokens)), self.size)
+        self.local, self.shingles = _local_ids(tokens, checks)
+        self.starts = np.concatenate([[0], np.cumsum(self.size)])
+        self.num, self.den = num, den
+
+    def enough(self, used: np.ndarray, alive: np.ndarray) -> np.ndarray:
+        """Live sets with num/den of their shingles among the used places."""
+        return alive & (np.bincount(self.owner[used], minlength=len(self.size)) * self.den >= self.size * self.num)
+
+    def across(self, alive: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Live sets that have enough shingles that live sets of several trees hold, and the places of those shingles."""
+        root = roots[self.owner]
+        while True:
+            live = alive[self.owner]
+            lo, hi = np.full(self.shingles, len(self.size)), np.full(self.shingles, -1)
+            np.minimum.at(lo, self.local[live], root[live])
+            np.maximum.at(hi, self.local[live], root[live])
+            used = live & (lo < hi)[self.local]
+            nxt = self.enough(used, alive)
+            if (nxt == alive).all():
+                return alive, used
+            alive = nxt
+
+    def postings(self, used: np.ndarray) -> None:
+        order = np.argsort(self.local[used], kind="stable")
+        self.posting = self.owner[used][order]
+        self.begins = np.searchsorted(self.local[used][order], np.arange(self.shingles + 1))
+
+    def linked(self, x: int, allowed: np.ndarray) -> np.ndarray:
+        """Sets that link with ``x``, of those allowed."""
+        own = self.local[self.starts[x] : self.starts[x + 1]]
+        lo, hi = self.begins[own], self.begins[own + 1]
         take = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
-        common = np.bincount(posting_doc[take], minlength=len(size))
-        fits = common * (den + num) >= num * (size[x] + size)  # I/U >= num/den
-        fits &= alive & ((np.arange(len(size)) < x) if member[x] else member)
-        if member[x]:
-            fits &= member
-        for y in np.flatnonzero(fits):
-            a, b = root(int(x)), root(int(y))
+        common = np.bincount(self.posting[take], minlength=len(self.size))
+        fits = common * (self.den + self.num) >= self.num * (self.size[x] + self.size)  # I/U >= num/den
+        fits[x] = False
+        return np.flatnonzero(fits & allowed)
+
+
+def open_group(sigs: np.ndarray, tokens: list[np.ndarray], checks: list[np.ndarray], member: np.ndarray, inner: bool, num: int, den: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links of one group's task that join trees, as a spanning forest.
+
+    ``member`` marks the group's own sets, the others are queries and are
+    compared with members.  Queries below the overlap bound are dropped before
+    the group is opened.  ``inner`` also links members with members.  ``label``
+    names the tree that a set is in already (by default each its own).
+
+    Members are joined by pivots first: sets with the most common shingles, each
+    compared with all.  Afterwards a set is compared only while it has enough
+    shingles from other trees, and those of the largest tree not at all: every
+    link between two trees has an end outside the largest.
+    """
+    if len(member) < 2:
+        return []
+    group = _Group(tokens, checks, num, den)
+    trees = _Trees(np.arange(len(member)) if label is None else label)
+    links: list[tuple[int, int]] = []
+
+    def join(x: int, allowed: np.ndarray) -> np.ndarray:
+        found = group.linked(x, allowed)
+        for y in found.tolist():
+            a, b = trees.root(x), trees.root(y)
             if a != b:
-                parent[a] = b
+                trees.parent[a] = b
                 links.append((int(sigs[x]), int(sigs[y])))
-    return links
+        return found
+
+    union = np.zeros(group.shingles, bool)
+    union[group.local[member[group.owner]]] = True
+    alive = member | group.enough(union[group.local], np.ones(len(member), bool))
+    alive, used = group.across(alive, trees.roots())
+    done = ~alive | (member & (not inner))
+    if inner and alive.any():
+        group.postings(used)
+        common = np.bincount(group.local[used], minlength=group.shingles)
+        fame = np.bincount(group.owner[used], common[group.local[used]], len(member)) / np.maximum(group.size, 1)
+        met = done | ~member
+        for x in np.argsort(-fame, kind="stable").tolist():
+            if not met[x]:
+                met[join(x, alive & member)] = True
+                met[x] = done[x] = True
+    while True:
+        roots = trees.roots()
+        alive, used = group.across(alive, roots)
+        left = alive & ~done
+        if member.all() and left.any():
+            left &= roots != np.bincount(roots[alive]).argmax()
+        if not left.any():
+            return links
+        group.postings(used)
+        trees_size = np.bincount(roots[alive], minlength=len(member))[roots]
+        batch = np.flatnonzero(left)
+        for x in batch[np.argsort(trees_size[batch], kind="stable")][:PROBES].tolist():
+            join(x, alive & member)
+            done[x] = True
 
 
 def jaccard_components(
@@ -421,7 +507,7 @@ def jaccard_components(
 def _labelled(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, group_volume: int) -> DataFrame:
     """``(id, rowkey, n, comp)`` of every row; ``comp`` is null without shingles."""
     sets, clashes = with_nodes(materialize(document_sets(docs, id_col, text_col, n), "sets"))
-    comps = connected_components(similar_edges(docs, sets, clashes, n, num, den, id_col, text_col, group_volume))
+    comps = similar_components(docs, sets, clashes, n, num, den, id_col, text_col, group_volume)
     joined = sets.join(comps.withColumnRenamed("node", "sig"), "sig", "left")
     return joined.select("id", "rowkey", "n", F.coalesce("comp", "sig").alias("comp"))
 
@@ -450,8 +536,57 @@ def _needed(tokens: DataFrame) -> DataFrame:
     return tokens.join(enough, "sig", "left_semi")
 
 
-def similar_edges(docs: DataFrame, sets: DataFrame, clashes: frozenset[int], n: int, num: int, den: int, id_col: str, text_col: str, group_volume: int) -> DataFrame:
-    """Spanning-forest links ``(a, b)`` between signatures (steps 2-5)."""
+def _dealt(level: DataFrame, group_volume: int) -> DataFrame:
+    """Groups of bounded volume for rows ``(sig, n, rowkey, label)``; adds ``g``, ``weight`` and the label's number of ``groups``."""
+    volume = level.groupBy("label").agg(F.sum("n").alias("total"))
+    deal = F.ceil(F.col("total") / group_volume).cast("long")
+    return level.join(volume, "label").select(
+        "sig", "n", "rowkey", "label", F.xxhash64("label", F.pmod(F.xxhash64("sig", F.lit(7)), deal)).alias("g"), F.least("total", F.lit(group_volume)).alias("weight"), deal.alias("groups")
+    )
+
+
+def _opened(tasks: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """Links ``(a, b)`` found by the tasks ``(sig, g, block, member, comp)``."""
+
+    def verify(table: pa.Table) -> pa.Table:
+        sig = table.column("sig").to_numpy()
+        order = np.argsort(sig, kind="stable")
+        sig = sig[order]
+        member, comp = (table.column(c).to_numpy()[order] for c in ("member", "comp"))
+        lanes = []
+        for lane in ("tokens", "checks"):
+            flat = table.column(lane).combine_chunks()
+            values, offs = flat.values.to_numpy(), flat.offsets.to_numpy()
+            lanes.append([values[offs[i] : offs[i + 1]] for i in order])
+        links = open_group(sig, *lanes, member, bool(member.all()), num, den, comp)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    several = tasks.groupBy("g", "block").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g", "block")
+    return tasks.join(several, ["g", "block"], "left_semi").join(texts, "sig").groupBy("g", "block").applyInArrow(verify, "a long, b long")
+
+
+def _within_groups(label: DataFrame, texts: DataFrame, num: int, den: int, group_volume: int) -> tuple[DataFrame, DataFrame]:
+    """The groups of the labelled sets, and the links inside them and between representatives of their trees (step 4)."""
+    level, groups, links = label, None, None
+    while True:
+        dealt = materialize(_dealt(level, group_volume), "groups")
+        groups = groups or dealt
+        tasks = dealt.select("sig", "g", F.lit(0).cast("long").alias("block"), F.lit(True).alias("member"), F.col("sig").alias("comp"))
+        found = materialize(_opened(tasks, texts, num, den), "links")
+        links = found if links is None else links.unionByName(found)
+        wide = dealt.where("groups > 1").select("sig", "n", "rowkey", "label")
+        before = wide.count()
+        if not before:
+            return groups, links
+        # one set of each tree goes on to the next round
+        trees = connected_components(found.join(wide.select(F.col("sig").alias("a")), "a", "left_semi").select("a", "b"))
+        level = materialize(wide.join(trees.where("node <> comp").select(F.col("node").alias("sig")), "sig", "left_anti"), "representatives")
+        if level.count() == before:
+            return groups, links
+
+
+def similar_components(docs: DataFrame, sets: DataFrame, clashes: frozenset[int], n: int, num: int, den: int, id_col: str, text_col: str, group_volume: int) -> DataFrame:
+    """``(node, comp)`` of the signatures that link with others (steps 2-7)."""
     unique = one_each(docs, sets, id_col, text_col)
     shingles = sets.agg(F.sum("n")).first()[0] or 0
     ranges = 1 << max(4, int(shingles // RANGE_TOKENS).bit_length())
@@ -464,52 +599,32 @@ def similar_edges(docs: DataFrame, sets: DataFrame, clashes: frozenset[int], n:
 
     # groups of similar sets, of bounded volume
     sizes = sets.where("sig is not null").groupBy("sig").agg(F.min("n").alias("n"), F.min("rowkey").alias("rowkey"))
-    label = met.groupBy("sig").agg(F.min("lo").alias("label")).join(sizes, "sig")
-    volume = label.groupBy("label").agg(F.sum("n").alias("total"))
-    deal = F.ceil(F.col("total") / group_volume).cast("long")
-    grouped = materialize(
-        label.join(volume, "label").select(
-            "sig", "n", "rowkey", F.xxhash64("label", F.pmod(F.xxhash64("sig", F.lit(7)), deal)).alias("g"), F.least("total", F.lit(group_volume)).alias("weight")
-        ),
-        "groups",
-    )
+    label = materialize(met.groupBy("sig").agg(F.min("lo").alias("label")).join(sizes, "sig").select("sig", "n", "rowkey", "label"), "label")
+    texts = materialize(_fetch_sets(docs, id_col, text_col, n, label.select("sig", "rowkey"), clashes), "shingles")
+    grouped, links = _within_groups(label, texts, num, den, group_volume)
+    comps = materialize(connected_components(links), "comps")
 
     # the token-group matrix, and the foreign groups each query meets there
-    placed = met.select("c", "sig", "need").join(grouped.select("sig", "g", "weight"), "sig")
-    matrix = placed.groupBy("c", "g").agg(F.max("weight").alias("weight"))
-    query = placed.select("c", "sig", "need", F.col("g").alias("own"), F.col("weight").alias("own_weight"))
+    told = materialize(grouped.join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "n", "g", "weight", F.coalesce("comp", "sig").alias("comp")), "told")
+    placed = met.select("c", "sig", "need").join(told.drop("n"), "sig")
+    matrix = placed.groupBy("c", "g").agg(F.max("weight").alias("weight"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    query = placed.select("c", "sig", "need", "comp", F.col("g").alias("own"), F.col("weight").alias("own_weight"))
     meets = (
         query.join(matrix, "c")
-        .where("own <> g and (own_weight < weight or (own_weight = weight and own < g))")
+        .where("own <> g and (own_weight < weight or (own_weight = weight and own < g)) and (lo <> comp or hi <> comp)")
         .groupBy("sig", "g")
         .agg(F.count(F.lit(1)).alias("overlap"), F.min("need").alias("need"))
         .where("overlap >= need")
         .select("sig", "g")
-        .join(grouped.select("sig", "n"), "sig")
     )
+    meets = materialize(meets.join(told.select("sig", "n", "comp"), "sig"), "meets")
+    if not meets.limit(1).count():
+        return comps
     load = meets.groupBy("g").agg(F.sum("n").alias("load"))
-    blocks = F.greatest(F.ceil(F.col("load") / group_volume).cast("long"), F.lit(1).cast("long"))
-    asked = meets.join(load, "g").select("sig", "g", F.pmod(F.xxhash64("sig", F.lit(11)), blocks).alias("block"), F.lit(False).alias("member"))
-    own = grouped.join(load, "g", "left").select(
-        "sig", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(blocks, F.lit(1).cast("long")) - 1)).alias("block"), F.lit(True).alias("member")
-    )
-    tasks = asked.unionByName(own)
-    # a group of one set without queries has nothing to compare
-    alone = tasks.groupBy("g", "block").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g", "block")
-    tasks = tasks.join(alone, ["g", "block"], "left_semi")
-    texts = _fetch_sets(docs, id_col, text_col, n, grouped.select("sig", "rowkey"), clashes)
-
-    def verify(table: pa.Table) -> pa.Table:
-        sig = table.column("sig").to_numpy()
-        order = np.argsort(sig, kind="stable")
-        sig = sig[order]
-        member = table.column("member").to_numpy()[order]
-        lanes = []
-        for lane in ("tokens", "checks"):
-            flat = table.column(lane).combine_chunks()
-            values, offs = flat.values.to_numpy(), flat.offsets.to_numpy()
-            lanes.append([values[offs[i] : offs[i + 1]] for i in order])
-        links = open_group(sig, *lanes, member, table.column("block")[0].as_py() == 0, num, den)
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
-
-    return tasks.join(texts, "sig").groupBy("g", "block").applyInArrow(verify, "a long, b long")
+    blocks = F.ceil(F.col("load") / group_volume).cast("long")
+    asked = meets.join(load, "g").select("sig", "g", F.pmod(F.xxhash64("sig", F.lit(11)), blocks).alias("block"), F.lit(False).alias("member"), "comp")
+    own = told.join(load, "g").select("sig", "g", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.lit(True).alias("member"), "comp")
+    foreign = materialize(_opened(asked.unionByName(own), texts, num, den), "foreign")
+    if not foreign.limit(1).count():
+        return comps
+    return connected_components(foreign.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
