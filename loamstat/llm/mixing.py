@@ -23,8 +23,9 @@ The draws come from a generator keyed by seed, level, source and block, and
 rows meet in the order of their digests: reruns agree on any cluster.
 
 Edge cases: a null text has size 0 and is never taken; a null source is the
-last source; repeated rows are rows of their own; a source without words has
-target 0.
+last source; repeated rows are rows of their own, made in parts of ``STEP``; a
+source without words has target 0; very long texts are counted by Spark and
+never cut; an empty table gives no rows; columns of other names stay untouched.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ from loamstat.llm.common import digest_of, fresh, materialize, quoted
 
 #: Documents that meet in one task of a level.
 BLOCK = 8192
+#: Copies of a repeated row that one place makes; so many rows of one key are dealt over the cluster.
+STEP = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -106,7 +109,9 @@ def mix_sources(
     block: int = BLOCK,
 ) -> DataFrame:
     """Rows ``doc_id, size, source_size, target, copies, taken``, one per document."""
-    each = _mixed(docs, weights, amount, most, seed, block).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    plan = _mixed(docs, weights, amount, most, seed, block)
+    several = _numbered(plan.where("rows > 1"), "key", "rows", "part", "nth")
+    each = plan.where("rows = 1").withColumn("nth", F.lit(1).cast("long")).unionByName(several)
     copies = F.col("whole") + (F.col("nth") <= F.col("more")).cast("long")
     return each.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
@@ -118,10 +123,19 @@ def repeat_mixed(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0),
     named ``copy`` stays; the number is then called ``copy_``.
     """
     plan = _mixed(docs, weights, amount, most, seed, block).select("key", F.col("rows").alias("rows"), (F.col("whole") * F.col("rows") + F.col("more")).alias("times")).where("times > 0")
-    copy, key, rows, times = fresh(docs, "copy", "key", "rows", "times")
+    copy, key, rows, times, part = fresh(docs, "copy", "key", "rows", "times", "part")
     kept = docs.withColumn(key, _key()).join(plan.toDF(key, rows, times), key)
-    kept = kept.where(F.col(rows) == 1).unionByName(kept.where(F.col(rows) > 1).dropDuplicates([key]))
-    return kept.select(*quoted(docs), F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(copy))
+    once = kept.where(F.col(rows) == 1).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times).cast("long"))))
+    several = _numbered(kept.where(F.col(rows) > 1).dropDuplicates([key]), key, times, part, copy)
+    return once.unionByName(several).select(*quoted(docs), F.col(copy))
+
+
+def _numbered(df: DataFrame, key: str, times: str, part: str, name: str, step: int = STEP) -> DataFrame:
+    """Every row ``times`` times, numbered from 1 in ``name``; ``step`` of them are made in one place."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that adaptive execution doesn't lay small parts together again
+    parts = df.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(`{times}` - 1) DIV {step}")))).repartition(tasks, key, part)
+    first = F.col(part) * step + 1
+    return parts.withColumn(name, F.explode(F.sequence(first, F.least(F.col(times).cast("long"), first + step - 1)))).drop(part)
 
 
 def _key() -> Column:
