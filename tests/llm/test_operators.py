@@ -112,6 +112,37 @@ def test_coarse_tokens_lose_no_pair():
                 assert both >= max(na, nb) or np.array_equal(a, b) or len(np.intersect1d(a, b)) * den < num * len(np.union1d(a, b))
 
 
+def test_a_family_of_near_copies_takes_few_comparisons(monkeypatch):
+    """One changed word a text: one pivot joins them all; two families and their bridge take a few more."""
+    probes = []
+    real = jaccard_join._Group.linked
+    monkeypatch.setattr(jaccard_join._Group, "linked", lambda self, x, allowed: (probes.append(x), real(self, x, allowed))[1])
+
+    def sets_of(template, rows):
+        return [jaccard_join.Shingles(*(np.sort(np.concatenate([template[i % 7 * 5 + 5 :], np.arange(1, 6, dtype=np.uint64) * np.uint64(i + 10**9)])) for _ in range(2))) for i in rows]
+
+    def joined(sets):
+        probes.clear()
+        links = jaccard_join.open_group(np.arange(len(sets)), [s.hash for s in sets], [s.check for s in sets], np.ones(len(sets), bool), True, 8, 10)
+        root = list(range(len(sets)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in links:
+            assert find(a) != find(b)  # a forest
+            root[find(a)] = find(b)
+        return len({find(i) for i in range(len(sets))})
+
+    one, two = np.arange(1000, 1200, dtype=np.uint64), np.arange(5000, 5200, dtype=np.uint64)
+    assert joined(sets_of(one, range(3_000))) == 1 and len(probes) == 1
+    assert joined(sets_of(one, range(1_500)) + sets_of(two, range(1_500, 3_000))) == 2 and len(probes) == 2
+    chain = [jaccard_join.Shingles(np.arange(10 * i, 10 * i + 200, dtype=np.uint64), np.arange(10 * i, 10 * i + 200, dtype=np.uint64)) for i in range(40)]
+    assert joined(chain) == 1
+
+
 def mirror(n: int) -> tuple[str, str]:
     """A Thue-Morse word of n letters and its complement: equal under any power-sum hash that wraps at 2^64."""
     a, b = "a", "b"
@@ -651,3 +682,37 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5)], "a long, b long")
     got = {r.node: r.comp for r in common.connected_components(edges).collect()}
     assert all(got[i] == 0 for i in range(61)) and got[100] == got[101] == 100
+
+
+def test_token_spans_of_long_white_space():
+    """Runs are cut where the pattern cuts: token by token what short runs give, whatever stands behind them."""
+    with open(token_counts.VOCABULARY, "rb") as f:
+        vocabulary = f.read()
+    encoder, _ = token_counts._encoder(vocabulary)
+    for c in (" ", "\n", "\t", "\u3000"):
+        for behind in ("", "b", "1", "!", " b", "\nb"):
+            text = "a" + c * 1_300 + behind
+            assert [i for part in token_counts._encoded(text, encoder) for i in part] == encoder.encode_ordinary(text)
+    for c, n in ((" ", 1_000_000), (" ", 20_000_000), ("\n", 1_000_000), ("\t", 1_000_000)):
+        start, end = token_counts.token_spans("a" + c * n + "b", vocabulary)
+        assert start[0] == 0 and end[-1] == n + 2 and (start[1:] <= end[:-1]).all() and len(start) > n // 8
+
+
+def test_token_counts_of_junk_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a" + " " * 1_000_000 + "b"), (2, " " * 700_000), (3, "\n" * 700_000), (4, None)], "doc_id long, text string")
+    got = token_counts.token_attribution(docs).groupBy("doc_id").agg(F.sum("n_chars").alias("n")).collect()
+    assert {r.doc_id: r.n for r in got} == {1: 1_000_002, 2: 700_000, 3: 700_000}
+    table = spark.createDataFrame([(1, "s", 0, 5)], "doc_id long, section string, lo long, hi long")
+    assert token_counts.with_sections(docs.withColumn("sections", F.lit(1)), table).columns == ["doc_id", "text", "sections"]
+
+
+def test_a_million_equal_rows_are_mixed(spark):
+    """They are one member of a block, and their copies are made in many places."""
+    docs = spark.range(1_000_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit("x y").alias("text"))
+    docs = docs.union(spark.createDataFrame([(2, "b", "z"), (3, "b", "u v w")], docs.schema))
+    mixed = mixing.mix_sources(docs)
+    one = mixed.agg(F.count("*"), F.sum("taken"), F.max(F.col("taken") - 2 * F.col("size"))).first()
+    assert one[0] == 1_000_002 and one[2] <= 0
+    hot = mixed.where("doc_id = 1").withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert len(hot) > 1 and sum(r["count"] for r in hot) == 1_000_000
+    assert mixing.repeat_mixed(docs).where("doc_id = 1").agg(F.max("copy"), F.count("*")).first() == mixed.where("doc_id = 1").agg(F.sum("copies"), F.sum("copies")).first()
