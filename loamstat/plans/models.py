@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstat.operators import bayes, calibrate, clean, cluster, correlate, factor, joins, multitest, regress, resample, sensitivity, stats, text
-from loamstat.plans.mining import _counts
+from loamstat.operators import bayes, calibrate, clean, cluster, correlate, factor, joins, multitest, regress, resample, sensitivity, sparse, stats, text
+from loamstat.plans.mining import _COUNTS, _counts
 from loamstat.plans.tables import event_observations, read
 from loamstat.plans.testing import _P_OF_T
 
@@ -898,4 +898,33 @@ def text_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best and mean agreement with the language over a grid of settings."""
     docs = read(spark, sf_dir, "documents").where("lang is not null")
     grid = [{"sublinear": s, "min_df": d, "n_max": n} for s in (True, False) for d in (5, 20) for n in (1,)]
+    grid += [{"min_df": 5, "kernel": kernel, "components": 6, "rounds": 8} for kernel in ("cosine", "rbf", "laplacian", "polynomial")]
+    grid += [{"min_df": 5, "kernel": "cosine", "components": 12, "rounds": 8}]
     return text.text_grid(docs, grid, "lang", 4, [1])
+
+
+_SPARSE = f"""{_COUNTS}, raw AS (SELECT doc_id, term, (1 + ln(tf)) * (ln(n_docs / df) + 1) AS w FROM k), u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM raw),
+sim AS (SELECT a.doc_id AS key, b.doc_id AS neighbour, sum(a.w * b.w) AS s, sum(least(a.w, b.w)) AS m FROM u a JOIN u b ON a.term = b.term AND a.doc_id <> b.doc_id GROUP BY ALL),
+near AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(s, 9) DESC, neighbour) AS r FROM sim)"""
+
+
+@query(f"""WITH {_SPARSE} SELECT key, r AS rank, round(s, 6) AS similarity FROM near WHERE r <= 5 AND key % 20 = 0""")
+def sparse_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarities of the nearest documents by cosine of tf-idf, exact (id % 20 against all)."""
+    cells = text.tfidf(_counts(spark, sf_dir)).select(F.col("doc_id").alias("key"), "term", "weight")
+    near = sparse.cosine_neighbours(cells.where("key % 20 = 0"), cells, 5)
+    return near.select("key", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""WITH {_SPARSE}, t AS (SELECT doc_id, sum(w) AS t FROM u GROUP BY 1), g AS (SELECT 1.0 / count(DISTINCT term) AS g FROM u)
+SELECT r.key, r.r AS rank, round(s, 6) AS cosine, round(exp(-g * greatest(2 - 2 * s, 0)), 6) AS rbf, round(exp(-g * (x.t + y.t - 2 * m)), 6) AS laplacian, round((g * s + 1) ** 3, 6) AS polynomial
+FROM near r JOIN t x ON x.doc_id = r.key JOIN t y ON y.doc_id = r.neighbour, g WHERE r.r = 1 AND key % 20 = 0""")
+def kernel_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four kernels of every queried document and its nearest one."""
+    cells = text.tfidf(_counts(spark, sf_dir)).select(F.col("doc_id").alias("key"), "term", "weight")
+    near = sparse.cosine_neighbours(cells.where("key % 20 = 0"), cells, 1).where("rank = 1")
+    edges = near.select(F.col("key").alias("i"), F.col("neighbour").alias("j"), "similarity")
+    out = near.select("key", F.col("rank").cast("long").alias("rank"))
+    for kernel in sparse.KERNELS:
+        out = out.join(sparse.kernel_weights(edges, cells, kernel).select(F.col("i").alias("key"), F.round("weight", 6).alias(kernel)), "key")
+    return out
