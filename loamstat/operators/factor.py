@@ -188,19 +188,108 @@ def cv_factorization(cells: DataFrame, rank: int, holdout: float = 0.1, reg: flo
     return model.transform(marked).groupBy("held_out").agg(F.avg((F.col("value") - F.col("prediction")) ** 2).alias("mse"), F.count(F.lit(1)).alias("n"))
 
 
-def nmf(cells: DataFrame, rank: int, n_iter: int = 10, seed: int = 1) -> tuple[DataFrame, DataFrame, list[float]]:
+def _power(cells: DataFrame, side: str, other: str, names: list[str], factor: DataFrame) -> DataFrame:
+    """``(side, x0..)``: the cells' matrix (or its transpose) times a tall factor."""
+    return cells.join(factor, other).groupBy(side).agg(*[F.sum(F.col("value") * F.col(n)).alias(n) for n in names])
+
+
+def sparse_svd(cells: DataFrame, rank: int, n_iter: int = 40, more: int = 4, seed: int = 1, tol: float = 1e-13) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Leading singular triplets of a sparse table ``(i, j, value)`` by two-sided block iteration.
+
+    Returns ``(i, x0..)``, ``(j, x0..)`` and the singular values.  A round is two joins of the cells with a tall
+    factor; only (rank + more) x (rank + more) cross-products reach the driver.  Rounds end when the values
+    change by less than ``tol`` of the largest (vectors are then right to about its root), or after ``n_iter``.
+    """
+    base = materialize(cells.select("i", "j", F.col("value").cast("double").alias("value")), "svd-cells")
+    wide = min(rank + more, base.select("i").distinct().count(), base.select("j").distinct().count())
+    if wide < 1:
+        raise ValueError("no cells")
+    names = [f"x{c}" for c in range(wide)]
+    start = lambda c: (F.pmod(F.xxhash64("j", F.lit(seed), F.lit(c)), F.lit(1 << 40)) + 0.5) / float(1 << 39) - 1
+    right = base.select("j").distinct().select("j", *[start(c).alias(n) for c, n in enumerate(names)])
+
+    def turned(df: DataFrame, key: str, m: np.ndarray) -> DataFrame:
+        return df.select(key, *[sum((F.col(a) * float(m[r, c]) for r, a in enumerate(names)), F.lit(0.0)).alias(n) for c, n in enumerate(names)])
+
+    def gram(df: DataFrame) -> np.ndarray:
+        return cross_products(df, F.array(*names))[0][2]
+
+    def basis(df: DataFrame, key: str) -> DataFrame:
+        """Orthonormal columns: twice by the square root of the Gram matrix, which keeps their digits."""
+        for _ in range(2):
+            values, vectors = np.linalg.eigh(gram(df))
+            keep = values > values.max() * 1e-14
+            scale = np.where(keep, 1 / np.sqrt(np.where(keep, values, 1.0)), 0.0)
+            df = materialize(turned(df, key, (vectors * scale)[:, ::-1]), "basis")
+        return df
+
+    before = np.zeros(wide)
+    for _ in range(n_iter):
+        right = basis(right, "j")
+        left = materialize(_power(base, "i", "j", names, right), "left")
+        values, vectors = np.linalg.eigh(gram(left))  # left = A right, so its Gram matrix is right' A' A right
+        values = np.sqrt(np.maximum(values[::-1], 0))
+        if np.abs(values[:rank] - before[:rank]).max() <= tol * max(values[0], 1e-300):
+            break
+        before = values
+        right = materialize(_power(base, "j", "i", names, left), "right")
+    turn = vectors[:, ::-1]
+    inverse = np.where(values > values[0] * 1e-12, 1 / np.maximum(values, 1e-300), 0.0)
+    kept = names[:rank]
+    return turned(left, "i", turn * inverse).select("i", *kept), turned(right, "j", turn).select("j", *kept), values[:rank]
+
+
+def nndsvd(cells: DataFrame, rank: int, n_iter: int = 40, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The non-negative double SVD start: ``(i, k, w)`` and ``(j, k, h)``.
+
+    Of each pair of singular vectors the heavier of the two sign parts is taken, the first pair by size.
+    Only 4 norms a component reach the driver.
+    """
+    left, right, values = sparse_svd(cells, rank, n_iter, seed=seed)
+    names = left.columns[1:]
+
+    def norms(df: DataFrame) -> list[tuple[float, float]]:
+        part = lambda n, sign: F.sqrt(F.sum(F.greatest(sign * F.col(n), F.lit(0.0)) ** 2))
+        row = df.agg(*[part(n, sign) for n in names for sign in (1, -1)]).first()
+        return list(zip(row[::2], row[1::2], strict=True))
+
+    def spread(df: DataFrame, key: str, scale: list[Column], name: str) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(c).alias("k"), x.alias(name)) for c, x in enumerate(scale)])
+        return df.select(key, F.explode(each).alias("e")).select(key, "e.*")
+
+    w, h = [], []
+    for c, (n, (up, un), (vp, vn)) in enumerate(zip(names, norms(left), norms(right), strict=True)):
+        if c == 0:
+            pair = [F.abs(F.col(n)) * float(np.sqrt(values[0]))] * 2
+        else:
+            sign, nu, nv = (1, up, vp) if up * vp >= un * vn else (-1, un, vn)
+            size = float(np.sqrt(values[c] * nu * nv))
+            pair = [F.greatest(sign * F.col(n), F.lit(0.0)) * (size / m if m else 0.0) for m in (nu, nv)]
+        w.append(pair[0])
+        h.append(pair[1])
+    return spread(left, "i", w, "w"), spread(right, "j", h, "h")
+
+
+def nmf(cells: DataFrame, rank: int, n_iter: int = 10, seed: int = 1, init: str = "keyed", tol: float | None = None) -> tuple[DataFrame, DataFrame, list[float]]:
     """Non-negative factors ``(i, k, w)`` and ``(j, k, h)`` of cells (i, j, value) by multiplicative updates.
 
-    Absent cells are 0.  Each update joins the cells with one factor and
-    broadcasts a rank x rank Gram matrix.  Returns the squared-error path too.
+    Absent cells are 0.  ``init`` is ``keyed`` (uniform numbers by key) or ``nndsvd``.  Each update joins the
+    cells with one factor and broadcasts a rank x rank Gram matrix.  Returns the squared-error path too; rounds
+    end when the error (its root) falls by less than ``tol``, and that round's error is left out of the path.
     """
+    if init not in ("keyed", "nndsvd"):
+        raise ValueError("init must be keyed or nndsvd")
     base = materialize(cells.select("i", "j", F.col("value").cast("double").alias("value")).where("value > 0"), "cells")
-    ks = F.explode(F.sequence(F.lit(0), F.lit(rank - 1)))
-    u = lambda a: (F.pmod(F.xxhash64(F.col(a), F.col("k"), F.lit(seed)), F.lit(1 << 40)) + 1) / float(1 << 40)
-    w = base.select("i").distinct().withColumn("k", ks).withColumn("w", u("i"))
-    h = base.select("j").distinct().withColumn("k", ks).withColumn("h", u("j"))
+    if init == "nndsvd":
+        w, h = (materialize(f, "start") for f in nndsvd(base, rank, seed=seed))
+        rank = max(w.agg(F.max("k")).first()[0] or 0, 0) + 1
+    else:
+        ks = F.explode(F.sequence(F.lit(0), F.lit(rank - 1)))
+        u = lambda a: (F.pmod(F.xxhash64(F.col(a), F.col("k"), F.lit(seed)), F.lit(1 << 40)) + 1) / float(1 << 40)
+        w = base.select("i").distinct().withColumn("k", ks).withColumn("w", u("i"))
+        h = base.select("j").distinct().withColumn("k", ks).withColumn("h", u("j"))
     square = base.agg(F.sum(F.col("value") ** 2)).first()[0] or 0.0
-    path = []
+    path: list[float] = []
 
     def gram(f: DataFrame, side: str, v: str) -> np.ndarray:
         packed = f.groupBy(side).agg(F.array_sort(F.collect_list(F.struct("k", v))).alias("s")).select(F.col(f"s.{v}").alias("x"))
@@ -217,7 +306,10 @@ def nmf(cells: DataFrame, rank: int, n_iter: int = 10, seed: int = 1) -> tuple[D
         h = update(h, "j", "h", w, "i", "w")
         w = update(w, "i", "w", h, "j", "h")
         cross = base.join(w, "i").join(h, ["j", "k"]).agg(F.sum(F.col("value") * F.col("w") * F.col("h"))).first()[0] or 0.0
-        path.append(float(square - 2 * cross + (gram(w, "i", "w") * gram(h, "j", "h")).sum()))
+        error = float(square - 2 * cross + (gram(w, "i", "w") * gram(h, "j", "h")).sum())
+        if tol is not None and path and np.sqrt(max(path[-1], 0)) - np.sqrt(max(error, 0)) < tol:
+            break
+        path.append(error)
     return w, h, path
 
 

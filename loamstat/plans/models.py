@@ -389,12 +389,34 @@ def latent_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def nonnegative_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order priorities by customer."""
-    cells = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("i"), F.crc32(F.col("o_orderpriority").cast("binary")).alias("j")).agg(F.sum("o_totalprice").alias("value"))
-    path = factor.nmf(cells, 2, 3)[2]
+    """Order priorities by customer, from keyed numbers."""
+    path = factor.nmf(_priority_cells(spark, sf_dir), 2, 3)[2]
     return spark.createDataFrame(list(enumerate(path)), "round long, error double")
 
 
+def _priority_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order totals by customer and priority; a priority is its first figure, its place in the list."""
+    place = F.substring("o_orderpriority", 1, 1).cast("long")
+    return read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("i"), place.alias("j")).agg(F.sum("o_totalprice").cast("double").alias("value"))
+
+
+@query("""WITH x AS (SELECT o_custkey AS i, CAST(o_orderpriority[1] AS BIGINT) AS j, CAST(sum(o_totalprice) AS DOUBLE) AS v FROM orders GROUP BY ALL),
+p AS (SELECT a.j AS a, b.j AS b, sum(a.v * b.v) AS g FROM x a JOIN x b ON a.i = b.i GROUP BY ALL)
+SELECT round(sum(g) FILTER (a = b) / 1e12, 4) AS trace, round(sum(g * g) / 1e24, 4) AS square FROM p""")
+def singular_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two invariants of all singular values of the customers' priorities by block iteration: their squares' and fourth powers' sums."""
+    values = factor.sparse_svd(_priority_cells(spark, sf_dir), 5)[2]
+    return spark.createDataFrame([(round(float((values**2).sum()) / 1e12, 4), round(float((values**4).sum()) / 1e24, 4))], "trace double, square double")
+
+
+@query()
+def factor_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The non-negative start from singular pairs and the factors it leads to, until the error stays."""
+    cells = _priority_cells(spark, sf_dir)
+    _, h, path = factor.nmf(cells, 3, 6, init="nndsvd", tol=1.0)
+    return h.withColumn("rounds", F.lit(len(path)))
+
+
 @query()
 def held_out_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L5, L6."""
