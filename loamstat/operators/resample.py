@@ -25,9 +25,14 @@ MOD = 2_147_483_647
 
 
 def keyed(rep: np.ndarray, ident: np.ndarray, seed: int) -> np.ndarray:
-    """Portable key of (replicate, id): two multiplicative rounds modulo a prime."""
+    """Portable key of (replicate, id): the fifth power, modulo a prime, of a sum of multiples of both.
+
+    The power is a bijection (5 doesn't divide MOD - 1) and not linear: keys of another replicate are not the
+    same ones moved on, which would only rotate one fixed order of the ids.
+    """
     x = (rep.astype(np.int64)[:, None] * 1_103_515_245 + ident.astype(np.int64)[None, :] * 12_345 + seed) % MOD
-    return (x * 48_271) % MOD * 69_621 % MOD
+    x2 = x * x % MOD
+    return x2 * x2 % MOD * x % MOD
 
 
 def shuffled_x(reps: np.ndarray, samples: np.ndarray, n_x: int, seed: int) -> np.ndarray:
@@ -271,22 +276,6 @@ def group_permutation(obs: DataFrame, contrasts: DataFrame, reps: int, seed: int
     return per.mapInPandas(walk, "rep long, contrast string, feature_id long, p double")
 
 
-def null_correlations(packed: DataFrame, reps: int, seed: int = 1, quantiles: tuple[float, float] = (0.025, 0.975), key: str = "feature_id") -> DataFrame:
-    """Quantiles of pairwise correlations after shuffling every feature's samples, per replicate."""
-    from loamstat.operators.correlate import pearson_edges
-
-    def shuffle(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            rows = []
-            for f, v in zip(pdf[key], pdf.v, strict=True):
-                order = np.argsort(keyed(np.arange(reps), np.arange(len(v)), seed + int(f) * 7919), axis=1, kind="stable")
-                rows += [(int(f), r, np.asarray(v)[o]) for r, o in enumerate(order)]
-            yield pd.DataFrame(rows, columns=[key, "rep", "v"])
-
-    mixed = packed.select(key, "v").mapInPandas(shuffle, f"{key} long, rep int, v array<double>")
-    out = None
-    for r in range(reps):
-        q = pearson_edges(mixed.where(F.col("rep") == r), key=key).agg(F.percentile_approx("r", F.array(*[F.lit(x) for x in quantiles]), 10_000).alias("q"))
-        one = q.select(F.lit(r).alias("rep"), F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
-        out = one if out is None else out.unionByName(one)
-    return out
+def sampled_effect(obs: DataFrame, x: str, y: str, reps: int, seed: int = 1) -> DataFrame:
+    """``(feature_id, rep, effect)``: the difference of one value drawn from each group."""
+    return bootstrap_effect(obs, x, y, reps, seed, replace=True, share=0.0)

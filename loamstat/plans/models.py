@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstat.operators import bayes, calibrate, clean, cluster, correlate, factor, joins, multitest, regress, resample, sensitivity, sparse, stats, text
+from loamstat.operators import bayes, calibrate, clean, cluster, correlate, factor, joins, multitest, regress, resample, sensitivity, sparse, stats, text, two_level
 from loamstat.plans.mining import _COUNTS, _counts
 from loamstat.plans.tables import event_observations, read
 from loamstat.plans.testing import _P_OF_T
@@ -25,6 +25,13 @@ def query(sql: str | None = None):  # noqa: ANN201
     return add
 
 
+def _key(rep: str, ident: str, seed: str) -> str:
+    """``resample.keyed`` in SQL."""
+    p = resample.MOD
+    x = f"(({rep} * 1103515245 + {ident} * 12345 + {seed}) % {p})"
+    return f"({x} * {x} % {p}) * ({x} * {x} % {p}) % {p} * {x} % {p}"
+
+
 _DIMS = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT unnest(range(64)) AS f, vec_id, unnest(v) AS x FROM e)"
 
 
@@ -118,7 +125,7 @@ def effective_tests_by_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _REPS = 12
 _PERM = f"""{_DIMS}, s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM e), k AS (
-  SELECT rep, pos, vec_id, (((rep * 1103515245 + pos * 12345 + 1) % 2147483647) * 48271 % 2147483647) * 69621 % 2147483647 AS key FROM s, range(1, {_REPS + 1}) g(rep)
+  SELECT rep, pos, vec_id, {_key("rep", "pos", "1")} AS key FROM s, range(1, {_REPS + 1}) g(rep)
 ), o AS (SELECT rep, vec_id, row_number() OVER (PARTITION BY rep ORDER BY key, pos) <= (SELECT count(*) // 2 FROM e) AS x FROM k), g AS (
   SELECT rep, f, o.x AS side, count(*) AS n, avg(c.x) AS m, var_samp(c.x) AS v FROM o JOIN c USING (vec_id) GROUP BY ALL
 ), tt AS (
@@ -135,7 +142,7 @@ def permutation_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rep", F.round("min_p", 6).alias("min_p"), F.round("max_t", 6).alias("max_t"))
 
 
-_PERM_OWN = _PERM.replace("SELECT rep, pos, vec_id, (((rep * 1103515245 + pos * 12345 + 1) % 2147483647)", "SELECT rep, f, pos, vec_id, (((rep * 1103515245 + pos * 12345 + 1 + f * 7919) % 2147483647)")
+_PERM_OWN = _PERM.replace("SELECT rep, pos, vec_id, " + _key("rep", "pos", "1"), "SELECT rep, f, pos, vec_id, " + _key("rep", "pos", "1 + f * 7919"))
 _PERM_OWN = _PERM_OWN.replace(f"FROM s, range(1, {_REPS + 1}) g(rep)", f"FROM s, range(1, {_REPS + 1}) g(rep), range(64) h(f)").replace("SELECT rep, vec_id, row_number() OVER (PARTITION BY rep ORDER", "SELECT rep, f, vec_id, row_number() OVER (PARTITION BY rep, f ORDER")
 _PERM_OWN = _PERM_OWN.replace("SELECT rep, f, o.x AS side", "SELECT rep, c.f, o.x AS side").replace("FROM o JOIN c USING (vec_id)", "FROM o JOIN c ON c.vec_id = o.vec_id AND c.f = o.f")
 
@@ -191,9 +198,9 @@ def group_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("contrast").agg(F.count(F.lit(1)).alias("n"), F.percentile("p", F.lit(0.05)).alias("p05"))
 
 
-@query("""WITH a AS (SELECT user_id AS f, CASE event_type WHEN 'click' THEN 0 ELSE 1 END AS side, list(value ORDER BY value) AS v FROM events WHERE event_type IN ('click', 'view') AND value IS NOT NULL GROUP BY ALL),
+@query(f"""WITH a AS (SELECT user_id AS f, CASE event_type WHEN 'click' THEN 0 ELSE 1 END AS side, list(value ORDER BY value) AS v FROM events WHERE event_type IN ('click', 'view') AND value IS NOT NULL GROUP BY ALL),
 b AS (SELECT * FROM a WHERE f IN (SELECT f FROM a GROUP BY f HAVING count(*) = 2)), d AS (SELECT f, side, rep, v, unnest(range(len(v))) AS i FROM b, range(50) g(rep)),
-k AS (SELECT f, side, rep, v[((((rep * 1103515245 + (i + side * 100003) * 12345 + 1 + f) % 2147483647) * 48271 % 2147483647) * 69621 % 2147483647) % len(v) + 1] AS x FROM d),
+k AS (SELECT f, side, rep, v[({_key("rep", "(i + side * 100003)", "1 + f")}) % len(v) + 1] AS x FROM d),
 m AS (SELECT f, rep, avg(x) FILTER (side = 0) - avg(x) FILTER (side = 1) AS effect FROM k GROUP BY ALL) SELECT f AS feature_id, round(avg(effect) + 1e-9, 6) + 0 AS mean, round(stddev_samp(effect) + 1e-9, 6) + 0 AS sd FROM m GROUP BY 1""")
 def bootstrap_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R6 (the keys are portable, so SQL repeats the draws)."""
@@ -203,14 +210,26 @@ def bootstrap_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("feature_id", *[(F.round(F.col(c) + 1e-9, 6) + 0.0).alias(c) for c in ("mean", "sd")])
 
 
+@query(f"""WITH a AS (SELECT user_id AS f, CASE event_type WHEN 'click' THEN 0 ELSE 1 END AS side, list(value ORDER BY value) AS v FROM events WHERE event_type IN ('click', 'view') AND value IS NOT NULL GROUP BY ALL),
+b AS (SELECT * FROM a WHERE f IN (SELECT f FROM a GROUP BY f HAVING count(*) = 2)), d AS (SELECT f, side, rep, v, 0 AS i FROM b, range(50) g(rep)),
+k AS (SELECT f, side, rep, v[({_key("rep", "(i + side * 100003)", "1 + f")}) % len(v) + 1] AS x FROM d),
+m AS (SELECT f, rep, avg(x) FILTER (side = 0) - avg(x) FILTER (side = 1) AS effect FROM k GROUP BY ALL) SELECT f AS feature_id, round(avg(effect) + 1e-9, 6) + 0 AS mean, round(stddev_samp(effect) + 1e-9, 6) + 0 AS sd FROM m GROUP BY 1""")
+def single_draw_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One value a side and draw."""
+    obs = event_observations(spark, sf_dir).withColumn("sample_id", F.col("value")).where("value is not null")
+    per = resample.sampled_effect(obs, "click", "view", 50).groupBy("feature_id").agg(F.avg("effect").alias("mean"), F.stddev_samp("effect").alias("sd"))
+    return per.select("feature_id", *[(F.round(F.col(c) + 1e-9, 6) + 0.0).alias(c) for c in ("mean", "sd")])
+
+
 @query(f"""WITH {_DIMS}, s AS (SELECT f, x, row_number() OVER (PARTITION BY f ORDER BY vec_id) - 1 AS pos FROM c),
-k AS (SELECT rep, f, pos, x, (((rep * 1103515245 + pos * 12345 + 1 + f * 7919) % 2147483647) * 48271 % 2147483647) * 69621 % 2147483647 AS key FROM s, range(3) g(rep)),
+k AS (SELECT rep, f, pos, x, {_key("rep", "pos", "1 + f * 7919")} AS key FROM s, range(3) g(rep)),
 o AS (SELECT rep, f, x, row_number() OVER (PARTITION BY rep, f ORDER BY key, pos) AS place FROM k),
 r AS (SELECT a.rep, corr(a.x, b.x) AS r FROM o a JOIN o b ON a.rep = b.rep AND a.place = b.place AND a.f < b.f GROUP BY a.rep, a.f, b.f)
 SELECT CAST(rep AS INTEGER) AS rep, round(quantile_disc(r, 0.025), 6) AS lo, round(quantile_disc(r, 0.975), 6) AS hi FROM r GROUP BY 1""")
 def null_correlation_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R7."""
-    return resample.null_correlations(dimensions(spark, sf_dir), 3).select("rep", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+    out = two_level.null_correlations(dimensions(spark, sf_dir), 3)
+    return out.select(F.col("rep").cast("int").alias("rep"), F.round("q0", 6).alias("lo"), F.round("q1", 6).alias("hi"))
 
 
 _KM = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, v AS c FROM e ORDER BY vec_id LIMIT 8),
@@ -950,3 +969,34 @@ def kernel_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     for kernel in sparse.KERNELS:
         out = out.join(sparse.kernel_weights(edges, cells, kernel).select(F.col("i").alias("key"), F.round("weight", 6).alias(kernel)), "key")
     return out
+
+
+def _spiked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors as features with their 64 numbers as samples, and a shift for every fifth."""
+    packed = vectors(spark, sf_dir).select(F.col("vec_id").alias("feature_id"), "v")
+    return packed, packed.where("feature_id % 5 = 0").select("feature_id", F.lit(0.1).alias("shift"))
+
+
+_T = "(sx / 32 - sy / 32) / sqrt(((qx - sx * sx / 32) / 31 + (qy - sy * sy / 32) / 31) / 2 * (2.0 / 32))"
+_SUMS = "sum(x) FILTER ({0}) AS sx, sum(x * x) FILTER ({0}) AS qx, sum(x) FILTER (NOT ({0})) AS sy, sum(x * x) FILTER (NOT ({0})) AS qy"
+
+
+@query(f"""WITH cells AS (SELECT vec_id AS f, unnest(range(64)) AS pos, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings),
+o AS (SELECT rep, pos, row_number() OVER (PARTITION BY rep ORDER BY {_key("rep", "pos", "1")}, pos) - 1 AS place FROM range(1, 4) g(rep), range(64) p(pos)),
+d AS (SELECT rep, f, place, x + CASE WHEN place < 32 AND f % 5 = 0 THEN 0.1 ELSE 0 END AS x FROM cells JOIN o USING (pos)),
+seen AS (SELECT rep, f, abs({_T}) AS t FROM (SELECT rep, f, {_SUMS.format("place < 32")} FROM d GROUP BY ALL)),
+i AS (SELECT rep, k, place, row_number() OVER (PARTITION BY rep, k ORDER BY {_key("(rep * 40 + k)", "place", "7920")}, place) <= 32 AS inx FROM range(1, 4) g(rep), range(40) h(k), range(64) p(place)),
+drawn AS (SELECT rep, k, max(abs({_T})) AS most FROM (SELECT rep, k, f, {_SUMS.format("inx")} FROM d JOIN i USING (rep, place) GROUP BY ALL) GROUP BY ALL),
+lim AS (SELECT rep, most FROM drawn QUALIFY row_number() OVER (PARTITION BY rep ORDER BY most DESC, k) = 3)
+SELECT rep, count(*) FILTER (f % 5 = 0 AND t <= most) AS fn, count(*) FILTER (f % 5 <> 0 AND t > most) AS fp, count(*) FILTER (t > most) AS rejections, count(*) AS n_tests FROM seen JOIN lim USING (rep) GROUP BY rep""")
+def two_level_westfall_young(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Westfall-Young inside every outer data set (both levels' keys are portable)."""
+    packed, shifts = _spiked(spark, sf_dir)
+    return two_level.two_level_calibration(packed, 32, 3, 40, shifts, ("westfall_young",)).select("rep", "fn", "fp", "rejections", "n_tests")
+
+
+@query()
+def two_level_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R9 under all methods."""
+    packed, shifts = _spiked(spark, sf_dir)
+    return stats.experiment_measures(two_level.two_level_calibration(packed, 32, 3, 40, shifts))
