@@ -114,13 +114,69 @@ def kmeans_repeats(df: DataFrame, k: int, seeds: list[int], truth: str, n_iter:
 def buckshot_init(df: DataFrame, k: int, seed: int = 1, key: str = "vec_id", sample: int | None = None) -> list[tuple[int, list[float]]]:
     """sqrt(k N) keyed rows, average-linkage groups of them, one member per group as centre.
 
-    The groups are made on the driver, by chains of nearest neighbours: time and memory grow with
-    the square of the sample, k N distances of eight bytes.
+    The sample's k N distances are rows, and the groups are made in rounds on Spark; the driver
+    gets the k members that become centres.
     """
-    rows = first_centres(df, max(sample or int(np.sqrt(k * df.count())), k), key, seed)
-    x = np.array([c for _, c in rows])
-    groups = average_groups(x, k)
-    return [(i, list(x[np.flatnonzero(groups == g)[0]])) for i, g in enumerate(np.unique(groups))]
+    n = max(sample or int(np.sqrt(k * df.count())), k)
+    drawn = materialize(df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n).select(F.col(key).cast("long").alias("node"), F.col("v").cast("array<double>").alias("v")), "sample")
+    groups = average_linkage(_pair_distances(drawn), drawn.select("node"), k)
+    members = drawn.join(groups, "node").groupBy("cluster").agg(F.min_by("v", "node").alias("v")).orderBy("cluster")
+    return [(i, list(r["v"])) for i, r in enumerate(members.collect())]
+
+
+def _pair_distances(rows: DataFrame, block: int = 500) -> DataFrame:
+    """``(i, j, distance)``, i < j, of all pairs of ``(node, v)``, block by block."""
+    parts = max(1, -(-rows.count() // block))
+    dealt = rows.withColumn("b", F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    placed = dealt.withColumns({"bi": F.least("b", "o"), "bj": F.greatest("b", "o")})
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        bi, bj = pdf.bi.iloc[0], pdf.bj.iloc[0]
+        a, b = (pdf[pdf.b == c].sort_values("node") for c in (bi, bj))
+        if a.empty or b.empty:
+            return pd.DataFrame({"i": [], "j": [], "distance": []}).astype({"i": "int64", "j": "int64", "distance": "float64"})
+        u, v = np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy())
+        d = np.sqrt(np.maximum((u * u).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * u @ v.T, 0))
+        na, nb = a.node.to_numpy(), b.node.to_numpy()
+        x, y = np.nonzero(na[:, None] < nb[None, :] if bi == bj else np.ones(d.shape, bool))
+        return pd.DataFrame({"i": np.minimum(na[x], nb[y]), "j": np.maximum(na[x], nb[y]), "distance": d[x, y]})
+
+    return placed.drop("o").groupBy("bi", "bj").applyInPandas(pairs, "i long, j long, distance double")
+
+
+def average_linkage(pairs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """``(node, cluster)``: average-linkage groups of all ``nodes``, cut at k, from all pairs ``(i, j, distance)``.
+
+    Every round merges all pairs of clusters that are each other's nearest; merging such pairs in any order gives the
+    same tree, since no average falls by a merge.  Clusters carry their sizes, pairs the sums of their
+    distances.  The lowest merges are those of the cut; a cluster is named by its smallest node.
+    """
+    from loamstat.operators.correlate import components
+
+    total = nodes.count()
+    sizes = nodes.select("node", F.lit(1).cast("long").alias("size"))
+    now = materialize(pairs.select("i", "j", F.col("distance").alias("sum")), "sums")
+    merges = None
+    while True:
+        mean = now.join(sizes.toDF("i", "ni"), "i").join(sizes.toDF("j", "nj"), "j").select("i", "j", (F.col("sum") / (F.col("ni") * F.col("nj"))).alias("height"))
+        both = mean.unionByName(mean.select(F.col("j").alias("i"), F.col("i").alias("j"), "height"))
+        near = both.groupBy("i").agg(F.min(F.struct("height", "j")).alias("n")).select("i", F.col("n.j").alias("near"), F.col("n.height").alias("height"))
+        back = near.select(F.col("i").alias("near"), F.col("near").alias("back"))
+        found = materialize(near.join(back, "near").where("back = i and i < near").select(F.col("near").alias("old"), F.col("i").alias("new"), "height"), "merges")
+        if not found.limit(1).count():
+            break
+        merges = found if merges is None else merges.unionByName(found)
+        moved = found.select("old", "new")
+        to = lambda c: moved.toDF(c, f"n{c}")
+        sizes = materialize(sizes.join(to("node"), "node", "left").groupBy(F.coalesce("nnode", "node").alias("node")).agg(F.sum("size").alias("size")), "sizes")
+        placed = now.join(to("i"), "i", "left").join(to("j"), "j", "left").select(F.coalesce("ni", "i").alias("i"), F.coalesce("nj", "j").alias("j"), "sum").where("i <> j")
+        now = materialize(placed.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "sum").groupBy("i", "j").agg(F.sum("sum").alias("sum")), "sums")
+    alone = nodes.select("node", F.col("node").alias("cluster"))
+    if merges is None or total <= k:
+        return alone
+    cut = materialize(merges.orderBy("height", "new", "old").limit(total - k).select(F.col("new").alias("i"), F.col("old").alias("j")), "cut")
+    named = components(cut)
+    return alone.drop("cluster").join(named, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
 
 
 def average_groups(x: np.ndarray, k: int) -> np.ndarray:
@@ -162,12 +218,12 @@ def average_groups(x: np.ndarray, k: int) -> np.ndarray:
     return owner
 
 
-def noisy_vq(df: DataFrame, k: int, delta: float, repeat: int = 0, key: str = "vec_id", seed: int = 1) -> DataFrame:
+def noisy_vq(df: DataFrame, k: int, delta: float, repeat: int = 0, key: str = "vec_id", seed: int = 1, recall: float | None = None) -> DataFrame:
     """Every row plus keyed noise is replaced by the mean of its k nearest rows; ``(key, v)``.
 
-    ``repeat`` further rounds quantise the means of the round before in the same way.
+    ``repeat`` further rounds quantise the means of the round before in the same way.  With ``recall`` the
+    neighbours come from the two-level index at that recall, without from all rows.
     """
-    from loamstat.operators.joins import knn
 
     now = df.select(key, F.col("v").cast("array<double>").alias("v"))
     for r in range(repeat + 1):
@@ -177,7 +233,7 @@ def noisy_vq(df: DataFrame, k: int, delta: float, repeat: int = 0, key: str = "v
                 moved = [np.asarray(v) + delta * np.random.Generator(np.random.PCG64([seed, r, abs(int(name))])).normal(size=len(v)) for name, v in zip(pdf[key], pdf.v, strict=True)]
                 yield pd.DataFrame({key: -pdf[key] - 1, "v": moved})  # names that no row has: a query's own row may be near it
 
-        near = knn(now.mapInPandas(noisy, f"{key} long, v array<double>"), now, k, key=key, vec="v")
+        near = _neighbours(now.mapInPandas(noisy, f"{key} long, v array<double>"), now, k, "euclid", key, recall)
         each = near.join(now.select(F.col(key).alias("neighbour"), F.posexplode("v").alias("dim", "x")), "neighbour")
         mean = each.groupBy("key", "dim").agg(F.avg("x").alias("x")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("s"))
         now = materialize(mean.select((-F.col("key") - 1).alias(key), F.col("s.x").alias("v")), "quantised")
@@ -190,11 +246,18 @@ def quantised_labels(labels: DataFrame, cells: DataFrame, label: str, key: str =
     return votes.groupBy(cell).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(label).alias("l")))["l"].alias(label))
 
 
-def similarity_graph(df: DataFrame, metric: str = "rbf", gamma: float = 1.0, k: int = 10, key: str = "vec_id") -> DataFrame:
-    """Symmetric k-nearest-neighbour edges ``(i, j, weight)``: rbf, laplacian or cosine similarity."""
-    from loamstat.operators.joins import knn
+def _neighbours(x: DataFrame, y: DataFrame, k: int, metric: str, key: str, recall: float | None) -> DataFrame:
+    from loamstat.operators.joins import knn, knn_two_level
 
-    near = knn(df, df, k, "cosine" if metric == "cosine" else "euclid", key, "v")
+    return knn(x, y, k, metric, key, "v") if recall is None else knn_two_level(x, y, k, None, metric, key, "v", recall=recall)
+
+
+def similarity_graph(df: DataFrame, metric: str = "rbf", gamma: float = 1.0, k: int = 10, key: str = "vec_id", recall: float | None = None) -> DataFrame:
+    """Symmetric k-nearest-neighbour edges ``(i, j, weight)``: rbf, laplacian or cosine similarity.
+
+    With ``recall`` the neighbours come from the two-level index at that recall, without from all rows.
+    """
+    near = _neighbours(df, df, k, "cosine" if metric == "cosine" else "euclid", key, recall)
     d = F.col("distance")
     weight = {"rbf": F.exp(-gamma * d * d), "laplacian": F.exp(-gamma * d), "cosine": 1 - d}[metric]
     one = near.select(F.least("key", "neighbour").alias("i"), F.greatest("key", "neighbour").alias("j"), weight.alias("weight"))

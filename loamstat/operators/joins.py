@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -167,6 +168,11 @@ def knn_by_cells(x: DataFrame, y: DataFrame, k: int, probes: int, metric: str =
 
     left = materialize(placed(x.select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("v")), min(probes, len(drawn))), "queries")
     right = materialize(placed(y, 1), "placed")
+    return _met_in_cells(left, right, k, metric, block)
+
+
+def _met_in_cells(left: DataFrame, right: DataFrame, k: int, metric: str, block: int) -> DataFrame:
+    """``knn`` of queries ``(key, v, cell)``, a row a cell looked at, among rows ``(key, v, cell)``; large cells are dealt into blocks on both sides."""
     blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
     sizes = blocks(left, "nx").join(blocks(right, "ny"), "cell")
     deal = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
@@ -176,6 +182,118 @@ def knn_by_cells(x: DataFrame, y: DataFrame, k: int, probes: int, metric: str =
     return _first(a.unionByName(b).groupBy("cell", "bx", "by").applyInPandas(_nearest(k, metric), _NEAR), k)
 
 
+#: First-level centres at most (2 MB of 64 numbers each): they are broadcast.
+MOST_CELLS = 4096
+#: Rows of a first-level cell that one task places in second-level cells.
+PLACED_ROWS = 20_000
+
+
+def _to_first_level(df: DataFrame, centres: np.ndarray, near: int, metric: str) -> DataFrame:
+    """``(key, v, top)``, a row for each of the ``near`` nearest first-level centres."""
+    shared = df.sparkSession.sparkContext.broadcast(centres)
+
+    def place(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            if len(pdf):
+                d = _distances(np.stack(pdf.v.to_numpy()), shared.value, metric)
+                yield pd.DataFrame({"key": pdf["key"], "v": pdf["v"], "top": list(np.argsort(d, axis=1, kind="stable")[:, :near])})
+
+    return df.mapInPandas(place, "key long, v array<double>, top array<int>").select("key", "v", F.explode("top").alias("top"))
+
+
+def _to_second_level(df: DataFrame, centres: DataFrame, near: int, metric: str) -> DataFrame:
+    """``(key, v, cell)``: rows ``(key, v, top)`` in the ``near`` nearest second-level cells of their first-level cell.
+
+    A cell's rows are dealt over as many tasks as they need, each with the cell's centres ``(top, id, c)``.
+    """
+    parts = df.groupBy("top").agg(F.ceil(F.count(F.lit(1)) / PLACED_ROWS).cast("int").alias("parts"))
+    rows = df.join(parts, "top").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    copies = centres.join(parts, "top").select(F.col("top").alias("at"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("of"), "id", "c")
+
+    def place(own: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or cells.empty:
+            return pd.DataFrame({"key": [], "v": [], "cell": []}).astype({"key": "int64", "v": "object", "cell": "int64"})
+        cells = cells.sort_values("id")
+        d = _distances(np.stack(own.v.to_numpy()), np.stack(cells.c.to_numpy()), metric)
+        at = np.argsort(d, axis=1, kind="stable")[:, :near]
+        cell = (np.int64(own.top.iloc[0]) << 32) + cells.id.to_numpy(np.int64)[at]
+        return pd.DataFrame({"key": np.repeat(own.key.to_numpy(), at.shape[1]), "v": np.repeat(own.v.to_numpy(), at.shape[1]), "cell": cell.ravel()})
+
+    return rows.groupBy("top", "part").cogroup(copies.groupBy("at", "of")).applyInPandas(place, "key long, v array<double>, cell long")
+
+
+class TwoLevelIndex(NamedTuple):
+    """First-level centres, second-level centres ``(top, id, c)``, and all rows ``(key, v, cell)``."""
+
+    first: np.ndarray
+    centres: DataFrame
+    rows: DataFrame
+    metric: str
+
+
+def _typed(df: DataFrame, key: str, vec: str) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<double>").alias("v"))
+
+
+def two_level_index(y: DataFrame, metric: str = "euclid", key: str = "vec_id", vec: str = "embedding", cells: int | None = None, seed: int = 1) -> TwoLevelIndex:
+    """An index of two levels over all rows of ``y``.
+
+    First-level centres are keyed rows of ``y``, the cube root of their number and
+    ``MOST_CELLS`` at most.  Second-level centres are keyed rows of each first-level cell, about the root
+    of its rows, so a row is compared with some 2 N^(1/3) centres.
+    """
+    rows = materialize(_typed(y, key, vec), "indexed")
+    wanted = cells or min(MOST_CELLS, max(1, int(round(rows.count() ** (1 / 3)))))
+    first = np.array([r["v"] for r in rows.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(wanted).select("v").collect()])
+    placed = materialize(_to_first_level(rows, first, 1, metric), "first-level")
+    share = F.sqrt("n") / F.col("n")
+    mark = (F.pmod(F.xxhash64("key", F.lit(seed + 1)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    sizes = placed.groupBy("top").agg(F.count(F.lit(1)).alias("n"), F.min_by("key", F.xxhash64("key", F.lit(seed + 1))).alias("least"))
+    centres = placed.join(sizes, "top").where((mark < share) | (F.col("key") == F.col("least")))
+    # centres of a cell whose ids fall together share one second-level cell
+    centres = materialize(centres.select("top", F.pmod(F.xxhash64("key", F.lit(seed + 2)), F.lit(1 << 31)).alias("id"), F.col("v").alias("c")), "second-level")
+    return TwoLevelIndex(first, centres, materialize(_to_second_level(placed, centres, 1, metric), "cells"), metric)
+
+
+def search_index(index: TwoLevelIndex, x: DataFrame, k: int, probes: tuple[int, int], key: str = "vec_id", vec: str = "embedding", block: int = 2000) -> DataFrame:
+    """``knn`` among the rows in the second-level cells nearest to a query, ``probes[1]`` in each of its ``probes[0]`` nearest first-level cells."""
+    if not len(index.first):
+        return _typed(x, key, vec).select("key", F.lit(0).cast("long").alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
+    asked = _to_first_level(_typed(x, key, vec), index.first, min(probes[0], len(index.first)), index.metric)
+    return _met_in_cells(materialize(_to_second_level(asked, index.centres, probes[1], index.metric), "queries"), index.rows, k, index.metric, block)
+
+
+#: Queries on which the number of probes is measured.
+RECALL_QUERIES = 64
+
+
+def probes_for(index: TwoLevelIndex, x: DataFrame, k: int, recall: float, key: str = "vec_id", vec: str = "embedding", block: int = 2000) -> tuple[int, int]:
+    """The first of 4, 8, 16, .. probes a level that reach ``recall`` on ``RECALL_QUERIES`` keyed queries, compared with all rows."""
+    few = materialize(_typed(x, key, vec).orderBy(F.xxhash64("key", F.lit(3)), "key").limit(RECALL_QUERIES), "recall")
+    exact = materialize(knn(few, index.rows.select("key", "v"), k, index.metric, "key", "v", block), "exact").select("key", "neighbour")
+    want = exact.count()
+    largest = index.centres.groupBy("top").count().agg(F.max("count")).first()[0] or 0
+    probes = 4
+    while probes < max(largest, len(index.first)):
+        near = search_index(index, few, k, (probes, probes), "key", "v", block)
+        if exact.join(near, ["key", "neighbour"]).count() >= recall * want:
+            break
+        probes *= 2
+    return probes, probes
+
+
+def knn_two_level(x: DataFrame, y: DataFrame, k: int, probes: tuple[int, int] | None = None, metric: str = "euclid", key: str = "vec_id", vec: str = "embedding", cells: int | None = None, block: int = 2000, seed: int = 1, recall: float = 0.95) -> DataFrame:
+    """J7 approximately, by ``two_level_index``.
+
+    Recall grows with the probes and is 1 when all cells are looked at.  Without ``probes`` their number is
+    measured: the least that finds the share ``recall`` of a bounded sample's exact neighbours.
+    """
+    index = two_level_index(y, metric, key, vec, cells, seed)
+    if probes is None:
+        probes = probes_for(index, x, k, recall, key, vec, block) if len(index.first) else (1, 1)
+    return search_index(index, x, k, probes, key, vec, block)
+
+
 def knn_classify(train: DataFrame, test: DataFrame, k: int, metric: str = "euclid", key: str = "vec_id", vec: str = "embedding", label: str = "label") -> DataFrame:
     """Majority vote of the k nearest training rows; ties go to the smaller label."""
     near = knn(test, train, k, metric, key, vec)
