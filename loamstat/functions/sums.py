@@ -1,8 +1,9 @@
 """Sums of arrays that every partition holds a part of, added up in tasks.
 
-The parts are split into rows and meet in two grouped rounds: parts of a few
-partitions first (``slot``), then what is left of them.  One job does it, and
-the driver gets one copy of the total.
+The parts are split into rows and meet in three grouped rounds: those of ``FAN``
+partitions each, then of ``FAN`` such sums, then what is left: fewer than 100
+rows for a million partitions.  One job does it, and the driver gets one copy
+of the total.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Schema of parts: the group, the row of its array, the row's numbers.
 PART = "g long, i long, v array<double>"
-#: Groups of partitions that are added up first.
-SLOTS = 32
+#: Partitions, and sums of them, that one task adds up in the first two rounds.
+FAN = 128
 
 
 def parts(named: Iterable[tuple[int, int, np.ndarray]]) -> pd.DataFrame:
@@ -32,14 +33,16 @@ def _add(keys: list[str]):  # noqa: ANN202
         v = table.column("v").combine_chunks()
         total = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1).sum(axis=0)
         first = table.slice(0, 1)
-        return pa.table({**{k: first.column(k) for k in keys}, "v": pa.array([total], pa.list_(pa.float64()))})
+        named = {"g": first.column("g"), "i": first.column("i"), "v": pa.array([total], pa.list_(pa.float64()))}
+        return pa.table(named | {k: first.column(k) for k in keys})
 
     return add
 
 
 def added(df: DataFrame) -> dict[tuple[int, int], np.ndarray]:
     """``{(group, row): sum}`` over the rows of ``PART`` from all partitions."""
-    slotted = df.withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(SLOTS)))
-    some = slotted.groupBy("g", "i", "slot").applyInArrow(_add(["g", "i"]), PART)
+    slotted = df.withColumn("slot", F.floor(F.spark_partition_id() / FAN).cast("long"))
+    some = slotted.groupBy("g", "i", "slot").applyInArrow(_add(["g", "i", "slot"]), f"{PART}, slot long")
+    some = some.withColumn("slot", F.floor(F.col("slot") / FAN).cast("long")).groupBy("g", "i", "slot").applyInArrow(_add(["g", "i"]), PART)
     whole = some.groupBy("g", "i").applyInArrow(_add(["g", "i"]), PART)
     return {(r["g"], r["i"]): np.array(r["v"]) for r in whole.collect()}

@@ -111,6 +111,12 @@ def kmeans_repeats(df: DataFrame, k: int, seeds: list[int], truth: str, n_iter:
     return max(scores), float(np.mean(scores))
 
 
+def keyed_rows(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
+    """``(node, v)``: n rows by a seeded hash of their key, as a work table."""
+    first = df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return materialize(first.select(F.col(key).cast("long").alias("node"), F.col("v").cast("array<double>").alias("v")), "sample")
+
+
 def buckshot_init(df: DataFrame, k: int, seed: int = 1, key: str = "vec_id", sample: int | None = None) -> list[tuple[int, list[float]]]:
     """sqrt(k N) keyed rows, average-linkage groups of them, one member per group as centre.
 
@@ -118,7 +124,7 @@ def buckshot_init(df: DataFrame, k: int, seed: int = 1, key: str = "vec_id", sam
     gets the k members that become centres.
     """
     n = max(sample or int(np.sqrt(k * df.count())), k)
-    drawn = materialize(df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n).select(F.col(key).cast("long").alias("node"), F.col("v").cast("array<double>").alias("v")), "sample")
+    drawn = keyed_rows(df, n, key, seed)
     groups = average_linkage(_pair_distances(drawn), drawn.select("node"), k)
     members = drawn.join(groups, "node").groupBy("cluster").agg(F.min_by("v", "node").alias("v")).orderBy("cluster")
     return [(i, list(r["v"])) for i, r in enumerate(members.collect())]

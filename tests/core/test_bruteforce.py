@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loamstat.functions.special import t_two_sided
 from loamstat.operators import cluster, correlate, factor, joins, multitest, regress, resample, sensitivity, stats
 
 RNG = np.random.default_rng(7)
@@ -244,5 +247,37 @@ def test_group_permutations_follow_sample_names(spark):
     pairs = spark.createDataFrame([("a-b", "a", "b")], "contrast string, grp_x string, grp_y string")
     got = resample.group_permutation(obs, pairs, 30).toPandas()
     assert got.groupby("feature_id").size().to_dict() == {1: 30, 2: 30} and got.p.between(0, 1).all()
-    p = got.pivot(index="rep", columns="feature_id", values="p")
-    assert np.corrcoef(p[1], p[2])[0, 1] > -1
+    orders = {}
+    for f in (1, 2):
+        own = sorted((g, s, v) for k, s, g, v in rows if k == f)
+        side, value = np.array([g for g, _, _ in own]), np.array([v for _, _, v in own])
+        ident = np.array([zlib.crc32(s.encode()) for _, s, _ in own])
+        for rep in range(1, 31):
+            at = np.argsort(resample.keyed(np.array([rep]), ident, 1)[0], kind="stable")
+            orders[f, rep] = [own[i][1] for i in at]
+            a, b = value[at][side == "a"], value[at][side == "b"]
+            va, vb = a.var(ddof=1) / len(a), b.var(ddof=1) / len(b)
+            dof = (va + vb) ** 2 / (va**2 / (len(a) - 1) + vb**2 / (len(b) - 1))
+            want = t_two_sided(np.array([(a.mean() - b.mean()) / np.sqrt(va + vb)]), np.array([dof]))[0]
+            assert abs(got[(got.feature_id == f) & (got.rep == rep)].p.iloc[0] - want) < 1e-9
+    for rep in range(1, 31):
+        short = set(orders[2, rep])
+        assert [s for s in orders[1, rep] if s in short] == orders[2, rep] and len(short) < 24
+    assert len({tuple(orders[1, rep]) for rep in range(1, 31)}) == 30
+
+
+def test_sums_over_many_partitions(spark):
+    """More partitions than two rounds of 128 would leave to one task at once."""
+    rows = spark.range(0, 2_000, 1, 700).select(F.array((F.col("id") % 7).cast("double"), F.lit(1.0)).alias("x"))
+    n, s, q = factor.cross_products(rows, F.col("x"))[0]
+    x = np.array([[i % 7, 1.0] for i in range(2_000)])
+    assert n == 2_000 and np.allclose(s, x.sum(0)) and np.allclose(q, x.T @ x)
+
+
+def test_replicate_keys_are_a_bijection_and_no_rotation():
+    keys = resample.keyed(np.arange(40), np.arange(200), 3)
+    assert all(len(set(row)) == 200 for row in keys) and keys.max() < resample.MOD
+    orders = np.argsort(keys, axis=1)
+    after = [dict(zip(o, np.roll(o, -1), strict=True)) for o in orders]
+    shared = sum(after[0][i] == after[1][i] for i in range(200))
+    assert shared < 20  # in a rotation all but one would be the same

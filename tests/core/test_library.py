@@ -284,8 +284,9 @@ def test_buckshot_takes_the_square_root_sample_at_every_size(spark, monkeypatch)
     got = cluster.average_groups(x, 7)
     assert {frozenset(np.flatnonzero(got == g)) for g in np.unique(got)} == set(map(frozenset, groups))
     asked = []
-    monkeypatch.setattr(cluster, "first_centres", lambda df, n, key, seed: asked.append(n) or [(i, [float(i)]) for i in range(20)])
-    cluster.buckshot_init(spark.range(600_000), 8)
+    few = spark.createDataFrame([(i, [float(i)]) for i in range(20)], "node long, v array<double>")
+    monkeypatch.setattr(cluster, "keyed_rows", lambda df, n, key, seed: asked.append(n) or few)
+    assert len(cluster.buckshot_init(spark.range(600_000), 8)) == 8
     assert asked == [int(np.sqrt(8 * 600_000))]
 
 
