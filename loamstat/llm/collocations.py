@@ -7,12 +7,12 @@
    ids of its own numbers.  No dictionary is broadcast.
 2. *Phrases.*  For 2, 3 and 4 words in turn, tasks pack the ids of consecutive
    frequent words into keys and count them in quotient filters, one per block
-   of the permuted key space, sealed whenever a few million keys have come
+   of the permuted key space, sealed whenever a million keys have come
    together.  One task per block merges its sorted filters and keeps the
    phrases with ``least`` occurrences.  A longer phrase is counted only where
    both phrases it consists of may be frequent (a Bloom filter of the shorter
    ones; what passes by chance falls below ``least`` when counted exactly).
-   Blocks hold some two million keys each on average, whatever the corpus; a
+   Blocks hold some million keys each on average, whatever the corpus; a
    frequent key adds one entry per filter.
 3. *Scores.*  Every cut of a phrase joins the counts of its two parts; the
    lowest score counts.  Phrases inside longer ones of nearly the same count
@@ -45,9 +45,9 @@ SLICE = 4 << 20
 #: Bytes of an Arrow batch: rows of this module are whole slices.
 BATCH_BYTES = 16 << 20
 #: Keys that a task holds before it seals them into filters.
-HELD_KEYS = 1 << 21
+HELD_KEYS = 1 << 20
 #: Keys per block of the key space, on average and before equal ones of a filter are counted.
-BLOCK_KEYS = 1 << 21
+BLOCK_KEYS = 1 << 20
 LONGEST = 4
 
 _CUTS = np.zeros(256, bool)
