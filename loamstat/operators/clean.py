@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamstat.functions.ordered import global_rank
+from loamstat.functions.selection import quantiles
+from loamstat.functions.work import materialize
 
 VARIANCE = {0: F.var_pop, 1: F.var_samp}
 
@@ -96,8 +98,9 @@ def _threshold_or_share(obs: DataFrame, measure: Column, val: float, method: str
     per = obs.groupBy(by).agg(measure.alias("measure"))
     if method == "threshold":
         return obs.join(per.where(F.col("measure") > val if strict else F.col("measure") >= val), by)
-    cut = per.agg(F.percentile("measure", F.lit(float(val))).alias("cut"))  # one row
-    return obs.join(per.crossJoin(F.broadcast(cut)).where("measure > cut").drop("cut"), by)
+    per = materialize(per, "measures")
+    cut = quantiles(per, ["measure"], [float(val)])["measure"][0]
+    return obs.join(per.where(F.col("measure") > F.lit(cut)), by)
 
 
 def variance_filter(obs: DataFrame, val: float, method: str = "threshold", ddof: int = 1, strict: bool = True, by: str = "feature_id") -> DataFrame:

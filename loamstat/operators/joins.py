@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamstat.functions.ordered import global_rank, suffix_min
+from loamstat.functions.selection import first_beyond
 from loamstat.functions.work import materialize
 
 
@@ -332,41 +335,84 @@ def uncertainty_predict(rows: DataFrame, coefs: DataFrame, key: str, x: Column)
     return out
 
 
-def leader_groups(df: DataFrame, key: str, col: str, tol: float, by: str | None = None) -> DataFrame:
+def _leaving(n: int) -> Callable[[pa.Table], pa.Table]:
+    """``(i, out)`` of a block of ``n`` values: where the leaders that follow from a value first leave the block; 0 if they end."""
+
+    def leaving(table: pa.Table) -> pa.Table:
+        i, to, at = _steps(table, n)
+        while (inside := at >= 0).any():
+            to[inside], at[inside] = to[at[inside]], at[at[inside]]
+        return pa.table({"i": i, "out": to})
+
+    return leaving
+
+
+def _steps(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The block's values in order: their numbers, the next leaders' numbers and their places in the block, or -1."""
+    i, to = (table.column(c).to_numpy() for c in ("i", "nx"))
+    order = np.argsort(i)
+    i, to = i[order], to[order]
+    at = np.where((to > 0) & (to < (i[0] - 1) // n * n + n + 1), to - i[0], -1)
+    return i, to.copy(), at
+
+
+def _led(n: int) -> Callable[[pa.Table], pa.Table]:
+    """The leader of each value of a block whose first leaders are flagged; none for values before the first."""
+
+    def led(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        _, _, at = _steps(table, n)
+        marked = table.column("entry").to_numpy(zero_copy_only=False).copy()
+        while (inside := at >= 0).any():  # marks twice as many leaders a round
+            marked[at[marked & inside]] = True
+            at[inside] = at[at[inside]]
+        last = np.maximum.accumulate(np.where(marked, np.arange(len(at)), -1))
+        v, i = (table.column(c).to_numpy() for c in ("v", "i"))
+        none = last < 0
+        out = {"g": table.column("g"), "v": table.column("v"), "block": table.column("block")}
+        return pa.table(out | {"at": pa.array(i[last], mask=none), "leader": pa.array(v[last], mask=none)})
+
+    return led
+
+
+def leader_groups(df: DataFrame, key: str, col: str, tol: float, by: str | None = None, block: int = 1_000_000) -> DataFrame:
     """Sorted values grouped by leaders: a group takes all values within ``tol`` of its first.
 
-    Gaps above ``tol`` always split, so values are first cut into islands by
-    range-partitioned lag; the greedy pass runs inside an island.
+    Distinct values are numbered in order, and each gets the next leader if it were one: the first value
+    further than ``tol``, found by a minimum over range partitions.  Tasks follow these steps to the end
+    of a block of ``block`` values, pointer doubling over the steps between blocks finds the blocks'
+    first leaders, and tasks mark the others.  An axis of any density is spread evenly.  Rows with a
+    null or NaN value have no leader; a null of ``by`` is a group.
     """
-    keys = [by] if by else []
-    order = Window.partitionBy(*keys).orderBy(col, key)
-    if not by:
-        from loamstat.functions.ordered import ranged
-
-        frozen = ranged(df, F.col(col))
-        last = frozen.groupBy("__range").agg(F.max(col).alias("__last"))
-        before = last.select("__range", F.max("__last").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
-        inner = Window.partitionBy("__range").orderBy(col, key)
-        cut = frozen.join(F.broadcast(before), "__range").withColumn("__gap", F.col(col) - F.coalesce(F.lag(col).over(inner), F.col("__before")))
-        starts = F.sum(F.when(F.coalesce(F.col("__gap") > tol, F.lit(True)), 1).otherwise(0)).over(inner.rowsBetween(Window.unboundedPreceding, 0))
-        local = cut.withColumn("__s", starts)
-        per = local.groupBy("__range").agg(F.max("__s").alias("__n"))
-        offset = per.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
-        islands = local.join(F.broadcast(offset), "__range").withColumn("__island", F.col("__s") + F.col("__o")).select(*df.columns, "__island")
-    else:
-        gap = F.col(col) - F.lag(col).over(order)
-        islands = df.withColumn("__g", F.when(F.coalesce(gap > tol, F.lit(True)), 1).otherwise(0)).withColumn("__island", F.sum("__g").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__g")
-
-    def greedy(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        island, lead = None, 0.0
-        for pdf in pdfs:
-            out = np.empty(len(pdf))
-            for n, (v, own) in enumerate(zip(pdf[col], zip(*[pdf[k] for k in (*keys, "__island")], strict=True), strict=True)):
-                if own != island or v - lead > tol:
-                    island, lead = own, v
-                out[n] = lead
-            yield pdf.assign(leader=out)
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in islands.dtypes) + ", leader double"
-    whole = islands.repartition(*keys, "__island").sortWithinPartitions(*keys, "__island", col, key)  # islands stay whole
-    return whole.mapInPandas(greedy, schema).drop("__island")
+    value = F.col(col).cast("double")
+    group = F.col(by) if by else F.lit(0)
+    values = df.select(group.alias("g"), value.alias("v")).where("v is not null and not isnan(v)").distinct()
+    ranked = materialize(global_rank(values, [F.col("g"), F.col("v")], "i").select("g", "v", F.col("i").cast("long").alias("i")), "values")
+    kind = f"struct<i:bigint,g:{dict(ranked.dtypes)['g']}>"
+
+    @F.pandas_udf("double")
+    def beyond(v: pd.Series) -> pd.Series:
+        return pd.Series(first_beyond(v.to_numpy(float), tol))
+
+    asked = ranked.select("*", beyond("v").alias("pos"), F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("own"))
+    given = ranked.select("*", F.col("v").alias("pos"), F.lit(1).alias("kind"), F.struct("i", "g").alias("own"))
+    met = suffix_min(asked.unionByName(given), F.struct("g", "pos", "kind"), F.col("own"), "met").where("kind = 0")
+    step = F.when(F.col("met.g").eqNullSafe(F.col("g")), F.col("met.i")).otherwise(F.lit(0)).cast("long")
+    chain = materialize(met.select("g", "v", "i", step.alias("nx"), F.floor((F.col("i") - 1) / block).cast("long").alias("block")), "steps")
+
+    hops = materialize(chain.groupBy("block").applyInArrow(_leaving(block), "i long, out long").where("out > 0"), "hops")
+    reached = materialize(chain.groupBy("g").agg(F.min("i").alias("i")).select("i"), "leaders")
+    entries = reached.union(hops.select("out")).distinct()
+    jump = materialize(hops.join(entries, "i"), "jumps")
+    while not jump.isEmpty():
+        reached = materialize(reached.union(reached.join(jump, "i").select("out")).distinct(), "leaders")
+        jump = materialize(jump.select("i", F.col("out").alias("__o")).join(jump.select(F.col("i").alias("__o"), "out"), "__o").select("i", "out"), "jumps")
+
+    flagged = chain.join(reached.withColumn("entry", F.lit(True)), "i", "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
+    schema = f"g {dict(chain.dtypes)['g']}, v double, block long, at long, leader double"
+    led = materialize(flagged.groupBy("block").applyInArrow(_led(block), schema), "led")
+    before = F.max("last").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # one row a block
+    held = led.groupBy("block").agg(F.max(F.struct("at", "leader")).alias("last")).select("block", before["leader"].alias("held"))
+    groups = led.join(F.broadcast(held), "block").select(F.col("g").alias("__g"), F.col("v").alias("__v"), F.coalesce("leader", "held").alias("__l"))
+    out = df.join(groups, group.eqNullSafe(F.col("__g")) & (value == F.col("__v")), "left")
+    return out.select(*df.columns, F.col("__l").alias("leader"))

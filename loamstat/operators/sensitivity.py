@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstat.functions.ordered import global_rank
+from loamstat.functions.selection import quantiles
 
 Model = Callable[[list[Column]], Column]
 
@@ -19,11 +20,11 @@ def _unit(i: Column, j: int, seed: int) -> Column:
     return (F.pmod(F.xxhash64(i, F.lit(j), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
-def _by_quantiles(u: Column, quantiles: list[float], steps: int) -> Column:
+def _by_quantiles(u: Column, values: list[float], steps: int) -> Column:
     """The value at share ``u`` of a table of ``steps`` + 1 quantiles, linear in between."""
     at = u * steps
     k = F.least(F.floor(at), F.lit(steps - 1)).cast("int")
-    q = F.array(*[F.lit(float(v)) for v in quantiles])
+    q = F.array(*[F.lit(float(v)) for v in values])
     return F.element_at(q, k + 1) + (at - k) * (F.element_at(q, k + 2) - F.element_at(q, k + 1))
 
 
@@ -35,7 +36,7 @@ def quantile_sample(df: DataFrame, cols: list[str], n: int, design: str = "rando
     """
     spark = df.sparkSession
     probs = [i / steps for i in range(steps + 1)]
-    table = df.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in cols]).first()
+    table = quantiles(df, cols, probs)
     base = spark.range(n).withColumnRenamed("id", "row_id")
     out = []
     for j, c in enumerate(cols):
@@ -119,7 +120,7 @@ def fast_design(df: DataFrame, cols: list[str], n: int, harmonics: int = 4, step
     """
     high, low = _fast_frequencies(n, harmonics, len(cols))
     probs = [i / steps for i in range(steps + 1)]
-    table = df.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in cols]).first()
+    table = quantiles(df, cols, probs)
     base = df.sparkSession.range(n).withColumnRenamed("id", "row_id")
     s = (2 * F.col("row_id") + 1) / n * np.pi - np.pi
     out = None
