@@ -335,6 +335,24 @@ def uncertainty_predict(rows: DataFrame, coefs: DataFrame, key: str, x: Column)
     return out
 
 
+def _next(tol: float) -> Callable[[pa.Table], pa.Table]:
+    """Each value's next leader in its block and group (``nx``, its number); where the group goes on behind the block, what it must reach (``pos``)."""
+
+    def find(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        i, v = (table.column(c).to_numpy() for c in ("i", "v"))
+        g = table.column("g").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        pos, n = first_beyond(v, tol), len(v)
+        order = np.lexsort((np.repeat([0, 1], n), np.concatenate([pos, v]), np.concatenate([g, g])))
+        at = np.empty(2 * n, np.int64)
+        at[order] = np.cumsum(order >= n)  # values before a reach, in the order of groups and values
+        at = at[:n]
+        held = (at < n) & (g[np.minimum(at, n - 1)] == g)
+        return table.append_column("nx", pa.array(np.where(held, i[np.minimum(at, n - 1)], 0))).append_column("pos", pa.array(pos, mask=held | (g != g[-1]) | np.isnan(pos)))
+
+    return find
+
+
 def _leaving(n: int) -> Callable[[pa.Table], pa.Table]:
     """``(i, out)`` of a block of ``n`` values: where the leaders that follow from a value first leave the block; 0 if they end."""
 
@@ -347,6 +365,10 @@ def _leaving(n: int) -> Callable[[pa.Table], pa.Table]:
     return leaving
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{c} {t}" for c, t in df.dtypes)
+
+
 def _steps(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The block's values in order: their numbers, the next leaders' numbers and their places in the block, or -1."""
     i, to = (table.column(c).to_numpy() for c in ("i", "nx"))
@@ -379,8 +401,8 @@ def leader_groups(df: DataFrame, key: str, col: str, tol: float, by: str | None
     """Sorted values grouped by leaders: a group takes all values within ``tol`` of its first.
 
     Distinct values are numbered in order, and each gets the next leader if it were one: the first value
-    further than ``tol``, found by a minimum over range partitions.  Tasks follow these steps to the end
-    of a block of ``block`` values, pointer doubling over the steps between blocks finds the blocks'
+    further than ``tol``, found in its block of ``block`` values or else by a minimum over range partitions.
+    Tasks follow these steps to the end of a block, pointer doubling over the steps between blocks finds the blocks'
     first leaders, and tasks mark the others.  An axis of any density is spread evenly.  Rows with a
     null or NaN value have no leader; a null of ``by`` is a group.
     """
@@ -389,16 +411,16 @@ def leader_groups(df: DataFrame, key: str, col: str, tol: float, by: str | None
     values = df.select(group.alias("g"), value.alias("v")).where("v is not null and not isnan(v)").distinct()
     ranked = materialize(global_rank(values, [F.col("g"), F.col("v")], "i").select("g", "v", F.col("i").cast("long").alias("i")), "values")
     kind = f"struct<i:bigint,g:{dict(ranked.dtypes)['g']}>"
-
-    @F.pandas_udf("double")
-    def beyond(v: pd.Series) -> pd.Series:
-        return pd.Series(first_beyond(v.to_numpy(float), tol))
-
-    asked = ranked.select("*", beyond("v").alias("pos"), F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("own"))
-    given = ranked.select("*", F.col("v").alias("pos"), F.lit(1).alias("kind"), F.struct("i", "g").alias("own"))
-    met = suffix_min(asked.unionByName(given), F.struct("g", "pos", "kind"), F.col("own"), "met").where("kind = 0")
-    step = F.when(F.col("met.g").eqNullSafe(F.col("g")), F.col("met.i")).otherwise(F.lit(0)).cast("long")
-    chain = materialize(met.select("g", "v", "i", step.alias("nx"), F.floor((F.col("i") - 1) / block).cast("long").alias("block")), "steps")
+    blocks = ranked.withColumn("block", F.floor((F.col("i") - 1) / block).cast("long"))
+    found = materialize(blocks.groupBy("block").applyInArrow(_next(tol), f"{_ddl(blocks)}, nx long, pos double"), "steps")
+    chain = found
+    last = found.agg(F.max("block")).first()[0]
+    asked = found.where((F.col("block") < F.lit(last)) & F.col("pos").isNotNull()).select("i", "g", "pos", F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("own"))
+    if not asked.isEmpty():
+        given = ranked.select("i", "g", F.col("v").alias("pos"), F.lit(1).alias("kind"), F.struct("i", "g").alias("own"))
+        met = suffix_min(asked.unionByName(given), F.struct("g", "pos", "kind"), F.col("own"), "met").where("kind = 0")
+        further = met.where(F.col("met.g").eqNullSafe(F.col("g"))).select("i", F.col("met.i").alias("__n"))
+        chain = materialize(found.join(further, "i", "left").select("g", "v", "i", "block", F.coalesce("__n", "nx").alias("nx")), "steps")
 
     hops = materialize(chain.groupBy("block").applyInArrow(_leaving(block), "i long, out long").where("out > 0"), "hops")
     reached = materialize(chain.groupBy("g").agg(F.min("i").alias("i")).select("i"), "leaders")
@@ -409,7 +431,7 @@ def leader_groups(df: DataFrame, key: str, col: str, tol: float, by: str | None
         jump = materialize(jump.select("i", F.col("out").alias("__o")).join(jump.select(F.col("i").alias("__o"), "out"), "__o").select("i", "out"), "jumps")
 
     flagged = chain.join(reached.withColumn("entry", F.lit(True)), "i", "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
-    schema = f"g {dict(chain.dtypes)['g']}, v double, block long, at long, leader double"
+    schema = f"{_ddl(chain.select('g', 'v', 'block'))}, at long, leader double"
     led = materialize(flagged.groupBy("block").applyInArrow(_led(block), schema), "led")
     before = F.max("last").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # one row a block
     held = led.groupBy("block").agg(F.max(F.struct("at", "leader")).alias("last")).select("block", before["leader"].alias("held"))
