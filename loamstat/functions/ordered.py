@@ -55,3 +55,18 @@ def cumulative_count(df: DataFrame, order: Column, flag: Column, name: str, part
     local = F.sum("__f").over(Window.partitionBy("__range").orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
     out = frozen.withColumn("__local", local).join(F.broadcast(before), "__range")
     return out.withColumn(name, F.col("__local") + F.col("__before")).drop("__f", "__local", "__before", "__range")
+
+
+def mid_ranks(df: DataFrame, by: str, value: str) -> DataFrame:
+    """``(by, value, mid, n)``: the average rank of each distinct value in its group, and the group's rows.
+
+    Equal values are counted before they are ranged, so neither a group nor a value is one task's.
+    """
+    counts = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("__n"))
+    frozen = ranged(counts, F.col(by), F.col(value))
+    over = Window.partitionBy("__range").orderBy(by, value).rowsBetween(Window.unboundedPreceding, 0)
+    upto = frozen.withColumn("__u", F.sum("__n").over(over)).join(F.broadcast(_before(frozen, F.sum("__n"), "__b")), "__range")
+    upto = upto.select(F.col(by), F.col(value), "__n", (F.col("__u") + F.col("__b")).alias("__u"))
+    groups = upto.groupBy(F.col(by).alias("__by")).agg(F.min(F.col("__u") - F.col("__n")).alias("__start"), F.sum("__n").alias("n"))
+    mid = F.col("__u") - F.col("__start") - (F.col("__n") - 1) / 2
+    return upto.join(groups, F.col(by).eqNullSafe(F.col("__by"))).select(by, value, mid.alias("mid"), "n")

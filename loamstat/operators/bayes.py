@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamstat.functions.ordered import mid_ranks
 from loamstat.functions.special import beta_ppf_col, betainc_col, t_ppf_col
 from loamstat.operators.factor import cross_products
 
@@ -112,17 +113,21 @@ def importance_resample(draws: DataFrame, log_w: str, n: int, key: str, seed: in
 
 
 def rhat(draws: DataFrame, warmup: int = 0, rank: bool = False) -> DataFrame:
-    """Split R-hat per parameter of ``(chain, iter, param, value)``; ``rank`` normalises by ranks first."""
-    kept = draws.where(F.col("iter") >= warmup)
+    """Split R-hat per parameter of ``(chain, iter, param, value)``; ``rank`` normalises by average ranks first.
+
+    A chain's ends come from an aggregate and ranks from range partitions, so no chain or parameter is
+    one task's.  Draws without a value, parameter or chain are left out.
+    """
+    kept = draws.where(F.col("iter") >= warmup).select("chain", "iter", "param", "value").dropna(subset=["chain", "param", "value"])
     if rank:
         from loamstat.functions.special import norm_ppf_col
 
-        order, every = Window.partitionBy("param").orderBy("value"), Window.partitionBy("param")
-        mid = F.rank().over(order) + (F.count(F.lit(1)).over(Window.partitionBy("param", "value")) - 1) / 2
-        kept = kept.withColumn("__u", (mid - 0.375) / (F.count(F.lit(1)).over(every) + 0.25)).withColumn("value", norm_ppf_col(F.col("__u")))
-    last = F.max("iter").over(Window.partitionBy("param", "chain"))
-    first = F.min("iter").over(Window.partitionBy("param", "chain"))
-    halves = kept.withColumn("half", (F.col("iter") * 2 > last + first).cast("int"))
+        scores = mid_ranks(kept, "param", "value").withColumn("__u", (F.col("mid") - 0.375) / (F.col("n") + 0.25))
+        scores = scores.select("param", "value", norm_ppf_col(F.col("__u")).alias("__z"))
+        kept = kept.join(scores, ["param", "value"]).withColumn("value", F.col("__z"))
+    ends = kept.groupBy("param", "chain").agg((F.min("iter") + F.max("iter")).alias("__ends"))
+    kept = kept.join(ends, ["param", "chain"])
+    halves = kept.withColumn("half", (F.col("iter") * 2 > F.col("__ends")).cast("int"))
     per = halves.groupBy("param", "chain", "half").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
     one = per.groupBy("param").agg(F.avg("n").alias("n"), F.avg("v").alias("w"), F.var_samp("m").alias("bn"))
     return one.select("param", F.sqrt(((F.col("n") - 1) / F.col("n") * F.col("w") + F.col("bn")) / F.col("w")).alias("rhat"))

@@ -305,33 +305,28 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int, metric: str = "eucli
     return best.withColumnRenamed("key", key)
 
 
-#: Coefficients that one pass over the rows carries in its plan.
-COEFFICIENTS = 20_000
+#: Numbers of coefficient samples that are broadcast at a time: 8 MB.
+COEFFICIENTS = 1_000_000
 
 
 def uncertainty_predict(rows: DataFrame, coefs: DataFrame, key: str, x: Column) -> DataFrame:
     """Predictions of every row under every coefficient sample ``(rep, beta array)``.
 
-    ``x`` is the row's array of predictors.  The samples are numbered and put
-    into the plan in blocks of ``COEFFICIENTS`` numbers, so a row meets a
-    block at a time and nothing is broadcast.
+    ``x`` is the row's array of predictors.  The samples are packed in their order into blocks of at most
+    ``COEFFICIENTS`` numbers (or one sample); a block is one row, which meets all rows by broadcast.  More
+    blocks are more passes over the rows, each beside an output of a block's samples for every row.
     """
-    held = coefs.select("rep", F.col("beta").cast("array<double>").alias("beta")).orderBy("rep").toLocalIterator()
-    dot = lambda c: F.aggregate(F.zip_with("__x", c, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    base, out, block = rows.select(key, x.alias("__x")), None, []
-
-    def predicted(block: list) -> DataFrame:
-        samples = F.array(*[F.struct(F.lit(r["rep"]).cast(dict(coefs.dtypes)["rep"]).alias("rep"), F.array(*[F.lit(b) for b in r["beta"]]).alias("beta")) for r in block])
-        each = base.select(key, "__x", F.explode(samples).alias("c"))
-        return each.select(key, F.col("c.rep").alias("rep"), dot(F.col("c.beta")).alias("prediction"))
-
-    for r in held:
-        block.append(r)
-        if sum(len(b["beta"]) for b in block) >= COEFFICIENTS:
-            out, block = predicted(block) if out is None else out.unionByName(predicted(block)), []
-    if block or out is None:
-        last = predicted(block) if block else base.select(key, F.lit(None).cast(dict(coefs.dtypes)["rep"]).alias("rep"), F.lit(None).cast("double").alias("prediction")).limit(0)
-        out = last if out is None else out.unionByName(last)
+    size = coefs.agg(F.max(F.size("beta")).alias("width"), F.count(F.lit(1)).alias("n")).first()
+    each = max(1, COEFFICIENTS // max(size["width"] or 1, 1))  # samples in a block
+    cast = coefs.select("rep", F.col("beta").cast("array<double>").alias("beta"))
+    held = materialize(global_rank(cast, [F.col("rep"), F.col("beta")], "__n").select("rep", "beta", F.floor((F.col("__n") - 1) / each).alias("__block")), "samples")
+    dot = F.aggregate(F.zip_with("__x", "__c.beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    base, out = rows.select(key, x.alias("__x")), None
+    for b in range(max(1, math.ceil(size["n"] / each))):
+        block = held.where(F.col("__block") == b).agg(F.collect_list(F.struct("rep", "beta")).alias("__s"))
+        met = base.crossJoin(F.broadcast(block)).select(key, "__x", F.explode("__s").alias("__c"))
+        one = met.select(key, F.col("__c.rep").alias("rep"), dot.alias("prediction"))
+        out = one if out is None else out.unionByName(one)
     return out
 
 
