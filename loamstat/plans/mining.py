@@ -179,6 +179,14 @@ def leader_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.leader_groups(lines, "id", "v", 4000.0, "k").select("k", "id", "leader")
 
 
+@query("""WITH RECURSIVE p AS (SELECT DISTINCT l_extendedprice AS v FROM lineitem), l AS (SELECT min(v) AS v FROM p UNION ALL SELECT min(p.v) FROM l JOIN p ON p.v - l.v > 200 HAVING min(p.v) IS NOT NULL)
+SELECT l_orderkey, l_linenumber, l.v AS leader FROM lineitem ASOF JOIN l ON lineitem.l_extendedprice >= l.v""")
+def leaders_of_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W8 on one dense axis: all prices."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return joins.leader_groups(lines, "l_orderkey", "l_extendedprice", 200.0).select("l_orderkey", "l_linenumber", "leader")
+
+
 @query("""WITH p AS (SELECT l_suppkey AS s, CAST(l_quantity AS INTEGER) AS lam, count(*) AS size FROM lineitem GROUP BY ALL)
 SELECT s, lam, size, size - lag(size) OVER w AS delta, round(1.0 * (lead(size, 1) OVER w - lag(size, 1) OVER w) + 0.5 * (lead(size, 2) OVER w - lag(size, 2) OVER w), 6) AS sliding FROM p
 WINDOW w AS (PARTITION BY s ORDER BY lam) QUALIFY delta IS NOT NULL AND sliding IS NOT NULL""")

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamstat.functions import selection
 from loamstat.operators import bayes, calibrate, clean, cluster, correlate, factor, joins, multitest, regress, resample, sensitivity, sparse, stats, text, two_level
 from loamstat.plans.mining import _COUNTS, _counts
 from loamstat.plans.tables import event_observations, read
@@ -602,6 +603,19 @@ def _quantile_sql(share: str, table: str) -> str:
     return f"({low} + (({share}) * 100 - {at}) * ({high} - {low}))"
 
 
+_QUANTILES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
+
+
+@query(f"""WITH l AS (SELECT unnest([{{'name': 'l_quantity', 'x': l_quantity}}, {{'name': 'l_extendedprice', 'x': l_extendedprice}}, {{'name': 'l_discount', 'x': l_discount}}, {{'name': 'l_tax', 'x': l_tax}}], recursive := true) FROM lineitem),
+q AS (SELECT name, quantile_cont(x, {list(_QUANTILES)}) AS v FROM l GROUP BY name) SELECT name, unnest({list(_QUANTILES)})::DOUBLE AS share, round(unnest(v), 6) AS value FROM q""")
+def column_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E9's marginal quantiles of four columns at once."""
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    got = selection.quantiles(read(spark, sf_dir, "lineitem"), cols, list(_QUANTILES))
+    rows = [(c, p, v) for c in cols for p, v in zip(_QUANTILES, got[c], strict=True)]
+    return spark.createDataFrame(rows, "name string, share double, value double").withColumn("value", F.round("value", 6))
+
+
 @query(f"""WITH {_QUANTILES}, r AS (SELECT range AS i FROM range(250)) SELECT i AS row_id, round({_quantile_sql("(i + 0.5) / 250", "q")}, 6) + 0 AS l_quantity,
   round({_quantile_sql("(i + 0.5) / 250", "d")}, 6) + 0 AS l_discount, round({_quantile_sql("(i + 0.5) / 250", "t")}, 6) + 0 AS l_tax FROM r, k""")
 def quantile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -713,6 +727,13 @@ def chain_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bayes.rhat(d).select("param", F.round("rhat", 8).alias("rhat"))
 
 
+@query()
+def ranked_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A29 after normalisation by ranks."""
+    d = read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 4).alias("chain"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("iter"), F.col("l_returnflag").alias("param"), F.col("l_extendedprice").alias("value"))
+    return bayes.rhat(d, rank=True).select("param", F.round("rhat", 8).alias("rhat"))
+
+
 @query("SELECT round(avg(-0.5 * ln(2 * pi() * 250000000) - pow(l_extendedprice - 1500 * l_quantity, 2) / 500000000), 8) AS mlppd FROM lineitem")
 def predictive_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A31."""
