@@ -122,6 +122,8 @@ def _added(df: DataFrame, step, shapes: list[tuple[int, ...]], dtype: type) -> l
     return out
 
 
+#: Counts or sums that replicates of one tile may take: 64 MB, of which a task holds three at most.
+TILE = 1 << 23
 #: Numbers in one row of a partial array.
 _PIECE = 1 << 16
 
@@ -131,13 +133,27 @@ def row_permutation_extremes(vectors: DataFrame, n_x: int, reps: int, seed: int
 
     A replicate's keys differ (they are a bijection of the row's rank modulo a prime), so its group
     X is the rows with keys up to the n_x-th smallest.  That key is found by four rounds of counts,
-    eight bits each, that partitions add up; then the group's sums are added up the same way.  No
-    task holds more than its rows, and the driver sees replicates x columns only.
+    eight bits each, that partitions add up; then the group's sums are added up the same way.
+    Replicates come in tiles whose counts and sums take ``TILE`` numbers at most (one replicate at
+    least), in a task as on the driver, which keeps two numbers a replicate.
     """
     rows = materialize(global_rank(vectors.select(key, "v"), [F.col(key), F.col("v")], "pos").select((F.col("pos") - 1).alias("pos"), "v"), "rows")
     n, mean, _ = covariance(rows, F.col("v"))
-    m, rep = len(mean), np.arange(1, reps + 1)
+    m = len(mean)
     seeds = [seed + f * 7919 for f in range(m)] if independent else [seed]
+    tile = max(1, TILE // max(256 * len(seeds), 2 * m))
+    out = []
+    for first in range(1, reps + 1, tile):
+        rep = np.arange(first, min(reps + 1, first + tile))
+        t, dof = _tile_t(rows, n, mean, n_x, rep, seeds, equal_var, rep_block)
+        low, top = t_two_sided(t, dof).min(axis=1), np.abs(t).max(axis=1)
+        out += [(int(r), float(a), float(b)) for r, a, b in zip(rep, low, top, strict=True)]
+    return vectors.sparkSession.createDataFrame(out, "rep long, min_p double, max_t double")
+
+
+def _tile_t(rows: DataFrame, n: int, mean: np.ndarray, n_x: int, rep: np.ndarray, seeds: list[int], equal_var: bool, rep_block: int) -> tuple[np.ndarray, np.ndarray]:
+    """t and its degrees of freedom of all columns under the replicates ``rep``; one seed is shared by the columns."""
+    m, reps, independent = len(mean), len(rep), len(seeds) > 1
     blocks = [slice(a, min(a + rep_block, reps)) for a in range(0, reps, rep_block)]
     edge = np.zeros((len(seeds), reps), np.int64)  # bits found of the n_x-th smallest key
     left = np.full((len(seeds), reps), n_x)  # its rank among the keys with these bits
@@ -168,9 +184,7 @@ def row_permutation_extremes(vectors: DataFrame, n_x: int, reps: int, seed: int
                 sx[b, side], qx[b, side] = ind @ x[:, side], ind @ (x[:, side] ** 2)
         return [sx, qx, x.sum(0), (x * x).sum(0)]
 
-    t, dof = sums_t(*_added(rows, add, [(reps, m), (reps, m), (m,), (m,)], np.float64), n, float(n_x), equal_var)
-    low, top = t_two_sided(t, dof).min(axis=1), np.abs(t).max(axis=1)
-    return vectors.sparkSession.createDataFrame([(int(r), float(a), float(b)) for r, a, b in zip(rep, low, top, strict=True)], "rep long, min_p double, max_t double")
+    return sums_t(*_added(rows, add, [(reps, m), (reps, m), (m,), (m,)], np.float64), n, float(n_x), equal_var)
 
 
 def mwsl(packed: DataFrame, n_x: int, alpha: float = 0.05, reps: int = 1000, seed: int = 1, independent: bool = False) -> DataFrame:

@@ -603,16 +603,16 @@ def _quantile_sql(share: str, table: str) -> str:
     return f"({low} + (({share}) * 100 - {at}) * ({high} - {low}))"
 
 
-_QUANTILES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
+_SHARES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
 
 
 @query(f"""WITH l AS (SELECT unnest([{{'name': 'l_quantity', 'x': l_quantity}}, {{'name': 'l_extendedprice', 'x': l_extendedprice}}, {{'name': 'l_discount', 'x': l_discount}}, {{'name': 'l_tax', 'x': l_tax}}], recursive := true) FROM lineitem),
-q AS (SELECT name, quantile_cont(x, {list(_QUANTILES)}) AS v FROM l GROUP BY name) SELECT name, unnest({list(_QUANTILES)})::DOUBLE AS share, round(unnest(v), 6) AS value FROM q""")
+q AS (SELECT name, quantile_cont(x, {list(_SHARES)}) AS v FROM l GROUP BY name) SELECT name, unnest({list(_SHARES)})::DOUBLE AS share, round(unnest(v), 6) AS value FROM q""")
 def column_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E9's marginal quantiles of four columns at once."""
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    got = selection.quantiles(read(spark, sf_dir, "lineitem"), cols, list(_QUANTILES))
-    rows = [(c, p, v) for c in cols for p, v in zip(_QUANTILES, got[c], strict=True)]
+    got = selection.quantiles(read(spark, sf_dir, "lineitem"), cols, list(_SHARES))
+    rows = [(c, p, v) for c in cols for p, v in zip(_SHARES, got[c], strict=True)]
     return spark.createDataFrame(rows, "name string, share double, value double").withColumn("value", F.round("value", 6))
 
 
