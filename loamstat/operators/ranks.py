@@ -16,11 +16,18 @@ def rank_abs(df: DataFrame, by: list[str], value: str = "value", ties: str = "ma
     return out.withColumn("rank", F.col("rank") - F.min("rank").over(Window.partitionBy(*by))) if scale else out
 
 
-def rank_spread(ranks: DataFrame, by: list[str], rank: str = "rank") -> DataFrame:
-    """Sample variance and sd of a variable's ranks, and the rank of the sd."""
-    per = ranks.groupBy(*by).agg(F.var_samp(rank).alias("rank_var"), F.stddev_samp(rank).alias("rank_sd"))
+def rank_spread(ranks: DataFrame, by: list[str], rank: str = "rank", digits: int = 9) -> DataFrame:
+    """Sample variance and sd of a variable's ranks, and the rank of the sd; sds that are equal in ``digits`` decimals tie."""
+    if dict(ranks.dtypes)[rank] in ("int", "bigint"):  # from exact sums: running means leave a last digit to the order of the rows
+        r, n = F.col(rank).cast("long"), F.col("__n").cast("double")
+        sums = ranks.groupBy(*by).agg(F.count(r).alias("__n"), F.sum(r).alias("__s"), F.sum(r * r).alias("__q"))
+        dec = lambda c: F.col(c).cast("decimal(20,0)")
+        spread = (dec("__n") * dec("__q") - dec("__s") * dec("__s")).cast("double")
+        per = sums.withColumn("rank_var", F.when(n > 1, spread / (n * (n - 1)))).withColumn("rank_sd", F.sqrt("rank_var")).select(*by, "rank_var", "rank_sd")
+    else:
+        per = ranks.groupBy(*by).agg(F.var_samp(rank).alias("rank_var"), F.stddev_samp(rank).alias("rank_sd"))
     groups = [c for c in by if c != "variable"]
-    order = Window.partitionBy(*groups).orderBy(F.round("rank_sd", 9).desc())  # ties apart from rounding
+    order = Window.partitionBy(*groups).orderBy(F.round("rank_sd", digits).desc())  # ties apart from rounding
     return per.withColumn("sd_rank", F.count("rank_sd").over(order))
 
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import duckdb
-import pytest
 
+from loamstat.operators import ranks
 from loamstat.plans import registry
 
 
@@ -34,3 +34,15 @@ def same(name, spark, folder, con):
 def test_magnitude_ranks_round_exact_means(spark, tmp_path):
     con = table(spark, tmp_path, f"VALUES {lines('A', 3.0)}")
     assert same("magnitude_ranks", spark, tmp_path, con) == [(1, "A", 2, 1), (2, "A", 2, 1), (3, "A", 3, 3)]
+
+
+def test_rank_spreads_round_exact_means(spark, tmp_path):
+    con = table(spark, tmp_path, f"VALUES {lines('A', 3.0)}, {lines('R', 1.0)}")
+    assert [r[:3] for r in same("rank_spreads", spark, tmp_path, con)] == [(1, "F", 0.0), (2, "F", 0.5), (3, "F", 0.0)]
+
+
+def test_rank_spread_ties_in_the_digits_of_the_sql(spark):
+    n = 1_000_000  # sds 1000000 and 1000000.00000017
+    rows = [("a", 0), ("a", n), ("a", 2 * n), ("b", 0), ("b", n + 1), ("b", 2 * n)]
+    got = ranks.rank_spread(spark.createDataFrame(rows, "variable string, rank long"), ["variable"], digits=6)
+    assert {r["variable"]: r["sd_rank"] for r in got.collect()} == {"a": 2, "b": 2}
