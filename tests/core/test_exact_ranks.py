@@ -46,3 +46,9 @@ def test_rank_spread_ties_in_the_digits_of_the_sql(spark):
     rows = [("a", 0), ("a", n), ("a", 2 * n), ("b", 0), ("b", n + 1), ("b", 2 * n)]
     got = ranks.rank_spread(spark.createDataFrame(rows, "variable string, rank long"), ["variable"], digits=6)
     assert {r["variable"]: r["sd_rank"] for r in got.collect()} == {"a": 2, "b": 2}
+
+
+def test_importance_of_a_predictor_in_large_units(spark, tmp_path):
+    """A slope under the tolerance of sparse coefficients (here 5e-6) is no importance of zero."""
+    con = table(spark, tmp_path, "VALUES (1, 'A', 'F', 1000.0::DOUBLE, 0.0::DOUBLE), (1, 'A', 'F', 1000.0, 10000.0), (1, 'A', 'F', 1100.0, 20000.0)")
+    assert same("normalized_importance", spark, tmp_path, con) == [("l_quantity", 0.75)]
