@@ -103,24 +103,41 @@ def map_cluster_ids(tests: DataFrame, clusters: DataFrame, on: str = "feature_id
     return tests.join(clusters, on, "left")
 
 
+#: Distances that a task holds at a time (32 MB).
+HELD = 4_000_000
+
+
 def _nearest(k: int, metric: str):  # noqa: ANN202
-    """A task's k nearest ``y`` rows (``q`` false) of every ``x`` row (``q`` true)."""
+    """A task's k nearest ``y`` rows (``q`` false) of every ``x`` row (``q`` true), some queries at a time."""
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf.q], pdf[~pdf.q].sort_values("key")
         if a.empty or b.empty:
             return pd.DataFrame({"key": [], "neighbour": [], "distance": []}).astype({"key": "int64", "neighbour": "int64", "distance": "float64"})
-        d = _distances(np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy()), metric)
-        names, own = b.key.to_numpy(), a.key.to_numpy()
-        d[own[:, None] == names[None, :]] = np.inf  # a row isn't its own neighbour
-        take = min(k, d.shape[1])
-        at = np.argsort(d, axis=1, kind="stable")[:, :take]
-        out = pd.DataFrame({"key": np.repeat(own, take), "neighbour": names[at].ravel(), "distance": np.take_along_axis(d, at, 1).ravel()})
-        return out[np.isfinite(out.distance)]
+        u, v, names, owns = np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy()), b.key.to_numpy(), a.key.to_numpy()
+        take, step, out = min(k, len(names)), max(1, HELD // len(names)), []
+        for at in range(0, len(u), step):
+            own = owns[at : at + step]
+            d = _distances(u[at : at + step], v, metric)
+            d[own[:, None] == names[None, :]] = np.inf  # a row isn't its own neighbour
+            last = np.partition(d, take - 1, axis=1)[:, take - 1 : take] if take > 1 else d.min(axis=1, keepdims=True)
+            row, col = np.nonzero(d <= last)  # in the order of keys
+            far = d[row, col]
+            order = np.lexsort((col, far, row))
+            row, col, far = row[order], col[order], far[order]
+            start = np.searchsorted(row, np.arange(len(own)))
+            first = (np.arange(len(row)) - start[row] < take) & np.isfinite(far)
+            out.append(pd.DataFrame({"key": own[row[first]], "neighbour": names[col[first]], "distance": far[first]}))
+        return pd.concat(out, ignore_index=True)
 
     return nearest
 
 
+def dealt_block(n: int) -> int:
+    """Rows of a block where all pairs of ``n`` rows meet block by block: at most 10 blocks up to 200,000 rows, 20,000 rows a block beyond."""
+    return min(20_000, max(2_000, -(-n // 10)))
+
+
 def _distances(u: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     if metric == "cosine":
         u, v = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (u, v))
@@ -136,17 +153,18 @@ def _first(part: DataFrame, k: int) -> DataFrame:
     return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn(x: DataFrame, y: DataFrame, k: int, metric: str = "euclid", key: str = "vec_id", vec: str = "embedding", block: int = 2000) -> DataFrame:
+def knn(x: DataFrame, y: DataFrame, k: int, metric: str = "euclid", key: str = "vec_id", vec: str = "embedding", block: int | None = None) -> DataFrame:
     """The k nearest rows of ``y`` for every row of ``x``: ``(key, neighbour, distance, rank)``.
 
     Exact, so all pairs are computed: ``y`` is dealt into blocks and ``x`` into
-    blocks; a task multiplies one pair of blocks and keeps k rows of each
-    query, so what is shuffled after it is k rows per query and block.  Ties
+    blocks (``dealt_block`` rows each by default); a task multiplies one pair of blocks, some queries at a
+    time, and keeps k rows of each query, so what is shuffled after it is k rows per query and block.  Ties
     go to the smaller key.  ``knn_by_cells`` looks at near rows only.
     """
 
     def deal(df: DataFrame, side: str) -> tuple[DataFrame, int]:
-        parts = max(1, -(-df.count() // block))
+        n = df.count()
+        parts = max(1, -(-n // (block or dealt_block(n))))
         return df.select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias(side)), parts
 
     left, nl = deal(x, "bx")
@@ -226,14 +244,18 @@ def _to_second_level(df: DataFrame, centres: DataFrame, near: int, metric: str)
 
     def place(own: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         if own.empty or cells.empty:
-            return pd.DataFrame({"key": [], "v": [], "cell": []}).astype({"key": "int64", "v": "object", "cell": "int64"})
+            return pd.DataFrame({"key": [], "v": [], "cells": []}).astype({"key": "int64", "v": "object", "cells": "object"})
         cells = cells.sort_values("id")
-        d = _distances(np.stack(own.v.to_numpy()), np.stack(cells.c.to_numpy()), metric)
-        at = np.argsort(d, axis=1, kind="stable")[:, :near]
-        cell = (np.int64(own.top.iloc[0]) << 32) + cells.id.to_numpy(np.int64)[at]
-        return pd.DataFrame({"key": np.repeat(own.key.to_numpy(), at.shape[1]), "v": np.repeat(own.v.to_numpy(), at.shape[1]), "cell": cell.ravel()})
+        ids, centre, u, found = cells.id.to_numpy(np.int64), np.stack(cells.c.to_numpy()), np.stack(own.v.to_numpy()), []
+        step = max(1, HELD // len(ids))
+        for at in range(0, len(u), step):
+            nearest = np.argsort(_distances(u[at : at + step], centre, metric), axis=1, kind="stable")[:, :near]
+            found.extend((np.int64(own.top.iloc[0]) << 32) + ids[nearest])
+        return pd.DataFrame({"key": own.key, "v": own.v, "cells": found})
 
-    return rows.groupBy("top", "part").cogroup(copies.groupBy("at", "of")).applyInPandas(place, "key long, v array<double>, cell long")
+    # a row leaves Python once, whatever its cells
+    out = rows.groupBy("top", "part").cogroup(copies.groupBy("at", "of")).applyInPandas(place, "key long, v array<double>, cells array<long>")
+    return out.select("key", "v", F.explode("cells").alias("cell"))
 
 
 class TwoLevelIndex(NamedTuple):
@@ -270,25 +292,40 @@ def two_level_index(y: DataFrame, metric: str = "euclid", key: str = "vec_id", v
 
 
 def search_index(index: TwoLevelIndex, x: DataFrame, k: int, probes: tuple[int, int], key: str = "vec_id", vec: str = "embedding", block: int = 2000) -> DataFrame:
-    """``knn`` among the rows in the second-level cells nearest to a query, ``probes[1]`` in each of its ``probes[0]`` nearest first-level cells."""
+    """``knn`` among the rows in the second-level cells nearest to a query, ``probes[1]`` in each of its ``probes[0]`` nearest first-level cells.
+
+    Where that copies more rows than comparing all pairs block by block (all cells, say), all pairs are compared.
+    """
     if not len(index.first):
         return _typed(x, key, vec).select("key", F.lit(0).cast("long").alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
+    if min(probes[0], len(index.first)) * probes[1] > most_probed(index.rows.count(), x.count()):
+        return knn(_typed(x, key, vec), index.rows.select("key", "v"), k, index.metric, "key", "v")
     asked = _to_first_level(_typed(x, key, vec), index.first, min(probes[0], len(index.first)), index.metric)
     return _met_in_cells(materialize(_to_second_level(asked, index.centres, probes[1], index.metric), "queries"), index.rows, k, index.metric, block)
 
 
+def most_probed(rows: int, queries: int) -> float:
+    """Cells a query from which on the index copies four times the rows that ``knn`` copies into its pairs of blocks; 64 at least."""
+    parts = lambda n: max(1, -(-n // dealt_block(n)))
+    return max(64, 4 * (parts(rows) + rows * parts(queries) / max(queries, 1)))
+
+
 #: Queries on which the number of probes is measured.
 RECALL_QUERIES = 64
 
 
 def probes_for(index: TwoLevelIndex, x: DataFrame, k: int, recall: float, key: str = "vec_id", vec: str = "embedding", block: int = 2000) -> tuple[int, int]:
-    """The first of 4, 8, 16, .. probes a level that reach ``recall`` on ``RECALL_QUERIES`` keyed queries, compared with all rows."""
+    """The first of 4, 8, 16, .. probes a level that reach ``recall`` on ``RECALL_QUERIES`` keyed queries, compared with all rows.
+
+    Numbers at which all queries would be compared with all rows aren't measured: recall is 1 there.
+    """
     few = materialize(_typed(x, key, vec).orderBy(F.xxhash64("key", F.lit(3)), "key").limit(RECALL_QUERIES), "recall")
-    exact = materialize(knn(few, index.rows.select("key", "v"), k, index.metric, "key", "v", block), "exact").select("key", "neighbour")
+    exact = materialize(knn(few, index.rows.select("key", "v"), k, index.metric, "key", "v"), "exact").select("key", "neighbour")
     want = exact.count()
     largest = index.centres.groupBy("top").count().agg(F.max("count")).first()[0] or 0
+    most = most_probed(index.rows.count(), x.count())
     probes = 4
-    while probes < max(largest, len(index.first)):
+    while probes < max(largest, len(index.first)) and min(probes, len(index.first)) * probes <= most:
         near = search_index(index, few, k, (probes, probes), "key", "v", block)
         if exact.join(near, ["key", "neighbour"]).count() >= recall * want:
             break

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from loamstat.operators import joins
@@ -18,3 +19,24 @@ def test_band_pairs_are_dealt_and_complete(spark, dm, dt):
     if dm and dt:  # keys are whole numbers
         assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_a_task_keeps_nearest_rows_a_few_queries_at_a_time(monkeypatch, k):
+    monkeypatch.setattr(joins, "HELD", 90)
+    rng = np.random.default_rng(5)
+    v = rng.integers(0, 3, (40, 2)).astype(float)  # many ties
+    pdf = pd.DataFrame({"key": np.r_[np.arange(40), np.arange(40)], "v": [*v, *v], "q": np.repeat([True, False], 40)})
+    got = joins._nearest(k, "euclid")(pdf)
+    for key, part in got.groupby("key"):
+        d = np.sqrt(((v - v[key]) ** 2).sum(1))
+        want = sorted((x, j) for j, x in enumerate(d) if j != key)[:k]
+        assert list(part.neighbour) == [j for _, j in want] and np.allclose(part.distance, [x for x, _ in want])
+
+
+def test_all_cells_copy_no_query_into_cells(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(rng.normal(size=(200, 3)))], "vec_id long, v array<double>")
+    index = joins.two_level_index(df, vec="v")
+    monkeypatch.setattr(joins, "_to_second_level", lambda *a: pytest.fail("a query is copied into every cell"))
+    assert joins.search_index(index, df, 2, (1 << 20, 1 << 20), vec="v").count() == 400
