@@ -57,7 +57,8 @@ def value_duplicates(obs: DataFrame, tol: float) -> DataFrame:
     on ceil(tol * n) cells.  With every feature's cells in one order, the rarest
     (sample, value) first, they then share one of their first
     n - ceil(tol * n) + 1 cells, so only these meet; imputed constants come
-    last and rarely join.  Pairs that met are compared in full.
+    last and rarely join.  Pairs that met are compared in full.  Where values are so few that
+    the rarest cells meet about as many pairs as there are, all pairs are compared block by block.
     """
     cells = materialize(obs.select("feature_id", "sample_id", "value"), "cells")
     total = cells.groupBy("feature_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
@@ -69,8 +70,13 @@ def value_duplicates(obs: DataFrame, tol: float) -> DataFrame:
     placed = known.join(common, ["sample_id", "value"], "left").withColumn("held", F.coalesce("held", F.lit(1))).withColumn("place", F.row_number().over(rare))
     keys = placed.where((F.col("place") <= total - need + 1) & (F.col("held") > 1))
     a, b = (keys.select(F.col("feature_id").alias(x), "sample_id", "value") for x in ("i", "j"))
-    met = a.join(b, ["sample_id", "value"]).where("i < j").select("i", "j").distinct()
     packed = materialize(known.groupBy("feature_id").agg(F.array_sort(F.collect_list(F.struct("sample_id", "value"))).alias("s")), "packed")
+    sums = keys.groupBy("sample_id", "value").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("n"))
+    count, samples = packed.count(), cells.select("sample_id").distinct().count()
+    if (sums.first()["n"] or 0) > count * (count - 1) / 2 / OFTEN_MET and samples <= 4 * total:
+        both = _equal_cells(packed, need, samples)
+        return both.where(F.col("equal") >= F.lit(tol * total)).select("i", "j", (F.col("equal") / total).alias("similarity"))
+    met = a.join(b, ["sample_id", "value"]).where("i < j").select("i", "j").distinct()
     x, y = (packed.select(F.col("feature_id").alias(n), F.col("s.sample_id").alias(f"s{n}"), F.col("s.value").alias(f"v{n}"), F.col("s").alias(f"c{n}")) for n in ("i", "j"))
     aligned = F.aggregate(F.zip_with("vi", "vj", lambda u, v: (u == v).cast("long")), F.lit(0).cast("long"), lambda t, e: t + e)
     equal = F.when(F.col("si") == F.col("sj"), aligned).otherwise(F.size(F.array_intersect("ci", "cj")).cast("long"))
@@ -78,6 +84,46 @@ def value_duplicates(obs: DataFrame, tol: float) -> DataFrame:
     return both.where(F.col("equal") >= F.lit(tol * total)).select("i", "j", (F.col("equal") / total).alias("similarity"))
 
 
+#: All pairs are compared block by block where the rarest cells would meet more than one in so many.
+OFTEN_MET = 50
+
+
+def _equal_cells(packed: DataFrame, need: int, samples: int) -> DataFrame:
+    """``(i, j, equal)``: all pairs of ``(feature_id, s)`` with ``need`` equal cells or more, block by block; a task holds some rows' counts at a time."""
+    n = packed.count()
+    parts = max(1, -(-n // min(dealt_block(n), max(200, HELD // max(samples, 1)))))
+    dealt = packed.withColumn("b", F.pmod(F.xxhash64("feature_id"), F.lit(parts)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    placed = dealt.select("feature_id", F.col("s.sample_id").alias("at"), F.col("s.value").alias("value"), "b", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        names, block = (table.column(c).to_numpy() for c in ("feature_id", "b"))
+        lists = table.column("at").combine_chunks()
+        rows = np.repeat(np.arange(len(names)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        at = pd.factorize(lists.flatten().to_pandas())[0]
+        codes = pd.factorize(table.column("value").combine_chunks().flatten().to_pandas(), use_na_sentinel=False)[0] + 2
+        left, right = (block == table.column(c)[0].as_py() for c in ("bi", "bj"))
+        wide = np.zeros((at.max(initial=0) + 1, len(names)), np.min_scalar_type(codes.max(initial=0)))
+        wide[at, rows] = codes
+        u, v = np.ascontiguousarray(wide[:, left].T), np.ascontiguousarray(wide[:, right])
+        v[v == 0] = 1  # missing cells equal nothing
+        a, b, one = names[left], names[right], table.column("bi")[0].as_py() == table.column("bj")[0].as_py()
+        step = max(1, HELD // 4 // max(len(b), 1))
+        for first in range(0, len(a) if len(b) else 0, step):
+            part, own = u[first : first + step], a[first : first + step]
+            equal = np.zeros((len(own), len(b)), np.min_scalar_type(len(v)))
+            for s in range(len(v)):
+                equal += part[:, s, None] == v[s]
+            x, y = np.nonzero(equal >= need)
+            i, j, e = own[x], b[y], equal[x, y].astype(np.int64)
+            keep = i < j if one else np.ones(len(i), bool)
+            i, j, e = i[keep], j[keep], e[keep]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(e)], ["i", "j", "equal"])
+
+    return placed.groupBy("bi", "bj").applyInArrow(pairs, "i long, j long, equal long")
+
+
 def cross_source_duplicates(features: DataFrame, dm: float, dt: float, source: str = "source", mass: str = "mass", rtime: str = "rtime") -> DataFrame:
     """Pairs of distinct keys of different sources within tolerance, with the actual differences."""
     keys = features.select(source, mass, rtime).distinct()

@@ -40,3 +40,25 @@ def test_all_cells_copy_no_query_into_cells(spark, monkeypatch):
     index = joins.two_level_index(df, vec="v")
     monkeypatch.setattr(joins, "_to_second_level", lambda *a: pytest.fail("a query is copied into every cell"))
     assert joins.search_index(index, df, 2, (1 << 20, 1 << 20), vec="v").count() == 400
+
+
+@pytest.mark.parametrize("tol", [0.5, 0.75, 1.0])
+def test_few_values_are_compared_block_by_block(spark, monkeypatch, tol):
+    """Pairs that share a rare cell aren't made where that is nearly all of them; missing cells equal nothing."""
+    monkeypatch.setattr(joins, "HELD", 3000)
+    monkeypatch.setattr(joins, "dealt_block", lambda n: 25)
+    rng = np.random.default_rng(7)
+    x = rng.integers(-1, 2, (90, 8))
+    lost = rng.random(x.shape) < 0.1
+    lost[:, 0] = False
+    lost[3] = False
+    rows = [(i, s, None if rng.random() < 0.5 else int(x[i, s])) if lost[i, s] else (i, s, int(x[i, s])) for i in range(90) for s in range(8) if not lost[i, s] or rng.random() < 0.5]
+    have = {(i, s): v for i, s, v in rows if v is not None}
+    n = max(sum(1 for r in rows if r[0] == i) for i in range(90))
+    same = lambda i, j: sum((i, s) in have and (j, s) in have and have[i, s] == have[j, s] for s in range(8))
+    want = {(i, j): same(i, j) / n for i in range(90) for j in range(i + 1, 90) if same(i, j) >= tol * n}
+    called = []
+    whole = joins._equal_cells
+    monkeypatch.setattr(joins, "_equal_cells", lambda *a: called.append(1) or whole(*a))
+    out = joins.value_duplicates(spark.createDataFrame(rows, "feature_id long, sample_id int, value int"), tol)
+    assert {(r.i, r.j): r.similarity for r in out.collect()} == pytest.approx(want) and called
