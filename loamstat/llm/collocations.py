@@ -44,6 +44,8 @@ from loamstat.llm.wordhash import Words, as_long, lowered, words
 SLICE = 4 << 20
 #: Bytes of an Arrow batch: rows of this module are whole slices.
 BATCH_BYTES = 16 << 20
+#: Slices in a row group of a work table: what a task holds of one, whatever its share of the table.
+GROUP_SLICES = 4
 #: Keys that a task holds before it seals them into filters.
 HELD_KEYS = 1 << 20
 #: Keys per block of the key space, on average and before equal ones of a filter are counted.
@@ -270,9 +272,9 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, lang_col: st
     ``a`` counts the phrase, ``l`` and ``r`` the two parts of its lowest-scoring
     cut, ``n`` all words of the language; ``score`` is floor(2000000 a / (l + r)).
     """
-    slices = materialize(numbered_slices(docs, lang_col, text_col, slice_bytes), "slices")
+    slices = materialize(numbered_slices(docs, lang_col, text_col, slice_bytes), "slices", GROUP_SLICES)
     totals, vocabulary = frequent_words(slices, least)
-    sequences = materialize(id_sequences(slices, vocabulary), "sequences")
+    sequences = materialize(id_sequences(slices, vocabulary), "sequences", GROUP_SLICES)
     kept = materialize(scored(frequent_phrases(sequences, vocabulary, least, LONGEST, block_keys, held)), "scored")
     spelt = kept.select("ids", F.posexplode("ids").alias("place", "id")).join(vocabulary.select("id", "lang", "word"), "id")
     spelt = spelt.groupBy("ids").agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("place", "word"))).alias("said"))

@@ -44,16 +44,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, group_rows: int | None = None) -> DataFrame:
     """Write ``df`` to a work table in the shared folder and read it back.
 
     Cuts the lineage, survives lost executors and lets several later plans
-    read one computation.
+    read one computation.  Rows of megabytes need small ``group_rows``: Spark
+    writes and reads up to a whole row group in memory, and Parquet's writer
+    looks at a group's size every 100 rows only.
     """
     spark = df.sparkSession
     small_batches(spark)
     path = f"{checkpoint_root(spark)}/work/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if group_rows:
+        writer = writer.option("parquet.block.row.count.limit", str(group_rows))
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -137,3 +139,15 @@ def test_word_numbers_tell_clashing_digests_apart():
 def test_empty_table(spark):
     assert co.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
     assert co.collocations(spark.createDataFrame([("en", "nothing repeats", "", 0, 0)], SCHEMA)).count() == 0
+
+
+def test_work_tables_of_slices_have_small_row_groups(spark):
+    """Spark reads a row group's rows at once: of slices of megabytes a task must not hold its whole share of the table."""
+    rows = [(i, " ".join(f"w{(i * j) % 9}" for j in range(30)), "en") for i in range(60)]
+    root = co.materialize(spark.createDataFrame([(0,)], "a int"), "probe").inputFiles()[0].removeprefix("file:").rsplit("/", 2)[0].replace("//", "/")
+    before = set(Path(root).iterdir())
+    got = co.collocations(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1), slice_bytes=64)
+    assert got.count()
+    for tag in ("slices", "sequences"):
+        groups = [f.row_group(g).num_rows for d in set(Path(root).glob(f"{tag}-*")) - before for p in d.glob("*.parquet") for f in [pq.ParquetFile(p).metadata] for g in range(f.num_row_groups)]
+        assert sum(groups) == 60 and max(groups) <= co.GROUP_SLICES
