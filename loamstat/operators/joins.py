@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamstat.functions.blocks import dealt_block
 from loamstat.functions.ordered import global_rank, suffix_min
 from loamstat.functions.selection import first_beyond
 from loamstat.functions.work import materialize
@@ -179,11 +180,6 @@ def _nearest(k: int, metric: str):  # noqa: ANN202
     return nearest
 
 
-def dealt_block(n: int) -> int:
-    """Rows of a block where all pairs of ``n`` rows meet block by block: at most 10 blocks up to 200,000 rows, 20,000 rows a block beyond."""
-    return min(20_000, max(2_000, -(-n // 10)))
-
-
 def _distances(u: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     if metric == "cosine":
         u, v = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (u, v))

@@ -19,7 +19,8 @@ from loamstat.functions.ordered import cumulative_count, global_rank
 from loamstat.functions.special import t_two_sided
 from loamstat.functions.work import materialize
 from loamstat.operators import calibrate, multitest, stats
-from loamstat.operators.correlate import BLOCK, complete_linkage, n_eff_of
+from loamstat.operators.correlate import BLOCK, complete_linkage, n_eff_of, pearson_edges
+from loamstat.operators.correlate import unit_rows as _unit_rows
 from loamstat.operators.factor import MAX_COLUMNS, cross_products
 from loamstat.operators.resample import block_t, keyed, shuffled_x
 
@@ -112,34 +113,9 @@ def spectral_numbers(data: DataFrame, outer: int, method: str = "nyholt") -> dic
     return {rep: n_eff_of(np.linalg.eigvalsh(q), int(m), method) for rep, (m, _, q) in grams.items()}
 
 
-def replicate_edges(data: DataFrame, min_r: float, key: str = "feature_id", block: int = BLOCK) -> DataFrame:
+def replicate_edges(data: DataFrame, min_r: float, key: str = "feature_id", block: int | None = None) -> DataFrame:
     """``(rep, i, j, r)``, i < j: correlations of at least ``min_r`` inside each replicate; a task multiplies two blocks of one."""
-    parts = max(1, -(-data.select(key).distinct().count() // block))
-    dealt = data.select("rep", F.col(key).alias("k"), "v", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("b"))
-    placed = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumns({"bi": F.least("b", "o"), "bj": F.greatest("b", "o")})
-
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        rep, bi, bj = pdf.rep.iloc[0], pdf.bi.iloc[0], pdf.bj.iloc[0]
-        (ka, a), (kb, b) = _unit(pdf[pdf.b == bi]), _unit(pdf[pdf.b == bj])
-        r = np.clip(a @ b.T, -1, 1) if len(ka) and len(kb) else np.zeros((len(ka), len(kb)))
-        keep = r >= min_r
-        if bi == bj:
-            keep &= ka[:, None] < kb[None, :]
-        u, w = np.nonzero(keep)
-        return pd.DataFrame({"rep": rep, "i": np.minimum(ka[u], kb[w]), "j": np.maximum(ka[u], kb[w]), "r": r[u, w]})
-
-    return placed.drop("o").groupBy("rep", "bi", "bj").applyInPandas(multiply, "rep long, i long, j long, r double")
-
-
-def _unit(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    df = df.sort_values("k")
-    return df.k.to_numpy(), _unit_rows(np.stack(df.v.to_numpy()) if len(df) else np.zeros((0, 1)))
-
-
-def _unit_rows(x: np.ndarray) -> np.ndarray:
-    x = x - x.mean(axis=1, keepdims=True)
-    n = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, n, out=np.zeros_like(x), where=n > 1e-12)
+    return pearson_edges(data, key=key, block=block, min_r=min_r, by=("rep",))
 
 
 def replicate_clusters(data: DataFrame, threshold: float = 0.1) -> DataFrame:
