@@ -11,13 +11,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamstat.functions.blocks import matrix
 from loamstat.functions.ordered import global_rank
 from loamstat.functions.work import materialize
-from loamstat.operators.factor import cross_products, elastic_descent
+from loamstat.operators.factor import cross_products, elastic_descent, elastic_descents
 
 COEFS = "alpha double, lam double, variable string, beta double"
 
@@ -128,26 +129,52 @@ def sparsify_input(df: DataFrame, coefs: dict[str, float], keep: tuple[str, ...]
 def loo(df: DataFrame, x: list[str], y: str, alpha: float, lam: float, key: str) -> DataFrame:
     """E5: leave-one-out for one (alpha, lambda): ``key, error, train_ratio, model``.
 
-    The total sums (d x d) go to every task; a row is taken out and its fit solved there.
+    The total sums (d x d) go to every task; rows are taken out and their fits solved there, many at a time.
     ``train_ratio`` is the training error over that of least squares, ``model`` the selected set as bits.
     """
     total = sums_of(df, x, y)[0]
 
-    def each(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            out = []
-            for name, v in zip(pdf["k"], pdf["v"], strict=True):
-                v = np.asarray(v, float)
-                rest = total - Sums(1.0, v, np.outer(v, v))
-                b0, b = rest.fit(alpha, lam)
-                ols = rest.mse(*rest.fit(alpha, 0.0))
-                out.append((name, float(v[-1] - b0 - v[:-1] @ b), rest.mse(b0, b) / ols if ols > 0 else 1.0, "".join("1" if abs(c) > 1e-5 else "0" for c in b)))
-            yield pd.DataFrame(out, columns=["k", "error", "train_ratio", "model"])
-
-    out = df.select(F.col(key).cast("long").alias("k"), _row(x, y).alias("v")).mapInPandas(each, "k long, error double, train_ratio double, model string")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = matrix(pa.Table.from_batches([batch]))
+            step = max(1, LOO_CELLS // rows.shape[1] ** 2) if len(rows) else 1
+            for at in range(0, len(rows), step):
+                v = rows[at : at + step]
+                b0, b, mse, ols = _without_each(total, v, alpha, lam)
+                ratio = np.divide(mse, ols, out=np.ones_like(mse), where=ols > 0)
+                sets, which = np.unique(np.abs(b) > 1e-5, axis=0, return_inverse=True)
+                bits = np.array(["".join("1" if c else "0" for c in row) for row in sets], object)[which.ravel()]
+                error = v[:, -1] - b0 - (v[:, :-1] * b).sum(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(v)), *map(pa.array, (error, ratio, bits))], names=["k", "error", "train_ratio", "model"])
+
+    out = df.select(F.col(key).cast("long").alias("k"), _row(x, y).alias("v")).mapInArrow(each, "k long, error double, train_ratio double, model string")
     return out.withColumnRenamed("k", key)
 
 
+#: Numbers of the cross-products, a matrix a row, that a task holds at a time (32 MB).
+LOO_CELLS = 4_000_000
+
+
+def _without_each(total: Sums, v: np.ndarray, alpha: float, lam: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every row of ``v`` the fit of all others: intercept, coefficients, its training error and that of ``lam`` 0."""
+    d, n = v.shape[1] - 1, total.n - 1.0
+    s, q = total.s - v, total.q - v[:, :, None] * v[:, None, :]
+    mean = s / n
+    cov = q / n - mean[:, :, None] * mean[:, None, :]
+    sd = np.sqrt(np.maximum(np.diagonal(cov, axis1=1, axis2=2), 0))
+    safe = np.where(sd > 1e-12, sd, 1.0)[:, :d]
+    scaled, c = cov[:, :d, :d] / (safe[:, :, None] * safe[:, None, :]), cov[:, :d, d] / safe
+
+    def fit(penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        b = elastic_descents(scaled, c, penalty * alpha, penalty * (1 - alpha)) / safe
+        b0 = mean[:, -1] - (mean[:, :-1] * b).sum(1)
+        w = np.column_stack([-b, np.ones(len(b))])
+        return b0, b, (np.einsum("mi,mij,mj->m", w, q, w) - 2 * b0 * (s * w).sum(1) + n * b0**2) / n
+
+    b0, b, mse = fit(lam)
+    return b0, b, mse, mse if lam == 0 else fit(0.0)[2]
+
+
 def loo_summary(errors: DataFrame) -> DataFrame:
     """E5: moments of the errors."""
     return errors.agg(F.avg("error").alias("mean"), F.stddev_samp("error").alias("sd"), F.skewness("error").alias("skewness"), F.avg(F.col("error") ** 2).alias("mse"))
