@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loamstat.functions.ordered import mid_ranks
 from loamstat.functions.special import beta_ppf_col, betainc_col, t_ppf_col
+from loamstat.functions.work import materialize
 from loamstat.operators.factor import cross_products
 
 
@@ -119,15 +120,15 @@ def rhat(draws: DataFrame, warmup: int = 0, rank: bool = False) -> DataFrame:
     one task's.  Draws without a value, parameter or chain are left out.
     """
     kept = draws.where(F.col("iter") >= warmup).select("chain", "iter", "param", "value").dropna(subset=["chain", "param", "value"])
+    # a row a chain: as a work table its size is known, so a small one is broadcast and no draw is dealt by its chain
+    ends = materialize(kept.groupBy("param", "chain").agg((F.min("iter") + F.max("iter")).alias("__ends")), "ends")
+    halves = kept.join(ends, ["param", "chain"]).select("param", "chain", (F.col("iter") * 2 > F.col("__ends")).cast("int").alias("half"), "value")
     if rank:
         from loamstat.functions.special import norm_ppf_col
 
         scores = mid_ranks(kept, "param", "value").withColumn("__u", (F.col("mid") - 0.375) / (F.col("n") + 0.25))
         scores = scores.select("param", "value", norm_ppf_col(F.col("__u")).alias("__z"))
-        kept = kept.join(scores, ["param", "value"]).withColumn("value", F.col("__z"))
-    ends = kept.groupBy("param", "chain").agg((F.min("iter") + F.max("iter")).alias("__ends"))
-    kept = kept.join(ends, ["param", "chain"])
-    halves = kept.withColumn("half", (F.col("iter") * 2 > F.col("__ends")).cast("int"))
+        halves = halves.join(scores, ["param", "value"]).withColumn("value", F.col("__z"))
     per = halves.groupBy("param", "chain", "half").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
     one = per.groupBy("param").agg(F.avg("n").alias("n"), F.avg("v").alias("w"), F.var_samp("m").alias("bn"))
     return one.select("param", F.sqrt(((F.col("n") - 1) / F.col("n") * F.col("w") + F.col("bn")) / F.col("w")).alias("rhat"))
