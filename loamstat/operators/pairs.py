@@ -14,14 +14,15 @@ PAD, SOS, EOS, FIRST = 0, 0, 1, 2
 
 
 def strip_accents(col: Column) -> Column:
-    """Canonical decomposition without combining marks, in Arrow batches."""
+    """Canonical decomposition without combining marks, in Arrow batches; texts of ASCII only stay out of Python."""
 
     def plain(s: pd.Series) -> pd.Series:
         out = s.str.normalize("NFD")
         return out.map(lambda x: x if x is None or x.isascii() else "".join(c for c in x if unicodedata.category(c) != "Mn"), na_action="ignore")
 
     plain.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return F.pandas_udf(plain, "string")(col)
+    ascii_only = col.rlike(r"\A[\x00-\x7F]*\z")
+    return F.when(ascii_only, col).otherwise(F.pandas_udf(plain, "string")(F.when(~ascii_only, col)))
 
 
 def normalize_sentence(col: Column, accents: bool = True) -> Column:
