@@ -9,9 +9,11 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamstat.functions import blocks
 from loamstat.functions.blocks import dealt_block
 from loamstat.functions.ordered import global_rank, suffix_min
 from loamstat.functions.selection import first_beyond
@@ -152,30 +154,137 @@ def map_cluster_ids(tests: DataFrame, clusters: DataFrame, on: str = "feature_id
 
 #: Distances that a task holds at a time (32 MB).
 HELD = 4_000_000
+#: Rows of a block that give its queries their first bounds.
+SEEDS = 2048
+#: Near pairs that a task holds (16 MB) before it measures them and drops all but the k nearest of each query.
+NEAR_PAIRS = 1_000_000
+#: Pairs that are measured at a time (8 MB of 64 numbers each).
+MEASURED = 16_384
+
+
+class _Best:
+    """The k nearest of the rows ``v`` for every query ``u``, out of the pairs added.
+
+    ``bound`` is what a pair's closeness must reach: that of k rows known by then, the query's own row left out.
+    """
+
+    def __init__(self, own: np.ndarray, u: np.ndarray, names: np.ndarray, v: np.ndarray, k: int, metric: str) -> None:
+        self.own, self.u, self.names, self.v, self.k, self.metric = own, u, names, v, k, metric
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        some = slice(None, None, max(1, len(v) // SEEDS))
+        right = _right(v[some], metric, -1)
+        n = len(right)
+        self.bound = np.full(len(u), -np.inf)
+        if n >= k:
+            for x in range(0, len(u), blocks.TILE[0]):
+                s = _left(u[x : x + blocks.TILE[0]], metric, -1) @ right.T
+                s[(own[x : x + len(s), None] == names[None, some]) | np.isnan(s)] = -np.inf
+                self.bound[x : x + len(s)] = np.partition(s, n - k, axis=1)[:, n - k]
+
+    def add(self, query: np.ndarray, row: np.ndarray) -> None:
+        self.new.append((query, row))
+        if sum(len(q) for q, _ in self.new) > NEAR_PAIRS:
+            self.measure()
+
+    def measure(self) -> None:
+        """Distances from the differences, so equal rows tie exactly; ties go to the smaller key."""
+        if not self.new:
+            return
+        q, r = (np.concatenate(x) for x in zip(*self.new, strict=True))
+        self.new = []
+        other = self.own[q] != self.names[r]
+        q, r = q[other], r[other]
+        d = np.empty(len(q))
+        for x in range(0, len(q), MEASURED):
+            a, b = self.u[q[x : x + MEASURED]], self.v[r[x : x + MEASURED]]
+            if self.metric == "cosine":
+                d[x : x + MEASURED] = 1 - (a * b).sum(1)
+            else:
+                a -= b
+                a *= a
+                d[x : x + MEASURED] = np.sqrt(a.sum(1))
+        real = np.isfinite(d)
+        q, r, d = (np.concatenate(x) for x in zip(self.kept, (q[real], r[real], d[real]), strict=True))
+        order = np.lexsort((r, d, q))  # rows lie in the order of their keys
+        q, r, d = q[order], r[order], d[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        self.kept = tuple(x[rank < self.k] for x in (q, r, d))
+        last = rank == self.k - 1
+        self.bound[q[last]] = np.maximum(self.bound[q[last]], 1 - d[last] if self.metric == "cosine" else -0.5 * d[last] ** 2)
+
+    def found(self) -> pa.RecordBatch:
+        self.measure()
+        q, r, d = self.kept
+        return pa.RecordBatch.from_arrays([pa.array(self.own[q], pa.int64()), pa.array(self.names[r], pa.int64()), pa.array(d)], ["key", "neighbour", "distance"])
+
+
+def _share(m: np.ndarray, metric: str, sign: int) -> np.ndarray:
+    """What a row adds to a pair's closeness beside the product; ``sign`` times all that rounding can change is added."""
+    square = (m * m).sum(1)
+    return sign * 4 * (m.shape[1] + 8) * np.finfo(float).eps * square - (0 if metric == "cosine" else square / 2)
+
+
+def _left(m: np.ndarray, metric: str, sign: int) -> np.ndarray:
+    return np.column_stack([m, np.ones(len(m)), _share(m, metric, sign)])
+
+
+def _right(m: np.ndarray, metric: str, sign: int) -> np.ndarray:
+    return np.column_stack([m, _share(m, metric, sign), np.ones(len(m))])
+
+
+def _places(hit: np.ndarray) -> np.ndarray:
+    """``np.flatnonzero`` of a matrix with few hits, eight cells at a time."""
+    flat = hit.reshape(-1)
+    if flat.size % 8:
+        return np.flatnonzero(flat)
+    some = np.flatnonzero(flat.view(np.uint64))
+    word, at = np.nonzero(flat.reshape(-1, 8)[some])
+    return some[word] * 8 + at
+
+
+def _met(own: np.ndarray, u: np.ndarray, names: np.ndarray, v: np.ndarray, k: int, metric: str, both: bool = False) -> Iterator[pa.RecordBatch]:
+    """The k nearest of the rows ``v`` for every query ``u``, keys ascending on each side; with ``both`` also the nearest of ``u`` for every ``v``.
+
+    A tile's products (less half the squares: minus half the squared distance) are compared with the queries' bounds, and
+    only pairs that reach them are looked at; rounding is allowed for, so none is lost.
+    """
+    if metric == "cosine":
+        u, v = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (u, v))
+    with np.errstate(all="ignore"):
+        rows, columns = _Best(own, u, names, v, k, metric), _Best(names, v, own, u, k, metric) if both else None
+        left, right = _left(u, metric, 1), _right(v, metric, 1)
+        for x, y in blocks.tiles(len(u), len(v), False):
+            s = left[x] @ right[y].T
+            q, r = np.divmod(_places(s >= rows.bound[x, None]), s.shape[1])
+            rows.add(q + x.start, r + y.start)
+            if columns:
+                r, q = np.divmod(_places(s >= columns.bound[None, y]), s.shape[1])
+                columns.add(q + y.start, r + x.start)
+        yield rows.found()
+        if columns:
+            yield columns.found()
 
 
 def _nearest(k: int, metric: str):  # noqa: ANN202
-    """A task's k nearest ``y`` rows (``q`` false) of every ``x`` row (``q`` true), some queries at a time."""
-
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.q], pdf[~pdf.q].sort_values("key")
-        if a.empty or b.empty:
-            return pd.DataFrame({"key": [], "neighbour": [], "distance": []}).astype({"key": "int64", "neighbour": "int64", "distance": "float64"})
-        u, v, names, owns = np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy()), b.key.to_numpy(), a.key.to_numpy()
-        take, step, out = min(k, len(names)), max(1, HELD // len(names)), []
-        for at in range(0, len(u), step):
-            own = owns[at : at + step]
-            d = _distances(u[at : at + step], v, metric)
-            d[own[:, None] == names[None, :]] = np.inf  # a row isn't its own neighbour
-            last = np.partition(d, take - 1, axis=1)[:, take - 1 : take] if take > 1 else d.min(axis=1, keepdims=True)
-            row, col = np.nonzero(d <= last)  # in the order of keys
-            far = d[row, col]
-            order = np.lexsort((col, far, row))
-            row, col, far = row[order], col[order], far[order]
-            start = np.searchsorted(row, np.arange(len(own)))
-            first = (np.arange(len(row)) - start[row] < take) & np.isfinite(far)
-            out.append(pd.DataFrame({"key": own[row[first]], "neighbour": names[col[first]], "distance": far[first]}))
-        return pd.concat(out, ignore_index=True)
+    """A task's k nearest ``y`` rows (``q`` false) of every ``x`` row (``q`` true)."""
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        a, b = (table.filter(c).sort_by("key") for c in (table.column("q"), pc.invert(table.column("q"))))
+        del table
+        if a.num_rows and b.num_rows:
+            yield from _met(a.column("key").to_numpy(), blocks.matrix(a), b.column("key").to_numpy(), blocks.matrix(b), k, metric)
+
+    return nearest
+
+
+def _nearest_of_both(k: int, metric: str):  # noqa: ANN202
+    """The same where queries and rows are one table: two blocks meet once, for the queries of both."""
+
+    def nearest(first: pa.Table, second: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
+        a, b = ((t.column("k").to_numpy(), blocks.matrix(t)) for t in (first, second))
+        yield from _met(*a, *b, k, metric, not same)
 
     return nearest
 
@@ -199,21 +308,24 @@ def knn(x: DataFrame, y: DataFrame, k: int, metric: str = "euclid", key: str = "
     """The k nearest rows of ``y`` for every row of ``x``: ``(key, neighbour, distance, rank)``.
 
     Exact, so all pairs are computed: ``y`` is dealt into blocks and ``x`` into
-    blocks (``dealt_block`` rows each by default); a task multiplies one pair of blocks, some queries at a
-    time, and keeps k rows of each query, so what is shuffled after it is k rows per query and block.  Ties
-    go to the smaller key.  ``knn_by_cells`` looks at near rows only.
+    blocks (``dealt_block`` rows each by default); a task multiplies one pair of blocks, tile by
+    tile, and keeps k rows of each query, so what is shuffled after it is k rows per query and block.  Where ``x``
+    is ``y`` itself, two blocks meet once for both.  Ties go to the smaller key.  ``knn_by_cells`` looks at near rows only.
     """
+    if x is y:
+        rows = x.select(F.col(key).cast("long").alias("k"), F.col(vec).cast("array<double>").alias("v"))
+        return _first(blocks.met_in_blocks(rows, _nearest_of_both(k, metric), _NEAR, block=block), k)
 
     def deal(df: DataFrame, side: str) -> tuple[DataFrame, int]:
         n = df.count()
         parts = max(1, -(-n // (block or dealt_block(n))))
-        return df.select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias(side)), parts
+        return df.select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias(side)), parts
 
     left, nl = deal(x, "bx")
     right, nr = deal(y, "by")
     left = left.withColumn("by", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))).withColumn("q", F.lit(True))
     right = right.withColumn("bx", F.explode(F.sequence(F.lit(0), F.lit(nl - 1)))).withColumn("q", F.lit(False))
-    return _first(left.unionByName(right).groupBy("bx", "by").applyInPandas(_nearest(k, metric), _NEAR), k)
+    return _first(left.unionByName(right).groupBy("bx", "by").applyInArrow(_nearest(k, metric), _NEAR), k)
 
 
 def knn_by_cells(x: DataFrame, y: DataFrame, k: int, probes: int, metric: str = "euclid", key: str = "vec_id", vec: str = "embedding", cells: int | None = None, block: int = 2000, seed: int = 1) -> DataFrame:
@@ -247,13 +359,13 @@ def knn_by_cells(x: DataFrame, y: DataFrame, k: int, probes: int, metric: str =
 
 def _met_in_cells(left: DataFrame, right: DataFrame, k: int, metric: str, block: int) -> DataFrame:
     """``knn`` of queries ``(key, v, cell)``, a row a cell looked at, among rows ``(key, v, cell)``; large cells are dealt into blocks on both sides."""
-    blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
-    sizes = blocks(left, "nx").join(blocks(right, "ny"), "cell")
+    parts = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    sizes = parts(left, "nx").join(parts(right, "ny"), "cell")
     deal = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     a = left.join(sizes, "cell").select("key", "v", "cell", deal("nx").alias("bx"), every("ny").alias("by"), F.lit(True).alias("q"))
     b = right.join(sizes, "cell").select("key", "v", "cell", every("nx").alias("bx"), deal("ny").alias("by"), F.lit(False).alias("q"))
-    return _first(a.unionByName(b).groupBy("cell", "bx", "by").applyInPandas(_nearest(k, metric), _NEAR), k)
+    return _first(a.unionByName(b).groupBy("cell", "bx", "by").applyInArrow(_nearest(k, metric), _NEAR), k)
 
 
 #: First-level centres at most (2 MB of 64 numbers each): they are broadcast.

@@ -77,3 +77,57 @@ def test_graph_and_quantisation_on_the_index(spark):
     a = {r.vec_id: r.v for r in cluster.noisy_vq(df, 3, 0.1).collect()}
     b = {r.vec_id: r.v for r in cluster.noisy_vq(df, 3, 0.1, recall=1.0).collect()}
     assert a.keys() == b.keys() and all(np.allclose(a[i], b[i]) for i in a)
+
+
+def brute(x, names, queries, k, metric):
+    """``{query: neighbours}`` by exact differences; ties go to the smaller key."""
+    out = {}
+    for q in queries:
+        if metric == "cosine":
+            u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            d = 1 - (u * u[q]).sum(1)
+        else:
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        order = [j for j in np.lexsort((names, d)) if j != q and np.isfinite(d[j])]
+        out[int(names[q])] = [int(names[j]) for j in order[:k]]
+    return out
+
+
+@pytest.mark.parametrize("metric", ["euclid", "cosine"])
+@pytest.mark.parametrize("block", [70, None])
+def test_equal_rows_tie_exactly(spark, metric, block, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 17)) + 30  # far from 0, so products lose digits
+    x[5], x[6:140] = x[5] * 1e3, x[3]  # an outlier, many copies
+    x[200:220] = x[190] + 1e-9 * rng.normal(size=(20, 17))
+    df = frame(spark, x)
+    want = brute(x, np.arange(300), range(300), 7, metric)
+    near = joins.knn(df, df, 7, metric, vec="v", block=block).orderBy("key", "rank").collect()
+    few = joins.knn(df.where("vec_id % 3 = 0"), df, 7, metric, vec="v", block=block).orderBy("key", "rank").collect()
+    copies = {3, *range(6, 140)}
+    for got, asked in ((near, range(300)), (few, range(0, 300, 3))):
+        found = {}
+        for r in got:
+            found.setdefault(r.key, []).append(r.neighbour)
+        assert found.keys() == set(asked)
+        assert all(found[q] == want[q] for q in asked if metric == "euclid" or q in copies)
+
+
+def test_few_pairs_are_held(monkeypatch):
+    monkeypatch.setattr(joins, "NEAR_PAIRS", 50)
+    monkeypatch.setattr(joins, "SEEDS", 8)
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(90, 3)), 1)
+    x[40] = np.nan
+    own, names = np.arange(50), np.arange(50, 90)
+    rows, columns = (b.to_pandas() for b in joins._met(own, x[:50], names, x[50:], 4, "euclid", True))
+    for got, a, b in ((rows, own, names), (columns, names, own)):
+        d = np.sqrt(((x[a][:, None] - x[b][None]) ** 2).sum(2))
+        want = [(int(a[i]), int(b[j])) for i in range(len(a)) for j in np.lexsort((b, d[i]))[:4] if np.isfinite(d[i, j])]
+        assert list(zip(got.key, got.neighbour, strict=True)) == want
+
+
+def test_graph_finds_neighbours_once(spark):
+    df = frame(spark, clustered(7, 60, 4, 3))
+    plan = cluster.laplacian(cluster.similarity_graph(df, "rbf", 0.5, 4))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan
