@@ -27,11 +27,12 @@ def block_rows(n: int, width: int) -> int:
     return min(dealt_block(n), max(LEAST, BLOCK_NUMBERS // max(width, 1)))
 
 
-def met_in_blocks(rows: DataFrame, meet: Callable[[pa.Table, pa.Table, bool], Iterator[pa.RecordBatch]], schema: str, by: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
+def met_in_blocks(rows: DataFrame, meet: Callable[[pa.Table, pa.Table, bool], Iterator[pa.RecordBatch]], schema: str, by: tuple[str, ...] = (), block: int | None = None, own: bool | None = None) -> DataFrame:
     """What ``meet`` yields for every two blocks of ``rows`` (``k``, ``v`` and others), inside each group of ``by``.
 
     A row is copied once a block, so what is shuffled is rows x blocks.  ``meet`` gets both blocks in the order of ``k`` and
-    whether they are the same one; what it yields leaves the task at once.
+    whether they are the same one; what it yields leaves the task at once.  With ``own`` blocks meet only themselves (True) or
+    only others (False).
     """
     if block is None:
         n, width = rows.agg(F.count(F.lit(1)) if not by else F.count_distinct("k"), F.max(F.size("v"))).first()
@@ -39,8 +40,13 @@ def met_in_blocks(rows: DataFrame, meet: Callable[[pa.Table, pa.Table, bool], It
     else:
         n = rows.select("k").distinct().count() if by else rows.count()
     parts = max(1, -(-n // block))
-    dealt = rows.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    others = F.sequence(F.lit(0), F.lit(parts - 1))
+    meets = {None: others, True: F.array("b"), False: F.filter(others, lambda o: o != F.col("b"))}[own]
+    dealt = rows.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int")).withColumn("o", F.explode(meets))
     placed = dealt.withColumns({"bi": F.least("b", "o"), "bj": F.greatest("b", "o")}).drop("o")
+    if not by:  # few rows are much work: they are dealt over as many tasks as there are meetings, which stay apart
+        pairs = parts if own else parts * (parts + 1) // 2
+        placed = placed.repartition(max(pairs, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bi", "bj")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))

@@ -168,10 +168,14 @@ class _Best:
     ``bound`` is what a pair's closeness must reach: that of k rows known by then, the query's own row left out.
     """
 
-    def __init__(self, own: np.ndarray, u: np.ndarray, names: np.ndarray, v: np.ndarray, k: int, metric: str) -> None:
+    def __init__(self, own: np.ndarray, u: np.ndarray, names: np.ndarray, v: np.ndarray, k: int, metric: str, far: np.ndarray | None = None) -> None:
         self.own, self.u, self.names, self.v, self.k, self.metric = own, u, names, v, k, metric
         self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
         self.kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        if far is not None:  # distances within which k rows are known, NaN where they aren't
+            self.bound = np.where(np.isnan(far), -np.inf, self.closeness(far))
+            return
         some = slice(None, None, max(1, len(v) // SEEDS))
         right = _right(v[some], metric, -1)
         n = len(right)
@@ -182,9 +186,13 @@ class _Best:
                 s[(own[x : x + len(s), None] == names[None, some]) | np.isnan(s)] = -np.inf
                 self.bound[x : x + len(s)] = np.partition(s, n - k, axis=1)[:, n - k]
 
+    def closeness(self, d: np.ndarray) -> np.ndarray:
+        return 1 - d if self.metric == "cosine" else -0.5 * d**2
+
     def add(self, query: np.ndarray, row: np.ndarray) -> None:
         self.new.append((query, row))
-        if sum(len(q) for q, _ in self.new) > NEAR_PAIRS:
+        self.held += len(query)
+        if self.held > NEAR_PAIRS:
             self.measure()
 
     def measure(self) -> None:
@@ -192,7 +200,7 @@ class _Best:
         if not self.new:
             return
         q, r = (np.concatenate(x) for x in zip(*self.new, strict=True))
-        self.new = []
+        self.new, self.held = [], 0
         other = self.own[q] != self.names[r]
         q, r = q[other], r[other]
         d = np.empty(len(q))
@@ -211,7 +219,7 @@ class _Best:
         rank = np.arange(len(q)) - np.searchsorted(q, q)
         self.kept = tuple(x[rank < self.k] for x in (q, r, d))
         last = rank == self.k - 1
-        self.bound[q[last]] = np.maximum(self.bound[q[last]], 1 - d[last] if self.metric == "cosine" else -0.5 * d[last] ** 2)
+        self.bound[q[last]] = np.maximum(self.bound[q[last]], self.closeness(d[last]))
 
     def found(self) -> pa.RecordBatch:
         self.measure()
@@ -219,18 +227,33 @@ class _Best:
         return pa.RecordBatch.from_arrays([pa.array(self.own[q], pa.int64()), pa.array(self.names[r], pa.int64()), pa.array(d)], ["key", "neighbour", "distance"])
 
 
-def _share(m: np.ndarray, metric: str, sign: int) -> np.ndarray:
-    """What a row adds to a pair's closeness beside the product; ``sign`` times all that rounding can change is added."""
+def _share(m: np.ndarray, metric: str, sign: int, kind: type = float) -> np.ndarray:
+    """What a row adds to a pair's closeness beside the product; ``sign`` times all that rounding to ``kind`` can change is added."""
     square = (m * m).sum(1)
-    return sign * 4 * (m.shape[1] + 8) * np.finfo(float).eps * square - (0 if metric == "cosine" else square / 2)
+    return sign * 2 * (m.shape[1] + 8) * np.finfo(kind).eps * square - (0 if metric == "cosine" else square / 2)
+
+
+def _left(m: np.ndarray, metric: str, sign: int, kind: type = float) -> np.ndarray:
+    return np.column_stack([m, np.ones(len(m)), _share(m, metric, sign, kind)]).astype(kind)
 
 
-def _left(m: np.ndarray, metric: str, sign: int) -> np.ndarray:
-    return np.column_stack([m, np.ones(len(m)), _share(m, metric, sign)])
+def _right(m: np.ndarray, metric: str, sign: int, kind: type = float) -> np.ndarray:
+    return np.column_stack([m, _share(m, metric, sign, kind), np.ones(len(m))]).astype(kind)
 
 
-def _right(m: np.ndarray, metric: str, sign: int) -> np.ndarray:
-    return np.column_stack([m, _share(m, metric, sign), np.ones(len(m))])
+def _kind(u: np.ndarray, v: np.ndarray, best: _Best) -> type:
+    """Single precision for tiles where it holds the squares and its rounding is small beside the distances looked for."""
+    squares = np.concatenate([(m * m).sum(1) for m in (u, v)])
+    some = squares[squares != 0]
+    if not len(some) or not (np.isfinite(some).all() and some.max() < 1e30 and some.min() > 1e-20):
+        return float
+    known = best.bound[np.isfinite(best.bound)]
+    least = np.median(1 - known if best.metric == "cosine" else -known) if len(known) else 0.0
+    return np.float32 if least > 200 * (u.shape[1] + 8) * np.finfo(np.float32).eps * some.max() else float
+
+
+def _floor(bound: np.ndarray, kind: type) -> np.ndarray:
+    return bound if kind is float else np.nextafter(bound.astype(kind), kind(-np.inf))
 
 
 def _places(hit: np.ndarray) -> np.ndarray:
@@ -243,23 +266,26 @@ def _places(hit: np.ndarray) -> np.ndarray:
     return some[word] * 8 + at
 
 
-def _met(own: np.ndarray, u: np.ndarray, names: np.ndarray, v: np.ndarray, k: int, metric: str, both: bool = False) -> Iterator[pa.RecordBatch]:
+def _met(own: np.ndarray, u: np.ndarray, names: np.ndarray, v: np.ndarray, k: int, metric: str, both: bool = False, far: tuple | None = None) -> Iterator[pa.RecordBatch]:
     """The k nearest of the rows ``v`` for every query ``u``, keys ascending on each side; with ``both`` also the nearest of ``u`` for every ``v``.
 
     A tile's products (less half the squares: minus half the squared distance) are compared with the queries' bounds, and
-    only pairs that reach them are looked at; rounding is allowed for, so none is lost.
+    only pairs that reach them are measured; rounding is allowed for, so none is lost.  ``far`` has both sides'
+    distances within which k rows are known; pairs beyond are left out.
     """
     if metric == "cosine":
         u, v = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (u, v))
+    far = far or (None, None)
     with np.errstate(all="ignore"):
-        rows, columns = _Best(own, u, names, v, k, metric), _Best(names, v, own, u, k, metric) if both else None
-        left, right = _left(u, metric, 1), _right(v, metric, 1)
+        rows, columns = _Best(own, u, names, v, k, metric, far[0]), _Best(names, v, own, u, k, metric, far[1]) if both else None
+        kind = _kind(u, v, rows)
+        left, right = _left(u, metric, 1, kind), _right(v, metric, 1, kind)
         for x, y in blocks.tiles(len(u), len(v), False):
             s = left[x] @ right[y].T
-            q, r = np.divmod(_places(s >= rows.bound[x, None]), s.shape[1])
+            q, r = np.divmod(_places(s >= _floor(rows.bound[x, None], kind)), s.shape[1])
             rows.add(q + x.start, r + y.start)
             if columns:
-                r, q = np.divmod(_places(s >= columns.bound[None, y]), s.shape[1])
+                r, q = np.divmod(_places(s >= _floor(columns.bound[None, y], kind)), s.shape[1])
                 columns.add(q + y.start, r + x.start)
         yield rows.found()
         if columns:
@@ -280,15 +306,27 @@ def _nearest(k: int, metric: str):  # noqa: ANN202
 
 
 def _nearest_of_both(k: int, metric: str):  # noqa: ANN202
-    """The same where queries and rows are one table: two blocks meet once, for the queries of both."""
+    """The same where queries and rows are one table: two blocks meet once, for the queries of both, within their distances ``far``."""
 
     def nearest(first: pa.Table, second: pa.Table, same: bool) -> Iterator[pa.RecordBatch]:
         a, b = ((t.column("k").to_numpy(), blocks.matrix(t)) for t in (first, second))
-        yield from _met(*a, *b, k, metric, not same)
+        far = None if same else tuple(t.column("far").to_numpy() for t in (first, second))
+        yield from _met(*a, *b, k, metric, not same, far)
 
     return nearest
 
 
+def _knn_of_one(rows: DataFrame, k: int, metric: str, block: int | None) -> DataFrame:
+    """``knn`` of rows ``(k, v)`` among themselves: first inside each block, then between blocks within the distances found there."""
+    if block is None:
+        n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+        block = blocks.block_rows(n, width or 1)
+    own = materialize(blocks.met_in_blocks(rows, _nearest_of_both(k, metric), _NEAR, block=block, own=True), "own-block")
+    known = own.groupBy(F.col("key").alias("k")).agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("far"))
+    bounded = materialize(rows.join(known, "k", "left"), "bounded")
+    return _first(own.unionByName(blocks.met_in_blocks(bounded, _nearest_of_both(k, metric), _NEAR, block=block, own=False)), k)
+
+
 def _distances(u: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     if metric == "cosine":
         u, v = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (u, v))
@@ -314,7 +352,7 @@ def knn(x: DataFrame, y: DataFrame, k: int, metric: str = "euclid", key: str = "
     """
     if x is y:
         rows = x.select(F.col(key).cast("long").alias("k"), F.col(vec).cast("array<double>").alias("v"))
-        return _first(blocks.met_in_blocks(rows, _nearest_of_both(k, metric), _NEAR, block=block), k)
+        return _knn_of_one(rows, k, metric, block)
 
     def deal(df: DataFrame, side: str) -> tuple[DataFrame, int]:
         n = df.count()
