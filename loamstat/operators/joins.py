@@ -632,9 +632,81 @@ def _led(n: int) -> Callable[[pa.Table], pa.Table]:
     return led
 
 
+#: Buckets of groups whose rows are counted, to find groups of more rows than a block.
+COUNTED = 1 << 16
+#: Rows that a task leads at a time, and the groups' types that are dealt by hash (equal ones have equal hashes).
+LED_ROWS = 200_000
+DEALT_TYPES = ("tinyint", "smallint", "int", "bigint", "string", "date")
+
+
+def _led_rows(by: str, tol: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Turns ``__v`` into ``leader`` in rows that lie in the order of (group, value), groups not parted; a group is held until it ends."""
+
+    def lead(table: pa.Table) -> pa.Table:
+        v = table.column("__v").to_numpy()
+        g = table.column(by).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        some = np.flatnonzero(~np.isnan(v))
+        v, g = v[some] + 0.0, g[some]
+        first = np.ones(len(v), bool)
+        first[1:] = (g[1:] != g[:-1]) | (v[1:] != v[:-1])
+        which = np.cumsum(first) - 1
+        v, g = v[first], g[first]  # distinct, in order
+        leader = np.full(table.num_rows, np.nan)
+        if len(v):
+            steps = _next(tol)(pa.table({"i": np.arange(1, len(v) + 1), "g": g, "v": v}))
+            entry = np.ones(len(v), bool)
+            entry[1:] = g[1:] != g[:-1]
+            led = _led(len(v))(steps.append_column("entry", pa.array(entry)).append_column("block", pa.array(np.zeros(len(v), np.int64))))
+            leader[some] = led.column("leader").to_numpy()[which]
+        return table.drop_columns(["__v"]).append_column("leader", pa.array(leader, mask=np.isnan(leader)))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= LED_ROWS:
+                table = pa.Table.from_batches(held)
+                g = table.column(by).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+                ends = int(np.searchsorted(g, g[-1])) if len(g) else 0  # codes ascend in the order of the groups
+                if ends:
+                    yield from lead(table.slice(0, ends)).to_batches(max_chunksize=10_000)
+                # a long group is looked at again after as many rows as it has
+                held = table.slice(ends).combine_chunks().to_batches()
+                rows = 0 if not ends else table.num_rows - ends
+        if held and (table := pa.Table.from_batches(held)).num_rows:
+            yield from lead(table).to_batches(max_chunksize=10_000)
+
+    return task
+
+
 def leader_groups(df: DataFrame, key: str, col: str, tol: float, by: str | None = None, block: int = 1_000_000) -> DataFrame:
     """Sorted values grouped by leaders: a group takes all values within ``tol`` of its first.
 
+    Groups of up to ``block`` rows are dealt by ``by``, sorted and led in one pass over their rows; larger ones (all rows
+    without ``by``) are spread over tasks by ``spread_leaders``.  Rows with a null or NaN value have no leader; a null of ``by`` is a group.
+    """
+    if by is None or dict(df.dtypes)[by] not in DEALT_TYPES or "leader" in df.columns:
+        return spread_leaders(df, key, col, tol, by, block)
+    spark = df.sparkSession
+    bucket = F.pmod(F.xxhash64(by), F.lit(COUNTED))
+    full = df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("b")
+    full = [r["b"] for r in full.collect()]  # one a block of rows at most
+    large = df.where(bucket.isin(full)).groupBy(F.col(by).alias("__g")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("__g") if full else None
+    if large is not None:
+        large = F.broadcast(materialize(large, "large"))
+    same = F.col(by).eqNullSafe(F.col("__g"))
+    small = df if large is None else df.join(large, same, "left_anti")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", leader double"
+    dealt = small.withColumn("__v", F.col(col).cast("double")).repartition(parts, by).sortWithinPartitions(by, "__v")
+    led = dealt.mapInArrow(_led_rows(by, tol), out)
+    return led if large is None else led.unionByName(spread_leaders(df.join(large, same, "left_semi"), key, col, tol, by, block))
+
+
+def spread_leaders(df: DataFrame, key: str, col: str, tol: float, by: str | None = None, block: int = 1_000_000) -> DataFrame:
+    """Sorted values grouped by leaders: a group takes all values within ``tol`` of its first.
+
     Distinct values are numbered in order, and each gets the next leader if it were one: the first value
     further than ``tol``, found in its block of ``block`` values or else by a minimum over range partitions.
     Tasks follow these steps to the end of a block, pointer doubling over the steps between blocks finds the blocks'

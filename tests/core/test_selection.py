@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,22 @@ def test_leaders_equal_the_pass(spark, by, block):
     assert got == {i: want[k if by else 0, x] for i, k, x in rows} | {9001: None, 9002: None}
 
 
+@pytest.mark.parametrize("rows", [1, 40, 10_000])
+def test_small_groups_are_led_in_one_pass(spark, rows, monkeypatch):
+    monkeypatch.setattr(joins, "LED_ROWS", rows)
+    rng = np.random.default_rng(rows)
+    pairs = [(None if g == 0 else int(g), float(np.round(x, 1))) for g, x in zip(rng.integers(0, 20, 500) ** 2 // 20, rng.normal(size=500) * 2, strict=True)]
+    pairs.sort(key=lambda p: (p[0] is not None, p[0] or 0, p[1]))
+    table = pa.table({"k": pa.array([g for g, _ in pairs], pa.int32()), "__v": pa.array([v for _, v in pairs])})
+    got = pa.Table.from_batches(list(joins._led_rows("k", 0.5)(iter(table.to_batches(max_chunksize=7)))))
+    want = greedy(pairs, 0.5)
+    assert got.column("leader").to_pylist() == [want[p] for p in pairs]
+    df = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(pairs)], "id long, k int, v double")
+    led = joins.leader_groups(df, "id", "v", 0.5, "k")
+    assert "Join" not in led._jdf.queryExecution().optimizedPlan().toString()  # no values are ranked and joined back
+    assert {r.id: r.leader for r in led.collect()} == {i: want[p] for i, p in enumerate(pairs)}
+
+
 def test_leaders_of_nothing(spark):
     df = spark.createDataFrame([], "id long, v double")
     assert joins.leader_groups(df, "id", "v", 1.0).collect() == []
