@@ -62,3 +62,15 @@ def test_few_values_are_compared_block_by_block(spark, monkeypatch, tol):
     monkeypatch.setattr(joins, "_equal_cells", lambda *a: called.append(1) or whole(*a))
     out = joins.value_duplicates(spark.createDataFrame(rows, "feature_id long, sample_id int, value int"), tol)
     assert {(r.i, r.j): r.similarity for r in out.collect()} == pytest.approx(want) and called
+
+
+@pytest.mark.parametrize(("dm", "dt"), [(1.0, 2.5), (0.0, 2.5), (1.0, 0.0), (0.0, 0.0)])
+def test_few_places_meet_with_lists_of_keys(spark, dm, dt):
+    """Rows of one place are joined as one; pairs are those of the rows, a key in two places included."""
+    rng = np.random.default_rng(9)
+    rows = [(int(k), float(m), float(t)) for k, m, t in zip(rng.permutation(500), rng.integers(-2, 2, 500), rng.integers(-8, 8, 500) / 2, strict=True)] + [(3, 0.0, 0.5), (3, 1.0, 0.5)]
+    df = spark.createDataFrame(rows, "feature_id long, mass double, rtime double")
+    out = joins.masstime_duplicates(df, dm, dt)
+    assert "keys_r" in out._jdf.queryExecution().toString() and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    want = sorted((a[0], b[0], abs(a[1] - b[1]), abs(a[2] - b[2])) for a in rows for b in rows if a[0] < b[0] and abs(a[1] - b[1]) <= dm and abs(a[2] - b[2]) <= dt)
+    assert sorted(map(tuple, out.collect())) == want
